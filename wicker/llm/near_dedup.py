@@ -29,8 +29,11 @@ BRANCHES = 2
 COORDINATES = 32
 #: Of 32 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 3e-7.
 AGREE = 11
+#: A node of so many sets is compared exhaustively, twice as many a level deeper.
 LEAF = 24
-DEEPEST = 12
+DEEPEST = 10
+#: Up to so many keys (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * U(2) + U(1)
 _LONGS = COORDINATES // 8
 
@@ -154,41 +157,67 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     members = sets.select("key", "n_shingles", *sketch, F.col("key").alias("label"), F.posexplode("tokens").alias("j", "token")).select(
         F.xxhash64("j", "token").alias("node"), "key", "n_shingles", *sketch, "label"
     )
+    checked: DataFrame | None = None
     found: DataFrame | None = None
     for depth in range(1, DEEPEST + 1):
         pivot = F.min(F.struct(F.xxhash64("key", F.lit(depth)).alias("h"), "key", "n_shingles", *sketch, "label"))
         nodes = members.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         nodes = nodes.where("size > 1 and l0 <> l1").drop("l0", "l1")
-        x = F.struct("key", "n_shingles", *sketch, "label")
-        in_nodes = written(members.join(nodes, "node").select("node", "size", "p", x.alias("x")), "nodes")
-        last = depth == DEEPEST
-        leaf = F.col("size") <= LEAF
-        star = in_nodes.where(~leaf & (F.col("x.label") != F.col("p.label")) & _likely("x", "p", percent)).select(F.col("x.key").alias("a"), F.col("p.key").alias("b"))
-        if last:  # whatever still shares twelve tokens is compared in full
-            rest = in_nodes.where(~leaf).select("node", "x")
-            pairs = rest.join(rest.withColumnRenamed("x", "y"), "node").where("x.key < y.key")
-            star = star.unionByName(pairs.where((F.col("x.label") != F.col("y.label")) & _likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
-        leaves = in_nodes.where(leaf).groupBy("node").agg(F.collect_list("x").alias("xs"))
-        pairs = leaves.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).where("x.key < y.key and x.label <> y.label")
-        pairs = pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        pairs = pairs.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        links = _confirmed(written(pairs, "pairs"), sets, texts, k, percent)
-        found = links if found is None else written(found.unionByName(links), "found")
+        in_nodes = written(members.join(nodes, "node").select("node", "size", "p", F.struct("key", "n_shingles", *sketch, "label").alias("x")), "nodes")
+        # nodes grow fewer with depth, so larger ones may be compared exhaustively
+        leaf = F.col("size") <= LEAF << (depth - 1)
+        pairs = _with_pivot(in_nodes.where(~leaf), percent).unionByName(_exhaustive(in_nodes.where(leaf), percent))
+        if depth == DEEPEST:
+            pairs = pairs.unionByName(_rest(in_nodes.where(~leaf), percent))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = _confirmed(pairs, sets, texts, k, percent)
+        found = links if found is None else found.unionByName(links)
         large = in_nodes.where(~leaf)
-        if last or large.isEmpty():
+        if depth == DEEPEST or large.isEmpty():
             break
-        known = connected_components(found)
-        members = large.select("node", "x.*").join(known.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
-        mixed = members.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-        members = _children(members.join(mixed, "node"))
+        # what is linked to the pivot takes its label: pairs of one label are connected already
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("linked", F.lit(True))
+        members = _children(_labelled(large, both))
     return found
 
 
+def _with_pivot(in_nodes: DataFrame, percent: int) -> DataFrame:
+    return in_nodes.where((F.col("x.label") != F.col("p.label")) & _likely("x", "p", percent)).select(F.col("x.key").alias("a"), F.col("p.key").alias("b"))
+
+
+def _exhaustive(in_nodes: DataFrame, percent: int) -> DataFrame:
+    """All likely pairs of small nodes that aren't known to be connected; of such a pair one set has not the pivot's label."""
+    leaves = in_nodes.groupBy("node").agg(F.collect_list("x").alias("xs"), F.first("p.label").alias("common"))
+    pairs = leaves.select("xs", "common", F.explode(F.filter("xs", lambda x: x["label"] != F.col("common"))).alias("x")).select("x", "common", F.explode("xs").alias("y"))
+    pairs = pairs.where("x.label <> y.label and (y.label = common or x.key < y.key)")
+    return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
+def _rest(in_nodes: DataFrame, percent: int) -> DataFrame:
+    """What still shares a node at the deepest level, in full."""
+    rest = in_nodes.select("node", "x")
+    pairs = rest.join(rest.withColumnRenamed("x", "y"), "node").where("x.key < y.key and x.label <> y.label")
+    return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
+def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of large nodes with their new labels, in nodes where two labels are left."""
+    to_pivot = links.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "linked").distinct()
+    rows = large.select("node", "x.*", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label")).join(to_pivot, ["key", "pivot"], "left")
+    rows = rows.withColumn("label", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label"))).drop("pivot", "pivot_label", "linked")
+    mixed = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
+    return rows.join(mixed, "node")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", "doc_id", "th"), "key")
-    wanted = wanted.withColumnRenamed("doc_id", "its_id")
+    wanted = written(wanted.withColumnRenamed("doc_id", "its_id"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     text = texts.join(wanted, "th").where(F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy("key").agg(F.first("text").alias("text"))
     both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "confirmed")

@@ -23,7 +23,7 @@ LEAST = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "word
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; none for a null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def _repeat_words(words_: Column, n: Column) -> Column:
@@ -53,14 +53,14 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", "lang", "source", text.alias("text")).withColumn("w", words(F.col("text")))
     base = base.withColumn("n_words", F.size("w").cast("long")).withColumn("windows", _repeat_words(F.col("w"), F.col("n_words")))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\u000b\u000c\r", "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return base.withColumn("lines", lines).select(
         "doc_id",
         "lang",
         "source",
         "n_words",
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("windows").isNull() | (F.size(F.array_distinct("windows")) == F.size("windows")), F.lit(0).cast("long")).otherwise(_covered(F.col("windows"))).alias("n_repeat_words"),

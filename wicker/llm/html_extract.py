@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .scratch import written
 
-#: A node is template if so many distinct pages of the host have it and such a share of them the same text.
+#: A node is template if so many distinct pages of the host have text in it and such a share of them the same.
 LEAST_PAGES, SAME_SHARE = 3, 0.8
 #: The main slot is the deepest element with this share of the text that may be content.
 MAIN_SHARE = 0.6
@@ -273,11 +273,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     few = aligned.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
     # each distinct page of a host votes once on every node of the host's tree
-    votes = read.join(small(aligned), ["host", "tree"]).select("host", "page_hash", F.explode(F.arrays_zip("nodes", "hashes", "sizes")).alias("x")).where("x.nodes >= 0")
+    votes = read.join(small(aligned), ["host", "tree"]).select("host", "page_hash", F.explode(F.arrays_zip("nodes", "hashes", "sizes")).alias("x")).where("x.nodes >= 0 and x.sizes > 0")
     votes = votes.groupBy("host", "page_hash", F.col("x.nodes").alias("node"), F.col("x.hashes").alias("h")).agg(F.max("x.sizes").alias("size"))
     votes = votes.groupBy("host", "node", "h").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     stats = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("size").alias("size"))
-    stats = stats.withColumn("template", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")) & (F.col("size") > 0))
+    stats = stats.withColumn("template", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
     by_host = stats.groupBy("host").agg(F.collect_list(F.struct("node", "template", "size")).alias("stats"))
     wrappers = written(aligned.join(by_host, "host", "left").select("host", "tree", "nodes", "stats").mapInPandas(_wrappers, "host string, tree string, keep array<boolean>"), "wrappers")
     texts = read.join(small(wrappers), ["host", "tree"], "left")

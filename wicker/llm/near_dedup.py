@@ -1,12 +1,13 @@
 """Near-duplicate documents: a set similarity join along chosen paths.
 
 A document is the set of its five-word shingles. Independent random trees branch the sets: at a
-node every set follows the two branches named by its own minwise tokens under that node's hash
-functions, so sets of Jaccard similarity s stay together on a branch with probability s. Small
-nodes are compared exhaustively. A large node is first compared with one pivot set, then branched
-again, unless all its sets are already known to be connected. With two branches a pair of
-similarity 0.75 outlives a tree of any depth with probability 0.89 at least and six trees miss it
-with 2e-6; a pair whose nodes are small at once (nearly all are) with 6e-8.
+node every set follows the branches named by its own minwise tokens under that node's hash
+functions, one token on the first level, three a branch below, so that sets of Jaccard similarity s
+stay together on a branch with probability s or s^3. Small nodes are compared exhaustively. A large
+node is first compared with one pivot set, the one most like all the others, then branched again,
+unless all its sets are known to be connected. A pair of similarity 0.75 whose nodes are small at
+once (nearly all are) is missed by all six trees with probability 6e-8; one that must go deeper with
+some 1e-7 more.
 
 Every candidate pair is confirmed on the full sets.
 """
@@ -25,13 +26,14 @@ from .scratch import written
 from .words import U, column_bytes, mix, words_of
 
 TREES = 6
-BRANCHES = 2
-COORDINATES = 32
-#: Of 32 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 3e-7.
-AGREE = 11
-#: A node of so many sets is compared exhaustively, twice as many a level deeper.
-LEAF = 24
-DEEPEST = 10
+#: Branches of a root, branches of any other node and tokens that name each of those.
+FIRST_BRANCHES, BRANCHES, TOKENS = 2, 6, 3
+COORDINATES = 128
+#: Of 128 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 2e-6.
+AGREE = 73
+#: A node of so many sets is compared exhaustively.
+LEAF = 32
+DEEPEST = 8
 #: Up to so many keys (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * U(2) + U(1)
@@ -76,11 +78,11 @@ def _sketches(k: int):
                         v ^= v >> U(32)
                         least[c, full] = np.minimum.reduceat(v, at)
                 sketch = np.ascontiguousarray(mix(least.copy()).astype(np.uint8).T).view(np.int64)
-                tokens = np.ascontiguousarray(least[: TREES * BRANCHES].T).view(np.int64).ravel()
+                tokens = np.ascontiguousarray(least[: TREES * FIRST_BRANCHES].T).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("th").slice(lo, hi - lo), pa.array(n), pa.array(keys.view(np.int64))]
                     + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(_LONGS)]
-                    + [pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) + 1, TREES * BRANCHES, dtype=np.int32)), pa.array(tokens))],
+                    + [pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) + 1, TREES * FIRST_BRANCHES, dtype=np.int32)), pa.array(tokens))],
                     ["doc_id", "th", "n_shingles", "key", *(f"s{i}" for i in range(_LONGS)), "tokens"],
                 )
 
@@ -121,10 +123,10 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _agree(p: str, q: str) -> Column:
+def _agree(p: str, q: str, longs: range = range(_LONGS)) -> Column:
     """On how many coordinates two sketches agree."""
-    total = F.lit(COORDINATES)
-    for i in range(_LONGS):
+    total = F.lit(8 * len(longs))
+    for i in longs:
         x = F.col(f"{p}.s{i}").bitwiseXOR(F.col(f"{q}.s{i}"))
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
@@ -138,37 +140,58 @@ def _likely(p: str, q: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_agree(p, q) >= AGREE)
 
 
+_SKETCH = [f"s{i}" for i in range(_LONGS)]
+
+
+def _byte(at: Column) -> Column:
+    """One coordinate of a sketch."""
+    long = F.element_at(F.array(*_SKETCH), (at / 8).cast("int") + 1)
+    return F.call_function("shiftrightunsigned", long, (8 * (at % 8)).cast("int")).bitwiseAND(F.lit(255))
+
+
 def _children(members: DataFrame) -> DataFrame:
-    """Each set follows two branches: the node's own choice of coordinates, and the set's minwise tokens there."""
-    longs = F.array(*[F.col(f"s{i}") for i in range(_LONGS)])
-    h = F.xxhash64("node", F.lit("branch"))
-    first = F.pmod(h, F.lit(COORDINATES)).cast("int")
-    second = F.pmod(first + 1 + F.pmod(F.shiftrightunsigned(h, 20), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
-    return (
-        members.withColumn("c", F.explode(F.array(first, second)))
-        .withColumn("token", F.expr(f"shiftrightunsigned(element_at({'array(' + ','.join(f's{i}' for i in range(_LONGS)) + ')'}, cast(c div 8 as int) + 1), cast(8 * (c % 8) as int)) & 255"))
-        .select(F.xxhash64("node", "c", "token").alias("node"), "key", "n_shingles", *[f"s{i}" for i in range(_LONGS)], "label")
-    )
+    """Each set follows every branch by its minwise tokens at the coordinates that the node chooses for it."""
+    rows = members.withColumn("branch", F.explode(F.array(*[F.lit(i) for i in range(BRANCHES)]))).withColumn("c", F.xxhash64("node", "branch"))
+    picks = [F.pmod(F.shiftrightunsigned("c", 16 * i), F.lit(COORDINATES)).cast("int") for i in range(TOKENS)]
+    return rows.select(F.xxhash64("node", "branch", *[_byte(p) for p in picks]).alias("node"), "key", "n_shingles", *_SKETCH, "label")
+
+
+def _pivots(large: DataFrame) -> DataFrame:
+    """For each large node the set that agrees best with the most frequent tokens of those not captured yet: ``node, p``."""
+    open_ = F.col("x.label") == F.col("x.key")
+    longs = range(min(4, _LONGS))
+    byte = lambda i, j: F.shiftrightunsigned(F.col(f"x.s{i}"), 8 * j).bitwiseAND(F.lit(255))
+    modes = large.groupBy("node").agg(*[F.mode(F.when(open_, byte(i, j)), True).alias(f"m{i}_{j}") for i in longs for j in range(8)])
+    packed = []
+    for i in longs:
+        c = F.lit(0).cast("long")
+        for j in range(8):
+            c = c.bitwiseOR(F.shiftleft(F.coalesce(F.col(f"m{i}_{j}"), F.lit(0)), 8 * j))
+        packed.append(c.alias(f"s{i}"))
+    typical = modes.select("node", F.struct(*packed).alias("c"))
+    best = F.max(F.struct(open_.alias("open"), _agree("x", "c", longs).alias("agree"), F.xxhash64("x.key").alias("h"), F.col("x").alias("x")))
+    return large.join(typical, "node").groupBy("node").agg(best.alias("b")).select("node", F.col("b.x").alias("p"))
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Confirmed links ``(a, b)`` between keys of ``sets``; enough of them to connect what is linked."""
-    sketch = [f"s{i}" for i in range(_LONGS)]
-    members = sets.select("key", "n_shingles", *sketch, F.col("key").alias("label"), F.posexplode("tokens").alias("j", "token")).select(
-        F.xxhash64("j", "token").alias("node"), "key", "n_shingles", *sketch, "label"
+    members = sets.select("key", "n_shingles", *_SKETCH, F.col("key").alias("label"), F.posexplode("tokens").alias("j", "token")).select(
+        F.xxhash64("j", "token").alias("node"), "key", "n_shingles", *_SKETCH, "label"
     )
     checked: DataFrame | None = None
     found: DataFrame | None = None
     for depth in range(1, DEEPEST + 1):
-        pivot = F.min(F.struct(F.xxhash64("key", F.lit(depth)).alias("h"), "key", "n_shingles", *sketch, "label"))
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        nodes = nodes.where("size > 1 and l0 <> l1").drop("l0", "l1")
-        in_nodes = written(members.join(nodes, "node").select("node", "size", "p", F.struct("key", "n_shingles", *sketch, "label").alias("x")), "nodes")
-        # nodes grow fewer with depth, so larger ones may be compared exhaustively
-        leaf = F.col("size") <= LEAF << (depth - 1)
-        pairs = _with_pivot(in_nodes.where(~leaf), percent).unionByName(_exhaustive(in_nodes.where(leaf), percent))
-        if depth == DEEPEST:
-            pairs = pairs.unionByName(_rest(in_nodes.where(~leaf), percent))
+        nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        nodes = nodes.where("size > 1 and l0 <> l1").select("node", "size")
+        in_nodes = written(members.join(nodes, "node").select("node", "size", F.struct("key", "n_shingles", *_SKETCH, "label").alias("x")), "nodes")
+        pairs = _exhaustive(in_nodes.where(F.col("size") <= LEAF), percent)
+        large = in_nodes.where(F.col("size") > LEAF).drop("size")
+        some_large = not large.isEmpty()
+        if some_large:
+            large = written(large.join(_pivots(large), "node"), "large")
+            pairs = pairs.unionByName(_with_pivot(large, percent))
+            if depth == DEEPEST:
+                pairs = pairs.unionByName(_rest(large, percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -176,8 +199,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         checked = pairs if checked is None else checked.unionByName(pairs)
         links = _confirmed(pairs, sets, texts, k, percent)
         found = links if found is None else found.unionByName(links)
-        large = in_nodes.where(~leaf)
-        if depth == DEEPEST or large.isEmpty():
+        if not some_large or depth == DEEPEST:
             break
         # what is linked to the pivot takes its label: pairs of one label are connected already
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("linked", F.lit(True))
@@ -185,13 +207,13 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return found
 
 
-def _with_pivot(in_nodes: DataFrame, percent: int) -> DataFrame:
-    return in_nodes.where((F.col("x.label") != F.col("p.label")) & _likely("x", "p", percent)).select(F.col("x.key").alias("a"), F.col("p.key").alias("b"))
+def _with_pivot(large: DataFrame, percent: int) -> DataFrame:
+    return large.where((F.col("x.label") != F.col("p.label")) & _likely("x", "p", percent)).select(F.col("x.key").alias("a"), F.col("p.key").alias("b"))
 
 
 def _exhaustive(in_nodes: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of small nodes that aren't known to be connected; of such a pair one set has not the pivot's label."""
-    leaves = in_nodes.groupBy("node").agg(F.collect_list("x").alias("xs"), F.first("p.label").alias("common"))
+    """All likely pairs of small nodes that aren't known to be connected; of such a pair one set has not the node's common label."""
+    leaves = in_nodes.groupBy("node").agg(F.collect_list("x").alias("xs"), F.mode("x.label", True).alias("common"))
     pairs = leaves.select("xs", "common", F.explode(F.filter("xs", lambda x: x["label"] != F.col("common"))).alias("x")).select("x", "common", F.explode("xs").alias("y"))
     pairs = pairs.where("x.label <> y.label and (y.label = common or x.key < y.key)")
     return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))

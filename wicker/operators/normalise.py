@@ -330,7 +330,7 @@ def normal_url(url: Column) -> Column:
         .when(full.rlike(r"\s"), "white space")
         .when(authority.contains("@"), "user in host")
         .when(~F.regexp_replace(authority, ":[0-9]*$", "").rlike(r"[^.]\.[^.]"), "host")
-        .when(full.rlike(rf"(?i)[?&](?:{_SENSITIVE})="), "sensitive query")
+        .when(full.rlike(rf"(?i)\?(?:[^#]*&)?(?:{_SENSITIVE})="), "sensitive query")
     )
     return F.struct(F.when(reason.isNull(), full).alias("url"), reason.alias("reason"))
 

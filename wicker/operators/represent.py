@@ -62,7 +62,7 @@ def symmetric_vectors(weights: DataFrame, d: int) -> tuple[DataFrame, float]:
     values, vectors = values[::-1], vectors[:, ::-1]
     k = min(d, int((values > 0).sum()))
     vec = vectors[:, :k] * np.sqrt(values[:k])
-    out = weights.sparkSession.createDataFrame(pd.DataFrame({"item_id": ids, "vec": list(vec)}))
+    out = weights.sparkSession.createDataFrame(pd.DataFrame({"item_id": ids, "vec": [v.tolist() for v in vec]}))
     return out, float(values[:k].sum() / max(values[values > 0].sum(), 1e-12))
 
 
@@ -70,7 +70,7 @@ def als_vectors(baskets: DataFrame, rank: int = 16, alpha: float = 40.0, iterati
     """Item factors of implicit alternating least squares."""
     from pyspark.ml.recommendation import ALS
 
-    rows = baskets.select(F.col("basket_id").cast("int"), F.explode("items").cast("int").alias("item_id"), F.lit(1.0).alias("r"))
+    rows = baskets.select(F.col("basket_id").cast("int"), F.explode(F.transform("items", lambda x: x.cast("int"))).alias("item_id"), F.lit(1.0).alias("r"))
     model = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=True, userCol="basket_id", itemCol="item_id", ratingCol="r", seed=seed).fit(rows)
     return model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.transform("features", lambda x: x.cast("double")).alias("vec"))
 

@@ -59,7 +59,7 @@ def completion_instances(spark: P, sf: str) -> D:
 _RANKS = (
     f"{X.EDGES}, {_INST}, few as (select * from ctx where basket_id % 10 = 0), sc as (select basket_id, b item_id, round(sum(weight), 9) score from (select basket_id, context, unnest(context) a from few) x join both_ways using (a) where not list_contains(context, b) group by 1, 2),"
     " own as (select few.basket_id, target, len(context) k, score own from few left join sc on sc.basket_id = few.basket_id and sc.item_id = target),"
-    " mid as (select own.basket_id, target, case when own is not null then count(*) filter (score > own) + 1 + (count(*) filter (score = own) - 1) / 2.0 else count(score) + 1 + (64 - k - count(score) - 1) / 2.0 end::double as rank, 64 - k as pool from own left join sc using (basket_id) group by own.basket_id, target, own, k)"
+    " mid as (select own.basket_id, target, case when own is not null then count(*) filter (score > own) + 1 + (count(*) filter (score = own) - 1) / 2.0 else count(score) + 1 + ((select count(*) from items) - k - count(score) - 1) / 2.0 end::double as rank, (select count(*) from items) - k as pool from own left join sc using (basket_id) group by own.basket_id, target, own, k)"
 )
 
 
@@ -162,7 +162,7 @@ def degree_matched(spark: P, sf: str) -> D:
     return E.degree_matched(e, B.degrees(e, X.items(spark, sf)))
 
 
-@query(f"with {_MATCHED}, {_V64}, s as (select 1 as label, src a, dst b from m union all select 0, src, other from m), c as (select label, round(list_cosine_similarity(x.vec, y.vec), 9) score from s join v x on x.item_id = a join v y on y.item_id = b), p as (select * from c where label = 1), q as (select * from c where label = 0) select (select count(*) from p)::bigint n_pos, (select count(*) from q)::bigint n_neg, round(avg(case when p.score > q.score then 1.0 when p.score = q.score then 0.5 else 0.0 end), 6) auc from p, q")
+@query(f"with {_MATCHED}, {_V64}, s as (select 1 as label, src a, dst b from m union all select 0, src, other from m), cs as (select label, round(list_cosine_similarity(x.vec, y.vec), 9) score from s join v x on x.item_id = a join v y on y.item_id = b), p as (select * from cs where label = 1), q as (select * from cs where label = 0) select (select count(*) from p)::bigint n_pos, (select count(*) from q)::bigint n_neg, round(avg(case when p.score > q.score then 1.0 when p.score = q.score then 0.5 else 0.0 end), 6) auc from p, q")
 def link_auc(spark: P, sf: str) -> D:
     e = edges_of(spark, sf, threshold=0.02)
     m = E.degree_matched(e, B.degrees(e, X.items(spark, sf)))

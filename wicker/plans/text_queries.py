@@ -52,7 +52,7 @@ def match_exact(spark: P, sf: str) -> D:
     return N.match_exact(l, _alias(spark, sf), modifiers=("fresh",)).select("line_id", "item_id")
 
 
-@query(f"with {_ALIAS}, {_LINES} select line_id, item_id, case when contains(line, 'cups ') then 2 else 1 end pos, 2 n from ln join items on name = p_name")
+@query(f"with {_ALIAS}, {_LINES} select line_id, item_id, case when contains(line, 'cups ') then 2 else 1 end pos, 2 n from ln join items on name = p_name where not (l_quantity > 1 and p_name like '%o')")
 def match_phrases(spark: P, sf: str) -> D:
     return N.match_phrases(_lines(spark, sf).select("line_id", "line"), _alias(spark, sf))
 
@@ -82,7 +82,7 @@ def resolve_names(spark: P, sf: str) -> D:
     return N.resolve_names(t, X.items(spark, sf), _alias(spark, sf).where("false"), modifiers=("fresh",))
 
 
-@query(f"with {_ALIAS}, {_LINES} select distinct line_id text_id, item_id, p_name || case when l_quantity > 1 then 's' else '' end surface from ln join items on name = p_name")
+@query(f"with {_ALIAS}, {_LINES} select distinct line_id text_id, item_id, p_name || case when l_quantity > 1 then 's' else '' end surface from ln join items on name = p_name where not (l_quantity > 1 and p_name like '%o')")
 def resolve_ngrams(spark: P, sf: str) -> D:
     return N.resolve_ngrams(_lines(spark, sf).select(F.col("line_id").alias("text_id"), F.col("line").alias("text")), X.items(spark, sf), _alias(spark, sf))
 
@@ -115,7 +115,7 @@ def decode_lists(spark: P, sf: str) -> D:
     return d.select("id", F.size("items").alias("n_items"), "quantity_status", "text_status")
 
 
-@query("with p as (select p_partkey id, p_size s, p_partkey % 6 k from part) select id, case k when 0 then s + 60.0 when 1 then s when 2 then 60.0 + s % 60 when 3 then s * 1440.0 end::double minutes, case when k <= 3 then 'provided' when k = 4 then 'invalid' else 'missing' end status from p")
+@query("with p as (select p_partkey id, p_size s, p_partkey % 6 k from part) select id, case k when 0 then s + 60.0 when 1 then s when 2 then 60.0 + s % 60 when 3 then s * 1440.0 end::double \"minutes\", case when k <= 3 then 'provided' when k = 4 then 'invalid' else 'missing' end status from p")
 def durations(spark: P, sf: str) -> D:
     s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
     value = F.when(k == 0, F.concat(F.lit("PT1H"), s, F.lit("M"))).when(k == 1, s).when(k == 2, F.concat(F.lit("1 hour "), (F.col("p_size") % 60).cast("string"), F.lit(" min"))).when(k == 3, F.concat(s, F.lit("天"))).when(k == 4, F.concat(s, F.lit("-60 min"))).otherwise(F.lit("n/a"))

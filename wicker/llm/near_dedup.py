@@ -2,12 +2,12 @@
 
 A document is the set of its five-word shingles. Independent random trees branch the sets: at a
 node every set follows the branches named by its own minwise tokens under that node's hash
-functions, one token on the first level, three a branch below, so that sets of Jaccard similarity s
-stay together on a branch with probability s or s^3. Small nodes are compared exhaustively. A large
+functions, one token on the first level, two a branch below, so that sets of Jaccard similarity s
+stay together on a branch with probability s or s^2. Small nodes are compared exhaustively. A large
 node is first compared with one pivot set, the one most like all the others, then branched again,
 unless all its sets are known to be connected. A pair of similarity 0.75 whose nodes are small at
-once (nearly all are) is missed by all six trees with probability 6e-8; one that must go deeper with
-some 1e-7 more.
+once (nearly all are) is missed by all six trees with probability 6e-8; one that must go ever deeper
+with 5e-6.
 
 Every candidate pair is confirmed on the full sets.
 """
@@ -27,7 +27,7 @@ from .words import U, column_bytes, mix, words_of
 
 TREES = 6
 #: Branches of a root, branches of any other node and tokens that name each of those.
-FIRST_BRANCHES, BRANCHES, TOKENS = 2, 6, 3
+FIRST_BRANCHES, BRANCHES, TOKENS = 2, 3, 2
 COORDINATES = 128
 #: Of 128 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 2e-6.
 AGREE = 73
@@ -180,6 +180,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     )
     checked: DataFrame | None = None
     found: DataFrame | None = None
+    known: DataFrame | None = None
     for depth in range(1, DEEPEST + 1):
         nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         nodes = nodes.where("size > 1 and l0 <> l1").select("node", "size")
@@ -201,9 +202,9 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         found = links if found is None else found.unionByName(links)
         if not some_large or depth == DEEPEST:
             break
-        # what is linked to the pivot takes its label: pairs of one label are connected already
-        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("linked", F.lit(True))
-        members = _children(_labelled(large, both))
+        if not links.isEmpty():
+            known = written(connected_components(found).withColumnRenamed("id", "key"), "known")
+        members = _children(_labelled(large, known))
     return found
 
 
@@ -226,11 +227,11 @@ def _rest(in_nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
-def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of large nodes with their new labels, in nodes where two labels are left."""
-    to_pivot = links.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "linked").distinct()
-    rows = large.select("node", "x.*", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label")).join(to_pivot, ["key", "pivot"], "left")
-    rows = rows.withColumn("label", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label"))).drop("pivot", "pivot_label", "linked")
+def _labelled(large: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Members of large nodes, labelled by the component they are known to be in; nodes of one component are done."""
+    rows = large.select("node", "x.*")
+    if known is not None:
+        rows = rows.join(known, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
     mixed = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
     return rows.join(mixed, "node")
 

@@ -293,7 +293,7 @@ def test_sinks(spark, catalog, tmp_path):
     sinks.write_baskets(catalog, str(tmp_path / "b"))
     assert sinks.read_baskets(spark, str(tmp_path / "b")).count() == 9
     r = sinks.export_dataset(catalog.select("basket_id", "items"), str(tmp_path / "e"), max_rows=2).first()
-    assert (r.n, r.slots, r.nulls, r["equal"]) == (9, 27, 0, True)
+    assert (r.n, r.slots, r.nulls, r["equal"]) == (9, 26, 0, True)
     edges = B.npmi_graph(catalog.select("basket_id", "items"))
     sinks.write_graph(edges, str(tmp_path / "g"), min_count=2)
     back, meta = sinks.read_graph(spark, str(tmp_path / "g"))

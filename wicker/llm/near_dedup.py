@@ -31,11 +31,11 @@ FIRST_BRANCHES, BRANCHES, TOKENS = 2, 3, 2
 COORDINATES = 128
 #: Of 128 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 2e-6.
 AGREE = 73
-#: A node of so many sets is compared exhaustively.
+#: A root's child of so many sets is compared exhaustively, and a node of twice as many a level deeper.
 LEAF = 32
 DEEPEST = 8
-#: Up to so many keys (24 bytes each) are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: The keys of up to so many pairs (two of 24 bytes each) are broadcast to pick texts; those of more are joined by a shuffle.
+BROADCAST_PAIRS = 50_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * U(2) + U(1)
 _LONGS = COORDINATES // 8
 
@@ -185,8 +185,10 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         nodes = nodes.where("size > 1 and l0 <> l1").select("node", "size")
         in_nodes = written(members.join(nodes, "node").select("node", "size", F.struct("key", "n_shingles", *_SKETCH, "label").alias("x")), "nodes")
-        pairs = _exhaustive(in_nodes.where(F.col("size") <= LEAF), percent)
-        large = in_nodes.where(F.col("size") > LEAF).drop("size")
+        # nodes grow fewer with depth, so larger ones may be compared exhaustively
+        leaf = LEAF << (depth - 1)
+        pairs = _exhaustive(in_nodes.where(F.col("size") <= leaf), percent)
+        large = in_nodes.where(F.col("size") > leaf).drop("size")
         some_large = not large.isEmpty()
         if some_large:
             large = written(large.join(_pivots(large), "node"), "large")
@@ -198,14 +200,16 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        links = _confirmed(pairs, sets, texts, k, percent)
-        found = links if found is None else found.unionByName(links)
+        n_pairs = pairs.count()
+        if n_pairs:
+            links = _confirmed(pairs, n_pairs, sets, texts, k, percent)
+            found = links if found is None else found.unionByName(links)
         if not some_large or depth == DEEPEST:
             break
-        if not links.isEmpty():
+        if n_pairs and not links.isEmpty():
             known = written(connected_components(found).withColumnRenamed("id", "key"), "known")
-        members = _children(_labelled(large, known))
-    return found
+        members = written(_children(_labelled(large, known)), "members")
+    return found if found is not None else pairs.select("a", "b")
 
 
 def _with_pivot(large: DataFrame, percent: int) -> DataFrame:
@@ -236,12 +240,13 @@ def _labelled(large: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "node")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", "doc_id", "th"), "key")
-    wanted = written(wanted.withColumnRenamed("doc_id", "its_id"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
+def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are similar on their full sets; a few keys are broadcast to pick their texts, many are joined by a shuffle."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", F.col("doc_id").alias("its_id"), "th"), "key")
+    if n_pairs <= BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
     text = texts.join(wanted, "th").where(F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy("key").agg(F.first("text").alias("text"))
+    text = written(text, "texts")
     both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "confirmed")
 

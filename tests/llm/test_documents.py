@@ -328,6 +328,28 @@ def test_forward_backward_counts():
     np.testing.assert_allclose(emitted, want_emitted, rtol=1e-4)
 
 
+def test_lm_training_covers_whole_texts(spark, monkeypatch):
+    """Every sweep is over every text, however many or long: the model is that of sweeps done here, over texts in one piece."""
+    monkeypatch.setattr(lm_scoring, "SWEEPS", 3)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)) for n in (0, 1, 5, 127, 128, 129, 400, 6000)]
+    _, lexicon, got = lm_scoring.train(spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3))
+    raw, offs = lm_scoring.column_bytes(lm_scoring.pa.array([t.encode() for t in texts], lm_scoring.pa.binary()))
+    ((_, _, words_),) = lm_scoring.words_of(raw, offs, 1 << 30)
+    symbols, of, _, _ = lm_scoring._sequences(words_, lexicon)
+    n = lexicon.end_symbol + 1
+    unigram = np.bincount(symbols, minlength=n) + 0.01
+    unigram /= unigram.sum()
+    want = lm_scoring._start(unigram)
+    for _ in range(3):
+        first, moved, emitted = lm_scoring.forward_backward(symbols, of, want)
+        assert moved.sum() == pytest.approx(len(symbols) - len(texts), rel=1e-4) and first.sum() == pytest.approx(len(texts), rel=1e-4)
+        want = lm_scoring._maximise(np.vstack([emitted, moved, first]), unigram, lm_scoring.STATES)
+    np.testing.assert_allclose(got.first, want.first, rtol=1e-3)
+    np.testing.assert_allclose(got.moves, want.moves, rtol=1e-3)
+    np.testing.assert_allclose(got.emits, want.emits, rtol=2e-3)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeiourst") for _ in range(rng.randint(3, 8))) for _ in range(400)]

@@ -2,7 +2,7 @@
 
 The corpus gives word counts; the most frequent words are symbols of their own, the others share
 symbols by their last two bytes and are drawn from their symbol's counts with one added. Baum-Welch
-runs over every training text: each task sums its expected counts, Spark adds them up by symbol,
+starts from those counts and every sweep runs over every training text, whole: each task sums its expected counts, Spark adds them up by symbol,
 and only tables of a fixed size (symbols times states) reach the driver. Scoring is the exact
 likelihood by the scaled forward recursion over each whole text.
 """
@@ -22,10 +22,8 @@ from .words import U, column_bytes, words_of
 STATES = 8
 #: Words with a symbol of their own, symbols that the other words share, words whose counts every task holds: fixed sizes.
 OWN, SHARED, HELD = 16_384, 512, 262_144
-SWEEPS = 2
-#: Texts from which the start values come, and sweeps over them.
-START_TEXTS, START_SWEEPS = 1500, 12
-SEGMENT = 128
+#: Sweeps over all training texts.
+SWEEPS = 14
 END = np.int64(0x454E44)
 PIECE = 4 << 20
 
@@ -127,12 +125,6 @@ def forward_backward(symbols: np.ndarray, of: np.ndarray, model: Model) -> tuple
     return first, moved, emitted
 
 
-def _segments(of: np.ndarray) -> np.ndarray:
-    """Ranges of at most SEGMENT symbols, none over two texts."""
-    inside = [np.arange(a, b, SEGMENT) for a, b in zip(of[:-1].tolist(), of[1:].tolist())]
-    return np.append(np.concatenate(inside), of[-1]) if inside else of
-
-
 def _expect(lexicon, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, m = lexicon.value, model.value
@@ -140,9 +132,9 @@ def _expect(lexicon, model):
         first, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((m.emits.shape[0], k))
         for batch in batches:
             raw, offs = column_bytes(batch.column("text"))
-            for _, _, words in words_of(raw, offs):
+            for _, _, words in words_of(raw, offs, PIECE):
                 symbols, of, _, _ = _sequences(words, lex)
-                f, mv, e = forward_backward(symbols, _segments(of), m)
+                f, mv, e = forward_backward(symbols, of, m)
                 first += f
                 moved += mv
                 emitted += e
@@ -161,23 +153,13 @@ def _maximise(rows: np.ndarray, unigram: np.ndarray, k: int) -> Model:
     return Model((first + 1) / (first + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), (emits / emits.sum(0)).astype(np.float32))
 
 
-def _start(texts: list[bytes], lexicon: Lexicon, unigram: np.ndarray) -> Model:
-    """Start values: from a random split of the unigram, some sweeps over the first texts."""
+def _start(unigram: np.ndarray) -> Model:
+    """Start values: a random split of the whole corpus's unigram, states that tend to stay."""
     rng = np.random.default_rng(5)
-    n = len(unigram)
-    emits = unigram[:, None] * (0.3 + rng.random((n, STATES)))
+    emits = unigram[:, None] * (0.3 + rng.random((len(unigram), STATES)))
     moves = np.full((STATES, STATES), 0.1 / (STATES - 1))
     np.fill_diagonal(moves, 0.9)
-    model = Model(np.full(STATES, 1 / STATES), moves, (emits / emits.sum(0)).astype(np.float32))
-    raw, offs = column_bytes(pa.array(texts, pa.binary()))
-    read = [_sequences(words, lexicon)[:2] for _, _, words in words_of(raw, offs)]
-    for _ in range(START_SWEEPS):
-        rows = np.zeros((n + STATES + 1, STATES))
-        for symbols, of in read:
-            first, moved, emitted = forward_backward(symbols, _segments(of), model)
-            rows += np.vstack([emitted, moved, first])
-        model = _maximise(rows, unigram, STATES)
-    return model
+    return Model(np.full(STATES, 1 / STATES), moves, (emits / emits.sum(0)).astype(np.float32))
 
 
 def log10_likelihood(symbols: np.ndarray, of: np.ndarray, model: Model) -> np.ndarray:
@@ -252,8 +234,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lexicon, Model]:
     ends = counts.where("tail < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     unigram[-1] += ends
     unigram /= unigram.sum()
-    some = texts.withColumn("x", F.xxhash64("text")).orderBy("x").limit(START_TEXTS).select(F.substring("text", 1, 20_000).alias("text")).collect()
-    model = _start([bytes(r.text) for r in some], lexicon, unigram)
+    model = _start(unigram)
     held = spark.sparkContext.broadcast(lexicon)
     for _ in range(SWEEPS):
         schema = "row int, " + ", ".join(f"g{s} double" for s in range(STATES))

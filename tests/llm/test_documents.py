@@ -85,6 +85,21 @@ def test_near_duplicates(docs, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def odd_ids(spark):
+    """Null ids, one id with two texts, a repeated row, copies, and empty documents with labels."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (None, c), (None, d), (2, a), (None, b), (3, d + " end"), (3, d + " end"), (4, ""), (None, None), (None, " "), (4, "")]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3), (a, b, c, d)
+
+
+def test_without_near_duplicates_drops_only_duplicates(spark):
+    docs, (a, b, c, d) = odd_ids(spark)
+    out = near_dedup.without_near_duplicates(odd(docs))
+    assert out.columns == odd(docs).columns
+    want = [(1, a), (1, b), (None, c), (3, d + " end"), (4, ""), (4, ""), (None, None), (None, " ")]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
 def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     """Small leaves force pivots and deep branches; the links stay whole."""
     monkeypatch.setattr(near_dedup, "LEAF", 2)
@@ -239,6 +254,17 @@ def test_mixed_documents(docs):
     assert {k: v for k, v in copies.items()} == {k: r.taken for k, r in plan.items() if r.taken}
 
 
+def test_mixed_documents_by_row(spark):
+    """Words taken are words given, for null and repeated ids too."""
+    docs, texts = odd_ids(spark)
+    taken = sum(r.taken for r in mixing.mix(docs).collect())
+    got = mixing.mixed_documents(odd(docs)).collect()
+    assert sum(len(words(r.text)) for r in got) == taken == math.ceil(1.5 * sum(len(words(r.text)) for r in docs.collect()))
+    # one source at 150 %: each row has a first copy
+    first = Counter((r.doc_id, r.text) for r in docs.collect() if words(r.text))
+    assert not first - Counter((r.doc_id, r.text) for r in got)
+
+
 @pytest.fixture(scope="module")
 def encoding():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

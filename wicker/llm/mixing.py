@@ -63,14 +63,21 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     (null where there is none). The order is that of the doc_ids' hashes, ties fall to doc_id and size; a null text or one without words has
     size 0 and is taken with 0 words; all sizes 0 give targets 0. Repeated rows count each. Reruns agree.
     """
-    keyed = docs.select("doc_id", "source", "text").withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f" {seed}"))))
-    sizes = written(sized(keyed).select("doc_id", "source", "h", "size"), "sizes")
+    plan = _plan(docs, seed)
+    return plan.orderBy("position", "h", "doc_id").drop("h")
+
+
+def _plan(docs: DataFrame, seed: int, *row: str) -> DataFrame:
+    """The rows of ``mix`` and ``h``, in no order; ``row`` names a column that tells rows apart, which is kept and settles the last ties."""
+    keyed = docs.select("doc_id", "source", "text", *row).withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f" {seed}"))))
+    ties = [F.xxhash64("text").alias("th"), *row] if row else []
+    sizes = written(sized(keyed).select("doc_id", "source", "h", "size", *ties), "sizes")
     shares = written(targets(sizes), "targets")
     # running sums in two steps, so that no source is one task's: over buckets of the hash, then inside a bucket
     buckets = F.greatest(F.lit(16), F.ceil(F.col("n_docs") / ROWS_PER_BUCKET)).cast("long")
     null_safe = F.col("s.source").eqNullSafe(F.col("t.source"))
     placed = sizes.alias("s").join(shares.alias("t"), null_safe).select("s.*", "source_size", "target", "slope", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).alias("bucket"))
-    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *(["th", *row] if row else [])).rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     over = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -87,19 +94,20 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     both = both.withColumn("first_taken", part(F.col("at"))).withColumn("second_taken", part(F.col("at") + F.col("source_size")))
     both = both.withColumn("position", when(F.col("at"), F.col("first_taken"))).withColumn("second_position", when(F.col("at") + F.col("source_size"), F.col("second_taken")))
-    out = both.select("doc_id", "size", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "first_taken", "second_taken", "position", "second_position", "h")
-    return out.orderBy("position", "h", "doc_id").drop("h")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "first_taken", "second_taken", "position", "second_position", "h", *row)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: columns of ``docs``, a row for each copy taken, by training position.
 
     The copy at the end of a target keeps only its first taken words, joined by one space. Documents without words are left out.
+    Rows are told apart by a key of their own: repeated ids and null ids count and come out row by row.
     """
-    plan = mix(docs, seed).select("doc_id", "size", F.explode(F.array(F.struct(F.col("first_taken").alias("taken"), "position"), F.struct(F.col("second_taken").alias("taken"), F.col("second_position").alias("position")))).alias("x"))
-    plan = plan.select("doc_id", "size", "x.*").where("taken > 0").distinct()
-    text = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("taken").cast("int")), " ")).otherwise(F.col("text"))
-    rows = docs.dropDuplicates(["doc_id"]).join(plan, "doc_id").orderBy("position", "doc_id").withColumn("text", text)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = F.array(F.struct(F.col("first_taken").alias("_taken"), F.col("position").alias("_position")), F.struct(F.col("second_taken").alias("_taken"), F.col("second_position").alias("_position")))
+    plan = _plan(rows, seed, "_row").select("_row", F.col("size").alias("_size"), F.explode(copies).alias("x")).select("_row", "_size", "x.*").where("_taken > 0")
+    text = F.when(F.col("_taken") < F.col("_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.join(plan, "_row").orderBy("_position", "doc_id", "_row").withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return rows.select(*docs.columns)

@@ -281,6 +281,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """One row of ``docs`` for each component, that of its smallest doc_id; all columns stay as they are."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept.where("doc_id is not null"), "doc_id", "left_semi")
+    """One row of ``docs`` for each component, that of its smallest doc_id (null is the largest); all columns stay as they are.
+
+    Rows are told apart by a key of their own, not by doc_id: different texts under one id or without an id
+    are different documents, and every row without shingles stays.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = near_duplicates(rows.select(key.alias("doc_id"), "text"), k, percent).where("kept").select("doc_id._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

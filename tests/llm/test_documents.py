@@ -178,6 +178,20 @@ def test_winnow_guarantee():
         assert a & b
 
 
+def test_short_texts_know_their_edited_copies():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz äöü漢字"
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    winnow, alike = fingerprints.winnow, fingerprints.likeness
+    for n in [*range(1, 140), 200, 399]:
+        for after in (made(n), made(n // 6), "", made(300)):
+            text = made(n)
+            edited = text[: n - n // 3] + after[: n // 3]
+            near = alike(winnow(text)[0], winnow(edited)[0])
+            assert near > 0, n
+            assert n < 12 or near > alike(winnow(text)[0], winnow(after)[0]), n
+
+
 def test_winnow_takes_rightmost_of_equal():
     hashes, where = fingerprints.winnow("a" * 200)
     assert len(set(hashes.tolist())) == 1

@@ -3,6 +3,10 @@
 Every run of ``K`` code points is hashed by a rolling polynomial; of every ``WINDOW`` consecutive
 hashes the smallest is selected, of equal ones the rightmost. Two texts that share a run of
 ``WINDOW + K - 1`` code points share a selected hash, and its positions tell where.
+
+Of a text whose first two thirds are shorter than that every hash is selected, and of one whose first
+two thirds are shorter than a gram those of grams of half the size too, and so on, so that a text and
+a copy with another last third always share a hash.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from .words import U, powers, span_hashes
 
 K = 16
 WINDOW = 48
+#: The shortest grams of short texts.
+LEAST_K = 2
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +33,8 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     values = points.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019)
+    if n - n // 3 < window + k - 1:
+        return _all_grams(values, k)
     grams = max(n - k + 1, 1)
     at = np.arange(grams)
     hashes = span_hashes(values, at, np.minimum(at + k, n)) >> U(32)
@@ -44,6 +52,22 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     return chosen >> U(32), where
 
 
+def _all_grams(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of a short text, those of half the size too where two thirds of the text don't hold a gram."""
+    n = len(values)
+    sizes = [k]
+    while sizes[-1] > LEAST_K and n - n // 3 < sizes[-1]:
+        sizes.append(max(sizes[-1] // 2, LEAST_K))
+    hashes, where = [], []
+    for size in [x for x in sizes if x <= n] or [n]:
+        at = np.arange(n - size + 1)
+        hashes.append(span_hashes(values, at, at + size) >> U(32))
+        where.append(at)
+    hashes, where = np.concatenate(hashes), np.concatenate(where)
+    order = np.argsort(where, kind="stable")
+    return hashes[order], where[order]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of selected hashes; of two empty ones 1."""
     a, b = np.unique(a), np.unique(b)
@@ -98,7 +122,7 @@ def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 4000) -> Data
 
     Next is by descending doc_id, null last, then by text; after the last comes the first, which
     for a single row is that row. A null text is empty: it has an empty fingerprint, and two empty
-    fingerprints are alike by 1. A text shorter than a gram is one gram. Repeated rows get a row
+    fingerprints are alike by 1. A text shorter than the shortest gram is one gram. Repeated rows get a row
     each. Documents are dealt over ranges of doc_id, each with the first text of the next range,
     so that no task sorts them all. Other columns are ignored.
     """

@@ -41,6 +41,15 @@ def test_wrapper_without_semantic_tags(spark):
     assert got == {i: f"Story number {i} is long enough" for i in range(6)}
 
 
+def test_text_in_sibling_slots(spark):
+    """A slot with the smaller part of the text is content too."""
+    rows = []
+    for i in range(6):
+        rows.append((i, f"http://slots.example/{i}", f'<html><body><div id="top"><p>Welcome to slots</p></div><div class="lead">Lead {i} of the page</div><div id="body"><p>Story number {i} is longer than its lead is</p><p>Part {i} of it</p></div></body></html>'))
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Lead {i} of the page Story number {i} is longer than its lead is Part {i} of it" for i in range(6)}
+
+
 def test_tree_matching_skips_what_the_other_lacks():
     page_tree = "-1\t#\n0\ta\n0\tb\n0\tc\n3\td"
     host_tree = "-1\t#\n0\ta\n0\tc\n2\td\n2\te"

@@ -2,8 +2,8 @@
 
 A page's DOM is summed up as a guide tree: one node for all elements with one path of tags and classes.
 Pages of a host are aligned with the host's most common tree by simple tree matching. A node whose text hardly changes over the
-host's pages is template; the others are slots, and the main slot holds the content. Nodes that are menus, notices, adverts and the
-like by their element or class are template on any page.
+host's pages is template; the others are slots, and all of them hold content. Nodes that are menus, notices, adverts and the
+like by their element or class are template on any page. On a page with articles, or else main elements, only those are read.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from .scratch import written
 
 #: A node is template if so many distinct pages of the host have text in it and such a share of them the same.
 LEAST_PAGES, SAME_SHARE = 3, 0.8
-#: The main slot is the deepest element with this share of the text that may be content.
-MAIN_SHARE = 0.6
 #: Wrappers of up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 5000
 
@@ -211,8 +209,8 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": frame.host, "tree": frame.tree, "nodes": [match_trees(t, r) for t, r in zip(frame.tree, frame.reference)]})
 
 
-def keep_nodes(tree: str, nodes: list[int], template: set[int], weight: dict[int, float]) -> list[bool]:
-    """Which nodes of a page's tree are content, by the host's template nodes and the text that its slots hold."""
+def keep_nodes(tree: str, nodes: list[int], template: set[int]) -> list[bool]:
+    """Which nodes of a page's tree are content, by the host's template nodes: those inside its articles, else its mains, else all."""
     signatures, children, parents = _tree(tree)
     n = len(signatures)
     out = [False] * n
@@ -225,16 +223,7 @@ def keep_nodes(tree: str, nodes: list[int], template: set[int], weight: dict[int
         if roots:
             break
     else:
-        mass = [weight.get(nodes[i], 0.0) if free[i] and nodes[i] not in template else 0.0 for i in range(n)]
-        for i in range(n - 1, 0, -1):
-            mass[parents[i]] += mass[i]
-        root = 0
-        while True:
-            below = max(children[root], key=lambda c: mass[c], default=None)
-            if below is None or mass[below] < MAIN_SHARE * mass[root] or not mass[below] or not children[below]:
-                break
-            root = below
-        roots = [root]
+        roots = [0]  # every slot that varies is content, wherever it is
     inside = [False] * n
     for r in roots:
         inside[r] = True
@@ -249,7 +238,7 @@ def _wrappers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tree, nodes, stats in zip(frame.tree, frame.nodes, frame.stats):
             stats = list(stats) if stats is not None else []
             template = {s["node"] for s in stats if s["template"]}
-            keep.append(keep_nodes(tree, list(nodes), template, {s["node"]: float(s["size"]) for s in stats}))
+            keep.append(keep_nodes(tree, list(nodes), template))
         yield pd.DataFrame({"host": frame.host, "tree": frame.tree, "keep": keep})
 
 
@@ -274,11 +263,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     # each distinct page of a host votes once on every node of the host's tree
     votes = read.join(small(aligned), ["host", "tree"]).select("host", "page_hash", F.explode(F.arrays_zip("nodes", "hashes", "sizes")).alias("x")).where("x.nodes >= 0 and x.sizes > 0")
-    votes = votes.groupBy("host", "page_hash", F.col("x.nodes").alias("node"), F.col("x.hashes").alias("h")).agg(F.max("x.sizes").alias("size"))
-    votes = votes.groupBy("host", "node", "h").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    stats = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("size").alias("size"))
+    votes = votes.select("host", "page_hash", F.col("x.nodes").alias("node"), F.col("x.hashes").alias("h")).distinct()
+    votes = votes.groupBy("host", "node", "h").agg(F.count("*").alias("n"))
+    stats = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"))
     stats = stats.withColumn("template", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
-    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("node", "template", "size")).alias("stats"))
+    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("node", "template")).alias("stats"))
     wrappers = written(aligned.join(by_host, "host", "left").select("host", "tree", "nodes", "stats").mapInPandas(_wrappers, "host string, tree string, keep array<boolean>"), "wrappers")
     texts = read.join(small(wrappers), ["host", "tree"], "left")
     text = F.array_join(F.transform(F.filter("blocks", lambda b: F.get("keep", b["node"])), lambda b: b["text"]), " ")

@@ -100,9 +100,11 @@ def test_without_near_duplicates_drops_only_duplicates(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
 
 
-def test_near_duplicates_in_large_nodes(spark, monkeypatch):
-    """Small leaves force pivots and deep branches; the links stay whole."""
-    monkeypatch.setattr(near_dedup, "LEAF", 2)
+@pytest.mark.parametrize("deepest", [1, 8])
+def test_near_duplicates_in_large_nodes(spark, monkeypatch, deepest):
+    """Small leaves force centres, contraction and deep branches (or, at once, all the groups of centres); the links stay whole."""
+    for name, value in (("LEAF", 2), ("CENTERS", 4), ("BLOCK_SETS", 8), ("DEEPEST", deepest)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     texts = []

@@ -1,20 +1,20 @@
 """Near-duplicate documents: a set similarity join along chosen paths.
 
-A document is the set of its five-word shingles. Independent random trees branch the sets: at a
-node every set follows the branches named by its own minwise tokens under that node's hash
-functions, one token on the first level, two a branch below, so that sets of Jaccard similarity s
-stay together on a branch with probability s or s^2. Small nodes are compared exhaustively. A large
-node is first compared with one pivot set, the one most like all the others, then branched again,
-unless all its sets are known to be connected. A pair of similarity 0.75 whose nodes are small at
-once (nearly all are) is missed by all six trees with probability 6e-8; one that must go ever deeper
-with 5e-6.
+A document is the set of its five-word shingles. Independent random trees branch the sets by their
+own minwise tokens: a tree's first nodes are named by two of them, so that sets of Jaccard similarity
+s share one with probability s^2; every node below offers three branches of two tokens each, chosen
+by the node. Small first nodes are compared exhaustively. In a large node all sets are compared with
+some centres, and what is found connected is contracted: if at most ``CENTERS`` sets then lie outside
+the node's largest component, those are compared with all its sets, which is exhaustive as far as
+components go and linear in the node; else the node branches. At the deepest level all is compared.
+A pair of similarity 0.75 is missed by all sixteen trees with probability 2e-6 where its nodes are
+small at once or by contraction (nearly all are), with 3e-5 where it must go ever deeper.
 
 Every candidate pair is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +25,24 @@ from .components import connected_components
 from .scratch import written
 from .words import U, column_bytes, mix, words_of
 
-TREES = 6
-#: Branches of a root, branches of any other node and tokens that name each of those.
-FIRST_BRANCHES, BRANCHES, TOKENS = 2, 3, 2
+TREES = 16
+#: Branches of any node but a root, and tokens that name each branch.
+BRANCHES, TOKENS = 3, 2
 COORDINATES = 128
 #: Of 128 coordinates so many must agree before a pair is confirmed in full; a pair of similarity 0.75 agrees on fewer with probability 2e-6.
 AGREE = 73
-#: A root's child of so many sets is compared exhaustively, and a node of twice as many a level deeper.
+#: A first node of so many sets is compared exhaustively.
 LEAF = 32
+#: A node with so many sets outside its largest component is compared exhaustively; a larger one first with half as many centres.
+CENTERS = 256
+#: A node is dealt over blocks of about so many sets and bytes of sets.
+BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
 DEEPEST = 8
-#: The keys of up to so many pairs (two of 24 bytes each) are broadcast to pick texts; those of more are joined by a shuffle.
-BROADCAST_PAIRS = 50_000
+#: The keys of up to so many texts (24 bytes each) are broadcast to pick them; those of more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * U(2) + U(1)
 _LONGS = COORDINATES // 8
+_SKETCH = [f"s{i}" for i in range(_LONGS)]
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,55 +83,90 @@ def _sketches(k: int):
                         v ^= v >> U(32)
                         least[c, full] = np.minimum.reduceat(v, at)
                 sketch = np.ascontiguousarray(mix(least.copy()).astype(np.uint8).T).view(np.int64)
-                tokens = np.ascontiguousarray(least[: TREES * FIRST_BRANCHES].T).view(np.int64).ravel()
+                paths = mix(least[: TREES * TOKENS : TOKENS] * U(3) + least[1 : TREES * TOKENS : TOKENS] * _SEEDS[:TREES, :1])
+                paths = np.ascontiguousarray(paths.T).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("th").slice(lo, hi - lo), pa.array(n), pa.array(keys.view(np.int64))]
                     + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(_LONGS)]
-                    + [pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) + 1, TREES * FIRST_BRANCHES, dtype=np.int32)), pa.array(tokens))],
-                    ["doc_id", "th", "n_shingles", "key", *(f"s{i}" for i in range(_LONGS)), "tokens"],
+                    + [pa.ListArray.from_arrays(pa.array(np.arange(0, len(paths) + 1, TREES, dtype=np.int32)), pa.array(paths))],
+                    ["doc_id", "th", "n_shingles", "key", *_SKETCH, "nodes"],
                 )
 
     return run
 
 
-def _confirm(k: int, percent: int):
-    """Exact similarity of pairs of texts; the sets of the last texts seen are kept."""
+def _full_sets(k: int):
+    """Texts to their whole shingle sets, as bytes of sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def sets(keys: np.ndarray, column: pa.Array) -> None:
-            new = [i for i, key in enumerate(keys.tolist()) if key not in kept]
-            first = {int(keys[i]): i for i in reversed(new)}
-            take = list(first.values())
-            if take:
-                raw, offs = column_bytes(column.take(pa.array(take)))
-                for lo, hi, flat, of in shingle_sets(raw, offs, k):
-                    for i in range(lo, hi):
-                        kept[int(keys[take[i]])] = flat[of[i - lo] : of[i - lo + 1]]
+        for batch in batches:
+            raw, offs = column_bytes(batch.column("text"))
+            rest = batch.schema.names[:-1]
+            for lo, hi, flat, of in shingle_sets(raw, offs, k):
+                sets = [flat[of[i] : of[i + 1]].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), pa.array(sets, pa.binary())], [*rest, "set"])
+
+    return run
+
 
+def _confirm(percent: int):
+    """The pairs of sets that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                a, b = (part.column(c).to_numpy() for c in ("a", "b"))
-                sets(a, part.column("text_a"))
-                sets(b, part.column("text_b"))
-                good = []
-                for x, y in zip(a.tolist(), b.tolist()):
-                    p, q = kept[x], kept[y]
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    good.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-                while len(kept) > 256:
-                    kept.popitem(last=False)
+            sides = []
+            for c in ("set_a", "set_b"):
+                raw, offs = column_bytes(batch.column(c))
+                sides.append((raw.view(np.uint64) if len(raw) else np.zeros(0, np.uint64), offs // 8))
+            (a, at), (b, bt) = sides
+            good = []
+            for i in range(batch.num_rows):
+                p, q = a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _agree(p: str, q: str, longs: range = range(_LONGS)) -> Column:
+def _compare(percent: int):
+    """One block: its sets against its centres. Similar ones of different labels are linked, each two labels once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, label, n = (table.column(c).to_numpy() for c in ("key", "label", "n_shingles"))
+        sketch = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in _SKETCH], 1)).view(np.uint8).reshape(len(key), COORDINATES)
+        raw, offs = column_bytes(table.column("set"))
+        flat, of = raw.view(np.uint64), offs // 8
+        center = table.column("center").to_numpy()
+        members = np.flatnonzero(~center)
+        _, root = np.unique(label, return_inverse=True)
+        a, b = [], []
+        for i in np.flatnonzero(center):
+            likely = members[root[members] != root[i]]
+            likely = likely[100 * np.minimum(n[likely], n[i]) >= percent * np.maximum(n[likely], n[i])]
+            likely = likely[(sketch[likely] == sketch[i]).sum(1) >= AGREE]
+            if not len(likely):
+                continue
+            own = flat[of[i] : of[i + 1]]
+            sizes = n[likely]
+            begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            elements = flat[np.repeat(of[:-1][likely] - begin, sizes) + np.arange(int(sizes.sum()))]
+            hit = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
+            both = np.add.reduceat(hit, begin, dtype=np.int64)
+            for j in likely[100 * both >= percent * (sizes + n[i] - both)]:
+                if root[j] != root[i]:
+                    a.append(key[i])
+                    b.append(key[j])
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _agree(p: str, q: str) -> Column:
     """On how many coordinates two sketches agree."""
-    total = F.lit(8 * len(longs))
-    for i in longs:
+    total = F.lit(COORDINATES)
+    for i in range(_LONGS):
         x = F.col(f"{p}.s{i}").bitwiseXOR(F.col(f"{q}.s{i}"))
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
@@ -140,9 +180,6 @@ def _likely(p: str, q: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_agree(p, q) >= AGREE)
 
 
-_SKETCH = [f"s{i}" for i in range(_LONGS)]
-
-
 def _byte(at: Column) -> Column:
     """One coordinate of a sketch."""
     long = F.element_at(F.array(*_SKETCH), (at / 8).cast("int") + 1)
@@ -153,102 +190,76 @@ def _children(members: DataFrame) -> DataFrame:
     """Each set follows every branch by its minwise tokens at the coordinates that the node chooses for it."""
     rows = members.withColumn("branch", F.explode(F.array(*[F.lit(i) for i in range(BRANCHES)]))).withColumn("c", F.xxhash64("node", "branch"))
     picks = [F.pmod(F.shiftrightunsigned("c", 16 * i), F.lit(COORDINATES)).cast("int") for i in range(TOKENS)]
-    return rows.select(F.xxhash64("node", "branch", *[_byte(p) for p in picks]).alias("node"), "key", "n_shingles", *_SKETCH, "label")
-
-
-def _pivots(large: DataFrame) -> DataFrame:
-    """For each large node the set that agrees best with the most frequent tokens of those not captured yet: ``node, p``."""
-    open_ = F.col("x.label") == F.col("x.key")
-    longs = range(min(4, _LONGS))
-    byte = lambda i, j: F.shiftrightunsigned(F.col(f"x.s{i}"), 8 * j).bitwiseAND(F.lit(255))
-    modes = large.groupBy("node").agg(*[F.mode(F.when(open_, byte(i, j)), True).alias(f"m{i}_{j}") for i in longs for j in range(8)])
-    packed = []
-    for i in longs:
-        c = F.lit(0).cast("long")
-        for j in range(8):
-            c = c.bitwiseOR(F.shiftleft(F.coalesce(F.col(f"m{i}_{j}"), F.lit(0)), 8 * j))
-        packed.append(c.alias(f"s{i}"))
-    typical = modes.select("node", F.struct(*packed).alias("c"))
-    best = F.max(F.struct(open_.alias("open"), _agree("x", "c", longs).alias("agree"), F.xxhash64("x.key").alias("h"), F.col("x").alias("x")))
-    return large.join(typical, "node").groupBy("node").agg(best.alias("b")).select("node", F.col("b.x").alias("p"))
-
-
-def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Confirmed links ``(a, b)`` between keys of ``sets``; enough of them to connect what is linked."""
-    members = sets.select("key", "n_shingles", *_SKETCH, F.col("key").alias("label"), F.posexplode("tokens").alias("j", "token")).select(
-        F.xxhash64("j", "token").alias("node"), "key", "n_shingles", *_SKETCH, "label"
-    )
-    checked: DataFrame | None = None
-    found: DataFrame | None = None
-    known: DataFrame | None = None
-    for depth in range(1, DEEPEST + 1):
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        nodes = nodes.where("size > 1 and l0 <> l1").select("node", "size")
-        in_nodes = written(members.join(nodes, "node").select("node", "size", F.struct("key", "n_shingles", *_SKETCH, "label").alias("x")), "nodes")
-        # nodes grow fewer with depth, so larger ones may be compared exhaustively
-        leaf = LEAF << (depth - 1)
-        pairs = _exhaustive(in_nodes.where(F.col("size") <= leaf), percent)
-        large = in_nodes.where(F.col("size") > leaf).drop("size")
-        some_large = not large.isEmpty()
-        if some_large:
-            large = written(large.join(_pivots(large), "node"), "large")
-            pairs = pairs.unionByName(_with_pivot(large, percent))
-            if depth == DEEPEST:
-                pairs = pairs.unionByName(_rest(large, percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        n_pairs = pairs.count()
-        if n_pairs:
-            links = _confirmed(pairs, n_pairs, sets, texts, k, percent)
-            found = links if found is None else found.unionByName(links)
-        if not some_large or depth == DEEPEST:
+    return rows.select(F.xxhash64("node", "branch", *[_byte(p) for p in picks]).alias("node"), "key", "n_shingles")
+
+
+def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components ``(key, root)`` of the keys of ``sets`` that are linked with another."""
+    paths = sets.select(F.explode("nodes").alias("node"), "key", "n_shingles")
+    sizes = paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    nodes = written(paths.join(sizes, "node"), "nodes")
+    pairs = written(_exhaustive(nodes.where(F.col("size") <= LEAF).join(sets.select("key", *_SKETCH), "key"), percent), "pairs")
+    nodes = nodes.where(F.col("size") > LEAF).select("node", "key", "n_shingles")
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(nodes.select("key")).distinct()
+    full = _picked(wanted, sets, texts, k)
+    a, b = (full.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+    known = _components(links)
+    for depth in range(DEEPEST):
+        state = written(_mixed(nodes, known, last=depth == DEEPEST - 1), "state")
+        if state.isEmpty():
             break
-        if n_pairs and not links.isEmpty():
-            known = written(connected_components(found).withColumnRenamed("id", "key"), "known")
-        members = written(_children(_labelled(large, known)), "members")
-    return found if found is not None else pairs.select("a", "b")
-
-
-def _with_pivot(large: DataFrame, percent: int) -> DataFrame:
-    return large.where((F.col("x.label") != F.col("p.label")) & _likely("x", "p", percent)).select(F.col("x.key").alias("a"), F.col("p.key").alias("b"))
-
-
-def _exhaustive(in_nodes: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of small nodes that aren't known to be connected; of such a pair one set has not the node's common label."""
-    leaves = in_nodes.groupBy("node").agg(F.collect_list("x").alias("xs"), F.mode("x.label", True).alias("common"))
-    pairs = leaves.select("xs", "common", F.explode(F.filter("xs", lambda x: x["label"] != F.col("common"))).alias("x")).select("x", "common", F.explode("xs").alias("y"))
-    pairs = pairs.where("x.label <> y.label and (y.label = common or x.key < y.key)")
-    return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-
-
-def _rest(in_nodes: DataFrame, percent: int) -> DataFrame:
-    """What still shares a node at the deepest level, in full."""
-    rest = in_nodes.select("node", "x")
-    pairs = rest.join(rest.withColumnRenamed("x", "y"), "node").where("x.key < y.key and x.label <> y.label")
-    return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-
-
-def _labelled(large: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Members of large nodes, labelled by the component they are known to be in; nodes of one component are done."""
-    rows = large.select("node", "x.*")
-    if known is not None:
-        rows = rows.join(known, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    mixed = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-    return rows.join(mixed, "node")
-
-
-def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are similar on their full sets; a few keys are broadcast to pick their texts, many are joined by a shuffle."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", F.col("doc_id").alias("its_id"), "th"), "key")
-    if n_pairs <= BROADCAST_PAIRS:
-        wanted = F.broadcast(wanted)
-    text = texts.join(wanted, "th").where(F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy("key").agg(F.first("text").alias("text"))
-    text = written(text, "texts")
-    both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "confirmed")
+        known = _components(_with_centers(state, full, percent).unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b"))))
+        open_ = _mixed(state.where("not final").select("node", "key", "n_shingles"), known, last=False)
+        # what contraction has made small stays a node, the others branch
+        again = open_.where("final").select("node", "key", "n_shingles")
+        nodes = written(again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key"))), "nodes")
+    return known
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return written(connected_components(links).withColumnRenamed("id", "key"), "known")
+
+
+def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
+    """All likely pairs of small nodes, each once."""
+    leaves = nodes.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", *_SKETCH)).alias("xs"))
+    pairs = leaves.select("xs", F.explode("xs").alias("x")).select("x", F.explode(F.filter("xs", lambda y: y["key"] > F.col("x.key"))).alias("y"))
+    return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _mixed(nodes: DataFrame, known: DataFrame, last: bool) -> DataFrame:
+    """Sets of nodes that hold several labels, with their labels; ``others``: how many lie outside the commonest; ``final``: whether those can be compared with all."""
+    rows = nodes.join(known, "key", "left").select("node", "key", "n_shingles", F.coalesce("root", "key").alias("label"))
+    # sums for each label first, so that a hot node is one row for each of its labels
+    per = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("n"))
+    stats = per.groupBy("node").agg(F.sum("c").alias("size"), F.sum("n").alias("n"), F.max(F.struct("c", "label")).alias("m"))
+    stats = stats.where("size > m.c").select("node", "size", "n", F.col("m.label").alias("common"), (F.col("size") - F.col("m.c")).alias("others"))
+    final = F.lit(True) if last else F.col("others") <= CENTERS
+    return rows.join(stats.withColumn("final", final), "node")
+
+
+def _with_centers(state: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of each node's sets with its centres: the sets outside the commonest label where they are few, else some drawn by hash."""
+    chunks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int")
+    groups = F.when(F.col("final"), F.ceil(F.col("others") / CENTERS)).otherwise(1).cast("int")
+    drawn = F.pmod(F.xxhash64("key", "node"), F.col("size")) * 2 < CENTERS
+    rows = state.withColumns({"chunks": chunks, "groups": groups, "is_center": F.when(F.col("final"), F.col("label") != F.col("common")).otherwise(drawn)})
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    hashed = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    members = rows.select("node", "key", "label", F.lit(False).alias("center"), hashed(F.col("chunks")).alias("chunk"), F.explode(spread(F.col("groups"))).alias("group"))
+    centers = rows.where("is_center").select("node", "key", "label", F.lit(True).alias("center"), F.explode(spread(F.col("chunks"))).alias("chunk"), hashed(F.col("groups")).alias("group"))
+    blocks = members.unionByName(centers).select(F.xxhash64("node", "chunk", "group").alias("block"), "key", "label", "center")
+    return blocks.join(full, "key").groupBy("block").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _picked(wanted: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The wanted sets in full, with their sketches: ``key, n_shingles, s.., set``."""
+    wanted = written(sets.select("key", F.col("doc_id").alias("its_id"), "th").join(wanted, "key"), "wanted")
+    few = wanted.count() <= BROADCAST_KEYS
+    text = texts.join(F.broadcast(wanted) if few else wanted, "th").where(F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy("key").agg(F.first("text").alias("text"))
+    rows = text.join(sets.select("key", "n_shingles", *_SKETCH), "key").select("key", "n_shingles", *_SKETCH, "text")
+    return written(rows.mapInArrow(_full_sets(k), f"key long, n_shingles long, {', '.join(f'{c} long' for c in _SKETCH)}, set binary"), "full")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -262,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     texts = base.withColumn("th", F.xxhash64("text"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, th long, n_shingles long, key long, {', '.join(f's{i} long' for i in range(_LONGS))}, tokens array<long>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, th long, n_shingles long, key long, {', '.join(f'{c} long' for c in _SKETCH)}, nodes array<long>"
     sketched = written(texts.select("doc_id", "th", "text").mapInArrow(_sketches(k), schema), "sketched")
     # rows with one set are one vertex: its smallest document stands for it
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
@@ -271,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         sketched.join(few, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))).drop("first_id", "first_th").dropDuplicates(["key"]),
         "sets",
     )
-    roots = connected_components(similar_sets(sets, texts, k, percent)).withColumnRenamed("id", "key")
+    roots = similar_sets(sets, texts, k, percent)
     groups = sets.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_key = groups.join(least, "root").select("key", "component_id")

@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record's nested field paths are hashed; the hash selects a declarative mapping, which names where
-the turns, their roles and their texts are. All mappings end in the same canonical turns. DataFrame
+The nested field paths of each record itself are hashed; the hash selects a declarative mapping, which
+names where the turns, their roles and their texts are. All mappings end in the same canonical turns;
+a record whose hash selects none is one turn of the role ``unknown`` whose text is the record. DataFrame
 functions only.
 """
 
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 TURNS = "array<struct<role:string,text:string>>"
 #: What marks turns in the formatted text, and what stands for it inside texts. The escape sign comes first.
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\t"))
+#: Inside roles the sign that ends them too.
+ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
+UNKNOWN = "unknown"
 HEAD, HEAD_END, TAIL = "### ", ": ", " </turn>\n"
 
 
@@ -27,11 +31,13 @@ class Layout:
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
+    names: tuple[tuple[str, str], ...] = ()  # usual names of this layout's roles
 
     def turns(self, record: Column) -> Column:
         if self.list_path:
             items = F.from_json(F.get_json_object(record, self.list_path), f"array<struct<`{self.role}`:string,`{self.text}`:string>>")
-            return F.transform(items, lambda x: F.struct(x[self.role].alias("role"), x[self.text].alias("text")))
+            usual = lambda role: F.coalesce(F.create_map(*[F.lit(x) for pair in self.names for x in pair])[role], role) if self.names else role
+            return F.transform(items, lambda x: F.struct(usual(x[self.role]).alias("role"), x[self.text].alias("text")))
         each = [F.struct((F.get_json_object(record, role[1:]) if role.startswith("=") else F.lit(role)).alias("role"), F.get_json_object(record, path).alias("text")) for role, path in self.fields]
         return F.filter(F.array(*each), lambda x: x["text"].isNotNull()) if len(each) > 1 else F.array(*each)
 
@@ -39,15 +45,13 @@ class Layout:
 LAYOUTS = (
     Layout("row", ("role", "text"), fields=(("=$.role", "$.text"),)),
     Layout("messages", ("messages", "messages.content", "messages.role"), "$.messages", "role", "content"),
-    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "$.conversations", "from", "value"),
+    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "$.conversations", "from", "value", names=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
     Layout("prompt", ("completion", "prompt"), fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Layout("instruction", ("instruction", "output"), fields=(("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction with input", ("input", "instruction", "output"), fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("system prompt", ("prompt", "response", "system"), fields=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
     Layout("question", ("answer", "question"), fields=(("user", "$.question"), ("assistant", "$.answer"))),
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-
 
 def field_paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON record (lists add no step), from its variant schema; values and types don't matter."""
@@ -75,8 +79,8 @@ def fingerprint(paths: Column) -> Column:
 def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """A JSON record -> ``array<struct<role, text>>``, by the mapping of its fingerprint.
 
-    Null where the record is null, no JSON object, or of an unknown layout. Missing texts are empty; roles that
-    other layouts name otherwise (human, gpt) get their usual names.
+    Null where the record is null, no JSON object, or of an unknown layout. Missing roles and texts are empty; roles that
+    a layout names otherwise (human, gpt) get their usual names.
     """
     return turns_by(fingerprint(field_paths(record)), record, layouts)
 
@@ -86,21 +90,20 @@ def turns_by(its: Column, record: Column, layouts: tuple[Layout, ...] = LAYOUTS)
     for layout in layouts:
         known = fingerprint(F.array(*[F.lit(p) for p in sorted(layout.paths)]))
         turns = F.when(its == known, layout.turns(record)).otherwise(turns)
-    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    return F.transform(turns, lambda x: F.struct(F.coalesce(names[x["role"]], x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    return F.transform(turns, lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
 
 
-def escape(text: Column) -> Column:
-    for plain, marked in ESCAPES:
+def escape(text: Column, marks: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, marked in marks:
         text = F.replace(text, F.lit(plain), F.lit(marked))
     return text
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, marks: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
     """Undo ``escape``: between escaped escape signs, each mark stands for its control string."""
 
     def part(x: Column) -> Column:
-        for plain, marked in ESCAPES[1:]:
+        for plain, marked in marks[1:]:
             x = F.replace(x, F.lit(marked), F.lit(plain))
         return x
 
@@ -111,7 +114,7 @@ def segments(turns: Column) -> Column:
     """Turns as pieces of formatted text with the loss mask: ``array<struct<text, loss>>``; loss falls on assistants' texts."""
 
     def turn(x: Column) -> Column:
-        role = F.replace(escape(x["role"]), F.lit(":"), F.lit("\\c"))
+        role = escape(x["role"], ROLE_ESCAPES)
         return F.array(
             F.struct(F.concat(F.lit(HEAD), role, F.lit(HEAD_END)).alias("text"), F.lit(False).alias("loss")),
             F.struct(escape(x["text"]).alias("text"), (x["role"] == "assistant").alias("loss")),
@@ -132,23 +135,30 @@ def parsed(text: Column) -> Column:
     def turn(x: Column) -> Column:
         role = F.substring_index(x, HEAD_END, 1)
         body = F.substr(x, F.length(role) + 1 + len(HEAD_END))
-        name = F.replace(F.substr(role, F.lit(len(HEAD) + 1)), F.lit("\\c"), F.lit(":"))
-        return F.struct(unescape(name).alias("role"), unescape(body).alias("text"))
+        name = F.substr(role, F.lit(len(HEAD) + 1))
+        return F.struct(unescape(name, ROLE_ESCAPES).alias("role"), unescape(body).alias("text"))
 
     return F.transform(pieces, turn)
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """``rows(conv_id, turn, role, text)`` -> ``conv_id, formatted, segments``, one row for each conversation.
+def format_records(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``records(conv_id, turn, record)`` -> ``conv_id, formatted, segments``, one row for each conversation.
 
-    Each row is a record; its fingerprint selects the mapping to a turn. Turns go by ``turn`` (null first), ties by role and text; repeated rows are
-    repeated turns. A null text is empty, a null role is an empty role, rows with a null conv_id are one conversation. Other columns are ignored.
+    ``record`` is JSON of any of the ``layouts``, mixed as they come; the fingerprint of each selects its mapping to turns. A record
+    of another layout, or none, is one turn of the role UNKNOWN whose text is the record (null: empty). Records go by ``turn`` (null
+    first), ties by their turns' roles and texts; repeated rows are repeated turns. A null text is empty, a null role is an empty role, rows
+    with a null conv_id are one conversation. Other columns are ignored. A conversation is one row of the result, so its
+    turns meet in one task.
     """
-    record = F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("text")), {"ignoreNullFields": "false"})
-    # a record's paths don't depend on its texts: they are told from one without
-    shape = F.to_json(F.struct(F.lit("").alias("role"), F.lit("").alias("text")))
-    turns = rows.select("conv_id", "turn", turns_by(fingerprint(field_paths(shape)), record).alias("t"))
-    one = turns.select("conv_id", F.struct("turn", F.col("t")[0]["role"].alias("role"), F.col("t")[0]["text"].alias("text")).alias("x"))
-    whole = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
-    parts = whole.select("conv_id", segments(F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("segments"))
+    odd = F.array(F.struct(F.lit(UNKNOWN).alias("role"), F.coalesce("record", F.lit("")).alias("text")))
+    turns = records.select("conv_id", "turn", "record", fingerprint(field_paths(F.col("record"))).alias("its"))
+    one = turns.select("conv_id", F.struct("turn", F.coalesce(turns_by(F.col("its"), F.col("record"), layouts), odd).alias("turns")).alias("x"))
+    whole = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    parts = whole.select("conv_id", segments(F.flatten(F.transform("xs", lambda x: x["turns"]))).alias("segments"))
     return parts.select("conv_id", formatted(F.col("segments")).alias("formatted"), "segments")
+
+
+def format_rows(rows: DataFrame) -> DataFrame:
+    """``rows(conv_id, turn, role, text)`` -> as ``format_records``, each row being a record of its role and text."""
+    record = F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("text")), {"ignoreNullFields": "false"})
+    return format_records(rows.select("conv_id", "turn", record.alias("record")))

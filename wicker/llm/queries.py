@@ -30,7 +30,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = r"\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], rows.schema))
-    done = chat.format_rows(rows).select("conv_id", "formatted", "segments", chat.parsed(F.col("formatted")).alias("turns"))
+    # the table's rows in two layouts by turns, so that each record's own fingerprint must tell which it is
+    keep = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct("role", "text"), keep)
+    nested = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), keep)
+    record = F.when(F.xxhash64("conv_id", "turn") % 2 == 0, plain).otherwise(nested)
+    done = chat.format_records(rows.select("conv_id", "turn", record.alias("record"))).select("conv_id", "formatted", "segments", chat.parsed(F.col("formatted")).alias("turns"))
     loss = F.filter("segments", lambda s: s["loss"])
     masked = F.array_join(F.transform(loss, lambda s: chat.unescape(s["text"])), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -56,6 +57,67 @@ def test_tree_matching_skips_what_the_other_lacks():
     assert html_extract.match_trees(page_tree, host_tree) == [0, 1, -1, 2, 3]
 
 
+def brute_size(page, host):
+    """Size of the largest simple tree matching, by the recursion over all pairs of children."""
+    a, below_a, _ = html_extract._tree(page)
+    b, below_b, _ = html_extract._tree(host)
+
+    def size(x, y):
+        if a[x] != b[y]:
+            return 0
+        p, q = below_a[x], below_b[y]
+        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, c in enumerate(p):
+            for j, d in enumerate(q):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + size(c, d))
+        return 1 + m[-1][-1]
+
+    return size(0, 0)
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(1)
+
+    def made():
+        parents, signatures = [-1], ["#"]
+        for _ in range(rng.randint(0, 14)):
+            key = (rng.randrange(len(parents)), rng.choice("abcd"))
+            if key not in set(zip(parents, signatures)):
+                parents.append(key[0])
+                signatures.append(key[1])
+        return "\n".join(f"{p}\t{s}" for p, s in zip(parents, signatures))
+
+    for _ in range(500):
+        x, y = made(), made()
+        got = html_extract.match_trees(x, y)
+        a, _, up_a = html_extract._tree(x)
+        b, _, up_b = html_extract._tree(y)
+        matched = [i for i, j in enumerate(got) if j >= 0]
+        assert len(matched) == brute_size(x, y)
+        assert all(a[i] == b[got[i]] and (up_a[i] < 0 or got[up_a[i]] == up_b[got[i]]) for i in matched)
+        assert all(got[i] < got[j] for i in matched for j in matched if i < j and up_a[i] == up_a[j])
+
+
+def test_deep_and_wide_pages(spark):
+    """A page of thousands of nested elements and one of thousands of siblings of different classes."""
+    rows = [(i, f"http://deep.example/{i}", f"<html><body><div class='top'>Same</div><p>Story {i} of the host</p></body></html>") for i in range(4)]
+    rows.append((10, "http://deep.example/deep", "<div>" * 3000 + "far down" + "</div>" * 3000))
+    rows.append((11, "http://deep.example/wide", "".join(f"<div class='{a}{b}{c}'>w</div>" for a in "abcdefghijklm" for b in "nopqrstuvwxyz" for c in "abcdefghijkl")))
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[10] == "far down" and got[11] == " ".join("w" * (13 * 13 * 12))
+    assert all(got[i] == f"Story {i} of the host" for i in range(4))
+
+
+def test_alignment_decides(spark):
+    """Nothing but the alignment with the host's other pages tells this notice from the story."""
+    def rows(n, host):
+        return [(i, f"http://{host}/{i}", f"<html><body><div class='x'>Read our rules</div><div class='y'>Story {i} is told</div></body></html>") for i in range(n)]
+
+    text = lambda r: [x.text for x in html_extract.main_texts(spark.createDataFrame(r, PAGES)).orderBy("page_id").collect()]
+    assert text(rows(5, "many.example")) == [f"Story {i} is told" for i in range(5)]
+    assert text(rows(1, "one.example")) == ["Read our rules Story 0 is told"]
+
+
 def test_empty_pages(spark):
     assert html_extract.main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
@@ -71,7 +133,7 @@ def test_escape_round_trip(spark):
 
 
 def test_format_rows_reads_back(spark):
-    rows = [(1, i, ["user", "assistant", "sys:tem", None][i % 4], t) for i, t in enumerate(ODD)] + [(2, 0, "assistant", None), (None, 0, "user", "x"), (3, None, "user", "null turn first"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a")]
+    rows = [(1, i, ["user", "assistant", "sys:tem", None, "\\c", "human", "\\\\c:\\", "###"][i % 8], t) for i, t in enumerate(ODD)] + [(2, 0, "assistant", None), (None, 0, "user", "x"), (3, None, "user", "null turn first"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.format_rows(df.withColumn("segments", F.lit(1))).select("conv_id", "segments", chat.parsed(F.col("formatted")).alias("turns")).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [(r or "", t) for _, _, r, t in rows[: len(ODD)]]
@@ -96,6 +158,26 @@ def test_layouts(spark):
         assert (None if r.t is None else [(x.role, x.text) for x in r.t]) == records[r.r], r.r
 
 
+def test_format_records_of_mixed_layouts(spark):
+    """The fingerprint of each record selects its mapping: another set of mappings gives another result."""
+    rows = [
+        (1, 0, '{"role":"system","text":"be kind"}'),
+        (1, 1, '{"instruction":"i","output":"o"}'),
+        (1, 2, '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}]}'),
+        (1, 3, '{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}]}'),
+        (2, 0, '{"some":"thing"}'),
+        (2, 1, None),
+        (2, 2, "no json"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, record string")
+    read = lambda out: {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out.select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()}
+    got = read(chat.format_records(df))
+    assert got[1] == [("system", "be kind"), ("user", "i"), ("assistant", "o"), ("user", "a"), ("assistant", ""), ("user", "x"), ("assistant", "y")]
+    assert got[2] == [("unknown", '{"some":"thing"}'), ("unknown", ""), ("unknown", "no json")]
+    fewer = read(chat.format_records(df, chat.LAYOUTS[:1]))
+    assert fewer[1][0] == ("system", "be kind") and fewer[1][1] == ("unknown", rows[1][2])
+
+
 def test_pipeline(spark, tmp_path):
     source = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{source}/documents.parquet")

@@ -2,8 +2,9 @@
 
 A page's DOM is summed up as a guide tree: one node for all elements with one path of tags and classes.
 Pages of a host are aligned with the host's most common tree by simple tree matching. A node whose text hardly changes over the
-host's pages is template; the others are slots, and all of them hold content. Nodes that are menus, notices, adverts and the
-like by their element or class are template on any page. On a page with articles, or else main elements, only those are read.
+host's pages is template; the others are slots, and all of them hold content. Adverts and readers' comments vary as content does:
+nodes that are menus, notices, adverts and the like by their element or class are never content. Only on a host with too few pages to tell
+slots from template do a page's articles, or else main elements, stand for the slots.
 """
 
 from __future__ import annotations
@@ -163,44 +164,61 @@ def _tree(text: str) -> tuple[list[str], list[list[int]], list[int]]:
     return list(signatures), children, list(parents)
 
 
+def _heaviest(places: list[int], weights: list[int]) -> tuple[int, list[int]]:
+    """The heaviest run of items whose places increase: its weight and the items."""
+    order = {p: r for r, p in enumerate(sorted(places))}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(order) + 1)  # a Fenwick tree of maxima: weight, last item
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        r, top = order[p], (0, -1)
+        while r:
+            top = max(top, best[r])
+            r &= r - 1
+        before[i] = top[1]
+        mine, r = (top[0] + weights[i], i), order[p] + 1
+        while r <= len(order):
+            best[r] = max(best[r], mine)
+            r += r & -r
+    total, i, r = 0, -1, len(order)
+    while r:
+        if best[r][0] > total:
+            total, i = best[r]
+        r &= r - 1
+    out = []
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return total, out[::-1]
+
+
 def match_trees(page: str, host: str) -> list[int]:
-    """Simple tree matching of two guide trees: for each node of the page's the host's node, or -1."""
-    a, below_a, _ = _tree(page)
-    b, below_b, _ = _tree(host)
-    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def best(x: int, y: int) -> int:
-        """Size of the largest matching of the subtrees, children in order; the pairs of children are kept."""
-        if a[x] != b[y]:
-            return 0
-        if (x, y) not in known:
-            p, q = below_a[x], below_b[y]
-            m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            w = [[best(i, j) for j in q] for i in p]
-            for i in range(1, len(p) + 1):
-                for j in range(1, len(q) + 1):
-                    m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w[i - 1][j - 1])
-            pairs, i, j = [], len(p), len(q)
-            while i and j:
-                if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                    pairs.append((p[i - 1], q[j - 1]))
-                    i, j = i - 1, j - 1
-                elif m[i][j] == m[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            known[x, y] = (1 + m[-1][-1], pairs)
-        return known[x, y][0]
+    """Simple tree matching of two guide trees: for each node of the page's the host's node, or -1.
 
-    out = [-1] * len(a)
+    Children match in order, the largest matching wins. Siblings of a guide tree differ in their
+    signatures, so a node has one possible partner, and the best matching of two nodes' children is their heaviest
+    increasing run: no recursion, and n log n for n nodes, however deep or wide the trees.
+    """
+    a, below, parents = _tree(page)
     if page == host:
         return list(range(len(a)))
-    best(0, 0)
-    todo = [(0, 0)]
+    b, _, parents_b = _tree(host)
+    child = {(p, s): j for j, (p, s) in enumerate(zip(parents_b, b))}
+    partner = [child.get((-1, a[0]), -1)]
+    for i in range(1, len(a)):  # parents come before children
+        p = partner[parents[i]]
+        partner.append(child.get((p, a[i]), -1) if p >= 0 else -1)
+    weight, chosen = [1] * len(a), [[]] * len(a)
+    for x in reversed(range(len(a))):
+        kids = [i for i in below[x] if partner[i] >= 0]
+        if kids:
+            inner, best = _heaviest([partner[i] for i in kids], [weight[i] for i in kids])
+            weight[x], chosen[x] = 1 + inner, [kids[i] for i in best]
+    out = [-1] * len(a)
+    todo = [0] if partner[0] >= 0 else []
     while todo:
-        x, y = todo.pop()
-        out[x] = y
-        todo += known[x, y][1]
+        x = todo.pop()
+        out[x] = partner[x]
+        todo += chosen[x]
     return out
 
 
@@ -209,27 +227,32 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": frame.host, "tree": frame.tree, "nodes": [match_trees(t, r) for t, r in zip(frame.tree, frame.reference)]})
 
 
-def keep_nodes(tree: str, nodes: list[int], template: set[int]) -> list[bool]:
-    """Which nodes of a page's tree are content, by the host's template nodes: those inside its articles, else its mains, else all."""
-    signatures, children, parents = _tree(tree)
+def keep_nodes(tree: str, nodes: list[int], template: set[int], voted: bool) -> list[bool]:
+    """Which nodes of a page's tree are content: the slots that vary over the host's pages, but for those that call themselves boilerplate.
+
+    Where too few pages have ``voted`` to tell slots from template, the page's own articles, else its mains, else all stand for the slots.
+    """
+    signatures, _, parents = _tree(tree)
     n = len(signatures)
     out = [False] * n
     for i in range(n):  # parents come before children
         out[i] = _boilerplate(signatures[i]) or parents[i] >= 0 and out[parents[i]]
     free = [not x for x in out]
+    if voted:
+        return [free[i] and nodes[i] not in template for i in range(n)]
     tags = [s.partition(".")[0] for s in signatures]
+    roots = [0]
     for wanted in ("article", "main"):
-        roots = [i for i in range(n) if free[i] and (tags[i] == wanted or wanted == "main" and re.search(r"\.(.* )?main( |$)", signatures[i]))]
-        if roots:
+        found = [i for i in range(n) if free[i] and (tags[i] == wanted or wanted == "main" and re.search(r"\.(.* )?main( |$)", signatures[i]))]
+        if found:
+            roots = found
             break
-    else:
-        roots = [0]  # every slot that varies is content, wherever it is
     inside = [False] * n
     for r in roots:
         inside[r] = True
     for i in range(n):
         inside[i] = inside[i] or parents[i] >= 0 and inside[parents[i]]
-    return [inside[i] and free[i] and nodes[i] not in template for i in range(n)]
+    return [inside[i] and free[i] for i in range(n)]
 
 
 def _wrappers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +261,7 @@ def _wrappers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tree, nodes, stats in zip(frame.tree, frame.nodes, frame.stats):
             stats = list(stats) if stats is not None else []
             template = {s["node"] for s in stats if s["template"]}
-            keep.append(keep_nodes(tree, list(nodes), template))
+            keep.append(keep_nodes(tree, list(nodes), template, any(s["n"] >= LEAST_PAGES for s in stats)))
         yield pd.DataFrame({"host": frame.host, "tree": frame.tree, "keep": keep})
 
 
@@ -267,7 +290,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     votes = votes.groupBy("host", "node", "h").agg(F.count("*").alias("n"))
     stats = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"))
     stats = stats.withColumn("template", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
-    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("node", "template")).alias("stats"))
+    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("node", "template", "n")).alias("stats"))
     wrappers = written(aligned.join(by_host, "host", "left").select("host", "tree", "nodes", "stats").mapInPandas(_wrappers, "host string, tree string, keep array<boolean>"), "wrappers")
     texts = read.join(small(wrappers), ["host", "tree"], "left")
     text = F.array_join(F.transform(F.filter("blocks", lambda b: F.get("keep", b["node"])), lambda b: b["text"]), " ")

@@ -12,11 +12,13 @@ a copy with another last third always share a hash.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .words import U, powers, span_hashes
 
@@ -24,6 +26,8 @@ K = 16
 WINDOW = 48
 #: The shortest grams of short texts.
 LEAST_K = 2
+#: Ranges of documents at most, and keys drawn for each to find where it begins.
+MOST_BUCKETS, DRAWN = 10_000, 20
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +87,33 @@ def written_out(hashes: np.ndarray, where: np.ndarray) -> str:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in order; the guest that ends a bucket is the first text of the next."""
+    """Texts in order; the guest that ends a bucket is the first text of the next. A bucket of equal rows needs none."""
     held: dict = {}
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    shape = None
+
+    def made(out: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        if out["doc_id"]:
+            yield pa.RecordBatch.from_arrays([pa.array(v) if c != "doc_id" else pa.array(v, shape) for c, v in out.items()], list(out))
+
     for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "guest")]
-        for bucket, doc_id, text, guest in zip(*columns):
+        out: dict[str, list] = {c: [] for c in names}
+        shape = batch.schema.field("doc_id").type
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "copy", "doc_id", "text", "guest")]
+        for bucket, copy, doc_id, text, guest in zip(*columns):
             text = text or ""
+            if held and held["bucket"] != (bucket, copy) and held["bucket"][1]:
+                _one(held, held["text"], held["own"], out)
+                held = {}
             own = winnow(text)
-            if held and held["bucket"] == bucket:
+            if held and held["bucket"] == (bucket, copy):
                 _one(held, text, own, out)
-            held = {} if guest else {"bucket": bucket, "doc_id": doc_id, "text": text, "own": own}
-        if out["doc_id"]:
-            yield pa.RecordBatch.from_arrays([pa.array(v) if c != "doc_id" else pa.array(v, batch.schema.field("doc_id").type) for c, v in out.items()], list(out))
+            held = {} if guest else {"bucket": (bucket, copy), "doc_id": doc_id, "text": text, "own": own}
+        yield from made(out)
+    if held and held["bucket"][1]:
+        out = {c: [] for c in names}
+        _one(held, held["text"], held["own"], out)
+        yield from made(out)
 
 
 def _one(held: dict, after: str, after_own, out: dict[str, list]) -> None:
@@ -116,6 +134,38 @@ def _one(held: dict, after: str, after_own, out: dict[str, list]) -> None:
         out[name].append(value)
 
 
+def _key(doc_id, th) -> tuple:
+    """Sorts null ids first."""
+    return (doc_id is not None, doc_id if doc_id is not None else 0, th)
+
+
+def _places(bounds: list[tuple], copies: list[int], first: tuple):
+    """Where a row goes: its bucket (0 has the largest ids), its bucket of copies (0: none), and the buckets in which it is a guest.
+
+    ``bounds``: sorted keys of rows that exist. Each heads a bucket, so it is the guest of the bucket before. ``copies``: over how many
+    buckets the rows equal to a bound are dealt. ``first``, the first row of all, is the guest of the last bucket.
+    """
+    m = len(bounds)
+
+    def place(doc_ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        out, met = [], Counter()
+        for x in map(_key, doc_ids.to_pylist(), hashes.to_pylist()):
+            i = bisect_left(bounds, x)
+            bound = i < m and bounds[i] == x
+            own, copy, guests = m - i, 0, []
+            if bound:
+                guests.append(own - 1)
+                # the first of a batch always stays, so that the bucket keeps its head
+                copy = met[x] % copies[i]
+                met[x] += 1
+            if x == first:
+                guests.append(m)
+            out.append({"bucket": own, "copy": copy, "guests": [] if copy else guests})
+        return pa.array(out, pa.struct([("bucket", pa.int32()), ("copy", pa.int32()), ("guests", pa.list_(pa.int32()))]))
+
+    return place
+
+
 def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
     """``docs(doc_id, text)`` -> each text's winnowing fingerprint, and how like it is to an edited
     text (its last third gives way to the beginning of the next document's text) and to the next document.
@@ -123,28 +173,27 @@ def fingerprint_neighbours(docs: DataFrame, rows_per_bucket: int = 4000) -> Data
     Next is by descending doc_id, null last, then by text; after the last comes the first, which
     for a single row is that row. A null text is empty: it has an empty fingerprint, and two empty
     fingerprints are alike by 1. A text shorter than the shortest gram is one gram. Repeated rows get a row
-    each. Documents are dealt over ranges of doc_id, each with the first text of the next range,
-    so that no task sorts them all. Other columns are ignored.
+    each. Documents are dealt over at most MOST_BUCKETS ranges of doc_id and text, each with the first text of the next range, so that no
+    task sorts them all; a row that is repeated more often than a range has rows is dealt over several. The ranges begin at rows drawn from
+    a sample of at most about MOST_BUCKETS * DRAWN keys. Other columns are ignored.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = base.select(F.col("doc_id").cast("double").alias("x")).where("x is not null")
-    n = ids.count()
-    cuts = max(1, n // rows_per_bucket)
-    bounds = sorted(set(ids.approxQuantile("x", [i / cuts for i in range(1, cuts)], 0.25 / cuts))) if cuts > 1 else []
-    # ranges are numbered downwards, as the order is
-    x = F.col("doc_id").cast("double")
-    bucket = F.coalesce(F.lit(len(bounds)) - F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda a, b: a + (x >= b).cast("int")), F.lit(len(bounds) + 1)) if bounds else F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0))
-    rows = base.withColumn("bucket", bucket.cast("int"))
-    order = F.struct(F.coalesce(x, F.lit(float("-inf"))).alias("x"), (F.xxhash64("text")).alias("h"))
-    heads = [(r.bucket, r.m) for r in rows.groupBy("bucket").agg(F.max(order).alias("m")).orderBy("bucket").collect()]  # a row for each range
-    shape = "bucket int, head_x double, head_h long"
-    guests = docs.sparkSession.createDataFrame([(heads[i - 1][0], float(m.x), m.h) for i, (_, m) in enumerate(heads)], shape)
-    both = rows.withColumn("head_x", order["x"]).withColumn("head_h", order["h"])
-    guest = both.drop("bucket").join(F.broadcast(guests), ["head_x", "head_h"]).dropDuplicates(["bucket"]).withColumn("guest", F.lit(True))
-    dealt = both.withColumn("guest", F.lit(False)).unionByName(guest)
-    parts = max(8, min(2 * len(heads), 100_000))
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("head_x"), F.desc("head_h"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th")
+    n, first = rows.agg(F.count("*"), F.max(order)).first()
+    buckets = min(MOST_BUCKETS, n // rows_per_bucket)
+    drawn = []
+    if buckets > 1:
+        drawn = sorted(_key(*r) for r in rows.select("doc_id", "th").sample(min(1.0, DRAWN * buckets / n), seed=7).collect())  # bounded: see above
+    often = Counter(drawn[len(drawn) * i // buckets] for i in range(1, buckets)) if drawn else Counter()
+    bounds = sorted(often)
+    place = F.arrow_udf(_places(bounds, [often[x] for x in bounds], _key(first.doc_id, first.th) if n else ()), "bucket int, copy int, guests array<int>")
+    placed = rows.withColumn("at", place("doc_id", "th"))
+    own = F.array(F.struct(F.col("at.bucket").alias("bucket"), F.col("at.copy").alias("copy"), F.lit(False).alias("guest")))
+    guest = F.transform("at.guests", lambda b: F.struct(b.alias("bucket"), F.lit(0).alias("copy"), F.lit(True).alias("guest")))
+    dealt = placed.select("doc_id", "th", "text", F.explode(F.concat(own, guest)).alias("x")).select("x.*", "doc_id", "th", "text")
+    parts = max(8, 2 * buckets)
+    ordered = dealt.repartition(parts, "bucket", "copy").sortWithinPartitions("bucket", "copy", "guest", F.desc_nulls_last("doc_id"), F.desc("th"))
     kind = dict(docs.dtypes)["doc_id"]
-    return ordered.select("bucket", "doc_id", "text", "guest").mapInArrow(
+    return ordered.select("bucket", "copy", "doc_id", "text", "guest").mapInArrow(
         _rows, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

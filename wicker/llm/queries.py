@@ -120,12 +120,13 @@ m as (
   from w left join cov on cov.doc_id = w.doc_id),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
     n_symbols / greatest(word_chars, 1)::double a, n_dup_lines / greatest(n_lines, 1)::double b, n_repeat_words / greatest(n_words, 1)::double c, word_chars / greatest(n_words, 1)::double d from m),
-q as (select lang, source, quantile_disc(a, [0.25, 0.75]) qa, quantile_disc(b, [0.25, 0.75]) qb, quantile_disc(c, [0.25, 0.75]) qc, quantile_disc(d, [0.25, 0.75]) qd from f where not base_failed group by lang, source)
+q as (select lang, source, quantile_disc(a, [0.05, 0.25, 0.75, 0.95]) qa, quantile_disc(b, [0.05, 0.25, 0.75, 0.95]) qb, quantile_disc(c, [0.05, 0.25, 0.75, 0.95]) qc, quantile_disc(d, [0.05, 0.25, 0.75, 0.95]) qd from f where not base_failed group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and a between qa[1] - greatest(4.0 * (qa[2] - qa[1]), {quality.LEAST["symbol_ratio"]}) and qa[2] + greatest(4.0 * (qa[2] - qa[1]), {quality.LEAST["symbol_ratio"]})
-  and b between qb[1] - greatest(4.0 * (qb[2] - qb[1]), {quality.LEAST["dup_line_ratio"]}) and qb[2] + greatest(4.0 * (qb[2] - qb[1]), {quality.LEAST["dup_line_ratio"]})
-  and c between qc[1] - greatest(4.0 * (qc[2] - qc[1]), {quality.LEAST["repeat_ratio"]}) and qc[2] + greatest(4.0 * (qc[2] - qc[1]), {quality.LEAST["repeat_ratio"]})
-  and d between qd[1] - greatest(4.0 * (qd[2] - qd[1]), {quality.LEAST["word_length"]}) and qd[2] + greatest(4.0 * (qd[2] - qd[1]), {quality.LEAST["word_length"]}) kept
+  not base_failed
+  and a between least(qa[2] - 4.0 * (qa[3] - qa[2]), qa[1]) - {quality.MARGIN["symbol_ratio"]} and greatest(qa[3] + 4.0 * (qa[3] - qa[2]), qa[4]) + {quality.MARGIN["symbol_ratio"]}
+  and b between least(qb[2] - 4.0 * (qb[3] - qb[2]), qb[1]) - {quality.MARGIN["dup_line_ratio"]} and greatest(qb[3] + 4.0 * (qb[3] - qb[2]), qb[4]) + {quality.MARGIN["dup_line_ratio"]}
+  and c between least(qc[2] - 4.0 * (qc[3] - qc[2]), qc[1]) - {quality.MARGIN["repeat_ratio"]} and greatest(qc[3] + 4.0 * (qc[3] - qc[2]), qc[4]) + {quality.MARGIN["repeat_ratio"]}
+  and d between least(qd[2] - 4.0 * (qd[3] - qd[2]), qd[1]) - {quality.MARGIN["word_length"]} and greatest(qd[3] + 4.0 * (qd[3] - qd[2]), qd[4]) + {quality.MARGIN["word_length"]} kept
 from f left join q on f.lang is not distinct from q.lang and f.source is not distinct from q.source""",
     "op7_substring_dedup": rf"""
 with w as (select doc_id, {_WORDS.format("text")} ws from documents),

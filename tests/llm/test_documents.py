@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from wicker.llm import bpe, fingerprints, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
+from wicker.llm import bpe, fingerprints, hidden_markov, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -224,6 +224,16 @@ def test_quality_fences(spark):
     assert all(kept[i] for i in range(60)) and not kept[100] and not kept[101]
 
 
+def test_quality_fence_on_repeats(spark):
+    """Where nobody repeats, a text with a quarter of its words repeated passes the base rule and fails the fence."""
+    good = [(i, " ".join(f"word{(i * 31 + j) % 997}" for j in range(80)), "en", "s", 1) for i in range(60)]
+    repeats = " ".join([f"w{j}" for j in range(60)] + [f"w{j}" for j in range(10)])
+    rows = spark.createDataFrame([*good, (100, repeats, "en", "s", 1)], SCHEMA)
+    got = {r.doc_id: r for r in quality.quality_rules(rows).collect()}
+    assert not got[100].base_failed and 0.25 < got[100].n_repeat_words / got[100].n_words < 0.3
+    assert not got[100].kept and all(got[i].kept for i in range(60))
+
+
 def water_fill(sizes, weights):
     total, caps = 1.5 * sum(sizes), [2 * s for s in sizes]
     targets = [0.0] * len(sizes)
@@ -323,14 +333,42 @@ def test_lm_scores(docs, rows):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def test_forward_recursion_is_exact():
+def test_lm_score_is_the_models(spark, monkeypatch):
+    """The returned score: the forward recursion in plain Python over the trained model, shared symbols drawn by their counts plus one."""
+    monkeypatch.setattr(lm_scoring, "OWN", 3)
+    monkeypatch.setattr(lm_scoring, "HELD", 5)
+    kept = []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: kept.append(train(*a)) or kept[-1])
+    texts = ["a b c a b d", "a a b c ed ed", "", "zz a b fed", "bed a c c", "new a words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, F.col("doc_id") == 5).collect()}
+    c = Counter(w for t in texts[:5] for w in t.split())
+    _, lexicon, _ = lm_scoring.learn_lexicon(docs.where("doc_id <> 5").select(F.col("text").cast("binary").alias("text")))
+    model = kept[0]
+    for i, t in enumerate(texts):
+        raw, offs = lm_scoring.column_bytes(lm_scoring.pa.array([t.encode()], lm_scoring.pa.binary()))
+        ((_, _, words_),) = lm_scoring.words_of(raw, offs, 1 << 30)
+        symbols, _, _, shared = lm_scoring._sequences(words_, lexicon)
+        p = model.first * model.emits[symbols[0]]
+        for s in symbols[1:]:
+            p = p @ model.moves * model.emits[s]
+        want = math.log10(p.sum())
+        for w, s, sh in zip(t.split(), symbols, shared):
+            if sh:
+                want += math.log10((c[w] + 1) / lexicon.shared_mass[s - lm_scoring.OWN])
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 512])
+def test_forward_recursion_is_exact(lane):
     rng = np.random.default_rng(1)
     k, m = 3, 6
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    model = lm_scoring.Model(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, m))).T)
+    model = hidden_markov.Model(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, m))).T)
     symbols = rng.integers(0, m, 9)
     of = np.array([0, 4, 9])
-    got = lm_scoring.log10_likelihood(symbols, of, model)
+    got = hidden_markov.log10_likelihood(symbols, of, model, lane)
     for i in range(2):
         seq = symbols[of[i] : of[i + 1]]
         total = 0.0
@@ -342,13 +380,14 @@ def test_forward_recursion_is_exact():
         assert got[i] == pytest.approx(math.log10(total))
 
 
-def test_forward_backward_counts():
+@pytest.mark.parametrize("lane", [1, 2, 3, 512])
+def test_forward_backward_counts(lane):
     rng = np.random.default_rng(2)
     norm = lambda x: x / x.sum(-1, keepdims=True)
     k, m = 2, 4
-    model = lm_scoring.Model(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, m))).T.astype(np.float32))
+    model = hidden_markov.Model(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, m))).T.astype(np.float32))
     symbols, of = rng.integers(0, m, 7), np.array([0, 3, 7])
-    first, moved, emitted = lm_scoring.forward_backward(symbols, of, model)
+    first, moved, emitted = hidden_markov.forward_backward(symbols, of, model, lane)
     want_first, want_moved, want_emitted = np.zeros(k), np.zeros((k, k)), np.zeros((m, k))
     for i in range(2):
         seq = symbols[of[i] : of[i + 1]]
@@ -375,16 +414,21 @@ def test_lm_training_covers_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SWEEPS", 3)
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)) for n in (0, 1, 5, 127, 128, 129, 400, 6000)]
-    _, lexicon, got = lm_scoring.train(spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3))
+    docs = spark.createDataFrame([(i, t, t.encode(), False) for i, t in enumerate(texts)], "doc_id long, whole string, text binary, held_out boolean").repartition(3)
+    _, lexicon, shares = lm_scoring.learn_lexicon(docs.select("text"))
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, drawn double, rare array<long>, symbols binary"
+    encoded = docs.select("doc_id", "held_out", "text").mapInArrow(lm_scoring._encode(spark.sparkContext.broadcast(lexicon)), shape)
+    got = lm_scoring.train(encoded, shares)
     raw, offs = lm_scoring.column_bytes(lm_scoring.pa.array([t.encode() for t in texts], lm_scoring.pa.binary()))
     ((_, _, words_),) = lm_scoring.words_of(raw, offs, 1 << 30)
     symbols, of, _, _ = lm_scoring._sequences(words_, lexicon)
     n = lexicon.end_symbol + 1
     unigram = np.bincount(symbols, minlength=n) + 0.01
     unigram /= unigram.sum()
+    np.testing.assert_allclose(shares, unigram)
     want = lm_scoring._start(unigram)
     for _ in range(3):
-        first, moved, emitted = lm_scoring.forward_backward(symbols, of, want)
+        first, moved, emitted = hidden_markov.forward_backward(symbols, of, want, 1 << 20)
         assert moved.sum() == pytest.approx(len(symbols) - len(texts), rel=1e-4) and first.sum() == pytest.approx(len(texts), rel=1e-4)
         want = lm_scoring._maximise(np.vstack([emitted, moved, first]), unigram, lm_scoring.STATES)
     np.testing.assert_allclose(got.first, want.first, rtol=1e-3)

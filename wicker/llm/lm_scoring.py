@@ -1,10 +1,11 @@
 """Language-model scores: a hidden Markov model over words, trained by Baum-Welch.
 
 The corpus gives word counts; the most frequent words are symbols of their own, the others share
-symbols by their last two bytes and are drawn from their symbol's counts with one added. Baum-Welch
-starts from those counts and every sweep runs over every training text, whole: each task sums its expected counts, Spark adds them up by symbol,
-and only tables of a fixed size (symbols times states) reach the driver. Scoring is the exact
-likelihood by the scaled forward recursion over each whole text.
+symbols by their last two bytes and are drawn from their symbol's counts with one added. Every text is
+written once as its symbols, two bytes each. Baum-Welch starts from the corpus's counts and every sweep
+runs over every training text, whole: each task sums its expected counts, Spark adds them up by symbol,
+and only tables of a fixed size (symbols times states) reach the driver. Scoring is the exact likelihood
+by the scaled forward recursion over each whole text.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .hidden_markov import Model, forward_backward, log10_likelihood
 from .scratch import written
-from .words import U, column_bytes, words_of
+from .words import column_bytes, pieces, words_of
 
 STATES = 8
 #: Words with a symbol of their own, symbols that the other words share, words whose counts every task holds: fixed sizes.
 OWN, SHARED, HELD = 16_384, 512, 262_144
 #: Sweeps over all training texts.
-SWEEPS = 14
+SWEEPS = 6
 END = np.int64(0x454E44)
 PIECE = 4 << 20
 
@@ -61,13 +63,6 @@ class Lexicon:
         return np.where(own >= 0, own, OWN + tails), np.where(held, self.counts[at], -1), own < 0
 
 
-@dataclass
-class Model:
-    first: np.ndarray
-    moves: np.ndarray
-    emits: np.ndarray  # symbol x state
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = column_bytes(batch.column("text"))
@@ -90,55 +85,56 @@ def _sequences(words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, of, counts, shared
 
 
-def forward_backward(symbols: np.ndarray, of: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, moves and emissions (symbol x state) of the sequences, all advanced side by side."""
-    sizes = np.diff(of)
-    order = np.argsort(-sizes, kind="stable")
-    begin, sizes = of[:-1][order], sizes[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    live = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
-    k = len(model.first)
-    gains = model.emits[symbols]
-    forward, scale = np.zeros((len(symbols), k), np.float32), np.ones(len(symbols), np.float32)
-    moves = model.moves.astype(np.float32)
-    for t in range(longest):
-        at = begin[: live[t]] + t
-        a = (forward[at - 1] @ moves if t else model.first.astype(np.float32)) * gains[at]
-        scale[at] = s = a.sum(1)
-        forward[at] = a / s[:, None]
-    first, moved = np.zeros(k), np.zeros((k, k))
-    posterior = forward  # overwritten from the back
-    beta = np.ones((len(sizes), k), np.float32)
-    for t in range(longest - 1, 0, -1):
-        at = begin[: live[t]] + t
-        b = beta[: live[t]]
-        weighted = gains[at] * b / scale[at][:, None]
-        before = forward[at - 1]
-        moved += before.T @ weighted
-        posterior[at] *= b
-        beta[: live[t]] = weighted @ moves.T
-    if longest:
-        posterior[begin] *= beta
-        first = posterior[begin].sum(0)
-    moved *= model.moves
-    emitted = np.stack([np.bincount(symbols, posterior[:, s], model.emits.shape[0]) for s in range(k)], 1)
-    return first, moved, emitted
-
-
-def _expect(lexicon, model):
+def _encode(lexicon):
+    """Texts to symbols, counts of known words, and what the words add to the base score and to the model's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m = lexicon.value, model.value
-        k = len(m.first)
-        first, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((m.emits.shape[0], k))
+        lex = lexicon.value
         for batch in batches:
             raw, offs = column_bytes(batch.column("text"))
-            for _, _, words in words_of(raw, offs, PIECE):
-                symbols, of, _, _ = _sequences(words, lex)
-                f, mv, e = forward_backward(symbols, of, m)
-                first += f
-                moved += mv
-                emitted += e
-        rows = np.vstack([emitted, moved, first])
+            for lo, hi, words in words_of(raw, offs, PIECE):
+                symbols, of, counts, shared = _sequences(words, lex)
+                doc = np.repeat(np.arange(hi - lo), words.counts)
+                held = np.maximum(counts, 0)
+                logs = np.log10(held + 1.0)
+                add = lambda x: np.bincount(doc, x, hi - lo)
+                share = np.log10(lex.shared_mass)[np.where(shared, symbols[symbols != lex.end_symbol] - OWN, 0)]
+                rare = counts < 0
+                of_rare = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=hi - lo)))).astype(np.int32)
+                hashes = words.hashes(lower=True).view(np.int64)[rare] if rare.any() else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo),
+                        batch.column("held_out").slice(lo, hi - lo),
+                        pa.array(words.counts.astype(np.int64) + 1),
+                        pa.array(add(held > 0).astype(np.int64)),
+                        pa.array(add(logs)),
+                        pa.array(add(np.where(shared, logs - share, 0.0))),
+                        pa.ListArray.from_arrays(pa.array(of_rare), pa.array(hashes)),
+                        pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * of).astype(np.int32)), pa.py_buffer(symbols.astype(np.uint16))]),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "logs", "drawn", "rare", "symbols"],
+                )
+
+    return run
+
+
+def _read(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Encoded texts lo..hi: their symbols and ranges."""
+    raw, offs = column_bytes(column)
+    for lo, hi in pieces(offs, PIECE // 3):
+        yield lo, hi, raw[offs[lo] : offs[hi]].view(np.uint16), (offs[lo : hi + 1] - offs[lo]) // 2
+
+
+def _expect(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        k = len(m.first)
+        rows = np.zeros((m.emits.shape[0] + k + 1, k))
+        for batch in batches:
+            for _, _, symbols, of in _read(batch.column("symbols")):
+                first, moved, emitted = forward_backward(symbols, of, m)
+                rows += np.vstack([emitted, moved, first])
         some = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array(np.ascontiguousarray(rows[some, s])) for s in range(k)], ["row", *(f"g{s}" for s in range(k))])
 
@@ -162,60 +158,20 @@ def _start(unigram: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), moves, (emits / emits.sum(0)).astype(np.float32))
 
 
-def log10_likelihood(symbols: np.ndarray, of: np.ndarray, model: Model) -> np.ndarray:
-    """Exact log10 probability of each whole sequence, by the scaled forward recursion."""
-    sizes = np.diff(of)
-    order = np.argsort(-sizes, kind="stable")
-    begin, sizes = of[:-1][order], sizes[order]
-    out = np.zeros(len(sizes))
-    a = np.zeros((len(sizes), len(model.first)))
-    live = np.searchsorted(-sizes, -np.arange(1, (int(sizes[0]) if len(sizes) else 0) + 1), side="right")
-    for t, n in enumerate(live.tolist()):
-        a = (a[:n] @ model.moves if t else np.broadcast_to(model.first, (n, len(model.first)))) * model.emits[symbols[begin[:n] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        out[:n] += np.log10(s)
-    back = np.empty(len(out))
-    back[order] = out
-    return back
-
-
-def _score(lexicon, model):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m = lexicon.value, model.value
+        m = model.value
         for batch in batches:
-            raw, offs = column_bytes(batch.column("text"))
-            for lo, hi, words in words_of(raw, offs, PIECE):
-                symbols, of, counts, shared = _sequences(words, lex)
-                score = log10_likelihood(symbols, of, m)
-                doc = np.repeat(np.arange(hi - lo), words.counts)
-                held = np.maximum(counts, 0)
-                logs = np.log10(held + 1.0)
-                add = lambda x: np.bincount(doc, x, hi - lo)
-                share = np.log10(lex.shared_mass)[np.where(shared, symbols[symbols != lex.end_symbol] - OWN, 0)]
-                score = score + add(np.where(shared, logs - share, 0.0))
-                rare = counts < 0
-                of_rare = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=hi - lo)))).astype(np.int32)
-                hashes = words.hashes(lower=True).view(np.int64)[rare]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo),
-                        batch.column("held_out").slice(lo, hi - lo),
-                        pa.array(words.counts.astype(np.int64) + 1),
-                        pa.array(add(held > 0).astype(np.int64)),
-                        pa.array(add(logs)),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(of_rare), pa.array(hashes)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"],
-                )
+            rest = batch.schema.names[:-1]
+            for lo, hi, symbols, of in _read(batch.column("symbols")):
+                score = pa.array(log10_likelihood(symbols, of, m))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in rest), score], [*rest, "likelihood"])
 
     return run
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, Lexicon, Model]:
-    """``texts(text binary)`` -> table of word counts ``(h, tail, c)``, lexicon and model."""
-    spark = texts.sparkSession
+def learn_lexicon(texts: DataFrame) -> tuple[DataFrame, Lexicon, np.ndarray]:
+    """``texts(text binary)`` -> table of word counts ``(h, tail, c)``, lexicon, and each symbol's share of the tokens."""
     counts = texts.mapInArrow(_counts, "h long, tail int, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -234,17 +190,22 @@ def train(texts: DataFrame) -> tuple[DataFrame, Lexicon, Model]:
     ends = counts.where("tail < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     unigram[-1] += ends
     unigram /= unigram.sum()
+    return counts, lexicon, unigram
+
+
+def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
+    """``encoded(symbols)`` -> the model after SWEEPS sweeps over all rows."""
+    spark = encoded.sparkSession
     model = _start(unigram)
-    held = spark.sparkContext.broadcast(lexicon)
     for _ in range(SWEEPS):
-        schema = "row int, " + ", ".join(f"g{s} double" for s in range(STATES))
-        sums = texts.mapInArrow(_expect(held, spark.sparkContext.broadcast(model)), schema.replace("row int", "row long"))
+        schema = "row long, " + ", ".join(f"g{s} double" for s in range(STATES))
+        sums = encoded.select("symbols").mapInArrow(_expect(spark.sparkContext.broadcast(model)), schema)
         sums = sums.groupBy("row").agg(*[F.sum(f"g{s}").alias(f"g{s}") for s in range(STATES)]).toPandas()  # symbols + states + 1 rows at most
         rows = np.zeros((len(unigram) + STATES + 1, STATES))
         if len(sums):
             rows[sums.row.to_numpy()] = sums.drop(columns="row").to_numpy()
         model = _maximise(rows, unigram, STATES)
-    return counts, lexicon, model
+    return model
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -257,13 +218,16 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counts, lexicon, model = train(base.where(~F.col("held_out")).select("text"))
+    counts, lexicon, unigram = learn_lexicon(base.where(~F.col("held_out")).select("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    run = _score(spark.sparkContext.broadcast(lexicon), spark.sparkContext.broadcast(model))
-    scored = base.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    first = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, drawn double, rare array<long>"
+    encoded = base.mapInArrow(_encode(spark.sparkContext.broadcast(lexicon)), f"{first}, symbols binary")
+    encoded = written(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    model = train(encoded.where(~F.col("held_out")), unigram)
+    narrow = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "drawn", "symbols")
+    scored = narrow.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, drawn double, likelihood double")
     # words whose counts no task holds are looked up by a join
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h")
+    rare = encoded.select("row", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h")
     rare = rare.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"))
     end = counts.where("tail < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     none = F.lit(0.0)
@@ -275,5 +239,5 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(end > 0))).alias("n_known"),
         F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(float(np.log10(lexicon.tokens + lexicon.distinct + 1)))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_logs", none)).alias("score"),
+        (F.col("likelihood") + F.col("drawn") + F.coalesce("rare_logs", none)).alias("score"),
     )

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from wicker.llm import bpe, fingerprints, hidden_markov, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
+from wicker.llm import bpe, components, fingerprints, hidden_markov, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,6 +100,23 @@ def test_without_near_duplicates_drops_only_duplicates(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
 
 
+@pytest.mark.parametrize("local", [3, 500_000])
+def test_components(spark, monkeypatch, local):
+    """With local forests of a few links each and alternating stars, and with one local forest."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (500, 400), (400, 500)]
+    root = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = [tuple(r) for r in components.connected_components(df).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert components.connected_components(df.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("deepest", [1, 8])
 def test_near_duplicates_in_large_nodes(spark, monkeypatch, deepest):
     """Small leaves force centres, contraction and deep branches (or, at once, all the groups of centres); the links stay whole."""

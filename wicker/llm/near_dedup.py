@@ -130,11 +130,11 @@ def _confirm(percent: int):
 
 
 def _compare(percent: int):
-    """One block: its sets against its centres. Similar ones of different labels are linked, each two labels once."""
+    """One block: its sets against its centres. The labels of similar ones are linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, label, n = (table.column(c).to_numpy() for c in ("key", "label", "n_shingles"))
-        sketch = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in _SKETCH], 1)).view(np.uint8).reshape(len(key), COORDINATES)
+        label, n = (table.column(c).to_numpy() for c in ("label", "n_shingles"))
+        sketch = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in _SKETCH], 1)).view(np.uint8).reshape(len(label), COORDINATES)
         raw, offs = column_bytes(table.column("set"))
         flat, of = raw.view(np.uint64), offs // 8
         center = table.column("center").to_numpy()
@@ -155,8 +155,8 @@ def _compare(percent: int):
             both = np.add.reduceat(hit, begin, dtype=np.int64)
             for j in likely[100 * both >= percent * (sizes + n[i] - both)]:
                 if root[j] != root[i]:
-                    a.append(key[i])
-                    b.append(key[j])
+                    a.append(label[i])
+                    b.append(label[j])
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -209,11 +209,16 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         state = written(_mixed(nodes, known, last=depth == DEEPEST - 1), "state")
         if state.isEmpty():
             break
-        known = _components(_with_centers(state, full, percent).unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b"))))
-        open_ = _mixed(state.where("not final").select("node", "key", "n_shingles"), known, last=False)
+        links = written(_with_centers(state, full, percent), "links")
+        if not links.isEmpty():
+            known = _relabelled(known, _components(links))
+        open_ = state.where("not final").select("node", "key", "n_shingles")
+        if open_.isEmpty():
+            break
         # what contraction has made small stays a node, the others branch
+        open_ = written(_mixed(open_, known, last=False), "open")
         again = open_.where("final").select("node", "key", "n_shingles")
-        nodes = written(again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key"))), "nodes")
+        nodes = again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key")))
     return known
 
 
@@ -221,6 +226,13 @@ def _components(links: DataFrame) -> DataFrame:
     return written(connected_components(links).withColumnRenamed("id", "key"), "known")
 
 
+def _relabelled(known: DataFrame, merged: DataFrame) -> DataFrame:
+    """``known(key, root)`` after its labels have been merged; a label that is no key yet is a set of its own."""
+    merged = merged.select(F.col("key").alias("root"), F.col("root").alias("new"))
+    both = known.join(merged, "root", "full").select(F.coalesce("key", "root").alias("key"), F.coalesce("new", "root").alias("root"))
+    return written(both, "known")
+
+
 def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
     """All likely pairs of small nodes, each once."""
     leaves = nodes.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", *_SKETCH)).alias("xs"))
@@ -240,7 +252,7 @@ def _mixed(nodes: DataFrame, known: DataFrame, last: bool) -> DataFrame:
 
 
 def _with_centers(state: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links of each node's sets with its centres: the sets outside the commonest label where they are few, else some drawn by hash."""
+    """Links between the labels of each node's sets and of its centres: the sets outside the commonest label where they are few, else some drawn by hash."""
     chunks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int")
     groups = F.when(F.col("final"), F.ceil(F.col("others") / CENTERS)).otherwise(1).cast("int")
     drawn = F.pmod(F.xxhash64("key", "node"), F.col("size")) * 2 < CENTERS

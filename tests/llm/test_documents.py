@@ -366,14 +366,14 @@ def test_lm_score_is_the_models(spark, monkeypatch):
     for i, t in enumerate(texts):
         raw, offs = lm_scoring.column_bytes(lm_scoring.pa.array([t.encode()], lm_scoring.pa.binary()))
         ((_, _, words_),) = lm_scoring.words_of(raw, offs, 1 << 30)
-        symbols, _, _, shared = lm_scoring._sequences(words_, lexicon)
+        symbols, _, _, _, shared = lm_scoring._sequences(words_, lexicon)
         p = model.first * model.emits[symbols[0]]
         for s in symbols[1:]:
             p = p @ model.moves * model.emits[s]
         want = math.log10(p.sum())
-        for w, s, sh in zip(t.split(), symbols, shared):
-            if sh:
-                want += math.log10((c[w] + 1) / lexicon.shared_mass[s - lm_scoring.OWN])
+        for j, (w, s) in enumerate(zip(t.split(), symbols)):
+            if j in shared:
+                want += math.log10((c[w] + 1) / lexicon.shared_mass[s - lexicon.own])
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
@@ -438,7 +438,7 @@ def test_lm_training_covers_whole_texts(spark, monkeypatch):
     got = lm_scoring.train(encoded, shares)
     raw, offs = lm_scoring.column_bytes(lm_scoring.pa.array([t.encode() for t in texts], lm_scoring.pa.binary()))
     ((_, _, words_),) = lm_scoring.words_of(raw, offs, 1 << 30)
-    symbols, of, _, _ = lm_scoring._sequences(words_, lexicon)
+    symbols, of, *_ = lm_scoring._sequences(words_, lexicon)
     n = lexicon.end_symbol + 1
     unigram = np.bincount(symbols, minlength=n) + 0.01
     unigram /= unigram.sum()

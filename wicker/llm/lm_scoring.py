@@ -11,7 +11,6 @@ by the scaled forward recursion over each whole text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from .words import column_bytes, pieces, words_of
 STATES = 8
 #: Words with a symbol of their own, symbols that the other words share, words whose counts every task holds: fixed sizes.
 OWN, SHARED, HELD = 16_384, 512, 262_144
+#: Bins of counts to each power of two.
+BINS = 64
 #: Sweeps over all training texts.
 SWEEPS = 6
 END = np.int64(0x454E44)
@@ -38,29 +39,38 @@ def symbols_of_tails(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> n
     return (last * 31 + before * 1009) % SHARED
 
 
-@dataclass
 class Lexicon:
-    """Hashes of the most frequent words (sorted), their counts, their own symbols (-1: shared), sizes of shared symbols."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    symbols: np.ndarray
-    shared_mass: np.ndarray
-    tokens: int
-    distinct: int
+    """The most frequent words by hash: their counts, their own symbols (-1: shared), what they add to the scores; sizes of shared symbols."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, symbols: np.ndarray, own: int, shared_mass: np.ndarray, tokens: int, distinct: int):
+        order = np.argsort(keys.view(np.uint64))
+        self.keys, self.counts, self.symbols = keys.view(np.uint64)[order], counts[order], symbols[order]
+        self.logs = np.log10(self.counts + 1.0)
+        self.own, self.shared_mass, self.tokens, self.distinct = own, shared_mass, tokens, distinct
+        # the leading bits of a hash tell where to look
+        self.bits = max(1, int(len(keys)).bit_length() + 2)
+        starts = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.starts, self.longest = starts, int(np.diff(np.append(starts, len(keys))).max())
+        self.padded = np.append(self.keys, np.zeros(self.longest + 1, np.uint64))
 
     @property
     def end_symbol(self) -> int:
-        return OWN + SHARED
-
-    def look_up(self, hashes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol, count (-1: not held) and whether the symbol is shared."""
-        if not len(self.keys):
-            return OWN + tails, np.full(len(hashes), -1, np.int64), np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        held = self.keys[at] == hashes
-        own = np.where(held, self.symbols[at], -1)
-        return np.where(own >= 0, own, OWN + tails), np.where(held, self.counts[at], -1), own < 0
+        return self.own + len(self.shared_mass)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash's place, and whether it is held."""
+        at = self.starts[hashes >> np.uint64(64 - self.bits)]
+        held = (self.padded[at] == hashes) & (at < len(self.keys))
+        rest = np.flatnonzero(~held)
+        for step in range(1, self.longest):
+            if not len(rest):
+                break
+            there = at[rest] + step
+            good = (self.padded[there] == hashes[rest]) & (there < len(self.keys))
+            at[rest[good]] = there[good]
+            held[rest[good]] = True
+            rest = rest[~good]
+        return at, held
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +85,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sequences(words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts with their ends, each text's range, and counts and sharedness of the words."""
-    symbols, counts, shared = lexicon.look_up(words.hashes(lower=True).view(np.int64), symbols_of_tails(words.raw, words.ends, words.starts))
+def _sequences(words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts with their ends, each text's range; of the words: hashes, places in the lexicon (-1: not held), and which share their symbol."""
+    hashes = words.hashes(lower=True)
+    at, held = lexicon.find(hashes)
+    symbols = np.full(len(hashes), -1, np.int64)
+    symbols[held] = lexicon.symbols[at[held]]
+    shared = np.flatnonzero(symbols < 0)
+    symbols[shared] = lexicon.own + symbols_of_tails(words.raw, words.ends[shared], words.starts[shared])
     n = words.counts
     of = np.concatenate(([0], np.cumsum(n + 1)))
     out = np.full(of[-1], lexicon.end_symbol, np.int64)
     out[np.arange(len(symbols)) + np.repeat(np.arange(len(n)), n)] = symbols
-    return out, of, counts, shared
+    return out, of, hashes, np.where(held, at, -1), shared
 
 
 def _encode(lexicon):
@@ -93,24 +108,24 @@ def _encode(lexicon):
         for batch in batches:
             raw, offs = column_bytes(batch.column("text"))
             for lo, hi, words in words_of(raw, offs, PIECE):
-                symbols, of, counts, shared = _sequences(words, lex)
+                symbols, of, hashes, at, shared = _sequences(words, lex)
                 doc = np.repeat(np.arange(hi - lo), words.counts)
-                held = np.maximum(counts, 0)
-                logs = np.log10(held + 1.0)
-                add = lambda x: np.bincount(doc, x, hi - lo)
-                share = np.log10(lex.shared_mass)[np.where(shared, symbols[symbols != lex.end_symbol] - OWN, 0)]
-                rare = counts < 0
+                known = np.append(lex.counts > 0, False)[at]
+                logs = np.append(lex.logs, 0.0)[at]
+                # of a word that shares its symbol, its part of that symbol
+                own = symbols[shared + doc[shared]] - lex.own
+                drawn = np.bincount(doc[shared], logs[shared] - np.log10(lex.shared_mass)[own], hi - lo).astype(float)
+                rare = np.flatnonzero(at < 0)
                 of_rare = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=hi - lo)))).astype(np.int32)
-                hashes = words.hashes(lower=True).view(np.int64)[rare] if rare.any() else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         batch.column("held_out").slice(lo, hi - lo),
                         pa.array(words.counts.astype(np.int64) + 1),
-                        pa.array(add(held > 0).astype(np.int64)),
-                        pa.array(add(logs)),
-                        pa.array(add(np.where(shared, logs - share, 0.0))),
-                        pa.ListArray.from_arrays(pa.array(of_rare), pa.array(hashes)),
+                        pa.array(np.bincount(doc[known], minlength=hi - lo).astype(np.int64)),
+                        pa.array(np.bincount(doc, logs, hi - lo).astype(float)),
+                        pa.array(drawn),
+                        pa.ListArray.from_arrays(pa.array(of_rare), pa.array(hashes[rare].view(np.int64))),
                         pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * of).astype(np.int32)), pa.py_buffer(symbols.astype(np.uint16))]),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "logs", "drawn", "rare", "symbols"],
@@ -175,14 +190,19 @@ def learn_lexicon(texts: DataFrame) -> tuple[DataFrame, Lexicon, np.ndarray]:
     counts = texts.mapInArrow(_counts, "h long, tail int, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("tail") >= 0).orderBy(F.desc("c"), "h").limit(HELD).toPandas()
+    # the frequent words: all above a count, found by a histogram of bins of counts (a few thousand rows), so that no task sends the driver its own first HELD
+    words = counts.where(F.col("tail") >= 0).withColumn("bin", F.floor(F.log2("c") * BINS))
+    bins = words.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+    above = np.cumsum([r.n for r in bins])
+    least = min([r.bin for r, n in zip(bins, above) if n <= HELD], default=1 << 30)
+    top = words.where(F.col("bin") >= least).select("h", "tail", "c").toPandas()  # HELD rows at most
+    top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     own = np.arange(len(top)) < OWN
-    order = np.argsort(top.h.to_numpy())
     by_tail = {r.tail: (r.n, r.v) for r in counts.where("tail >= 0").groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # SHARED rows at most
     mass = np.array([sum(by_tail.get(t, (0, 0))) + 1.0 for t in range(SHARED)])
     head = top[: int(own.sum())]
     mass -= np.bincount(head["tail"], head.c + 1.0, SHARED)
-    lexicon = Lexicon(top.h.to_numpy()[order], top.c.to_numpy()[order], np.where(own, np.arange(len(top)), -1)[order], mass, int(total), int(distinct))
+    lexicon = Lexicon(top.h.to_numpy(np.int64), top.c.to_numpy(np.int64), np.where(own, np.arange(len(top)), -1), OWN, mass, int(total), int(distinct))
     # what each symbol has of all tokens: words of their own, shared ones, the end
     unigram = np.full(OWN + SHARED + 1, 0.01)
     unigram[: len(head)] += head.c

@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import written
 from .words import U, column_bytes, mix, pieces, span_hashes
 
-#: Labelled rows of either class from which the lexicon is mined, and lexicon voters.
-MINED, LEXICON = 4000, 320
-#: Rows of posterior labels on which the classifier is fitted.
-FITTED = 30_000
+#: Lexicon voters.
+LEXICON = 320
 EM_SWEEPS = 3
 PREFIXES = (4, 5, 6, 7, 8)
 PATTERNS = ("exclaims", "shouts", "symbols", "digits", "repeats", "hits", "hit_share", "strong_share")
@@ -67,10 +65,10 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(inverse, y, len(distinct)).astype(np.int64)), pa.array(np.bincount(inverse, 1 - y, len(distinct)).astype(np.int64))], ["h", "a", "b"])
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the features that speak most for the label (sorted), and which of them clean texts hardly have."""
-    picked = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id")).limit(MINED) for y in (1, 0)]
-    picked = F.broadcast(picked[0].union(picked[1]))  # 2 * MINED rows at most
+def mine_lexicon(docs: DataFrame, labels: DataFrame, mined: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the features that speak most for the label (sorted), and which of them clean texts hardly have; from ``mined`` labelled rows of each class at most."""
+    picked = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id")).limit(mined) for y in (1, 0)]
+    picked = F.broadcast(picked[0].union(picked[1]))  # 2 * mined rows at most
     some = docs.join(picked, "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic")
     found = some.mapInArrow(_mine, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ones, zeros = (some.where(F.col("toxic") == y).count() + 1.0 for y in (1, 0))
@@ -232,7 +230,7 @@ def _predict(weights: np.ndarray, m: int):
     return run
 
 
-def _fit(docs: DataFrame, labels: DataFrame, held_out: Column | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame | None]:
+def _fit(docs: DataFrame, labels: DataFrame, held_out: Column | None, mined: int, fitted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame | None]:
     """Lexicon, which of it is strong, weights, and the votes of every row (none where there is nothing to learn)."""
     taught = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if held_out is not None:
@@ -243,35 +241,34 @@ def _fit(docs: DataFrame, labels: DataFrame, held_out: Column | None) -> tuple[n
         none = np.zeros(len(PATTERNS) + 1)
         none[-1] = 30.0 if ones else -30.0
         return np.zeros(0, np.int64), np.zeros(0, bool), none, None
-    lexicon, strong = mine_lexicon(docs, taught)
+    lexicon, strong = mine_lexicon(docs, taught, mined)
     m, kind = len(lexicon), dict(docs.dtypes)["doc_id"]
     votes = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_vote(lexicon, strong), f"doc_id {kind}, votes array<int>, marks array<double>")
     votes = written(votes, "votes")
     side = votes if held_out is None else votes.where(~held_out)
     known = written(side.join(taught, "doc_id", "left").select("doc_id", "votes", "marks", "toxic"), "known")
     model = _fit_labels(known.select("votes", "marks", "toxic"), m)
-    rows = known.count()
-    keep = known if rows <= FITTED else known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * FITTED / rows))
-    batch = keep.select("votes", "marks", "toxic").limit(2 * FITTED).toArrow().combine_chunks().to_batches()[0]
+    # a bounded sample of labelled rows; what they teach is the label model's posterior
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fitted / n))
+    batch = known.where(F.col("toxic").isNotNull() & drawn).select("votes", "marks").limit(fitted).toArrow().combine_chunks().to_batches()[0]
     x = _matrix(batch, m)
-    p = model.posterior(_ballots(x, m))
-    y = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-    return lexicon, strong, _fit_linear(x, np.where(np.isnan(y), p, 0.5 * p + 0.5 * y)), votes
+    return lexicon, strong, _fit_linear(x, model.posterior(_ballots(x, m))), votes
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mined: int = 4000, fitted: int = 30_000) -> DataFrame:
     """``docs(doc_id, text)``, ``labels(doc_id, toxic)`` -> ``doc_id, score, predicted``, one row for each row of ``docs``.
 
     ``score`` (0 to 1, higher: likelier toxic) depends on the text alone. Labels are learnt from rows that
     are not ``held_out`` (a condition on doc_id; default: none is held out); null labels and null ids teach nothing, contradicting ones count as toxic.
     Texts that are null, empty or without letters have no votes and get the score of such texts, a low one. Without any label of
-    one of the classes every score is about 0, or about 1 where all labels are toxic. Repeated rows get a row each; other columns are ignored.
+    one of the classes every score is about 0, or about 1 where all labels are toxic. The lexicon is mined from ``mined`` labelled rows of each class at most and the
+    classifier fitted on the posterior labels of ``fitted`` labelled rows at most, drawn by hash; the label model sums over all rows that aren't held out. Repeated rows get a row each; other columns are ignored.
     """
-    lexicon, strong, weights, votes = _fit(_texts(docs), labels, held_out)
+    lexicon, strong, weights, votes = _fit(_texts(docs), labels, held_out, mined, fitted)
     kind = dict(docs.dtypes)["doc_id"]
     if votes is None:
         votes = _texts(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_vote(lexicon, strong), f"doc_id {kind}, votes array<int>, marks array<double>")
@@ -292,7 +289,7 @@ def _clean(lexicon: np.ndarray, strong: np.ndarray, weights: np.ndarray):
     return run
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, mined: int = 4000, fitted: int = 30_000) -> DataFrame:
     """The rows of ``docs`` whose score is under 0.5; all columns stay as they are."""
-    lexicon, strong, weights, _ = _fit(_texts(docs), labels, None)
+    lexicon, strong, weights, _ = _fit(_texts(docs), labels, None, mined, fitted)
     return docs.mapInArrow(_clean(lexicon, strong, weights), docs.schema)

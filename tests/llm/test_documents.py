@@ -477,6 +477,8 @@ def test_toxicity(spark):
     clean = toxicity.without_toxic(docs, taught)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.predicted == 0}
+    elsewhere = spark.createDataFrame([(5000, 1), (5001, 0)], "doc_id long, toxic int")
+    assert all(r.predicted == 0 for r in toxicity.toxicity(docs, elsewhere).collect())
     none = toxicity.toxicity(docs, taught.where("false")).collect()
     assert len(none) == docs.count() and all(r.predicted == 0 for r in none)
 

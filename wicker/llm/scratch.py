@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,9 +37,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Run ``df`` once, keep its rows as a table in the shared folder and return that table."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Run ``df`` once, keep its rows as a table in the shared folder and return that table; ``clear`` removes it unless it is to ``keep``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if not keep:
+        _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables written so far. For a caller who has written out the results of the operators that made them, as the pipeline has between stages."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

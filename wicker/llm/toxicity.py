@@ -206,16 +206,20 @@ def _fit_labels(votes: DataFrame, m: int) -> LabelModel:
     return model
 
 
-def _fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 12, block: int = 2000) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, block by block; the last weight is the constant."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty)
-        w = w + np.linalg.solve(h, x.T @ (p - q) - penalty * w)
+        h, g = np.diag(penalty), -penalty * w
+        for lo in range(0, len(x), block):
+            part = np.hstack([x[lo : lo + block], np.ones((len(x[lo : lo + block]), 1))])
+            q = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h += (part * (q * (1 - q))[:, None]).T @ part
+            g += part.T @ (p[lo : lo + block] - q)
+        w = w + np.linalg.solve(h, g)
     return w
 
 
@@ -250,16 +254,24 @@ def _fit(docs: DataFrame, labels: DataFrame, held_out: Column | None, mined: int
     model = _fit_labels(known.select("votes", "marks", "toxic"), m)
     # a bounded sample of labelled rows; what they teach is the label model's posterior
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fitted / n))
-    batch = known.where(F.col("toxic").isNotNull() & drawn).select("votes", "marks").limit(fitted).toArrow().combine_chunks().to_batches()[0]
-    x = _matrix(batch, m)
-    return lexicon, strong, _fit_linear(x, model.posterior(_ballots(x, m))), votes
+    batch = known.where(F.col("toxic").isNotNull() & drawn).select("votes", "marks").limit(fitted).toArrow().combine_chunks()
+    if not batch.num_rows:  # none of the labelled documents is there
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.append(np.zeros(len(PATTERNS)), -30.0), None
+    x = np.empty((batch.num_rows, m + len(PATTERNS)), np.float32)
+    p = np.empty(batch.num_rows)
+    at = 0
+    for part in batch.to_batches(max_chunksize=2000):
+        rows = _matrix(part, m)
+        x[at : at + len(rows)], p[at : at + len(rows)] = rows, model.posterior(_ballots(rows, m))
+        at += len(rows)
+    return lexicon, strong, _fit_linear(x, p), votes
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mined: int = 4000, fitted: int = 30_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, mined: int = 4000, fitted: int = 20_000) -> DataFrame:
     """``docs(doc_id, text)``, ``labels(doc_id, toxic)`` -> ``doc_id, score, predicted``, one row for each row of ``docs``.
 
     ``score`` (0 to 1, higher: likelier toxic) depends on the text alone. Labels are learnt from rows that
@@ -289,7 +301,7 @@ def _clean(lexicon: np.ndarray, strong: np.ndarray, weights: np.ndarray):
     return run
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, mined: int = 4000, fitted: int = 30_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, mined: int = 4000, fitted: int = 20_000) -> DataFrame:
     """The rows of ``docs`` whose score is under 0.5; all columns stay as they are."""
     lexicon, strong, weights, _ = _fit(_texts(docs), labels, None, mined, fitted)
     return docs.mapInArrow(_clean(lexicon, strong, weights), docs.schema)

@@ -1,4 +1,7 @@
-"""From raw documents to tokens: the training-data pipeline."""
+"""From raw documents to tokens: the training-data pipeline.
+
+A stage begins when its predecessor's rows have been written and reread, so it first removes the tables that earlier stages wrote half-way.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wicker.llm.bpe import encode
 from wicker.llm.mixing import mixed_documents
 from wicker.llm.near_dedup import without_near_duplicates
-from wicker.llm.scratch import written
+from wicker.llm.scratch import clear, written
 from wicker.llm.substring_dedup import without_repeated
 from wicker.llm.toxicity import without_toxic
 from wicker.session import table
@@ -16,26 +19,31 @@ from wicker.session import table
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; learns from all labels of documents that are there."""
+    clear(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    clear(spark)
     return without_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 35 words or more that occur twice."""
+    clear(spark)
     return without_repeated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, by training position."""
+    clear(spark)
     return mixed_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, the bytes at which they begin, and the text that they decode to."""
+    clear(spark)
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -47,5 +55,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

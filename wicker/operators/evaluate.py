@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import draw, pairs_of
+from ..functions.columns import cosine, draw, pairs_of
 from .baskets import frequencies, npmi_graph
 from .graph import both_ways, similarities, top_k
 
@@ -322,3 +322,31 @@ def best_threshold(rows: DataFrame) -> DataFrame:
     whole = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     curve = per.select("score", (F.sum("pos").over(down) / F.sum("pos").over(whole)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(whole)).alias("fpr"))
     return curve.withColumn("gain", F.round(F.col("tpr") - F.col("fpr"), 9)).orderBy(F.desc("gain"), F.desc("score")).limit(1).select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"), F.round("gain", 6).alias("gain"))
+
+
+def rank_join(a: DataFrame, b: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Two models' ranks of the same instances side by side (D12): ``key, rank_a, rank_b, better``. Tables: key, rank; instances that one of them lacks are an error."""
+    both = a.select(key, F.col("rank").alias("rank_a")).join(b.select(key, F.col("rank").alias("rank_b")), key, "full")
+    alone = both.where("rank_a is null or rank_b is null").agg(F.count("*")).first()[0]
+    if alone:
+        raise ValueError(f"{alone} instances are ranked by one model only")
+    better = F.when(F.col("rank_a") < F.col("rank_b"), "a").when(F.col("rank_b") < F.col("rank_a"), "b").otherwise("tie")
+    return both.withColumn("better", better)
+
+
+def graph_agreement(edges: DataFrame, vectors: DataFrame, least: int = 5, k: int = 100) -> DataFrame:
+    """How well cosines of vectors follow a graph (H31): ``measure, n, value``. ``edges``: src, dst, count, npmi; ``vectors``: item_id, vec.
+
+    Rank correlations of cosine and NPMI over all edges, over those of ``least`` baskets or more, and of cosine and log count over these; and the part of the ``k``
+    edges of highest NPMI among these that are also the ``k`` of highest cosine (ties by src, dst).
+    """
+    u, v = (vectors.select(F.col("item_id").alias(c), F.col("vec").alias(f"v_{c}")) for c in ("src", "dst"))
+    rows = edges.join(u, "src").join(v, "dst").select("src", "dst", "count", F.round("npmi", 9).alias("npmi"), F.round(cosine("v_src", "v_dst"), 9).alias("cosine"), F.round(F.log("count"), 9).alias("log_count"))
+    some = rows.where(F.col("count") >= least)
+    out = None
+    for name, part, x in (("npmi", rows, "npmi"), ("npmi, counted", some, "npmi"), ("log count, counted", some, "log_count")):
+        one = spearman(part.select("cosine", x), "cosine", x).select(F.lit(name).alias("measure"), "n", F.col("rho").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    first = lambda c: some.orderBy(F.desc(c), "src", "dst").limit(k).select("src", "dst")  # noqa: E731  a top k of edges
+    common = first("npmi").join(first("cosine"), ["src", "dst"]).agg(F.count("*").alias("n"))
+    return out.unionByName(common.select(F.lit("top overlap").alias("measure"), "n", F.round(F.col("n") / k, 6).alias("value")))

@@ -217,3 +217,20 @@ def shared_direction(pairs: DataFrame, vectors: DataFrame, labels: DataFrame) ->
     rows = vectors.crossJoin(F.broadcast(labels.select("label", F.col("vec").alias("pole"))))  # labels: a row for each declared direction
     best = rows.groupBy("item_id").agg(F.max_by("label", F.struct(cosine("vec", "pole"), F.col("label"))).alias("label"))
     return pairs.join(best.select(F.col("item_id").alias("a"), "label"), "a").join(best.select(F.col("item_id").alias("b"), "label"), ["b", "label"]).select("a", "b", "label")
+
+
+def pair_evidence(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a graph says of given pairs, in either order (D11): ``a, b, count, npmi``, nulls for pairs that never met."""
+    key = pairs.select("a", "b", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return key.join(edges.select("src", "dst", "count", "npmi"), ["src", "dst"], "left").select("a", "b", "count", "npmi")
+
+
+def entity_attributes(entities: DataFrame, alias: DataFrame) -> DataFrame:
+    """The item x attribute graph of described entities (G1): distinct ``item_id, attr_id``.
+
+    ``entities``: entity_id, forms (surface forms, as ``entity_aliases`` gives them), attrs; ``alias``: surface, item_id. An entity may stand for several items and an
+    item for several entities; an entity none of whose forms is known adds nothing.
+    """
+    form = entities.select("entity_id", F.explode("forms").alias("surface")).join(alias.select("surface", "item_id"), "surface")
+    hits = form.select("entity_id", "item_id").distinct()
+    return hits.join(entities.select("entity_id", F.explode("attrs").alias("attr_id")), "entity_id").select("item_id", "attr_id").distinct()

@@ -372,3 +372,17 @@ def shuffled_rows(vectors: DataFrame, seed: int = 0) -> DataFrame:
     by_id, by_draw = W.orderBy("item_id"), W.orderBy(draw("item_id", seed), "item_id")  # a row for each item of the vocabulary
     left = vectors.select("item_id", F.row_number().over(by_id).alias("r"))
     return left.join(vectors.select("vec", F.row_number().over(by_draw).alias("r")), "r").select("item_id", "vec")
+
+
+def align_vectors(named: DataFrame, items: DataFrame) -> DataFrame:
+    """Vectors by name for a whole vocabulary (B9): ``item_id, name, vec``. ``named``: name, vec; ``items``: item_id, name.
+
+    Names given twice on either side, items without a vector, and values that aren't finite are errors.
+    """
+    twice = lambda df: df.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n"))
+    odd = named.where(~F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))).agg(F.count("*").alias("n"))
+    missing = items.join(named, "name", "left_anti").agg(F.count("*").alias("n"))
+    for what, facts in (("names given twice among the vectors", twice(named)), ("items given twice", twice(items)), ("items without a vector", missing), ("vectors with values that aren't finite", odd)):
+        if n := facts.first()[0]:
+            raise ValueError(f"{n} {what}")
+    return items.join(named, "name").select("item_id", "name", "vec")

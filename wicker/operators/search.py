@@ -64,9 +64,10 @@ def feasible(queries: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, catalog: DataFrame, k1: float = 1.2, b: float = 0.75, scan_limit: int = 50_000, keep: int = 2_000) -> DataFrame:
-    """Baskets by BM25 of their items (I3): ``query_id, basket_id, score, rank, truncated``.
+    """Candidates by BM25 of their items, under a query's two budgets (I3): ``query_id, basket_id, score, rank, truncated``.
 
-    ``scan_limit`` and ``keep`` are the budgets of a query: ranks beyond them are left out and ``truncated`` says so.
+    The ``scan_limit`` best by score are scanned in order, those that satisfy the query are kept, up to ``keep``; ``truncated`` says that one
+    of the budgets ended the search. ``feasible`` is the same search without budgets.
     """
     wanted = searchable(queries).select("query_id", F.explode("pantry").alias("item_id"))
     size = catalog.agg(F.count("*").alias("n"), F.avg(F.size("items")).alias("mean"))
@@ -75,10 +76,12 @@ def bm25(queries: DataFrame, catalog: DataFrame, k1: float = 1.2, b: float = 0.7
     rows = slot.join(wanted.join(df, "item_id").crossJoin(F.broadcast(size)), "item_id")  # size is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = rows.groupBy("query_id", "basket_id").agg(F.sum(part).alias("score"))
-    found = scored.groupBy("query_id").agg(F.count("*").alias("found"))
-    best = top_k(scored, ["query_id"], "score", "basket_id", min(scan_limit, keep))
-    return best.join(found, "query_id").select("query_id", "basket_id", F.round("score", 6).alias("score"), "rank", (F.col("found") > min(scan_limit, keep)).alias("truncated"))
+    scored = rows.groupBy("query_id", "basket_id").agg(F.round(F.sum(part), 6).alias("score"))
+    matched = scored.groupBy("query_id").agg(F.count("*").alias("matched"))
+    scanned = top_k(scored, ["query_id"], "score", "basket_id", scan_limit).drop("rank").join(feasible(queries, catalog).select("query_id", "basket_id"), ["query_id", "basket_id"])
+    kept = scanned.groupBy("query_id").agg(F.count("*").alias("fit"))
+    ended = matched.join(kept, "query_id").select("query_id", ((F.col("matched") > scan_limit) | (F.col("fit") > keep)).alias("truncated"))
+    return top_k(scanned, ["query_id"], "score", "basket_id", keep).join(ended, "query_id").select("query_id", "basket_id", "score", "rank", "truncated")
 
 
 def idf(catalog: DataFrame) -> DataFrame:
@@ -96,50 +99,57 @@ def idf_sums(found: DataFrame, weights: DataFrame) -> DataFrame:
     return found.join(per, ["query_id", "basket_id"]).join(pantry, "query_id")
 
 
-def features(rows: DataFrame, n_items: Column) -> DataFrame:
-    """The twenty ranking features, clipped to 0..1 (I5), from ``idf_sums`` rows and the vocabulary's size."""
-    o, r, p = F.col("overlap").cast("double"), F.size("items").cast("double"), F.size("pantry").cast("double")
-    io, ir, ip = F.col("idf_overlap"), F.col("idf_basket"), F.col("idf_pantry")
-    known, asked = F.col("total_minutes").isNotNull(), F.col("budget").isNotNull()
-    both = known & asked
-    share = F.when(both, F.least("total_minutes", "budget") / F.col("budget")).otherwise(0.0)
-    log = lambda x: F.log1p(x) / F.log1p(n_items)
-    flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    values = {
-        "overlap_log": log(o),
-        "missing_log": log(r - o),
-        "basket_size_log": log(r),
-        "pantry_size_log": log(p),
-        "basket_coverage": o / r,
-        "pantry_coverage": o / p,
-        "jaccard": o / (r + p - o),
-        "idf_basket_coverage": io / ir,
-        "idf_pantry_coverage": io / ip,
-        "idf_jaccard": io / (ir + ip - io),
-        "missing_share": (r - o) / r,
-        "unused_share": (p - o) / p,
-        "exact_match": flag((o == r) & (o == p)),
-        "fully_available": flag(r == o),
-        "time_known": flag(known),
-        "budget_known": flag(asked),
-        "time_log": F.coalesce(F.log1p(F.least(F.col("total_minutes"), F.lit(LONGEST_MINUTES))) / F.log1p(F.lit(LONGEST_MINUTES)), F.lit(0.0)),
-        "time_share": share,
-        "time_slack": F.when(both, 1 - share).otherwise(0.0),
-        "in_budget": flag(both & (F.col("total_minutes") <= F.col("budget"))),
+def _set_features(overlap: Column, basket: Column, pantry: Column) -> dict[str, Column]:
+    """Shares of a basket, of a pantry and of both together; the same for counts and for weights."""
+    return {"basket_coverage": overlap / basket, "pantry_coverage": overlap / pantry, "jaccard": overlap / (basket + pantry - overlap)}
+
+
+def _size_features(overlap: Column, basket: Column, pantry: Column, n_items: Column) -> dict[str, Column]:
+    """Counts on a log scale of the vocabulary, what is lacking or left over, and whether nothing is."""
+    counts = {"overlap_log": overlap, "missing_log": basket - overlap, "basket_size_log": basket, "pantry_size_log": pantry}
+    lacking, left_over = basket - overlap, pantry - overlap
+    return {c: F.log1p(x) / F.log1p(n_items) for c, x in counts.items()} | {
+        "missing_share": lacking / basket,
+        "unused_share": left_over / pantry,
+        "fully_available": (lacking == 0).cast("double"),
+        "exact_match": ((lacking == 0) & (left_over == 0)).cast("double"),
     }
-    return rows.withColumns({k: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) for k, v in values.items()})
 
 
-FEATURES = (
-    "overlap_log missing_log basket_size_log pantry_size_log basket_coverage pantry_coverage jaccard idf_basket_coverage idf_pantry_coverage idf_jaccard"
-    " missing_share unused_share exact_match fully_available time_known budget_known time_log time_share time_slack in_budget"
-).split()
+def _time_features(takes: Column, budget: Column) -> dict[str, Column]:
+    """Time on a log scale, and against a budget where both are known; 0 elsewhere."""
+    known = lambda *xs: (F.size(F.array_compact(F.array(*xs))) == len(xs)).cast("double")
+    share = F.least(takes, budget) / budget
+    return {
+        "time_known": known(takes),
+        "budget_known": known(budget),
+        "time_log": F.coalesce(F.log1p(F.least(takes, F.lit(LONGEST_MINUTES))) / F.log1p(F.lit(LONGEST_MINUTES)), F.lit(0.0)),
+        "time_share": F.coalesce(share, F.lit(0.0)),
+        "time_slack": F.coalesce(1 - share, F.lit(0.0)),
+        "in_budget": F.coalesce((takes <= budget).cast("double"), F.lit(0.0)),
+    }
+
+
+def features(rows: DataFrame, n_items: Column) -> DataFrame:
+    """The ranking features, clipped to 0..1 (I5), from ``idf_sums`` rows and the vocabulary's size: of sets, of their IDF weights, and of time."""
+    sizes = [F.col("overlap").cast("double"), F.size("items").cast("double"), F.size("pantry").cast("double")]
+    weighted = _set_features(*[F.col(f"idf_{c}") for c in ("overlap", "basket", "pantry")])
+    values = _set_features(*sizes) | {f"idf_{c}": v for c, v in weighted.items()} | _size_features(*sizes, n_items) | _time_features(F.col("total_minutes"), F.col("budget"))
+    return rows.withColumns({c: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) for c, v in values.items()})
+
+
+#: The names of the features, by family.
+SET_FEATURES = ("basket_coverage", "pantry_coverage", "jaccard", "idf_basket_coverage", "idf_pantry_coverage", "idf_jaccard")
+SIZE_FEATURES = ("overlap_log", "missing_log", "basket_size_log", "pantry_size_log", "missing_share", "unused_share", "fully_available", "exact_match")
+TIME_FEATURES = ("time_known", "budget_known", "time_log", "time_share", "time_slack", "in_budget")
+FEATURES = [*SET_FEATURES, *SIZE_FEATURES, *TIME_FEATURES]
+#: What the features weigh in the score without a model.
+WEIGHTS = {"idf_jaccard": 3.0, "jaccard": 2.0, "basket_coverage": 0.25, "pantry_coverage": 0.25, "missing_share": -0.5, "fully_available": 0.1, "time_slack": 0.025}
 
 
 def heuristic() -> Column:
     """The fixed score of the features."""
-    terms = {"idf_jaccard": 3.0, "jaccard": 2.0, "basket_coverage": 0.25, "pantry_coverage": 0.25, "missing_share": -0.5, "fully_available": 0.1, "time_slack": 0.025}
-    return sum((w * F.col(c) for c, w in terms.items()), F.lit(0.0))
+    return sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
 
 
 def train_ranker(rows: DataFrame, label: str = "label", hidden: int = 32, seed: int = 3, with_time: bool = True):
@@ -148,7 +158,7 @@ def train_ranker(rows: DataFrame, label: str = "label", hidden: int = 32, seed:
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    used = [c for c in FEATURES if with_time or not ("time" in c or "budget" in c)]
+    used = FEATURES if with_time else [*SET_FEATURES, *SIZE_FEATURES]
     net = MultilayerPerceptronClassifier(layers=[len(used), hidden, 2], featuresCol="x", labelCol=label, seed=seed, maxIter=60)
     return Pipeline(stages=[VectorAssembler(inputCols=used, outputCol="x"), net]).fit(rows)
 
@@ -220,14 +230,53 @@ def pantries(catalog: DataFrame, split: str, max_missing: int = 2, noise: int =
     return out.select(F.col("basket_id").alias("query_id"), pantry.alias("available"), F.col("items").alias("source_items"), F.lit(max_missing).alias("max_missing"))
 
 
-def shortlists(queries: DataFrame, catalog: DataFrame, size: int = 16) -> DataFrame:
-    """Candidate pools (I11): baskets found by one hash-drawn pantry item, the source, feasible only; equal sets are positives; cut by hash."""
-    q = queries.withColumn("pick", F.element_at("available", (1 + F.floor(draw("query_id", 21) * F.size("available"))).cast("int")))
-    slot = catalog.select(F.col("basket_id"), "items", F.explode("items").alias("pick"))
-    found = slot.join(q.select("query_id", "available", "source_items", "max_missing", "pick"), "pick").drop("pick")
+#: Baskets of an item, or of the catalogue, that stand in one cell; a draw picks a cell, then a basket of it.
+CELL = 8
+
+
+def _weighted_pick(items: Column, weights: Column, u: Column) -> Column:
+    """The item in whose part of the line of summed weights u of 0..1 falls."""
+    total = F.aggregate(weights, F.lit(0.0), lambda t, x: t + x)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1).alias("at"))
+    end = F.aggregate(weights, start, lambda s, w: F.struct((s["sum"] + w).alias("sum"), F.when(s["sum"] + w <= u * total, s["at"] + 1).otherwise(s["at"]).alias("at")))
+    return F.element_at(items, F.least(end["at"], F.size(items)))
+
+
+def shortlists(queries: DataFrame, catalog: DataFrame, size: int = 16, pool: int = 32) -> DataFrame:
+    """Candidate pools for training (I11): ``query_id, basket_id, available, items, label, missing``, at most ``size`` a query.
+
+    Seven eighths of a pool's draws come from the baskets of a pantry item that is drawn by its IDF, the rest from the whole catalogue; the source
+    joins them. Feasible ones stay, each once; sets equal to the source are positives. The source comes first, then others by Jaccard similarity with the pantry,
+    of the equal sets one ahead of the last places.
+    """
+    hard = max(1, pool * 7 // 8)
+    weights = idf(catalog).select("item_id", "df", "idf")
+    pantry = queries.select("query_id", F.explode("available").alias("item_id")).join(weights, "item_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "idf"))).alias("w"))
+    draws = pantry.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.lit(hard))).alias("i"))
+    u = lambda seed: draw(F.concat_ws("-", "query_id", "i"), seed)
+    picks = draws.select("query_id", "i", _weighted_pick(F.col("w")["item_id"], F.col("w")["idf"], u(21)).alias("item_id")).join(weights.select("item_id", "df"), "item_id")
+    cells = lambda n: F.ceil(n / CELL)
+    picks = picks.withColumn("cell", F.floor(u(22) * cells(F.col("df"))))
+    slot = catalog.select("basket_id", F.explode("items").alias("item_id")).join(weights.select("item_id", "df"), "item_id")
+    slot = slot.withColumn("cell", F.floor(draw(F.concat_ws("-", "basket_id", "item_id"), 23) * cells(F.col("df")))).drop("df")
+    nearest = F.min(F.struct(draw(F.concat_ws("-", "query_id", "i", "basket_id"), 24).alias("u"), "basket_id")).alias("m")
+    near = picks.join(slot, ["item_id", "cell"]).groupBy("query_id", "i").agg(nearest)
+    n = catalog.agg(F.count("*").alias("n"))
+    whole = catalog.select("basket_id").crossJoin(F.broadcast(n)).select("basket_id", F.floor(draw("basket_id", 25) * cells(F.col("n"))).alias("cell"))  # one row
+    far = queries.select("query_id", F.explode(F.sequence(F.lit(hard + 1), F.lit(max(pool, hard + 1)))).alias("i")).crossJoin(F.broadcast(n)).select("query_id", "i", F.floor(u(26) * cells(F.col("n"))).alias("cell"))  # one row
+    far = far.join(whole, "cell").groupBy("query_id", "i").agg(nearest)
+    drawn = near.unionByName(far).select("query_id", F.col("m.basket_id").alias("basket_id"), F.lit(False).alias("source"))
+    drawn = drawn.unionByName(queries.select("query_id", F.col("query_id").alias("basket_id"), F.lit(True).alias("source")))
+    once = drawn.groupBy("query_id", "basket_id").agg(F.max("source").alias("source"))
+    found = once.join(queries.select("query_id", "available", "source_items", "max_missing"), "query_id").join(catalog.select("basket_id", "items"), "basket_id")
     missing = F.size(F.array_except("items", "available"))
-    found = found.where(missing <= F.col("max_missing")).withColumn("label", (F.col("items") == F.col("source_items")).cast("int"))
-    order = W.partitionBy("query_id").orderBy(F.desc("label"), draw(F.concat_ws("-", "query_id", "basket_id"), 22), "basket_id")
+    found = found.where((missing <= F.col("max_missing")) & F.arrays_overlap("items", "available")).withColumn("label", (F.col("items") == F.col("source_items")).cast("int"))
+    like = F.round(F.size(F.array_intersect("items", "available")) / F.size(F.array_union("items", "available")), 9)
+    inside = W.partitionBy("query_id", "label", "source").orderBy(F.desc(like), "basket_id")
+    found = found.withColumn("n", F.row_number().over(inside))
+    # source, size - 2 negatives, one equal set, then what is left
+    turn = F.when(F.col("source"), 0).when((F.col("label") == 0) & (F.col("n") <= size - 2), 1).when((F.col("label") == 1) & (F.col("n") == 1), 2).otherwise(3)
+    order = W.partitionBy("query_id").orderBy(turn, F.desc(like), "basket_id")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).select("query_id", "basket_id", "available", "items", "label", missing.alias("missing"))
 
 
@@ -237,13 +286,36 @@ def ledger(used: DataFrame, all_rows: DataFrame) -> DataFrame:
     return per.agg(F.count_if(F.col("uses") == 0).alias("unused"), F.count_if(F.col("uses") == 1).alias("once"), F.count_if(F.col("uses") > 1).alias("repeated"), F.count("*").alias("n"))
 
 
-def search_report(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """Recall at 1, 5 and 10, MRR at 10 and empty answers (I13); queries without an answer count. ``expected``: query_id, basket_id; ``results``: with rank."""
+def violations(results: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Results that break a constraint of their query (I13): ``query_id, basket_id``; there should be none."""
+    empty = F.array().cast("array<bigint>")
+    rows = results.select("query_id", "basket_id").join(queries.drop("items"), "query_id").join(catalog.select("basket_id", "items", "lang", "total_minutes", "servings"), "basket_id")
+    must, out = F.coalesce("must_use", empty), F.coalesce("exclude", empty)
+    broken = (F.size(F.array_except(must, "items")) > 0) | F.arrays_overlap("items", out)
+    broken = broken | (F.size(F.array_except("items", F.array_union("available", must))) > F.col("max_missing")) | ~constraints()
+    return rows.where(broken).select("query_id", "basket_id")
+
+
+def search_report(results: DataFrame, expected: DataFrame, shortlist: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """Recall at 1, 5 and 10, MRR at 10, empty answers, and, where the tables are given, shortlist hits, truncations and violations (I13); queries without an answer count.
+
+    ``expected``: query_id, basket_id (all baskets that are right); ``results``: with rank; ``shortlist``: query_id, basket_id, truncated; ``broken``: rows of ``violations``.
+    """
     first = expected.join(results.select("query_id", "basket_id", "rank"), ["query_id", "basket_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
     some = results.groupBy("query_id").agg(F.count("*").alias("answers"))
     rows = first.join(some, "query_id", "left")
+    if shortlist is not None:
+        listed = shortlist.join(expected.withColumn("right", F.lit(True)), ["query_id", "basket_id"], "left").groupBy("query_id").agg(F.max(F.coalesce("right", F.lit(False))).alias("listed"), F.max("truncated").alias("truncated"))
+        rows = rows.join(listed, "query_id", "left")
+    if broken is not None:
+        rows = rows.join(broken.groupBy("query_id").agg(F.count("*").alias("broken")), "query_id", "left")
     hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
-    return rows.agg(F.count("*").alias("n"), hit(1).alias("recall_1"), hit(5).alias("recall_5"), hit(10).alias("recall_10"), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_10"), F.count_if(F.col("answers").isNull()).alias("empty"))
+    out = [F.count("*").alias("n"), hit(1).alias("recall_1"), hit(5).alias("recall_5"), hit(10).alias("recall_10"), F.round(F.avg(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_10"), F.count_if(F.col("answers").isNull()).alias("empty")]
+    if shortlist is not None:
+        out += [F.round(F.avg(F.coalesce("listed", F.lit(False)).cast("int")), 6).alias("shortlist_hit"), F.count_if("truncated").alias("truncated")]
+    if broken is not None:
+        out.append(F.coalesce(F.sum("broken"), F.lit(0)).alias("violations"))
+    return rows.agg(*out)
 
 
 def evaluation_queries(catalog: DataFrame, least: int = 4) -> DataFrame:

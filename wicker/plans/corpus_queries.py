@@ -157,13 +157,13 @@ def alias_gain(spark: P, sf: str) -> D:
     return B.alias_gain(t.withColumnRenamed("term", "line"), [("short", alias(3)), ("longer", alias(5))])
 
 
-@query("with k as (select source, dense_rank() over (order by source) - 1 source_rank, substr(text, 1, 60) as key from documents), f as (select key, min(source_rank) first_rank from k group by 1), u as (select distinct source, source_rank, key from k) select source, source_rank, count(*) unique_keys, count(*) filter (source_rank = first_rank) net_new from u join f using (key) group by 1, 2")
+@query("with k as (select source, dense_rank() over (order by source) - 1 source_rank, md5(text) as key from documents), f as (select key, min(source_rank) first_rank from k group by 1), u as (select distinct source, source_rank, key from k) select source, source_rank, count(*) unique_keys, count(*) filter (source_rank = first_rank) net_new from u join f using (key) group by 1, 2")
 def net_new(spark: P, sf: str) -> D:
     from pyspark.sql import Window as W
 
     d = table(spark, sf, "documents")
     rank = d.select("source").distinct().withColumn("source_rank", F.row_number().over(W.orderBy("source")) - 1)  # a row for each source
-    return B.net_new(d.select("source", F.substring("text", 1, 60).alias("key")).join(rank, "source"))
+    return B.net_new(d.select("source", F.md5("text").alias("key")).join(rank, "source"))
 
 
 @query("with t(source, declared) as (values ('src0', 50::bigint), ('src1', 37), ('src99', 10)), f as (select source, count(*) found from documents group by 1) select source, coalesce(found, 0) found, declared, coalesce(found, 0) - declared delta, case when declared is null then 'undeclared' when coalesce(found, 0) = declared then 'equal' when found is null then 'missing' else 'differs' end status from f full join t using (source)")
@@ -200,13 +200,13 @@ def usable_text(spark: P, sf: str) -> D:
 
 
 @query(
-    "with r as (select l_partkey fp, case when l_linenumber = 1 then l_quantity end total, case when l_linenumber = 2 then l_quantity end prep, case when l_linenumber = 3 then l_quantity end cook from lineitem where l_shipdate < timestamp '1996-01-01'),"
+    "with r as (select l_partkey fp, case when l_linenumber = 1 then l_quantity end total, case when l_linenumber = 2 then l_quantity end prep, case when l_linenumber = 3 then l_quantity end cook from lineitem),"
     " g as (select fp, count(distinct total) nt, count(distinct prep) np, count(distinct cook) nc, min(total) t, min(prep) p, min(cook) c from r group by 1), v as (select fp, nt, np, nc, case when nt <= 1 then t end total, case when np <= 1 then p end prep, case when nc <= 1 then c end cook from g),"
     " s as (select *, case when greatest(nt, np, nc) > 1 then 'ambiguous' when coalesce(greatest(prep, cook) > total + 1e-9, false) then 'inconsistent' when total is not null then 'source_total' else 'unknown' end time_status from v)"
     " select fp, case when time_status = 'source_total' then total end total, prep, cook, time_status, prep + cook derived_total from s"
 )
 def merge_metadata(spark: P, sf: str) -> D:
-    l = table(spark, sf, "lineitem").where("l_shipdate < timestamp '1996-01-01'")
+    l = table(spark, sf, "lineitem")
     at = lambda n, name: F.when(F.col("l_linenumber") == n, F.col("l_quantity")).alias(name)
     return B.merge_metadata(l.select(F.col("l_partkey").alias("fp"), at(1, "total"), at(2, "prep"), at(3, "cook")))
 
@@ -301,11 +301,11 @@ def index_bias(spark: P, sf: str) -> D:
 
 
 @query(
-    "with a as (select l_orderkey source, l_linenumber row_no, l_partkey as key from lineitem where l_orderkey < 500), g as (select source, row_no, min(key) as key from a group by 1, 2), b as (select source, row_no, case when key % 5 = 0 then -1 else key end as key from g where key % 7 <> 0)"
+    "with a as (select l_orderkey source, l_linenumber row_no, l_partkey as key from lineitem), g as (select source, row_no, min(key) as key from a group by 1, 2), b as (select source, row_no, case when key % 5 = 0 then -1 else key end as key from g where key % 7 <> 0)"
     " select source, count(*) filter (b.key = g.key) matched, count(*) filter (b.key <> g.key) differ, count(*) filter (b.key is null) only_reader, 0::bigint only_metadata from g left join b using (source, row_no) group by 1"
 )
 def stream_alignment(spark: P, sf: str) -> D:
-    a = table(spark, sf, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("row_no")).agg(F.min("l_partkey").alias("key"))
+    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("row_no")).agg(F.min("l_partkey").alias("key"))
     b = a.where("key % 7 <> 0").withColumn("key", F.when(F.col("key") % 5 == 0, F.lit(-1)).otherwise(F.col("key")))
     return Q.stream_alignment(a, b)
 

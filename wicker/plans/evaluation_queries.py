@@ -57,14 +57,14 @@ def completion_instances(spark: P, sf: str) -> D:
 
 
 _RANKS = (
-    f"{X.EDGES}, {_INST}, few as (select * from ctx where basket_id % 10 = 0), sc as (select basket_id, b item_id, round(sum(weight), 9) score from (select basket_id, context, unnest(context) a from few) x join both_ways using (a) where not list_contains(context, b) group by 1, 2),"
+    f"{X.EDGES}, {_INST}, few as (select * from ctx where basket_id % 20 = 0), sc as (select basket_id, b item_id, round(sum(weight), 9) score from (select basket_id, context, unnest(context) a from few) x join both_ways using (a) where not list_contains(context, b) group by 1, 2),"
     " own as (select few.basket_id, target, len(context) k, score own from few left join sc on sc.basket_id = few.basket_id and sc.item_id = target),"
     " mid as (select own.basket_id, target, case when own is not null then count(*) filter (score > own) + 1 + (count(*) filter (score = own) - 1) / 2.0 else count(score) + 1 + ((select count(*) from items) - k - count(score) - 1) / 2.0 end::double as rank, (select count(*) from items) - k as pool from own left join sc using (basket_id) group by own.basket_id, target, own, k)"
 )
 
 
 def _ranks(spark: P, sf: str) -> D:
-    inst = E.completion_instances(baskets_of(spark, sf)).where("basket_id % 10 = 0")
+    inst = E.completion_instances(baskets_of(spark, sf)).where("basket_id % 20 = 0")
     scores = E.graph_scores(inst, edges_of(spark, sf))
     return E.midranks(inst, scores, X.items(spark, sf))
 
@@ -90,13 +90,13 @@ def macro_recall(spark: P, sf: str) -> D:
     return E.macro_recall(_ranks(spark, sf))
 
 
-_POP = f"{X.SLOTS}, {_INST}, {X.DF}, few as (select * from ctx where basket_id % 10 = 0), pop as (select basket_id, item_id, df::double score from few, df where not list_contains(context, item_id))"
+_POP = f"{X.SLOTS}, {_INST}, {X.DF}, few as (select * from ctx where basket_id % 20 = 0), pop as (select basket_id, item_id, df::double score from few, df where not list_contains(context, item_id))"
 
 
 @query(f"with {_POP}, r as (select *, rank() over (partition by basket_id order by score desc) as rank from pop) select r.basket_id, item_id, score, rank from r join few on few.basket_id = r.basket_id and target = item_id")
 def popularity_ranks(spark: P, sf: str) -> D:
     b = baskets_of(spark, sf)
-    inst = E.completion_instances(b).where("basket_id % 10 = 0")
+    inst = E.completion_instances(b).where("basket_id % 20 = 0")
     r = E.optimistic_ranks(E.popularity_scores(inst, B.frequencies(b)))
     return r.join(inst.select("basket_id", F.col("target").alias("item_id")), ["basket_id", "item_id"]).select("basket_id", "item_id", "score", "rank")
 
@@ -108,7 +108,7 @@ def popularity_ranks(spark: P, sf: str) -> D:
 )
 def backtest(spark: P, sf: str) -> D:
     b = baskets_of(spark, sf)
-    inst = E.completion_instances(b).where("basket_id % 10 = 0")
+    inst = E.completion_instances(b).where("basket_id % 20 = 0")
     df = B.frequencies(b)
     s = E.graph_scores(inst, edges_of(spark, sf)).withColumn("scorer", F.lit("graph")).unionByName(E.popularity_scores(inst, df).withColumn("scorer", F.lit("popularity")))
     return E.backtest(s, inst, df, staples=20)
@@ -120,14 +120,14 @@ def silent_instances(spark: P, sf: str) -> D:
 
 
 def _vocab(spark: P, sf: str) -> D:
-    return X.vectors(spark, sf).where("item_id < 64").select("item_id", "vec")
+    return X.vectors(spark, sf).join(X.items(spark, sf), "item_id", "left_semi").select("item_id", "vec")
 
 
-_V64 = "v as (select vec_id item_id, embedding::double[] vec from embeddings where vec_id < 64)"
+_V64 = "v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id)"
 
 
 @query(
-    f"with {X.EDGES}, {_V64}, t as (select src, dst, (1 + floor({X.draw_sql('src || chr(45) || dst', 0)} * 64))::int - 1 other from edges), c as (select round(list_cosine_similarity(a.vec, b.vec), 9) near, round(list_cosine_similarity(a.vec, o.vec), 9) far from t join v a on a.item_id = src join v b on b.item_id = dst join v o on o.item_id = other where other <> src and other <> dst), w as (select case when near > far then 1.0 when near = far then 0.5 else 0.0 end::double w from c)"
+    f"with {X.EDGES}, {_V64}, t as (select src, dst, (1 + floor({X.draw_sql('src || chr(45) || dst', 0)} * (select count(*) from v)))::int - 1 other from edges), c as (select round(list_cosine_similarity(a.vec, b.vec), 9) near, round(list_cosine_similarity(a.vec, o.vec), 9) far from t join v a on a.item_id = src join v b on b.item_id = dst join v o on o.item_id = other where other <> src and other <> dst), w as (select case when near > far then 1.0 when near = far then 0.5 else 0.0 end::double w from c)"
     " select count(*) n, round(avg(w), 6) accuracy, round(1.96 * stddev_samp(w) / sqrt(count(*)), 6) half_width from w"
 )
 def triplet_accuracy(spark: P, sf: str) -> D:
@@ -144,9 +144,9 @@ def noise_control(spark: P, sf: str) -> D:
     return out
 
 
-@query(f"with v as (select vec_id item_id, embedding::double[] vec from embeddings), c as (select a.item_id a, b.item_id b, row_number() over (partition by a.item_id order by round(list_cosine_similarity(a.vec, b.vec), 9) desc, b.item_id) as rank from v a join v b on a.item_id <> b.item_id), {X.SUBS}, s as (select a, b from subs where a < 500 and b < 500), n as (select a, count(*) n from s group by 1 having count(*) >= 2), h as (select s.a, n, count(c.b) hits from s join n using (a) left join c on c.a = s.a and c.b = s.b and rank <= 10 group by 1, 2) select count(*) anchors, round(avg(hits / least(n, 10)::double), 6) recall from h")
+@query(f"with v as (select vec_id item_id, embedding::double[] vec from embeddings), c as (select a.item_id a, b.item_id b, row_number() over (partition by a.item_id order by round(list_cosine_similarity(a.vec, b.vec), 9) desc, b.item_id) as rank from v a join v b on a.item_id <> b.item_id), {X.SUBS}, s as (select a, b from subs), n as (select a, count(*) n from s group by 1 having count(*) >= 2), h as (select s.a, n, count(c.b) hits from s join n using (a) left join c on c.a = s.a and c.b = s.b and rank <= 10 group by 1, 2) select count(*) anchors, round(avg(hits / least(n, 10)::double), 6) recall from h")
 def substitution_recall(spark: P, sf: str) -> D:
-    s = X.subs(spark, sf).where("a < 500 and b < 500")
+    s = X.subs(spark, sf)
     near = G.top_k(G.similarities(X.vectors(spark, sf)).withColumn("cosine", F.round("cosine", 9)), ["a"], "cosine", "b", 10)
     return E.substitution_recall(near, s, least=2)
 
@@ -190,13 +190,13 @@ def blend_sweep(spark: P, sf: str) -> D:
 
 
 def _hits(spark: P, sf: str) -> D:
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf, "orders")
     m = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (draw("o_orderkey", s) < p).cast("double").alias("hit")) for n, s, p in (("a", 1, 0.5), ("b", 2, 0.55), ("popularity", 3, 0.45))]))
     return o.select(F.col("o_orderkey").alias("instance_id"), m.alias("m")).select("instance_id", "m.*")
 
 
 def _hits_sql() -> str:
-    part = " union all ".join(f"select o_orderkey id, '{n}' model, ({X.draw_sql('o_orderkey', s)} < {p})::int::double hit from orders where o_orderkey % 5 = 0" for n, s, p in (("a", 1, 0.5), ("b", 2, 0.55), ("popularity", 3, 0.45)))
+    part = " union all ".join(f"select o_orderkey id, '{n}' model, ({X.draw_sql('o_orderkey', s)} < {p})::int::double hit from orders" for n, s, p in (("a", 1, 0.5), ("b", 2, 0.55), ("popularity", 3, 0.45)))
     steps = []
     mass, term = 0.0, 1.0 / 2.718281828459045
     for k in range(8):
@@ -342,3 +342,25 @@ def permutation_p(spark: P, sf: str) -> D:
 def pair_score_audit(spark: P, sf: str) -> D:
     s = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("seed"), (F.col("o_custkey") % 20).alias("a"), (F.col("o_orderkey") % 20).alias("b")).agg(F.round(F.avg("o_totalprice"), 3).alias("score"))
     return T.pair_score_audit(s.withColumn("label", F.col("score") > 200000))
+
+
+@query("with a as (select o_orderkey instance_id, rank() over (partition by o_custkey order by o_totalprice desc) r from orders), b as (select o_orderkey instance_id, rank() over (partition by o_custkey order by o_orderdate) r from orders) select instance_id, a.r rank_a, b.r rank_b, case when a.r < b.r then 'a' when b.r < a.r then 'b' else 'tie' end better from a join b using (instance_id)")
+def rank_join(spark: P, sf: str) -> D:
+    from pyspark.sql import Window as W
+
+    o = table(spark, sf, "orders")
+    by = lambda c: o.select(F.col("o_orderkey").alias("instance_id"), F.rank().over(W.partitionBy("o_custkey").orderBy(c)).alias("rank"))  # noqa: E731  a customer's orders
+    return E.rank_join(by(F.desc("o_totalprice")), by(F.col("o_orderdate")))
+
+
+_AGREE = f"""{X.EDGES}, {_V64}, ec as (select src, dst, cnt, round(npmi, 9) npmi, round(list_cosine_similarity(a.vec, b.vec), 9) cosine, round(ln(cnt), 9) lc from edges join v a on a.item_id = src join v b on b.item_id = dst), es as (select * from ec where cnt >= 5)"""
+
+
+def _rho_sql(name: str, rows: str, x: str) -> str:
+    mid = lambda c: f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"
+    return f"select '{name}' measure, count(*) n, round(corr(p, q), 6) as value from (select {mid('cosine')} p, {mid(x)} q from {rows})"
+
+
+@query(f"with {_AGREE} {_rho_sql('npmi', 'ec', 'npmi')} union all {_rho_sql('npmi, counted', 'es', 'npmi')} union all {_rho_sql('log count, counted', 'es', 'lc')} union all select 'top overlap', count(*), round(count(*) / 100.0::double, 6) from (select src, dst from es order by npmi desc, src, dst limit 100) semi join (select src, dst from es order by cosine desc, src, dst limit 100) using (src, dst)")
+def graph_agreement(spark: P, sf: str) -> D:
+    return E.graph_agreement(edges_of(spark, sf), _vocab(spark, sf))

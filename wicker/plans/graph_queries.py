@@ -68,23 +68,23 @@ def trivial_pairs(spark: P, sf: str) -> D:
     return G.trivial_pairs(X.items(spark, sf), X.item_attr(spark, sf))
 
 
-_SOME_PAIRS = "few as (select src a, dst b from edges where src < 8)"
+_SOME_PAIRS = "few as (select src a, dst b from edges)"
 
 
 @query(f"with {X.EDGES}, {_SOME_PAIRS}, s as (select few.a, few.b, x.b c, round(least(x.weight, y.weight), 9) strength from few join both_ways x on x.a = few.a join both_ways y on y.a = few.b and y.b = x.b), r as (select *, row_number() over (partition by a, b order by strength desc, c) as rank from s) select a, b, c, rank from r where rank <= 5")
 def bridges(spark: P, sf: str) -> D:
     e = edges_of(spark, sf).withColumn("npmi", F.round("npmi", 9))
-    return G.bridges(e, e.where("src < 8").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("a", "b", "c", "rank")
+    return G.bridges(e, e.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("a", "b", "c", "rank")
 
 
 def _vocab_vectors(spark: P, sf: str) -> D:
-    return X.vectors(spark, sf).where("item_id < 64").select("item_id", "vec")
+    return X.vectors(spark, sf).join(X.items(spark, sf), "item_id", "left_semi").select("item_id", "vec")
 
 
 _COS = "v as (select vec_id item_id, embedding::double[] vec, label from embeddings), cosines as (select a.item_id a, b.item_id b, list_cosine_similarity(a.vec, b.vec) cosine from v a join v b on a.item_id <> b.item_id)"
 
 
-@query(f"with {X.EDGES}, v as (select vec_id item_id, embedding::double[] vec from embeddings where vec_id < 64), cosines as (select a.item_id a, b.item_id b, list_cosine_similarity(a.vec, b.vec) cosine from v a join v b on a.item_id <> b.item_id), s as (select coalesce(e.a, c.a) a, coalesce(e.b, c.b) b, round(case when weight is not null and cosine is not null then 0.6 * weight + 0.4 * cosine else coalesce(cosine, weight) end, 6) score from both_ways e full join cosines c on e.a = c.a and e.b = c.b), r as (select *, row_number() over (partition by a order by score desc, b) as rank from s) select a, b, score, rank from r where rank <= 10")
+@query(f"with {X.EDGES}, v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id), cosines as (select a.item_id a, b.item_id b, list_cosine_similarity(a.vec, b.vec) cosine from v a join v b on a.item_id <> b.item_id), s as (select coalesce(e.a, c.a) a, coalesce(e.b, c.b) b, round(case when weight is not null and cosine is not null then 0.6 * weight + 0.4 * cosine else coalesce(cosine, weight) end, 6) score from both_ways e full join cosines c on e.a = c.a and e.b = c.b), r as (select *, row_number() over (partition by a order by score desc, b) as rank from s) select a, b, score, rank from r where rank <= 10")
 def blended_neighbours(spark: P, sf: str) -> D:
     return G.blended_neighbours(edges_of(spark, sf), G.similarities(_vocab_vectors(spark, sf)))
 
@@ -116,18 +116,18 @@ def pair_verdict(spark: P, sf: str) -> D:
     return G.pair_verdict(p).select("a", "b", "score", "label")
 
 
-_QUERIES = "q as (select basket_id query_id, list(item_id order by item_id) items from slots where basket_id % 50 = 0 group by 1)"
+_QUERIES = "q as (select basket_id query_id, list(item_id order by item_id) items from slots where basket_id % 20 = 0 group by 1)"
 
 
 @query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(sum(weight), 6) score, count(*) n from x join both_ways using (a) where not list_contains(items, b) group by 1, 2) select query_id, item_id, score, n edges from s")
 def basket_scores(spark: P, sf: str) -> D:
-    q = baskets_of(spark, sf).where("basket_id % 50 = 0").withColumnRenamed("basket_id", "query_id")
+    q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
     return G.basket_scores(q, edges_of(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(avg(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) select query_id, item_id, score from r where rank = 1")
 def best_addition(spark: P, sf: str) -> D:
-    q = baskets_of(spark, sf).where("basket_id % 50 = 0").withColumnRenamed("basket_id", "query_id")
+    q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
     s = G.both_ways(edges_of(spark, sf)).select("a", "b", F.col("weight").alias("score"))
     return G.best_addition(q, s).select("query_id", "item_id", "score")
 
@@ -153,7 +153,7 @@ def neighbour_overlap(spark: P, sf: str) -> D:
 
 @query()
 def suppress_near_duplicates(spark: P, sf: str) -> D:
-    q = baskets_of(spark, sf).where("basket_id % 50 = 0").withColumnRenamed("basket_id", "query_id")
+    q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
     s = G.basket_scores(q, edges_of(spark, sf)).withColumn("score", F.round("score", 6))
     return G.suppress_near_duplicates(G.top_k(s, ["query_id"], "score", "item_id", 30), G.near_duplicate_names(X.items(spark, sf), FORMS), k=5, bound=30)
 
@@ -163,10 +163,10 @@ def substitutes(spark: P, sf: str) -> D:
     return G.substitutes(X.subs(spark, sf))
 
 
-@query(f"with {X.EDGES}, m as (select p_name as name, substr(p_brand, 1, 7) grp, count(*) proximity from part group by 1, 2), mi as (select item_id, grp, proximity, row_number() over (partition by grp order by proximity desc, item_id) <= 8 as top from m join items using (name)) select e.src a, e.dst b, x.grp, x.top and y.top core from (select * from edges where src < 8) e join mi x on x.item_id = e.src join mi y on y.item_id = e.dst and y.grp = x.grp")
+@query(f"with {X.EDGES}, m as (select p_name as name, substr(p_brand, 1, 7) grp, count(*) proximity from part group by 1, 2), mi as (select item_id, grp, proximity, row_number() over (partition by grp order by proximity desc, item_id) <= 8 as top from m join items using (name)) select e.src a, e.dst b, x.grp, x.top and y.top core from edges e join mi x on x.item_id = e.src join mi y on y.item_id = e.dst and y.grp = x.grp")
 def shared_groups(spark: P, sf: str) -> D:
     m = table(spark, sf, "part").groupBy(F.col("p_name").alias("name"), F.substring("p_brand", 1, 7).alias("grp")).agg(F.count("*").alias("proximity")).join(X.items(spark, sf), "name")
-    return G.shared_groups(edges_of(spark, sf).where("src < 8").select(F.col("src").alias("a"), F.col("dst").alias("b")), m)
+    return G.shared_groups(edges_of(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b")), m)
 
 
 @query("with v as (select vec_id item_id, embedding::double[] vec from embeddings), l as (select item_id as label, vec pole from v where item_id < 6), b as (select item_id, arg_max(label, list_cosine_similarity(vec, pole)) as label from v, l group by 1), p as (select vec_id a, vec_id + 1 b from embeddings) select p.a, p.b, x.label from p join b x on x.item_id = p.a join b y on y.item_id = p.b and y.label = x.label")
@@ -234,7 +234,7 @@ def truncated(spark: P, sf: str) -> D:
 
 
 @query(
-    f"with {X.EDGES}, v as (select vec_id item_id, embedding::double[] vec from embeddings where vec_id < 64), e as (select src a, dst b from edges where npmi >= 0.0 union all select dst, src from edges where npmi >= 0.0 union all select item_id, item_id from v), d as (select a, count(*) d from e group by 1), w as (select e.a, e.b, 1 / sqrt(x.d * y.d) w from e join d x on x.a = e.a join d y on y.a = e.b),"
+    f"with {X.EDGES}, v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id), e as (select src a, dst b from edges where npmi >= 0.0 union all select dst, src from edges where npmi >= 0.0 union all select item_id, item_id from v), d as (select a, count(*) d from e group by 1), w as (select e.a, e.b, 1 / sqrt(x.d * y.d) w from e join d x on x.a = e.a join d y on y.a = e.b),"
     " l0 as (select item_id, unnest(vec) x, unnest(generate_series(1, 64)) i from v), l1 as (select b item_id, i, sum(w * x) x from w join l0 on l0.item_id = w.a group by 1, 2), l2 as (select b item_id, i, sum(w * x) x from w join l1 on l1.item_id = w.a group by 1, 2) select item_id, round(sum(x * x), 5) sq from l2 group by 1"
 )
 def propagate(spark: P, sf: str) -> D:
@@ -306,9 +306,9 @@ def table_agreement(spark: P, sf: str) -> D:
     return R.table_agreement(found, found.where("rank <= 3").select("query_id", "angle", (F.col("item_id") + F.when(F.col("rank") == 3, 1).otherwise(0)).alias("item_id"), "rank"))
 
 
-@query("with v as (select vec_id item_id, embedding::double[] vec from embeddings where vec_id < 12) select count(*) pairs, round(avg(abs(list_cosine_similarity(a.vec, b.vec))), 6) mean_abs_cosine from v a join v b on a.item_id < b.item_id")
+@query(f"with {X.ITEMS}, v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id) select count(*) pairs, round(avg(abs(list_cosine_similarity(a.vec, b.vec))), 6) mean_abs_cosine from v a join v b on a.item_id < b.item_id")
 def collinearity(spark: P, sf: str) -> D:
-    return R.collinearity(X.vectors(spark, sf).where("item_id < 12").select("item_id", "vec"))
+    return R.collinearity(_vocab_vectors(spark, sf))
 
 
 @query(
@@ -340,3 +340,29 @@ def participation_ratio(spark: P, sf: str) -> D:
 @query()
 def popularity_alignment(spark: P, sf: str) -> D:
     return R.popularity_alignment(_vocab_vectors(spark, sf), B.frequencies(baskets_of(spark, sf)))
+
+
+@query(f"with {X.ITEMS}, v as (select name, embedding::double[] vec from embeddings join items on item_id = vec_id) select item_id, name, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) s from embeddings join items on item_id = vec_id")
+def aligned_vectors(spark: P, sf: str) -> D:
+    v = X.items(spark, sf)
+    named = X.vectors(spark, sf).join(v, "item_id").select("name", "vec")
+    return R.align_vectors(named, v.select("item_id", "name")).select("item_id", "name", F.round(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x), 5).alias("s"))
+
+
+@query(f"with {X.EDGES}, p as (select p_partkey a, (p_partkey * 7 + 3) % 64 b from part where p_partkey % 64 = p_partkey union all select 64 + (select count(*) from items) a, 1) select a, b, cnt as \"count\", round(npmi, 6) npmi from p left join edges on src = least(a, b) and dst = greatest(a, b)")
+def pair_evidence(spark: P, sf: str) -> D:
+    v = X.items(spark, sf)
+    n = v.agg((F.count("*") + 64).alias("a")).select("a", F.lit(1).cast("long").alias("b"))  # an item that isn't there
+    pairs = table(spark, sf, "part").where("p_partkey % 64 = p_partkey").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 64).alias("b")).unionByName(n)
+    return G.pair_evidence(pairs, edges_of(spark, sf)).withColumn("npmi", F.round("npmi", 6))
+
+
+@query(f"with {X.ITEMS}, e as (select p_name, p_size::bigint attr_id from part union all select p_name, 1000 + try_cast(split_part(p_brand, '#', 2) as bigint) from part) select distinct item_id, attr_id from e join items on name = p_name where attr_id is not null")
+def entity_attributes(spark: P, sf: str) -> D:
+    """Parts as described entities: their names with a kind word, their sizes and brands as attributes."""
+    from ..operators import normalise as N
+
+    attrs = F.array_compact(F.array(F.col("p_size").cast("long"), 1000 + F.substring_index("p_brand", "#", -1).try_cast("long")))
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), N.entity_aliases(F.concat("p_name", F.lit(" Oil (raw)"))).alias("forms"), attrs.alias("attrs"))
+    alias, _ = N.alias_table(X.items(spark, sf))
+    return G.entity_attributes(e, alias)

@@ -14,7 +14,7 @@ D = DataFrame
 P = SparkSession
 
 
-def search_queries(spark: P, sf: str, every: int = 100) -> D:
+def search_queries(spark: P, sf: str, every: int = 20) -> D:
     """A search for every so-many-th customer: pantry and bounds from the customer's key."""
     k = F.col("c_custkey")
     pantry = F.array_sort(F.array_distinct(F.array(*[(k * m + c) % 64 for m, c in ((7, 1), (11, 3), (13, 5), (17, 7), (19, 11), (23, 13))])))
@@ -25,14 +25,14 @@ def search_queries(spark: P, sf: str, every: int = 100) -> D:
 
 
 _Q = """q as (select c_custkey query_id, list_sort(list_distinct([(c_custkey * 7 + 1) % 64, (c_custkey * 11 + 3) % 64, (c_custkey * 13 + 5) % 64, (c_custkey * 17 + 7) % 64, (c_custkey * 19 + 11) % 64, (c_custkey * 23 + 13) % 64])) available,
-  case when c_custkey % 300 = 0 then [c_custkey * 7 % 64 + 1 - case when c_custkey * 7 % 64 = 63 then 64 else 0 end] else [] end must_use, [(c_custkey * 29 + 2) % 64] as ex, case when c_custkey % 200 = 0 then 300.0::double end budget, 2 max_missing, case when c_custkey % 500 = 0 then 40.0 end min_servings from customer where c_custkey % 100 = 0),
+  case when c_custkey % 300 = 0 then [c_custkey * 7 % 64 + 1 - case when c_custkey * 7 % 64 = 63 then 64 else 0 end] else [] end must_use, [(c_custkey * 29 + 2) % 64] as ex, case when c_custkey % 200 = 0 then 300.0::double end budget, 2 max_missing, case when c_custkey % 500 = 0 then 40.0 end min_servings from customer where c_custkey % 20 = 0),
 qs as (select *, list_filter(list_distinct(list_concat(available, must_use)), lambda x: not list_contains(ex, x)) pantry from q)"""
-_FOUND = _Q + """, cand as (select query_id, basket_id, pantry, must_use, ex, budget, max_missing, min_servings, items, total_minutes, servings, len(list_filter(items, lambda x: list_contains(pantry, x))) overlap from qs, baskets),
+_FOUND = _Q + """, hit as (select query_id, basket_id, count(*) overlap from (select query_id, unnest(pantry) item_id from qs) join slots using (item_id) group by 1, 2), cand as (select * from hit join qs using (query_id) join baskets using (basket_id)),
 found as (select *, len(items) - overlap missing from cand where overlap > 0 and len(items) - overlap <= max_missing and (budget is null or total_minutes <= budget) and (min_servings is null or servings >= min_servings)
   and len(list_filter(must_use, lambda x: not list_contains(items, x))) = 0 and len(list_filter(items, lambda x: list_contains(ex, x))) = 0)"""
 
 
-@query(f"with {X.ITEMS}, {_Q}, x as (select query_id, case when query_id % 700 = 0 then [999] else available end available, case when query_id % 400 = 0 then ex else must_use end must_use, ex, max_missing from q) select query_id, case when list_contains(available, 999) then 'unknown item' when len(list_intersect(must_use, ex)) > 0 then 'must use and exclude clash' end reason from x")
+@query(f"with {X.ITEMS}, {_Q}, x as (select query_id, case when query_id % 700 = 0 then [999] else available end available, case when query_id % 400 = 0 then ex else must_use end must_use, ex, max_missing from q) select query_id, case when len(list_filter(list_concat(available, must_use, ex), lambda v: v >= n)) > 0 then 'unknown item' when len(list_intersect(must_use, ex)) > 0 then 'must use and exclude clash' end reason from x, (select count(*) n from items)")
 def validate_queries(spark: P, sf: str) -> D:
     q = search_queries(spark, sf)
     k = F.col("query_id")
@@ -51,11 +51,12 @@ def feasible(spark: P, sf: str) -> D:
 
 
 @query(
-    f"with {X.BASKETS}, {_Q}, {X.DF}, z as (select count(*) n, avg(len(items)) mean from baskets), w as (select query_id, unnest(pantry) item_id from qs), s as (select query_id, basket_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(items) / mean))), 6) score, count(*) c from w join slots using (item_id) join df using (item_id) join baskets using (basket_id), z group by 1, 2),"
-    " r as (select *, row_number() over (partition by query_id order by score desc, basket_id) as rank, count(*) over (partition by query_id) found from s) select query_id, score, rank, found > 20 truncated from r where rank <= 20"
+    f"with {X.BASKETS}, {_FOUND}, {X.DF}, z as (select count(*) n, avg(len(items)) mean from baskets), w as (select query_id, unnest(pantry) item_id from qs), s as (select query_id, basket_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(items) / mean))), 6) score from w join slots using (item_id) join df using (item_id) join baskets using (basket_id), z group by 1, 2),"
+    " r as (select *, row_number() over (partition by query_id order by score desc, basket_id) as scan, count(*) over (partition by query_id) matched from s), f as (select r.*, row_number() over (partition by query_id order by scan) as rank, count(*) over (partition by query_id) fit from r semi join found using (query_id, basket_id) where scan <= 300)"
+    " select query_id, basket_id, score, rank, matched > 300 or fit > 20 truncated from f where rank <= 20"
 )
 def bm25(spark: P, sf: str) -> D:
-    return S.bm25(search_queries(spark, sf), X.baskets(spark, sf), keep=20).select("query_id", "score", "rank", "truncated")
+    return S.bm25(search_queries(spark, sf), X.baskets(spark, sf), scan_limit=300, keep=20)
 
 
 @query(f"with {X.SLOTS}, {X.DF}, n as (select count(distinct basket_id) n from slots) select item_id, df, round(1 + ln((1 + n) / (1 + df)::double), 6) idf from df, n")
@@ -93,7 +94,7 @@ def ranked_learned(spark: P, sf: str) -> D:
     q = S.pantries(c, "train").withColumn("top_k", F.lit(10))
     for name, kind in (("must_use", "array<bigint>"), ("exclude", "array<bigint>"), ("budget", "double"), ("min_servings", "double"), ("language", "string")):
         q = q.withColumn(name, F.lit(None).cast(kind))
-    q = q.where("query_id % 40 = 0")
+    q = q.where("query_id % 20 = 0")
     found = S.idf_sums(S.feasible(q, c), S.idf(c))
     rows = S.features(found.withColumn("n_items", F.lit(64)), F.col("n_items")).join(q.select("query_id", "source_items"), "query_id").withColumn("label", (F.col("items") == F.col("source_items")).cast("int"))
     model = S.train_ranker(rows, hidden=8)
@@ -134,9 +135,11 @@ def ledger(spark: P, sf: str) -> D:
 @query()
 def search_report(spark: P, sf: str) -> D:
     c = X.baskets(spark, sf)
-    e = S.evaluation_queries(c).withColumn("top_k", F.lit(10)).withColumn("exclude", F.lit(None).cast("array<bigint>")).withColumn("min_servings", F.lit(None).cast("double")).withColumn("language", F.lit(None).cast("string")).where("query_id % 5 = 0")
-    want = e.select("query_id", F.col("query_id").alias("basket_id"))
-    return S.search_report(S.ranked(e.drop("items"), c), want)
+    e = S.evaluation_queries(c).withColumn("top_k", F.lit(10)).withColumn("exclude", F.lit(None).cast("array<bigint>")).withColumn("min_servings", F.lit(None).cast("double")).withColumn("language", F.lit(None).cast("string")).where("query_id % 20 = 0")
+    same = c.select("basket_id", "items").join(e.select("query_id", "items"), "items").select("query_id", "basket_id")
+    q = e.drop("items")
+    found = S.ranked(q, c)
+    return S.search_report(found, same, S.bm25(q, c), S.violations(found, q, c))
 
 
 @query()

@@ -32,12 +32,12 @@ def alias_table(spark: P, sf: str) -> D:
 def _lines(spark: P, sf: str) -> D:
     """Lines like those of recipes from line items: an amount and a name, sometimes plural."""
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    l = table(spark, sf, "lineitem").where("l_orderkey < 2000").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    l = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" "), F.when(F.col("l_linenumber") % 3 == 0, "cups ").otherwise(""), F.col("p_name"), F.when(F.col("l_quantity") > 1, "s").otherwise(""))
     return l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), F.col("l_orderkey").alias("basket_id"), text.alias("line"), "p_name").dropDuplicates(["line_id"])
 
 
-_LINES = "ln as (select distinct on (line_id) * from (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) line_id, l_orderkey basket_id, l_quantity::int || ' ' || case when l_linenumber % 3 = 0 then 'cups ' else '' end || p_name || case when l_quantity > 1 then 's' else '' end line, p_name, l_quantity from lineitem join part on l_partkey = p_partkey where l_orderkey < 2000))"
+_LINES = "ln as (select distinct on (line_id) * from (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) line_id, l_orderkey basket_id, l_quantity::int || ' ' || case when l_linenumber % 3 = 0 then 'cups ' else '' end || p_name || case when l_quantity > 1 then 's' else '' end line, p_name, l_quantity from lineitem join part on l_partkey = p_partkey))"
 
 
 @query(f"with {_LINES} select distinct line_id, p_name || case when line like '%s' and not p_name like '%s' then 's' else '' end bare from ln where l_quantity > 1")
@@ -178,11 +178,6 @@ def alias_hazards(spark: P, sf: str) -> D:
 # --- sources --------------------------------------------------------------------------------------
 
 
-@query("with t as (select conv_id, string_agg(text, chr(10) order by turn) x from conversations where role = 'assistant' group by 1), s as (select conv_id, substr(x, 1, 60) b, list_filter(list_transform(regexp_split_to_array(x, '\\n|,'), lambda v: trim(regexp_replace(v, '^[\\s*•\\-–]+|[.\\s]+$', '', 'g'), ' ')), lambda v: length(v) > 1 and length(v) < 80) items from t), k as (select * from s where len(items) >= 2), f as (select b, min(conv_id) conv_id from k group by 1) select conv_id, array_to_string(items, '|') items from k semi join f using (b, conv_id)")
-def chat_items(spark: P, sf: str) -> D:
-    return R.chat_items(table(spark, sf, "conversations")).select("conv_id", F.array_join("items", "|").alias("items"))
-
-
 @query("with r as (select source, doc_id, row_number() over (partition by source order by doc_id) n from documents) select source, doc_id row_no from r where n <= 5")
 def first_rows(spark: P, sf: str) -> D:
     return R.first_rows(table(spark, sf, "documents").select("source", F.col("doc_id").alias("row_no")), 5)
@@ -228,9 +223,9 @@ def stream_frequencies(spark: P, sf: str) -> D:
     return J.incremental_frequencies(b)
 
 
-@query(f"with {X.EDGES}, s as (select basket_id, list(item_id) items from slots where basket_id % 50 = 0 group by 1), x as (select basket_id, items, unnest(items) a from s) select basket_id, b, round(sum(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2")
+@query(f"with {X.EDGES}, s as (select basket_id, list(item_id) items from slots where basket_id % 20 = 0 group by 1), x as (select basket_id, items, unnest(items) a from s) select basket_id, b, sum(round(weight, 9)::decimal(18, 9))::double score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2")
 def stream_scores(spark: P, sf: str) -> D:
     from ..operators.graph import both_ways
     from .graph_queries import baskets_of, edges_of
 
-    return J.scored(baskets_of(spark, sf).where("basket_id % 50 = 0"), both_ways(edges_of(spark, sf))).withColumn("score", F.round("score", 6))
+    return J.scored(baskets_of(spark, sf).where("basket_id % 20 = 0"), both_ways(edges_of(spark, sf)))

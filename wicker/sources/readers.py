@@ -14,7 +14,7 @@ from ..operators.normalise import parse_list
 
 def split_by(pattern: str) -> Callable[[Column], Column]:
     """A splitter that cuts at a pattern, trims, and drops empty parts."""
-    return lambda text: F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return lambda text: F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 lines = split_by(r"\r?\n")
@@ -24,9 +24,23 @@ several = split_by(r"[,;|\n]|\s-\s")
 japanese_commas = split_by("[、，・]")
 
 
+def _as_json(text: Column) -> Column:
+    """A Python literal of strings, lists and dicts as JSON."""
+    quoted = F.regexp_replace(text, r"(?<=[{\[,:\s])'|'(?=\s*[:,}\]])", '"')
+    return F.regexp_replace(quoted, r"\bNone\b", "null")
+
+
+def dict_names(text: Column) -> Column:
+    """The names in a list of dicts (or in one dict), JSON or Python literal: ``name``, else ``ingredient``, else ``title``; null for other text."""
+    many = F.when(F.trim(text).startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    rows = F.from_json(_as_json(many), "array<struct<name:string,ingredient:string,title:string>>")
+    names = F.transform(rows, lambda r: F.trim(F.coalesce(F.nullif(r["name"], F.lit("")), F.nullif(r["ingredient"], F.lit("")), r["title"])))
+    return F.when(text.rlike(r"^\s*(\[\s*)?\{"), F.filter(names, lambda x: x != ""))
+
+
 def list_literal(text: Column) -> Column:
-    """JSON or Python list literals; other text is one item."""
-    return F.coalesce(F.filter(parse_list(text), lambda x: F.trim(x) != ""), lines(text))
+    """JSON or Python list literals, of strings or of dicts with names; other text is one item."""
+    return F.coalesce(dict_names(text), F.filter(parse_list(text), lambda x: F.trim(x) != ""), lines(text))
 
 
 def recipe_block(text: Column) -> Column:
@@ -35,6 +49,10 @@ def recipe_block(text: Column) -> Column:
     return F.transform(lines(block), lambda x: F.regexp_replace(x, r"^[\s*•\-–0-9.)]+(?=\D)", ""))
 
 
+#: Splitters by the names that a registry table uses.
+SPLITTERS = {"lines": lines, "commas": commas, "dashes": dashes, "several": several, "japanese commas": japanese_commas, "list": list_literal, "recipe block": recipe_block}
+
+
 @dataclass(frozen=True)
 class Source:
     """One entry of the registry."""
@@ -59,10 +77,14 @@ def records(df: DataFrame, source: Source, items: Column, rank: int = 0) -> Data
     return out.where(F.col("items").isNotNull() & (F.size("items") > 0))
 
 
+def _csv(spark: SparkSession, s: Source) -> DataFrame:
+    options = {k: v for k, v in s.options.items() if k != "pattern"}
+    return spark.read.csv(s.path, header=True, mode="DROPMALFORMED", multiLine=True, escape='"', **options)
+
+
 def read_csv(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
     """A1: all strings, malformed rows skipped."""
-    df = spark.read.csv(s.path, header=True, mode="DROPMALFORMED", multiLine=True, escape='"', **s.options)
-    return records(df, s, s.splitter(F.col(s.column)), rank)
+    return records(_csv(spark, s), s, s.splitter(F.col(s.column)), rank)
 
 
 def read_parquet(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
@@ -90,8 +112,7 @@ def read_json(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
 
 def dict_keys(text: Column) -> Column:
     """A5: the keys of a dict literal, trimmed, in lower case."""
-    fixed = F.regexp_replace(F.regexp_replace(text, r"(?<=[{,:\s])'|'(?=\s*[:,}])", '"'), r"\bNone\b", "null")
-    return F.transform(F.map_keys(F.from_json(fixed, "map<string,string>")), lambda k: F.lower(F.trim(k)))
+    return F.transform(F.map_keys(F.from_json(_as_json(text), "map<string,string>")), lambda k: F.lower(F.trim(k)))
 
 
 def read_long(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
@@ -113,18 +134,30 @@ def read_graph(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
     return records(text, s, F.get(found, F.lit(0))["recipeIngredient"], rank)
 
 
-def chat_items(turns: DataFrame, prefix: int = 60) -> DataFrame:
-    """Items of chat transcripts: assistants' turns joined, the item block cut out, bullets off, 2 items at least; the first of equal beginnings stays.
+ITEM_BLOCK = r"(?is)(?:ingredients|you will need)\s*:?\s*(.+?)(?:\n\s*\n|\z)"
+
 
-    ``turns``: conv_id, turn, role, text -> ``conv_id, items``.
+def chat_items(turns: DataFrame, prefix: int = 60, block: str = ITEM_BLOCK) -> DataFrame:
+    """Items of chat transcripts: assistants' turns joined, the item block cut out, a line an item, bullets and numbers off, 2 items at least.
+
+    ``turns``: conv_id, turn, role, text -> ``conv_id, items``. ``block``: a pattern whose first group holds the items; a transcript without one is left
+    out. Of transcripts with equal beginnings the first stays.
     """
     said = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    items = F.filter(F.transform(F.split("text", r"\n|,"), lambda x: F.trim(F.regexp_replace(x, r"^[\s*•\-–]+|[.\s]+$", ""))), lambda x: (F.length(x) > 1) & (F.length(x) < 80))
+    body = F.regexp_extract("text", block, 1)
+    items = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^[-*•\d.\s]+", ""))), lambda x: (F.length(x) > 1) & (F.length(x) < 80))
     rows = said.select("conv_id", F.substring("text", 1, prefix).alias("begin"), items.alias("items")).where(F.size("items") >= 2)
     first = rows.groupBy("begin").agg(F.min("conv_id").alias("conv_id"))
     return rows.join(first, ["begin", "conv_id"], "left_semi").select("conv_id", "items")
 
 
+def read_chat(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
+    """A JSON record a line with its turns under ``s.column`` (role, content)."""
+    df = with_row_numbers(spark.read.json(s.path)).select(F.col("row_no").alias("conv_id"), F.posexplode(s.column).alias("turn", "m"))
+    found = chat_items(df.select("conv_id", "turn", "m.role", F.col("m.content").alias("text")), block=s.options.get("block", ITEM_BLOCK))
+    return found.select(F.lit(s.key).alias("source"), F.lit(rank).alias("source_rank"), F.col("conv_id").alias("row_no"), F.lit(s.lang).alias("lang"), "items")
+
+
 def html_cells(text: Column) -> Column:
     """Header cells, or table rows as "name: amount"."""
     heads = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<th[^>]*>(.*?)</th>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
@@ -134,11 +167,25 @@ def html_cells(text: Column) -> Column:
     return F.filter(F.when(F.size(heads) > 0, heads).otherwise(rows), lambda x: x != "")
 
 
-def prompt_items(text: Column, pattern: str = r"(?is)ingredients?:\s*(.*?)(?:\n\n|$)") -> Column:
+PROMPT_LIST = r"(?is)ingredients?:\s*(.*?)(?:\n\n|$)"
+
+
+def prompt_items(text: Column, pattern: str = PROMPT_LIST) -> Column:
     """A10: the list inside a prompt."""
     return several(F.regexp_extract(text, pattern, 1))
 
 
+def read_cells(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
+    """HTML cells of a CSV column."""
+    return records(_csv(spark, s), s, html_cells(F.col(s.column)), rank)
+
+
+def read_prompt(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
+    """A10: the list inside the prompts of a CSV column, found by ``options['pattern']``."""
+    text = F.regexp_extract(s.column, s.options.get("pattern", PROMPT_LIST), 1)
+    return records(_csv(spark, s), s, F.coalesce(dict_names(text), parse_list(text), several(text)), rank)
+
+
 def read_dump(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
     """Lines of a text dump's records between two markers."""
     begin, end = s.options.get("between", ("Ingredients:", "Directions:"))
@@ -152,7 +199,17 @@ def entity_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\[\]\"']", "")))), lambda x: x != "")
 
 
-READERS = {"csv": read_csv, "parquet": read_parquet, "jsonl": read_jsonl, "json": read_json, "long": read_long, "graph": read_graph, "dump": read_dump}
+READERS = {"csv": read_csv, "parquet": read_parquet, "jsonl": read_jsonl, "json": read_json, "long": read_long, "graph": read_graph, "chat": read_chat, "cells": read_cells, "prompt": read_prompt, "dump": read_dump}
+
+
+def registry(entries: Sequence[dict]) -> list[Source]:
+    """The registry from a configuration table: ``key, lang, kind, path``, and ``column``, ``splitter`` (a name of SPLITTERS) and ``options`` where a kind needs them."""
+    out = [Source(e["key"], e["lang"], e["kind"], e["path"], e.get("column", ""), SPLITTERS[e.get("splitter", "lines")], dict(e.get("options", {}))) for e in entries]
+    twice = sorted({s.key for s in out if sum(t.key == s.key for t in out) > 1})
+    unknown = sorted({s.kind for s in out} - READERS.keys())
+    if twice or unknown:
+        raise ValueError(f"keys given twice: {twice}; kinds without a reader: {unknown}")
+    return out
 
 
 def read_source(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:

@@ -56,6 +56,9 @@ def session_baskets(events: DataFrame, time: str, user: str, item: str, gap: str
 
 
 def scored(baskets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates of each arriving basket by the sum of its items' edges in a static graph ``a, b, weight``; the sum is inside the row's own key."""
+    """Candidates of each arriving basket by the sum of its items' edges in a static graph ``a, b, weight``; the sum is inside the row's own key.
+
+    Weights count to nine decimals and are summed exactly, so that the order of the rows doesn't matter.
+    """
     rows = baskets.select("basket_id", "items", F.explode("items").alias("a")).join(edges, "a").where(~F.array_contains("items", F.col("b")))
-    return rows.groupBy("basket_id", "b").agg(F.round(F.sum("weight"), 9).alias("score"))
+    return rows.groupBy("basket_id", "b").agg(F.sum(F.round("weight", 9).cast("decimal(18,9)")).cast("double").alias("score"))

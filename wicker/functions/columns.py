@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def draw(key: Column | str, seed: int = 0) -> Column:
@@ -55,3 +57,16 @@ def npmi(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     """Normalised pointwise mutual information; null where the pair is in every basket."""
     p = n_ab / n
     return F.when(p < 1, F.log(p * n * n / (n_a * n_b)) / -F.log(p))
+
+
+def numbered(rows: DataFrame, u: Column, ties: Sequence[str], by: Sequence[str] = (), name: str = "r", buckets: int = 256) -> DataFrame:
+    """``rows`` numbered from 1 in the order of ``u`` (uniform in 0..1) and ``ties``, in each group of ``by``.
+
+    In two steps, so that no task numbers a whole group: inside buckets of u, and over the buckets' sizes.
+    """
+    placed = rows.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    sizes = placed.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    before = F.sum("_m").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))  # ``buckets`` rows a group
+    sizes = sizes.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_u", *ties))
+    return placed.withColumn("_i", inside).join(sizes, [*by, "_b"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_u", "_b", "_i", "_before")

@@ -85,6 +85,21 @@ def graph_scores(instances: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("basket_id", F.col("b").alias("item_id")).agg(F.round(F.sum("weight"), 9).alias("score"))
 
 
+def popularity_ranks(instances: DataFrame, df: DataFrame) -> DataFrame:
+    """The optimistic rank of each target by document frequency among the items outside the context (D9, H15): ``basket_id, item_id, score, rank``.
+
+    As many items are ahead as have a higher frequency, less those of the context: a histogram of frequencies and the context's own items tell, no instance
+    meets the vocabulary.
+    """
+    hist = df.groupBy("df").agg(F.count("*").alias("m"))
+    ahead = hist.select("df", F.coalesce(F.sum("m").over(W.orderBy(F.desc("df")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row for each distinct frequency
+    target = instances.select("basket_id", "context", F.col("target").alias("item_id")).join(df.select("item_id", "df"), "item_id").join(ahead, "df")
+    inside = target.select("basket_id", "df", F.explode("context").alias("c")).join(df.select(F.col("item_id").alias("c"), F.col("df").alias("d")), "c")
+    inside = inside.groupBy("basket_id").agg(F.count_if(F.col("d") > F.col("df")).alias("inside"))
+    rows = target.join(inside, "basket_id", "left")
+    return rows.select("basket_id", "item_id", F.col("df").cast("double").alias("score"), (1 + F.col("ahead") - F.coalesce("inside", F.lit(0))).alias("rank"))
+
+
 def popularity_scores(instances: DataFrame, df: DataFrame) -> DataFrame:
     """A scorer: document frequency of every item outside the context (D9, H15). The vocabulary is joined in blocks, each instance once a block."""
     blocks = 8

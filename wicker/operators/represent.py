@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import cosine, draw, norm, unit
+from ..functions.columns import cosine, draw, norm, numbered, unit
 from .baskets import frequencies, pair_counts
 from .graph import both_ways, top_k
 
@@ -190,18 +191,31 @@ def concatenated(spaces: Sequence[tuple[DataFrame, float]], d: int | None = None
         one = t.select("item_id", F.transform(unit("vec"), lambda x: x * w).alias("v"))
         out = one if out is None else out.join(one.withColumnRenamed("v", "v2"), "item_id").select("item_id", F.concat("v", "v2").alias("v"))
     out = out.withColumnRenamed("v", "vec")
-    return out if d is None else project(out, principal_directions(out, d)[1], centre=True)
+    return out if d is None else principal_parts(out, d)
+
+
+def _moments(batches):
+    """Sums of products of the vectors' components, a one put before each vector."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            x = np.hstack([np.ones((len(x), 1)), x])
+            total = x.T @ x + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "x"])
 
 
 def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean and covariance of the vectors, summed by Spark; dimensions squared numbers reach the driver."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors
-
-    m = RowMatrix(vectors.select("vec").rdd.map(lambda r: Vectors.dense(r.vec)))
-    stats = m.computeColumnSummaryStatistics()
-    return np.asarray(stats.mean()), m.computeCovariance().toArray(), int(stats.count())
+    sums = vectors.select("vec").mapInArrow(_moments, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
+    d = round(len(sums) ** 0.5)
+    m = np.zeros(d * d)
+    m[sums["cell"].to_numpy()] = sums["x"].to_numpy()
+    m = m.reshape(d, d)
+    n = m[0, 0]
+    mean = m[0, 1:] / n
+    return mean, (m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1), int(n)
 
 
 def principal_directions(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,14 +230,20 @@ def _linear(vec: Column, matrix: np.ndarray) -> Column:
     return F.array(*cols)
 
 
-def project(vectors: DataFrame, directions: np.ndarray, centre: bool = False) -> DataFrame:
+def project(vectors: DataFrame, directions: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
+    """Coordinates along the directions, of the vectors less a mean where one is given."""
     vec = F.col("vec")
-    if centre:
-        mean, _, _ = covariance(vectors)
+    if mean is not None:
         vec = F.zip_with("vec", F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)
     return vectors.select("item_id", _linear(vec, directions).alias("vec"))
 
 
+def principal_parts(vectors: DataFrame, k: int) -> DataFrame:
+    """Centred coordinates along the first k principal directions."""
+    mean, directions = principal_directions(vectors, k)
+    return project(vectors, directions, mean)
+
+
 def centred(vectors: DataFrame, remove: int = 0) -> DataFrame:
     """Vectors less their mean and less their first principal directions."""
     mean, directions = principal_directions(vectors, remove)
@@ -309,9 +329,9 @@ def coherence(groups: DataFrame, vectors: DataFrame, seed: int = 0) -> DataFrame
     """
     v = vectors.select("item_id", unit("vec").alias("vec"))
     size = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    order = W.orderBy(draw("item_id", seed), "item_id")  # a row for each item of the vocabulary
-    deck = v.select("item_id").withColumn("r", F.row_number().over(order))
-    control = size.join(deck, F.col("r") <= F.col("n")).select(F.concat_ws("", F.lit("control-"), "grp").alias("grp"), "item_id")
+    deck = numbered(v.select("item_id"), draw("item_id", seed), ["item_id"])
+    places = size.select("grp", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("r"))
+    control = places.join(deck, "r").select(F.concat_ws("", F.lit("control-"), "grp").alias("grp"), "item_id")
     rows = groups.select(F.col("grp").cast("string").alias("grp"), "item_id").unionByName(control).join(v, "item_id")
     sums = vector_sums(rows, ["grp"])
     n = rows.groupBy("grp").agg(F.count("*").alias("n"))
@@ -352,7 +372,7 @@ def participation_ratio(vectors: DataFrame) -> DataFrame:
 
 def popularity_alignment(vectors: DataFrame, df: DataFrame, k: int = 3) -> DataFrame:
     """|corr| of the first principal components with log frequency."""
-    scored = project(vectors, principal_directions(vectors, k)[1], centre=True).join(df, "item_id")
+    scored = principal_parts(vectors, k).join(df, "item_id")
     parts = [F.round(F.abs(F.corr(F.col("vec")[i], F.log1p("df"))), 6).alias(f"pc{i + 1}") for i in range(k)]
     return scored.agg(*parts)
 
@@ -369,9 +389,9 @@ def noise_vectors(vectors: DataFrame, seed: int = 0, rank_one: bool = False) ->
 
 def shuffled_rows(vectors: DataFrame, seed: int = 0) -> DataFrame:
     """The same vectors given to other items (H14's shuffle control)."""
-    by_id, by_draw = W.orderBy("item_id"), W.orderBy(draw("item_id", seed), "item_id")  # a row for each item of the vocabulary
-    left = vectors.select("item_id", F.row_number().over(by_id).alias("r"))
-    return left.join(vectors.select("vec", F.row_number().over(by_draw).alias("r")), "r").select("item_id", "vec")
+    left = numbered(vectors.select("item_id"), draw("item_id", seed + 1), ["item_id"])
+    right = numbered(vectors.select("item_id", "vec"), draw("item_id", seed), ["item_id"]).select("vec", "r")
+    return left.join(right, "r").select("item_id", "vec")
 
 
 def align_vectors(named: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.columns import draw, pairs_of
+from ..functions.columns import draw, numbered, pairs_of
 from .evaluate import spearman
 
 
@@ -73,13 +73,12 @@ def masked_arms(baskets: DataFrame, shared: DataFrame, masked: DataFrame, group:
 
 
 def permutation_p(rows: DataFrame, x: str, y: str, key: str, replicates: int = 99) -> DataFrame:
-    """P-value of a rank correlation by shuffling y (H27). Small tables: each replicate pairs x with y in a drawn order."""
+    """P-value of a rank correlation by shuffling y (H27): each replicate pairs x with y in a drawn order, both numbered in buckets of the draw."""
     actual = spearman(rows, x, y).select(F.col("rho").alias("actual"), "n")
     reps = rows.select(key, x, y).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    by_key = W.partitionBy("rep").orderBy(key)
-    by_draw = W.partitionBy("rep").orderBy(draw(F.concat_ws("-", key, "rep"), 9), key)
-    left = reps.select("rep", x, F.row_number().over(by_key).alias("pos"))
-    right = reps.select("rep", y, F.row_number().over(by_draw).alias("pos"))
+    one = numbered(rows.select(key, x), draw(key, 8), [key], name="pos").select(x, "pos")
+    left = one.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    right = numbered(reps, draw(F.concat_ws("-", key, "rep"), 9), [key], by=["rep"], name="pos").select("rep", y, "pos")
     rhos = spearman(left.join(right, ["rep", "pos"]), x, y, ["rep"])
     out = rhos.crossJoin(F.broadcast(actual)).groupBy("actual", actual["n"]).agg(F.count_if(F.abs("rho") >= F.abs("actual")).alias("as_far"), F.count("*").alias("replicates"))  # one row
     return out.select("n", F.col("actual").alias("rho"), F.round((F.col("as_far") + 1) / (F.col("replicates") + 1), 6).alias("p"))

@@ -97,8 +97,7 @@ _POP = f"{X.SLOTS}, {_INST}, {X.DF}, few as (select * from ctx where basket_id %
 def popularity_ranks(spark: P, sf: str) -> D:
     b = baskets_of(spark, sf)
     inst = E.completion_instances(b).where("basket_id % 20 = 0")
-    r = E.optimistic_ranks(E.popularity_scores(inst, B.frequencies(b)))
-    return r.join(inst.select("basket_id", F.col("target").alias("item_id")), ["basket_id", "item_id"]).select("basket_id", "item_id", "score", "rank")
+    return E.popularity_ranks(inst, B.frequencies(b))
 
 
 @query(

@@ -328,7 +328,7 @@ def nmi(spark: P, sf: str) -> D:
 @query()
 def cluster_nmi(spark: P, sf: str) -> D:
     v = X.vectors(spark, sf)
-    reduced = R.project(v.select("item_id", "vec"), R.principal_directions(v, 4)[1], centre=True)
+    reduced = R.principal_parts(v.select("item_id", "vec"), 4)
     return R.cluster_nmi(reduced, v.select("item_id", "label"), k=4)
 
 

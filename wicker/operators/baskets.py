@@ -295,8 +295,9 @@ def attribute_coverage(baskets: DataFrame, attributed: DataFrame, group: str) ->
 
 def table_fingerprint(df: DataFrame, key: str) -> DataFrame:
     """Order-free identity of a table (E26): rows, key range, a sum and a xor of row hashes."""
-    row = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("largest"), F.countDistinct(key).alias("keys"), F.sum(row.cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(row).alias("xor_hash"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns])
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("largest"), F.countDistinct(key).alias("keys"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("sum_hash"), F.bit_xor(row).alias("xor_hash"))
 
 
 def label_tiers(subs: DataFrame, tiers: Sequence[int] = (1, 10), least: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.columns import cosine, draw
 from ..operators import baskets as B, evaluate as E, graph as G, represent as R, stats as T
 from ..session import table
 from . import bindings as X
-from .graph_queries import FORMS, baskets_of, edges_of
+from .graph_queries import _CANON, FORMS, baskets_of, edges_of
 from .registering import collector
 
 QUERIES, ORACLE_SQL, query = collector()
@@ -314,7 +314,15 @@ def pairing_statistic(spark: P, sf: str) -> D:
     return T.pairing_statistic(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.item_attr(spark, sf)), "lang")
 
 
-@query()
+_MANY = """sl as (select b.basket_id, lang, item_id, len(items) n from baskets b join slots using (basket_id)), fq as (select lang, item_id, count(*) f from sl group by 1, 2), ky as (select rep, b.basket_id, b.lang, len(items) n, item_id, ln(f) - ln(-ln(greatest(('0x' || substr(md5(b.basket_id || '-' || item_id || ':' || (100 + rep)), 1, 8))::bigint / 4294967296.0::double, 1e-12))) k
+from baskets b join fq using (lang), (values (0), (1)) t(rep)), nb as (select rep, basket_id, lang, item_id from (select *, row_number() over (partition by rep, basket_id order by k desc, item_id) r from ky) where r <= n)"""
+
+
+@query(
+    f"with {X.BASKETS}, {_MANY}, {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, rp as (select a.basket_id, a.lang, avg(coalesce(shared, 0)) s from sl a join sl b on a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2),"
+    " np as (select a.rep, a.basket_id, a.lang, avg(coalesce(shared, 0)) s from nb a join nb b on a.rep = b.rep and a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2, 3),"
+    " rm as (select lang, avg(s) r from rp group by 1), nm as (select rep, lang, avg(s) m from np group by 1, 2), sc as (select lang, avg(m) nl, stddev_samp(m) sd from nm group by 1) select lang, round(r, 6) real, round(nl, 6) \"null\", round((r - nl) / case when sd > 0 then sd end, 4) z from rm join sc using (lang)"
+)
 def pairing_z(spark: P, sf: str) -> D:
     return T.pairing_z(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.item_attr(spark, sf)), "lang", replicates=2)
 
@@ -325,13 +333,26 @@ def sign_score(spark: P, sf: str) -> D:
     return T.sign_score(pairing_statistic(spark, sf), p, "lang")
 
 
-@query()
+def _arm_sql(name: str, shared: str) -> str:
+    """One arm's statistic over one table of shared attributes."""
+    mean = lambda t: f"select a.basket_id, a.lang, avg(coalesce(shared, 0)) s from {t} a join {t} b on a.basket_id = b.basket_id and a.item_id < b.item_id left join {shared} on i = a.item_id and j = b.item_id group by 1, 2"
+    return f"select '{name}' arm, rp.lang, count(*) n, round(avg(rp.s - np.s), 6) delta, round(sqrt(var_samp(rp.s - np.s) / count(*)), 6) se from ({mean('sl')}) rp join ({mean('nb')}) np using (basket_id) group by rp.lang"
+
+
+@query(f"with {_NULL}, {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, {_CANON[len(X.ITEMS) + 2:]}, nd as (select a.item_id i, b.item_id j from c a join c b on a.canon = b.canon and a.item_id <> b.item_id), shared_m as (select * from shared anti join nd using (i, j)) {_arm_sql('all', 'shared')} union all {_arm_sql('masked', 'shared_m')}")
 def masked_arms(spark: P, sf: str) -> D:
     b = X.baskets(spark, sf).select("basket_id", "lang", "items")
     return T.masked_arms(b, G.shared_attributes(X.item_attr(spark, sf)), G.near_duplicate_names(X.items(spark, sf), FORMS), "lang")
 
 
-@query()
+_MID = lambda c, by: f"rank() over ({by} order by {c}) + (count(*) over (partition by {'rep, ' if by else ''}{c}) - 1) / 2.0"
+
+
+@query(
+    f"with s as (select s_suppkey k, s_nationkey::double x, s_acctbal y from supplier), l as (select x, row_number() over (order by {X.draw_sql('k', 8)}, k) pos from s), r as (select rep, y, row_number() over (partition by rep order by {X.draw_sql('k || chr(45) || rep', 9)}, k) pos from s, (select unnest(generate_series(1, 49)) rep)),"
+    f" m as (select rep, {_MID('x', 'partition by rep')} p, {_MID('y', 'partition by rep')} q from l join r using (pos)), rh as (select rep, round(corr(p, q), 6) rho from m group by 1), act as (select count(*) n, round(corr(p, q), 6) a from (select {_MID('x', '')} p, {_MID('y', '')} q from s))"
+    " select n, a rho, round((count(*) filter (abs(rho) >= abs(a)) + 1) / 50.0::double, 6) p from rh, act group by n, a"
+)
 def permutation_p(spark: P, sf: str) -> D:
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").alias("y"))
     return T.permutation_p(s, "x", "y", "s_suppkey", replicates=49)

@@ -151,7 +151,13 @@ def neighbour_overlap(spark: P, sf: str) -> D:
     return G.neighbour_overlap(near(v), near(R.truncated(v, [32]).select("item_id", "vec")))
 
 
-@query()
+@query(
+    "with recursive "
+    + f"{X.EDGES}, {_CANON.partition('w as (select item_id, list_transform')[1]}{_CANON.partition('w as (select item_id, list_transform')[2]}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(sum(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2),"
+    " nr as (select a.item_id, list(b.item_id) near from c a join c b on a.canon = b.canon and a.item_id <> b.item_id group by 1), l as (select query_id, s.item_id, coalesce(near, []) near, row_number() over (partition by query_id order by score desc, s.item_id) as rank from s left join nr using (item_id)),"
+    " g(query_id, rank, kept) as (select distinct query_id, 0::bigint, []::bigint[] from l union all select g.query_id, l.rank, case when len(kept) >= 5 or len(list_intersect(kept, near)) > 0 then kept else list_append(kept, l.item_id) end from g join l on l.query_id = g.query_id and l.rank = g.rank + 1 where l.rank <= 30),"
+    " e as (select query_id, arg_max(kept, rank) kept from g group by 1) select query_id, unnest(kept) item_id, unnest(generate_series(1, len(kept))) as rank from e"
+)
 def suppress_near_duplicates(spark: P, sf: str) -> D:
     q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
     s = G.basket_scores(q, edges_of(spark, sf)).withColumn("score", F.round("score", 6))
@@ -292,7 +298,13 @@ def centred(spark: P, sf: str) -> D:
     return _norms(R.centred(X.vectors(spark, sf).select("item_id", "vec"), remove=2))
 
 
-@query()
+_STEERED = """v as (select vec_id item_id, embedding::double[] vec from embeddings), nv as (select item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) u from v), pole as (select u p from nv where item_id = 1),
+q as (select item_id query_id, u, p, list_dot_product(u, p) c from nv, pole where item_id % 20 = 0), q2 as (select query_id, u, list_transform(list_zip(p, u), lambda z: z[1] - z[2] * c) w from q), q3 as (select query_id, u, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) o from q2),
+t as (select query_id, angle, list_transform(list_zip(u, o), lambda z: z[1] * cos(radians(angle)) + z[2] * sin(radians(angle))) t from q3, (values (0.0::double), (30.0), (60.0)) a(angle)), f as (select query_id, angle, nv.item_id, round(list_cosine_similarity(t, nv.u), 9) cosine from t, nv where nv.item_id <> query_id),
+r as (select *, row_number() over (partition by query_id, angle order by cosine desc, item_id) as rank from f)"""
+
+
+@query(f"with {_STEERED} select query_id, angle, item_id, cosine, rank from r where rank <= 5")
 def steered(spark: P, sf: str) -> D:
     v = X.vectors(spark, sf).select("item_id", "vec")
     pole = v.where("item_id = 1").select(F.col("vec").alias("pole"))
@@ -300,7 +312,7 @@ def steered(spark: P, sf: str) -> D:
     return R.steered(q, v, [0.0, 30.0, 60.0])
 
 
-@query()
+@query(f"with {_STEERED}, w as (select query_id, angle, item_id + (rank = 3)::int item_id, rank want from r where rank <= 3), b as (select w.*, r.rank from w left join r on r.query_id = w.query_id and r.angle = w.angle and r.item_id = w.item_id and r.rank <= 5) select angle, count(*) n, round(avg((coalesce(rank, -1) = want)::int), 6) exact, round(count(rank) / count(*)::double, 6) overlap from b group by 1")
 def table_agreement(spark: P, sf: str) -> D:
     found = steered(spark, sf)
     return R.table_agreement(found, found.where("rank <= 3").select("query_id", "angle", (F.col("item_id") + F.when(F.col("rank") == 3, 1).otherwise(0)).alias("item_id"), "rank"))
@@ -332,7 +344,7 @@ def cluster_nmi(spark: P, sf: str) -> D:
     return R.cluster_nmi(reduced, v.select("item_id", "label"), k=4)
 
 
-@query()
+@query("with v as (select vec_id item_id, embedding::double[] vec from embeddings), x as (select item_id, unnest(vec) x, unnest(generate_series(1, 64)) i from v), c as (select a.i, b.i j, covar_samp(a.x, b.x) c from x a join x b using (item_id) group by 1, 2) select (select count(*) from v) n, round(pow(sum(c) filter (i = j), 2) / sum(c * c), 6) participation from c")
 def participation_ratio(spark: P, sf: str) -> D:
     return R.participation_ratio(X.vectors(spark, sf))
 

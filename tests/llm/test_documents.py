@@ -498,3 +498,50 @@ def test_empty_tables(spark):
         toxicity.toxicity(empty, labels),
     ):
         assert out.collect() == []
+
+
+def test_very_long_texts(spark):
+    """A text of more bytes than the operators take at a time, and one that differs in its end."""
+    n = 250_000
+    long = " ".join([f"w{i}" for i in range(n)])
+    assert len(long) > 1 << 20
+    rows = [(1, long, "en", "a", len(long)), (2, "a short one", "en", "b", 11), (3, long + " tail", "en", "a", len(long) + 5)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    near = by_id(near_dedup.near_duplicates(docs))
+    assert {i: (r.n_shingles, r.component_id) for i, r in near.items()} == {1: (n - 4, 1), 2: (1, 2), 3: (n - 3, 1)}
+    kept = by_id(substring_dedup.remove_repeated(docs))
+    assert (kept[1].n_removed, kept[1].text, kept[3].n_removed, kept[3].text, kept[2].text) == (n, "", n, "tail", "a short one")
+    assert {i: r.n_words for i, r in by_id(quality.quality_rules(docs)).items()} == {1: n, 2: 3, 3: n + 1}
+    mixed = by_id(mixing.mix(docs))
+    assert all(r.taken <= 2 * r.size for r in mixed.values()) and mixed[1].size == n
+    scored = by_id(lm_scoring.score(docs, F.col("doc_id") == 2))
+    assert {i: r.n_tokens for i, r in scored.items()} == {1: n + 1, 2: 4, 3: n + 2} and all(math.isfinite(r.score) for r in scored.values())
+    prints = by_id(fingerprints.fingerprint_neighbours(docs))
+    assert prints[3].near_edited > 0.5 and prints[1].n_chars == len(long)
+    tokens = by_id(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True))
+    assert {i: r.decoded_sha256 for i, r in tokens.items()} == {r[0]: hashlib.sha256(r[1].encode()).hexdigest() for r in rows}
+    assert len(toxicity.toxicity(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")).collect()) == 3
+
+
+def test_without_toxic_keeps_odd_rows(spark):
+    """Null ids, one id with two texts, repeated rows and clashing columns: rows stay or go by their own text."""
+    docs, (a, b, c, d) = odd_ids(spark)
+    labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.without_toxic(odd(docs), labels)
+    assert out.columns == odd(docs).columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert toxicity.without_toxic(docs.where("false"), labels).collect() == []
+
+
+def test_winnowing_against_brute_force():
+    """Selected positions by the definition: of every window of grams the smallest hash, of equal ones the rightmost."""
+    rng = random.Random(11)
+    for size in (100, 150, 400):
+        text = "".join(rng.choice("abc") for _ in range(size))
+        hashes, where = fingerprints.winnow(text)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+        n = size - fingerprints.K + 1
+        grams = [int(fingerprints.span_hashes(points, np.array([i]), np.array([i + fingerprints.K]))[0] >> np.uint64(32)) for i in range(n)]
+        want = {min(range(s, s + fingerprints.WINDOW), key=lambda i: (grams[i], -i)) for s in range(n - fingerprints.WINDOW + 1)}
+        assert where.tolist() == sorted(want) and hashes.tolist() == [grams[i] for i in sorted(want)]

@@ -150,10 +150,13 @@ def pair_verdict(pairs: DataFrame, levels: Sequence[tuple[float, str]] = ((80, "
 
 
 def basket_scores(queries: DataFrame, edges: DataFrame, least: float = -0.15) -> DataFrame:
-    """Candidates for each basket by the sum of their edges to its items (G11). ``queries``: query_id, items; items themselves are left out."""
+    """Candidates for each basket by the sum of their edges to its items (G11). ``queries``: query_id, items; items themselves are left out.
+
+    Weights count to nine decimals and are summed exactly, so that the order of the rows doesn't matter.
+    """
     rows = queries.select("query_id", "items", F.explode("items").alias("a"))
     found = rows.join(both_ways(edges.where(F.col("npmi") >= least)), "a").where(~F.array_contains("items", F.col("b")))
-    return found.groupBy("query_id", F.col("b").alias("item_id")).agg(F.sum("weight").alias("score"), F.count("*").alias("edges"))
+    return found.groupBy("query_id", F.col("b").alias("item_id")).agg(F.sum(F.round("weight", 9).cast("decimal(18,9)")).cast("double").alias("score"), F.count("*").alias("edges"))
 
 
 def best_addition(queries: DataFrame, scores: DataFrame) -> DataFrame:

@@ -119,10 +119,10 @@ def pair_verdict(spark: P, sf: str) -> D:
 _QUERIES = "q as (select basket_id query_id, list(item_id order by item_id) items from slots where basket_id % 20 = 0 group by 1)"
 
 
-@query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(sum(weight), 6) score, count(*) n from x join both_ways using (a) where not list_contains(items, b) group by 1, 2) select query_id, item_id, score, n edges from s")
+@query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, sum(round(weight, 9)::decimal(18, 9))::double score, count(*) n from x join both_ways using (a) where not list_contains(items, b) group by 1, 2) select query_id, item_id, score, n edges from s")
 def basket_scores(spark: P, sf: str) -> D:
     q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
-    return G.basket_scores(q, edges_of(spark, sf)).withColumn("score", F.round("score", 6))
+    return G.basket_scores(q, edges_of(spark, sf))
 
 
 @query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(avg(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) select query_id, item_id, score from r where rank = 1")
@@ -153,14 +153,14 @@ def neighbour_overlap(spark: P, sf: str) -> D:
 
 @query(
     "with recursive "
-    + f"{X.EDGES}, {_CANON.partition('w as (select item_id, list_transform')[1]}{_CANON.partition('w as (select item_id, list_transform')[2]}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(sum(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2),"
+    + f"{X.EDGES}, {_CANON.partition('w as (select item_id, list_transform')[1]}{_CANON.partition('w as (select item_id, list_transform')[2]}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, sum(round(weight, 9)::decimal(18, 9))::double score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2),"
     " nr as (select a.item_id, list(b.item_id) near from c a join c b on a.canon = b.canon and a.item_id <> b.item_id group by 1), l as (select query_id, s.item_id, coalesce(near, []) near, row_number() over (partition by query_id order by score desc, s.item_id) as rank from s left join nr using (item_id)),"
     " g(query_id, rank, kept) as (select distinct query_id, 0::bigint, []::bigint[] from l union all select g.query_id, l.rank, case when len(kept) >= 5 or len(list_intersect(kept, near)) > 0 then kept else list_append(kept, l.item_id) end from g join l on l.query_id = g.query_id and l.rank = g.rank + 1 where l.rank <= 30),"
     " e as (select query_id, arg_max(kept, rank) kept from g group by 1) select query_id, unnest(kept) item_id, unnest(generate_series(1, len(kept))) as rank from e"
 )
 def suppress_near_duplicates(spark: P, sf: str) -> D:
     q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
-    s = G.basket_scores(q, edges_of(spark, sf)).withColumn("score", F.round("score", 6))
+    s = G.basket_scores(q, edges_of(spark, sf))
     return G.suppress_near_duplicates(G.top_k(s, ["query_id"], "score", "item_id", 30), G.near_duplicate_names(X.items(spark, sf), FORMS), k=5, bound=30)
 
 

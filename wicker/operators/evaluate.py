@@ -216,15 +216,21 @@ def poisson(u: Column) -> Column:
     return out
 
 
+def _resampled(hits: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Each model's mean in each replicate: ``model, rep, m``. An instance draws once a replicate, for all models together."""
+    per = hits.groupBy("instance_id").agg(F.collect_list(F.struct("model", "hit")).alias("of"))  # a row for each model
+    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", draw(F.concat_ws("-", "instance_id", "rep"), seed))
+    each = reps.withColumn("k", poisson(F.col("u"))).where("k > 0").select("rep", "k", F.explode("of").alias("x")).select("rep", "k", "x.*")
+    return each.groupBy("model", "rep").agg((F.sum(F.col("k") * F.col("hit")) / F.sum("k")).alias("m"))
+
+
 def bootstrap(hits: DataFrame, replicates: int = 200, baseline: str | None = None, seed: int = 0) -> DataFrame:
     """Means of each model's hits with 95 % intervals by paired Poisson resampling.
 
     ``hits``: model, instance_id, hit. One draw per replicate and instance, shared by all models. With a ``baseline``: difference,
     its interval and a two-sided p of 2 / replicates at least.
     """
-    reps = hits.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("k", poisson(draw(F.concat_ws("-", "instance_id", "rep"), seed))).where("k > 0")
-    means = reps.groupBy("model", "rep").agg((F.sum(F.col("k") * F.col("hit")) / F.sum("k")).alias("m"))
+    means = _resampled(hits, replicates, seed)
     point = hits.groupBy("model").agg(F.round(F.avg("hit"), 6).alias("mean"))
     bounds = means.groupBy("model").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = point.join(bounds, "model").select("model", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
@@ -245,9 +251,7 @@ def promotes(hits: DataFrame, challenger: str, incumbent: str, **how) -> DataFra
 
 def below_baseline(hits: DataFrame, baseline: str, replicates: int = 200, seed: int = 0) -> DataFrame:
     """How many models lie below the baseline, with an interval from draws that all models share."""
-    reps = hits.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("k", poisson(draw(F.concat_ws("-", "instance_id", "rep"), seed))).where("k > 0")
-    means = reps.groupBy("model", "rep").agg((F.sum(F.col("k") * F.col("hit")) / F.sum("k")).alias("m"))
+    means = _resampled(hits, replicates, seed)
     base = means.where(F.col("model") == baseline).select("rep", F.col("m").alias("b"))
     per = means.where(F.col("model") != baseline).join(base, "rep").groupBy("rep").agg(F.count_if(F.col("m") < F.col("b")).alias("below"))
     return per.agg(F.percentile("below", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))

@@ -14,7 +14,7 @@ from wicker.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Trained by pyspark.ml or long: the driver runs them; here they would take most of the time.
-SLOW = {"ranked_learned", "concatenated", "with_residual", "ridge_map", "cluster_nmi", "popularity_alignment", "svd_vectors", "walk_vectors", "noise_control", "masked_arms", "pairing_z", "permutation_p"}
+SLOW = {"ranked_learned", "concatenated", "with_residual", "ridge_map", "cluster_nmi", "popularity_alignment", "svd_vectors", "walk_vectors", "noise_control"}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bpe, chat, fingerprints, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import bpe, chat, divergence, fingerprints, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity, vector_codes
 
 
 def _held_out(modulus: int, remainder: int):
@@ -73,17 +73,76 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_toxicity, op4_chat_formatting, op5_fingerprints, op6_quality_rules, op7_substring_dedup, op8_mixing, op9_html_extraction, op10_byte_bpe, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_near_dedup, op2_lm_scoring, op3_toxicity, op4_chat_formatting, op5_fingerprints, op6_quality_rules, op7_substring_dedup),
+        *(op8_mixing, op9_html_extraction, op10_byte_bpe, op11_vector_codes, op12_token_counts, op13_source_divergence, pipeline),
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def _lloyd() -> str:
+    """The rounds of op11 as SQL: exhaustive assignment, then means rounded down."""
+    distance = "select vec_id, x.part, e.entry, (x.v[1] - e.v[1]) ** 2 + (x.v[2] - e.v[2]) ** 2 + (x.v[3] - e.v[3]) ** 2 + (x.v[4] - e.v[4]) ** 2 d from x join b{0} e on x.part = e.part"
+    near = "select vec_id, part, entry, d from (select *, row_number() over (partition by vec_id, part order by d, entry) r from (" + distance + ")) where r = 1"
+    mean = ", ".join("((sum(x.v[{0}]) - (sum(x.v[{0}]) % count(*) + count(*)) % count(*)) // count(*))::bigint".format(i) for i in range(1, 5))
+    sql = ""
+    for k in range(2):
+        sql += f"""
+a{k} as ({near.format(k)}),
+m{k} as (select x.part, a.entry, [{mean}] v from a{k} a join x on x.vec_id = a.vec_id and x.part = a.part group by x.part, a.entry),
+b{k + 1} as (select b.part, b.entry, coalesce(m.v, b.v) v from b{k} b left join m{k} m on m.part = b.part and m.entry = b.entry),"""
+    return sql + f"\na2 as ({near.format(2)})"
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": rf"""
+with k as (select vec_id, label, embedding from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from k),
+x as (select vec_id, part, v[1 + part * len(v) // 16:(part + 1) * len(v) // 16] v from w, (select unnest(range(16)) part)),
+b0 as (select part, row_number() over (partition by part order by vec_id) - 1 entry, v from x where vec_id in (select vec_id from k order by vec_id limit 64)),{_lloyd()},
+c as (select vec_id, string_agg(printf('%02x', entry), '' order by part) code, sum(d)::bigint error from a2 group by vec_id),
+l as (select label, sum(error)::bigint label_error from c join w using (vec_id) group by label),
+s as (select sha256(string_agg(c::varchar, ',' order by part, entry, i)) codebooks_sha256 from (select part, entry, unnest(v) c, unnest(range(len(v))) i from b2))
+select vec_id, code, error, label_error, codebooks_sha256 from c join w using (vec_id) join l on l.label is not distinct from w.label, s""",
+    "op13_source_divergence": r"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ts from documents),
+t as (select r, lang, source, unnest(ts) term from d),
+k as (select lang, term, count(*) whole from t group by lang, term having count(distinct r) >= 10),
+v as (select lang, count(*) v, sum(whole) n from k group by lang),
+c as (select lang, source, term, count(*) c from t semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(n, 0) n, coalesce(v, 0) v from (select distinct lang, source from d) left join (select lang, source, sum(c) n from c group by all) using (lang, source) left join (select lang, v from v) using (lang)),
+p as (select g.lang, g.source, k.term, k.whole, coalesce(c.c, 0) c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (g.n + 2 * g.v) p from g join k using (lang) left join c using (lang, source, term)),
+pairs as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) val from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+terms as (select lang, source, term item, ((p - q) * (p - q)) // (p + q) val from (select p.*, 1 + (1000000000::hugeint * (p.whole + 2)) // (v.n + 2 * v.v) q from p join v using (lang)) where c > 0 and p > q),
+all_parts as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(val, 0) val from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', item, val from terms),
+ranked as (select *, row_number() over (partition by lang, source, part order by val desc, item) rk from all_parts)
+select lang, source, part, item, val::bigint "value", rk::integer "rank" from ranked where part = 'pair' or rk <= 10""",
     "op1_near_dedup": rf"""
 with recursive w as (
   select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws from documents),

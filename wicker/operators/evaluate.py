@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import cosine, draw, pairs_of
+from ..functions.ranges import places, sums_before
 from .baskets import frequencies, npmi_graph
 from .graph import both_ways, similarities, top_k
 
@@ -140,7 +141,7 @@ def silent_instances(instances: DataFrame, edges: DataFrame) -> DataFrame:
 
 def triplet_accuracy(edges: DataFrame, vectors: DataFrame, seed: int = 0) -> DataFrame:
     """How often an edge's ends are closer than an end and a drawn item; ties half (H10). The draw picks an id out of the vocabulary's ranks."""
-    ids = vectors.select("item_id").withColumn("r", F.row_number().over(W.orderBy("item_id")))  # a row for each item of the vocabulary
+    ids = places(vectors.select("item_id"), ["item_id"])
     n = ids.agg(F.max("r").alias("n"))
     e = edges.select("src", "dst").crossJoin(F.broadcast(n)).withColumn("r", (1 + F.floor(draw(F.concat_ws("-", "src", "dst"), seed) * F.col("n"))).cast("int"))  # one row
     t = e.join(ids.withColumnRenamed("item_id", "other"), "r").where("other <> src and other <> dst")
@@ -161,41 +162,49 @@ def substitution_recall(neighbours: DataFrame, subs: DataFrame, k: int = 10, lea
     return hits.groupBy("a", "n").agg(F.count("hit").alias("hits")).agg(F.count("*").alias("anchors"), F.round(F.avg(F.col("hits") / F.least(F.col("n"), F.lit(k))), 6).alias("recall"))
 
 
-def degree_matched(edges: DataFrame, degrees: DataFrame, band: float = 0.1) -> DataFrame:
+#: Draws that look for a non-edge before a whole band is searched.
+DRAWS = 16
+
+
+def degree_matched(edges: DataFrame, degrees: DataFrame, band: float = 0.1, seed: int = 5) -> DataFrame:
     """For each edge a non-edge whose end has nearly the same degree rank (D6): ``src, dst, other``.
 
-    Ranks are cut into cells of the band's width; only the own and the two neighbouring cells are joined.
+    The first of ``DRAWS`` drawn ranks of the band that is no end and no edge; only edges whose draws all fail meet the whole band, cut into cells of
+    its width, and take its smallest hash.
     """
     n = degrees.agg(F.count("*").alias("n"))
-    order = W.orderBy("degree", "item_id")  # a row for each item of the vocabulary
-    ranked = degrees.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(n)).withColumn("width", F.greatest(F.floor(F.col("n") * band), F.lit(1)))
-    ranked = ranked.withColumn("cell", F.floor(F.col("r") / F.col("width")))
-    near = ranked.select(F.col("item_id").alias("other"), F.col("r").alias("r2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    found = edges.select("src", "dst").join(ranked.select(F.col("item_id").alias("dst"), "r", "cell", "width"), "dst").join(near, "cell").where("abs(r - r2) <= width and other <> src and other <> dst")
+    ranked = places(degrees, ["degree", "item_id"]).crossJoin(F.broadcast(n)).withColumn("width", F.greatest(F.floor(F.col("n") * band), F.lit(1)))  # one row
     all_edges = both_ways(edges).select(F.col("a").alias("src"), F.col("b").alias("other"))
-    found = found.join(all_edges, ["src", "other"], "left_anti")
+    own = edges.select("src", "dst").join(ranked.select(F.col("item_id").alias("dst"), "r", "width", "n"), "dst")
+    low, high = F.greatest(F.col("r") - F.col("width"), F.lit(1)), F.least(F.col("r") + F.col("width"), F.col("n"))
+    tries = own.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
+    tries = tries.select("src", "dst", "j", (low + F.floor(draw(F.concat_ws("-", "src", "dst", "j"), seed) * (high - low + 1))).alias("r"))
+    tries = tries.join(ranked.select(F.col("item_id").alias("other"), "r"), "r").where("other <> src and other <> dst").join(all_edges, ["src", "other"], "left_anti")
+    drawn = tries.groupBy("src", "dst").agg(F.min_by("other", "j").alias("other"))
+    cell = F.floor(F.col("r") / F.col("width"))
+    near = ranked.select(F.col("item_id").alias("other"), F.col("r").alias("r2"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    rest = own.join(drawn, ["src", "dst"], "left_anti").withColumn("cell", cell).join(near, "cell").where("abs(r - r2) <= width and other <> src and other <> dst")
+    rest = rest.join(all_edges, ["src", "other"], "left_anti")
     pick = F.min_by("other", F.struct(F.md5(F.concat_ws("-", "src", "dst", "other")), F.col("other")))
-    return found.groupBy("src", "dst").agg(pick.alias("other"))
+    return drawn.unionByName(rest.groupBy("src", "dst").agg(pick.alias("other")))
 
 
 def auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Probability that a positive scores above a negative, ties half (H19, H12). ``rows``: label 0/1, score.
 
-    From ranks of distinct scores, summed beforehand: the window sees a row per distinct score.
+    Distinct scores are summed first and their running sums taken by ranges of the score, so continuous scores are no single task.
     """
     per = rows.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    w = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    per = sums_before(per, "score", {"below": "neg"}, by)
     out = per.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.withColumn("auc", F.round(F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))), 6)).drop("wins")
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with midranks for ties."""
+    """Rank correlation with midranks for ties (H18); ranks come from running sums by ranges."""
     for c in (x, y):
         ties = rows.groupBy(*by, c).agg(F.count("*").alias("m"))
-        w = W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-        ranks = ties.withColumn(f"rank_{c}", F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2).drop("m")
+        ranks = sums_before(ties, c, {"before": "m"}, by).select(*by, c, (F.col("before") + (F.col("m") + 1) / 2).alias(f"rank_{c}"))
         rows = rows.join(ranks, [*by, c])
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr(f"rank_{x}", f"rank_{y}"), 6).alias("rho"))
 
@@ -337,9 +346,10 @@ def calibration_set(edges: DataFrame, df: DataFrame, common: int, least_count: i
 def best_threshold(rows: DataFrame) -> DataFrame:
     """The score at which true less false positive rate is largest (H33). ``rows``: label, score."""
     per = rows.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    curve = per.select("score", (F.sum("pos").over(down) / F.sum("pos").over(whole)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(whole)).alias("fpr"))
+    above = sums_before(per, "score", {"pos_above": "pos", "neg_above": "neg"}, descending=True)
+    whole = rows.agg(F.sum("label").alias("all_pos"), F.sum(1 - F.col("label")).alias("all_neg"))
+    share = lambda c: (F.col(f"{c}_above") + F.col(c)) / F.col(f"all_{c}")
+    curve = above.crossJoin(F.broadcast(whole)).select("score", share("pos").alias("tpr"), share("neg").alias("fpr"))  # one row
     return curve.withColumn("gain", F.round(F.col("tpr") - F.col("fpr"), 9)).orderBy(F.desc("gain"), F.desc("score")).limit(1).select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"), F.round("gain", 6).alias("gain"))
 
 

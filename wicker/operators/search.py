@@ -33,12 +33,41 @@ def searchable(queries: DataFrame) -> DataFrame:
     return queries.withColumn("pantry", F.array_except(F.array_union(F.coalesce("available", empty), F.coalesce("must_use", empty)), F.coalesce("exclude", empty)))
 
 
-def constraints(q: str = "", c: str = "") -> Column:
-    """What a basket must satisfy for a query (B6): an unknown value never satisfies a bound that is there."""
+#: The states of a link that lead somewhere.
+LINKED = ("source", "archive")
+
+
+def constraints(linked: bool = False) -> Column:
+    """What a basket must satisfy for a query (B6): an unknown value never satisfies a bound that is there. ``linked``: queries may ask for a link."""
     col = F.col
     ok = col("budget").isNull() | F.coalesce(col("total_minutes") <= col("budget"), F.lit(False))
     ok = ok & (col("min_servings").isNull() | F.coalesce(col("servings") >= col("min_servings"), F.lit(False)))
-    return ok & (col("language").isNull() | F.coalesce(col("lang") == col("language"), F.lit(False)))
+    ok = ok & (col("language").isNull() | F.coalesce(col("lang") == col("language"), F.lit(False)))
+    if linked:
+        ok = ok & (~F.coalesce("require_link", F.lit(False)) | F.coalesce(col("link_status").isin(*LINKED), F.lit(False)))
+    return ok
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """What a query asks of a basket: ``query_id, pantry, must, out`` and the bounds."""
+    empty = F.array().cast("array<bigint>")
+    q = searchable(queries).withColumn("must", F.coalesce("must_use", empty)).withColumn("out", F.coalesce("exclude", empty))
+    bounds = ["max_missing", "budget", "min_servings", "language", "top_k", *(["require_link"] if "require_link" in queries.columns else [])]
+    return q.select("query_id", "pantry", "must", "out", *bounds)
+
+
+def _offered(catalog: DataFrame) -> DataFrame:
+    """What a basket offers."""
+    return catalog.select("basket_id", "items", "lang", "total_minutes", "servings", *(["link_status"] if "link_status" in catalog.columns else []))
+
+
+def _fits(linked: bool) -> Column:
+    """Whether a basket satisfies a query, on rows of both: sizes before sets."""
+    most = F.col("max_missing")
+    sizes = most.isNull() | (F.size("items") <= F.size("pantry") + most)
+    missing = F.size("items") - F.size(F.array_intersect("items", "pantry"))
+    sets = (missing < F.size("items")) & (most.isNull() | (missing <= most)) & (F.size(F.array_except("must", "items")) == 0) & ~F.arrays_overlap("items", "out")
+    return sizes & constraints(linked) & sets
 
 
 def candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -48,37 +77,132 @@ def candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return slot.join(wanted, "item_id").groupBy("query_id", "basket_id").agg(F.count("*").alias("overlap"))
 
 
-def feasible(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Baskets that satisfy each query (I2): one searchable item at least, all must-use, no excluded, at most max_missing others, and the bounds.
+def _size_class(size: Column) -> Column:
+    """Sizes by powers of two."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
 
-    Size is tested before the set tests (B7): a basket longer than the pantry and max_missing together can't do.
+
+def prefix_index(catalog: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each basket under its ``depth`` rarest items (all without a depth), rarest first: ``item_id, size_class, place, prefix`` and what it offers.
+
+    A basket that lacks at most m items of a pantry has one of its m + 1 rarest items there, so a depth of m + 1 finds all that may do; the
+    commonest items index only baskets that have nothing rarer. It serves any number of query batches.
     """
-    empty = F.array().cast("array<bigint>")
-    q = searchable(queries)
-    rows = candidates(queries, catalog).join(q, "query_id").join(catalog.select("basket_id", "items", "lang", "total_minutes", "servings"), "basket_id")
-    missing = F.size("items") - F.col("overlap")
-    rows = rows.where((F.size("items") <= F.size("pantry") + F.col("max_missing")) & (missing <= F.col("max_missing")) & constraints())
-    must, out = F.coalesce("must_use", empty), F.coalesce("exclude", empty)
-    rows = rows.where((F.size(F.array_except(must, "items")) == 0) & ~F.arrays_overlap("items", out))
-    return rows.select("query_id", "basket_id", "overlap", missing.alias("missing"), "pantry", "items", "total_minutes", "servings", "budget", "top_k")
+    slot = catalog.select("basket_id", F.explode("items").alias("item_id")).join(frequencies(catalog), "item_id")
+    rare = slot.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("df", "item_id"))).alias("rare"))  # a basket's own items
+    prefix = F.col("rare.item_id") if depth is None else F.slice(F.col("rare.item_id"), 1, depth)
+    rows = _offered(catalog).join(rare.select("basket_id", prefix.alias("prefix")), "basket_id")
+    return rows.withColumn("size_class", _size_class(F.size("items"))).select("*", F.posexplode("prefix").alias("place", "item_id"))
 
 
-def bm25(queries: DataFrame, catalog: DataFrame, k1: float = 1.2, b: float = 0.75, scan_limit: int = 50_000, keep: int = 2_000) -> DataFrame:
+def found_by_prefix(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Queries met with baskets of an index (D7, D8): every basket that may satisfy a query, once: at its rarest item in the pantry.
+
+    Sizes take part in the join by classes, so that baskets that are too large for a query are not met at all; a query without ``max_missing``
+    meets all classes.
+    """
+    q = _asked(queries)
+    most = F.col("max_missing")
+    largest = F.when(most.isNull(), F.lit(30)).otherwise(_size_class(F.size("pantry") + most))
+    wanted = q.withColumn("item_id", F.explode("pantry")).withColumn("size_class", F.explode(F.sequence(F.lit(0), largest)))
+    rows = index.join(wanted, ["item_id", "size_class"])
+    first = ~F.arrays_overlap(F.slice("prefix", 1, F.col("place")), "pantry")
+    return rows.where((most.isNull() | (F.col("place") <= most)) & first)
+
+
+def feasible(queries: DataFrame, catalog: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Baskets that satisfy each query (I2): one searchable item at least, all must-use, no excluded, at most max_missing others (null: any number), and the bounds.
+
+    By prefix indexes: one as deep as the largest max_missing asks for, and a whole one for queries without it; ``index`` is one kept as a table, deep
+    enough for all. Queries may have ``require_link`` where the catalogue has ``link_status``.
+    """
+    linked = "require_link" in queries.columns
+    asked = queries.agg(F.max("max_missing").alias("most"), F.count_if(F.col("max_missing").isNull()).alias("open")).first()
+    parts = [(queries.where(F.col("max_missing").isNotNull()), (asked["most"] or 0) + 1)]
+    if asked["open"]:
+        parts.append((queries.where(F.col("max_missing").isNull()), None))
+    out = None
+    for some, depth in parts:
+        rows = found_by_prefix(some, prefix_index(catalog, depth) if index is None else index).where(_fits(linked))
+        out = rows if out is None else out.unionByName(rows)
+    overlap = F.size(F.array_intersect("items", "pantry"))
+    return out.select("query_id", "basket_id", overlap.cast("long").alias("overlap"), (F.size("items") - overlap).cast("long").alias("missing"), "pantry", "items", "total_minutes", "servings", "budget", "top_k")
+
+
+#: Postings in a block.
+BLOCK = 128
+K1, B_ = 1.2, 0.75
+
+
+def posting_blocks(catalog: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Postings in blocks of about ``size`` (I3): ``item_id, length, block, n, baskets``. The baskets of a block have one length.
+
+    A posting's score depends on its item and its basket's length alone, so every posting of a block has the block's highest score. Blocks are cut
+    by a hash of the basket, so that the postings of a common item are never one group.
+    """
+    slot = catalog.select("basket_id", F.size("items").alias("length"), F.explode("items").alias("item_id"))
+    sizes = slot.groupBy("item_id", "length").agg(F.count("*").alias("m"))
+    placed = slot.join(sizes, ["item_id", "length"]).withColumn("block", F.pmod(F.xxhash64("basket_id"), F.ceil(F.col("m") / size)))
+    return placed.groupBy("item_id", "length", "block").agg(F.count("*").alias("n"), F.collect_list("basket_id").alias("baskets"))
+
+
+def _summed(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
+
+
+def scan_plan(queries: DataFrame, catalog: DataFrame, blocks: DataFrame, want: int) -> tuple[DataFrame, DataFrame]:
+    """Which blocks a search by BM25 has to read so that each query's ``want`` best baskets are among what is read.
+
+    The plan has ``query_id, length, item_id, idf, gain, n_blocks, role`` for each query, item and length of basket; the second table is the scored
+    baskets of the blocks that seed the bounds. A length's bound is the sum of the pantry's largest IDFs that so short a basket can hold, times the length's gain.
+    Lengths of the highest bounds that surely hold ``want`` baskets are read whole (seed); the score of the last of these ``want`` is a floor. Of other lengths
+    only items are read without which no basket gets to the floor (essential); what is left is skipped.
+    """
+    stats = catalog.agg(F.count("*").alias("n"), F.avg(F.size("items")).alias("mean"))
+    idf_ = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = frequencies(catalog).crossJoin(F.broadcast(stats)).select("item_id", idf_.alias("idf"), "mean")  # one row
+    per = blocks.groupBy("item_id", "length").agg(F.sum("n").alias("postings"), F.count("*").alias("n_blocks")).join(df, "item_id")
+    per = per.withColumn("gain", (K1 + 1) / (1 + K1 * (1 - B_ + B_ * F.col("length") / F.col("mean")))).drop("mean")
+    wanted = searchable(queries).select("query_id", F.explode("pantry").alias("item_id"))
+    rows = wanted.join(per, "item_id")
+    # a row for each length that a query's items occur in
+    entry = F.struct("idf", "item_id", "n_blocks")
+    lengths = rows.groupBy("query_id", "length").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.max("postings").alias("surely"), F.first("gain").alias("gain"))
+    rarest = F.slice(F.reverse("entries"), 1, F.col("length"))
+    lengths = lengths.withColumn("bound", F.col("gain") * _summed(F.transform(rarest, lambda e: e["idf"])))
+    down = W.partitionBy("query_id").orderBy(F.desc("bound"), "length").rowsBetween(W.unboundedPreceding, -1)
+    lengths = lengths.withColumn("seed", F.coalesce(F.sum("surely").over(down), F.lit(0)) < want)
+    seeds = lengths.where("seed").select("query_id", "length", "gain", F.explode("entries").alias("e")).select("query_id", "length", "gain", "e.idf", "e.item_id")
+    read = seeds.join(blocks.select("item_id", "length", "baskets"), ["item_id", "length"]).select("query_id", "gain", "idf", F.explode("baskets").alias("basket_id"))
+    scored = read.groupBy("query_id", "basket_id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), 6).alias("score"))
+    floor = top_k(scored, ["query_id"], "score", "basket_id", want).where(F.col("rank") == want).select("query_id", F.col("score").alias("floor"))
+    lengths = lengths.join(floor, "query_id", "left")
+    # entries ascend by IDF: those whose running sum stays under the floor do not get there, all together
+    running = lambda i: _summed(F.transform(F.slice("entries", 1, i + 1), lambda e: e["idf"])) * F.col("gain")
+    role = lambda i: F.when(F.col("seed"), "seed").when(running(i) >= F.col("floor") - 1e-5, "essential").otherwise("skipped")
+    planned = F.transform("entries", lambda e, i: F.struct(e["item_id"].alias("item_id"), e["idf"].alias("idf"), e["n_blocks"].alias("n_blocks"), role(i).alias("role")))
+    return lengths.select("query_id", "length", "gain", F.explode(planned).alias("e")).select("query_id", "length", "gain", "e.*"), scored
+
+
+def bm25(queries: DataFrame, catalog: DataFrame, scan_limit: int = 50_000, keep: int = 2_000, blocks: DataFrame | None = None) -> DataFrame:
     """Candidates by BM25 of their items, under a query's two budgets (I3): ``query_id, basket_id, score, rank, truncated``.
 
     The ``scan_limit`` best by score are scanned in order, those that satisfy the query are kept, up to ``keep``; ``truncated`` says that one
-    of the budgets ended the search. ``feasible`` is the same search without budgets.
+    of the budgets ended the search. ``feasible`` is the same search without budgets. Blocks of postings that can't hold one of the best are not read (``scan_plan``);
+    ``blocks`` are the catalogue's ``posting_blocks`` where they are kept as a table.
     """
-    wanted = searchable(queries).select("query_id", F.explode("pantry").alias("item_id"))
-    size = catalog.agg(F.count("*").alias("n"), F.avg(F.size("items")).alias("mean"))
-    df = frequencies(catalog)
-    slot = catalog.select("basket_id", F.size("items").alias("length"), F.explode("items").alias("item_id"))
-    rows = slot.join(wanted.join(df, "item_id").crossJoin(F.broadcast(size)), "item_id")  # size is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = rows.groupBy("query_id", "basket_id").agg(F.round(F.sum(part), 6).alias("score"))
+    blocks = posting_blocks(catalog) if blocks is None else blocks
+    plan, seeds = scan_plan(queries, catalog, blocks, scan_limit + 1)
+    more = plan.where("role = 'essential'").select("query_id", "length", "item_id").join(blocks.select("item_id", "length", "baskets"), ["item_id", "length"])
+    more = more.select("query_id", F.explode("baskets").alias("basket_id")).distinct()
+    weights = plan.groupBy("query_id", "length").agg(F.first("gain").alias("gain"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_id", "idf")))).alias("idf"))  # a query's own items
+    rows = more.join(catalog.select("basket_id", "items", F.size("items").alias("length")), "basket_id").join(weights, ["query_id", "length"])
+    weight = _summed(F.transform("items", lambda x: F.coalesce(F.try_element_at("idf", x), F.lit(0.0)) * F.col("gain")))
+    scored = seeds.unionByName(rows.select("query_id", "basket_id", F.round(weight, 6).alias("score")))
     matched = scored.groupBy("query_id").agg(F.count("*").alias("matched"))
-    scanned = top_k(scored, ["query_id"], "score", "basket_id", scan_limit).drop("rank").join(feasible(queries, catalog).select("query_id", "basket_id"), ["query_id", "basket_id"])
+    best = top_k(scored, ["query_id"], "score", "basket_id", scan_limit).drop("rank")
+    linked = "require_link" in queries.columns
+    scanned = best.join(_asked(queries), "query_id").join(_offered(catalog), "basket_id").where(_fits(linked)).select("query_id", "basket_id", "score")
     kept = scanned.groupBy("query_id").agg(F.count("*").alias("fit"))
     ended = matched.join(kept, "query_id").select("query_id", ((F.col("matched") > scan_limit) | (F.col("fit") > keep)).alias("truncated"))
     return top_k(scanned, ["query_id"], "score", "basket_id", keep).join(ended, "query_id").select("query_id", "basket_id", "score", "rank", "truncated")
@@ -92,10 +216,10 @@ def idf(catalog: DataFrame) -> DataFrame:
 
 def idf_sums(found: DataFrame, weights: DataFrame) -> DataFrame:
     """IDF of the overlap, the basket and the pantry (E23), joined to ``found``."""
-    w = weights.select("item_id", "idf")
+    w = weights.select("item_id", F.col("idf").cast("decimal(18,9)").alias("idf"))  # sums that do not depend on their order
     rows = found.select("query_id", "basket_id", "pantry", F.explode("items").alias("item_id")).join(w, "item_id")
-    per = rows.groupBy("query_id", "basket_id").agg(F.sum(F.when(F.array_contains("pantry", F.col("item_id")), F.col("idf")).otherwise(0.0)).alias("idf_overlap"), F.sum("idf").alias("idf_basket"))
-    pantry = found.select("query_id", "pantry").distinct().select("query_id", F.explode("pantry").alias("item_id")).join(w, "item_id").groupBy("query_id").agg(F.sum("idf").alias("idf_pantry"))
+    per = rows.groupBy("query_id", "basket_id").agg(F.coalesce(F.sum(F.when(F.array_contains("pantry", F.col("item_id")), F.col("idf"))), F.lit(0)).cast("double").alias("idf_overlap"), F.sum("idf").cast("double").alias("idf_basket"))
+    pantry = found.select("query_id", "pantry").distinct().select("query_id", F.explode("pantry").alias("item_id")).join(w, "item_id").groupBy("query_id").agg(F.sum("idf").cast("double").alias("idf_pantry"))
     return found.join(per, ["query_id", "basket_id"]).join(pantry, "query_id")
 
 
@@ -288,12 +412,8 @@ def ledger(used: DataFrame, all_rows: DataFrame) -> DataFrame:
 
 def violations(results: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Results that break a constraint of their query (I13): ``query_id, basket_id``; there should be none."""
-    empty = F.array().cast("array<bigint>")
-    rows = results.select("query_id", "basket_id").join(queries.drop("items"), "query_id").join(catalog.select("basket_id", "items", "lang", "total_minutes", "servings"), "basket_id")
-    must, out = F.coalesce("must_use", empty), F.coalesce("exclude", empty)
-    broken = (F.size(F.array_except(must, "items")) > 0) | F.arrays_overlap("items", out)
-    broken = broken | (F.size(F.array_except("items", F.array_union("available", must))) > F.col("max_missing")) | ~constraints()
-    return rows.where(broken).select("query_id", "basket_id")
+    rows = results.select("query_id", "basket_id").join(_asked(queries), "query_id").join(_offered(catalog), "basket_id")
+    return rows.where(~_fits("require_link" in queries.columns)).select("query_id", "basket_id")
 
 
 def search_report(results: DataFrame, expected: DataFrame, shortlist: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:

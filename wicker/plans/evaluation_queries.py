@@ -152,7 +152,9 @@ def substitution_recall(spark: P, sf: str) -> D:
 
 _MATCHED = f"""{X.EDGES}, e as (select src, dst from edges where npmi >= 0.02), bw as (select src a, dst b from e union select dst, src from e), dg as (select item_id, count(b) degree from items left join bw on a = item_id group by 1), rk as (select item_id, row_number() over (order by degree, item_id) r, greatest(floor((select count(*) from dg) * 0.1), 1) w from dg),
 c as (select e.src, e.dst, y.item_id other from e join rk x on x.item_id = e.dst join rk y on abs(x.r - y.r) <= x.w and y.item_id <> e.src and y.item_id <> e.dst and floor(y.r / y.w) between floor(x.r / x.w) - 1 and floor(x.r / x.w) + 1 where not exists (select 1 from bw where bw.a = e.src and bw.b = y.item_id)),
-m as (select src, dst, arg_min(other, md5(src || '-' || dst || '-' || other)) other from c group by 1, 2)"""
+tr as (select e.src, e.dst, j, greatest(x.r - x.w, 1) + floor({X.draw_sql("e.src || '-' || e.dst || '-' || j", 5)} * (least(x.r + x.w, (select count(*) from dg)) - greatest(x.r - x.w, 1) + 1)) r from e join rk x on x.item_id = e.dst, (select unnest(range(1, 17)) j)),
+dr as (select src, dst, arg_min(item_id, j) other from tr join rk using (r) where item_id <> src and item_id <> dst and not exists (select 1 from bw where bw.a = src and bw.b = item_id) group by 1, 2),
+m as (select * from dr union all select src, dst, arg_min(other, md5(src || '-' || dst || '-' || other)) other from c where (src, dst) not in (select (src, dst) from dr) group by 1, 2)"""
 
 
 @query(f"with {_MATCHED} select * from m")
@@ -171,15 +173,15 @@ def link_auc(spark: P, sf: str) -> D:
     return E.auc(rows.select("label", F.round(cosine("u", "vec"), 9).alias("score")))
 
 
-@query("with r as (select o_orderpriority grp, (o_orderstatus = 'F')::int as label, round(o_totalprice, -4) score from orders), p as (select grp, score, sum(label) p, sum(1 - label) n from r group by 1, 2), w as (select *, coalesce(sum(n) over (partition by grp order by score rows between unbounded preceding and 1 preceding), 0) below from p) select grp, sum(p)::bigint n_pos, sum(n)::bigint n_neg, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) auc from w group by 1")
+@query("with r as (select o_orderpriority grp, (o_orderstatus = 'F')::int as label, o_totalprice score from orders), p as (select grp, score, sum(label) p, sum(1 - label) n from r group by 1, 2), w as (select *, coalesce(sum(n) over (partition by grp order by score rows between unbounded preceding and 1 preceding), 0) below from p) select grp, sum(p)::bigint n_pos, sum(n)::bigint n_neg, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) auc from w group by 1")
 def grouped_auc(spark: P, sf: str) -> D:
-    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.round("o_totalprice", -4).alias("score"))
+    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_totalprice").alias("score"))
     return E.auc(r, ["grp"])
 
 
-@query("with r as (select l_quantity x, round(l_extendedprice, -3) y from lineitem), a as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from r) select count(*) n, round(corr(rx, ry), 6) rho from a")
+@query("with r as (select l_quantity x, l_extendedprice y from lineitem), a as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from r) select count(*) n, round(corr(rx, ry), 6) rho from a")
 def spearman(spark: P, sf: str) -> D:
-    return E.spearman(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), F.round("l_extendedprice", -3).alias("y")), "x", "y")
+    return E.spearman(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")), "x", "y")
 
 
 @query("with r as (select (o_orderstatus = 'F')::int as label, o_totalprice / 500000 p, (o_orderkey % 97) / 97.0::double q from orders), g as (select w::double weight, label, round(w::double * p + (1 - w::double) * q, 9) score from r, (values (0.0), (0.5), (1.0)) t(w)), a as (select weight, label, rank() over (partition by weight order by score) + (count(*) over (partition by weight, score) - 1) / 2.0 rk from g) select weight, sum(label)::bigint n_pos, sum(1 - label)::bigint n_neg, round((sum(rk * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) auc from a group by 1")
@@ -287,9 +289,9 @@ def calibration_set(spark: P, sf: str) -> D:
     return E.calibration_set(strong, B.frequencies(b), 40, 60, 50)
 
 
-@query("with r as (select (o_orderstatus = 'F')::int as label, round(o_totalprice, -3) score from orders), p as (select score, sum(label) p, sum(1 - label) n from r group by 1), c as (select score, sum(p) over (order by score desc) / sum(p) over () tpr, sum(n) over (order by score desc) / sum(n) over () fpr from p) select score, round(tpr, 6) tpr, round(fpr, 6) fpr, round(tpr - fpr, 6) gain from c order by round(tpr - fpr, 9) desc, score desc limit 1")
+@query("with r as (select (o_orderstatus = 'F')::int as label, o_totalprice score from orders), p as (select score, sum(label) p, sum(1 - label) n from r group by 1), c as (select score, sum(p) over (order by score desc) / sum(p) over () tpr, sum(n) over (order by score desc) / sum(n) over () fpr from p) select score, round(tpr, 6) tpr, round(fpr, 6) fpr, round(tpr - fpr, 6) gain from c order by round(tpr - fpr, 9) desc, score desc limit 1")
 def best_threshold(spark: P, sf: str) -> D:
-    return E.best_threshold(table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"), F.round("o_totalprice", -3).alias("score")))
+    return E.best_threshold(table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_totalprice").alias("score")))
 
 
 # --- pairing statistics ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = str(Path(__file__).resolve().parent.parent)
 
@@ -48,3 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_saved: dict[str, list[str]] = {}
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Run ``df`` once, keep its rows as a table in the shared folder and return that table. Tables go with the application (``drop_saved``)."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _saved:
+        _saved[app] = []
+        atexit.register(drop_saved, spark)
+    _saved[app].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Remove the tables that ``saved`` wrote; for a caller who has written out what was made of them, and at the end."""
+    if spark.sparkContext._jsc is None:
+        return
+    for path in _saved.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

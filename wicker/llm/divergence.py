@@ -176,6 +176,6 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFram
     schema = "lang string, source string, part string, item string, value long"
     parts = placed.groupBy("lang", "block").cogroup(groups.groupBy("lang", "block")).applyInPandas(_block, schema)
     summed = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
-    ranked = summed.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TOP))
+    rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item")))
+    pairs, words = (summed.where(F.col("part") == x).withColumn("rank", rank) for x in ("pair", "term"))
+    return pairs.unionByName(words.where(F.col("rank") <= TOP))  # tasks cut the terms before they shuffle them

@@ -6,11 +6,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wicker.functions.ranges import places, sums_before
-from wicker.operators import evaluate as E, search as S
+from wicker.operators import evaluate as E, neighbours as N, search as S
 
 CATALOG = "basket_id long, items array<long>, lang string, total_minutes double, servings double, link_status string"
 QUERIES = "query_id long, available array<long>, must_use array<long>, exclude array<long>, budget double, max_missing int, min_servings double, language string, top_k int, require_link boolean"
@@ -131,3 +132,35 @@ def test_degree_matched_draws(spark):
     free = lambda s, d, o: o not in (s, d) and abs(r[o] - r[d]) <= 6 and tuple(sorted((s, o))) not in edges
     assert all(free(x.src, x.dst, x.other) for x in got)
     assert {(x.src, x.dst) for x in got} == {(s, d) for s, d in edges if any(free(s, d, o) for o in degree)}
+
+
+def brute_nearest(rows, k):
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if any(v)}
+    out = []
+    for a, u in unit.items():
+        best = sorted((-round(float(u @ w), 9), b) for b, w in unit.items() if b != a)[:k]
+        out += [(a, b, -c, r + 1) for r, (c, b) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pivots, block", [(None, 4096), (5, 40), (1, 4096)])
+def test_pruned_neighbours(spark, monkeypatch, pivots, block):
+    """Clusters, one of which holds a third of all, equal vectors, a zero vector."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (centres[0 if i % 3 == 0 else i % 12] + rng.normal(size=8) * 0.2).tolist()) for i in range(400)]
+    rows += [(500 + i, rows[7][1]) for i in range(9)] + [(600, [0.0] * 8)]
+    near, work = N.pivot_neighbours(spark.createDataFrame(rows, "item_id long, vec array<double>").repartition(3), 4, pivots=pivots)
+    got = sorted((r.a, r.b, r.cosine, r["rank"]) for r in near.collect())
+    assert [(x[0], x[1], x[3]) for x in got] == [(x[0], x[1], x[3]) for x in brute_nearest(rows, 4)]
+    if pivots is None:
+        assert sum(r.compared for r in work.collect()) < 0.35 * 409 * 408
+
+
+def test_pruned_neighbours_of_few(spark):
+    schema = "item_id long, vec array<double>"
+    assert N.nearest(spark.createDataFrame([], schema), 3).collect() == []
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
+    assert sorted((r.a, r.b) for r in N.nearest(two, 3).collect()) == [(1, 2), (2, 1)]
+    assert [(r.a, r.b) for r in N.nearest(two, 3, two.where("item_id = 2")).collect()] == [(2, 1)]

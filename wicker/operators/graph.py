@@ -177,11 +177,6 @@ def similarities(vectors: DataFrame, queries: DataFrame | None = None, blocks: i
     return q.join(r, "block").where("a <> b").select("a", "b", cosine("v", "u").alias("cosine"))
 
 
-def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """k nearest neighbours, itself excluded."""
-    return top_k(similarities(vectors, queries), ["a"], "cosine", "b", k)
-
-
 def neighbour_overlap(one: DataFrame, two: DataFrame) -> DataFrame:
     """Jaccard of the neighbour lists that two spaces give (G30). Tables: a, b."""
     lists = [t.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias(n)) for t, n in ((one, "x"), (two, "y"))]  # k neighbours each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import cosine, draw
-from ..operators import baskets as B, evaluate as E, graph as G, represent as R, stats as T
+from ..operators import baskets as B, evaluate as E, graph as G, neighbours as N, represent as R, stats as T
 from ..session import table
 from . import bindings as X
 from .graph_queries import _CANON, FORMS, baskets_of, edges_of
@@ -146,8 +146,7 @@ def noise_control(spark: P, sf: str) -> D:
 @query(f"with v as (select vec_id item_id, embedding::double[] vec from embeddings), c as (select a.item_id a, b.item_id b, row_number() over (partition by a.item_id order by round(list_cosine_similarity(a.vec, b.vec), 9) desc, b.item_id) as rank from v a join v b on a.item_id <> b.item_id), {X.SUBS}, s as (select a, b from subs), n as (select a, count(*) n from s group by 1 having count(*) >= 2), h as (select s.a, n, count(c.b) hits from s join n using (a) left join c on c.a = s.a and c.b = s.b and rank <= 10 group by 1, 2) select count(*) anchors, round(avg(hits / least(n, 10)::double), 6) recall from h")
 def substitution_recall(spark: P, sf: str) -> D:
     s = X.subs(spark, sf)
-    near = G.top_k(G.similarities(X.vectors(spark, sf)).withColumn("cosine", F.round("cosine", 9)), ["a"], "cosine", "b", 10)
-    return E.substitution_recall(near, s, least=2)
+    return E.substitution_recall(N.nearest(X.vectors(spark, sf), 10), s, least=2)
 
 
 _MATCHED = f"""{X.EDGES}, e as (select src, dst from edges where npmi >= 0.02), bw as (select src a, dst b from e union select dst, src from e), dg as (select item_id, count(b) degree from items left join bw on a = item_id group by 1), rk as (select item_id, row_number() over (order by degree, item_id) r, greatest(floor((select count(*) from dg) * 0.1), 1) w from dg),

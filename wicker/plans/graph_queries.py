@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import jaccard
-from ..operators import baskets as B, graph as G, represent as R
+from ..operators import baskets as B, graph as G, neighbours as N, represent as R
 from ..session import table
 from . import bindings as X
 from .registering import collector
@@ -140,15 +140,21 @@ def similarities(spark: P, sf: str) -> D:
 
 @query(f"with {_COS}, r as (select a, b, row_number() over (partition by a order by round(cosine, 9) desc, b) as rank from cosines) select a, b, rank from r where rank <= 5")
 def nearest(spark: P, sf: str) -> D:
-    s = G.similarities(X.vectors(spark, sf)).withColumn("cosine", F.round("cosine", 9))
-    return G.top_k(s, ["a"], "cosine", "b", 5).select("a", "b", "rank")
+    return N.nearest(X.vectors(spark, sf), 5).select("a", "b", "rank")
+
+
+@query()
+def nearest_work(spark: P, sf: str) -> D:
+    """Which part of all pairs the pruned search compares."""
+    v = X.vectors(spark, sf)
+    _, work = N.pivot_neighbours(v, 5)
+    return work.agg(F.sum("compared").alias("compared"), F.count("*").alias("n")).select("n", "compared", F.round(F.col("compared") / (F.col("n") * (F.col("n") - 1)), 6).alias("share"))
 
 
 @query(f"with {_COS}, v2 as (select item_id, vec[1:32] vec from v), c2 as (select a.item_id a, b.item_id b, list_cosine_similarity(a.vec, b.vec) cosine from v2 a join v2 b on a.item_id <> b.item_id), x as (select a, list(b) l from (select a, b, row_number() over (partition by a order by round(cosine, 9) desc, b) r from cosines) where r <= 10 group by 1), y as (select a, list(b) m from (select a, b, row_number() over (partition by a order by round(cosine, 9) desc, b) r from c2) where r <= 10 group by 1) select a, round(len(list_intersect(l, m)) / (20 - len(list_intersect(l, m)))::double, 6) overlap from x join y using (a)")
 def neighbour_overlap(spark: P, sf: str) -> D:
     v = X.vectors(spark, sf).select("item_id", "vec")
-    near = lambda t: G.top_k(G.similarities(t).withColumn("cosine", F.round("cosine", 9)), ["a"], "cosine", "b", 10)
-    return G.neighbour_overlap(near(v), near(R.truncated(v, [32]).select("item_id", "vec")))
+    return G.neighbour_overlap(N.nearest(v, 10), N.nearest(R.truncated(v, [32]).select("item_id", "vec"), 10))
 
 
 @query(
@@ -184,8 +190,7 @@ def shared_direction(spark: P, sf: str) -> D:
 
 @query(f"with {_COS}, r as (select a, b, row_number() over (partition by a order by round(cosine, 9) desc, b) as rank from cosines), x as (select a, list(b) l from r where rank <= 10 group by 1) select p.a, p.b, round(len(list_intersect(x.l, y.l)) / (20 - len(list_intersect(x.l, y.l)))::double, 6) overlap from (select a, a + 1 b from x) p join x on x.a = p.a join x y on y.a = p.b")
 def list_overlap(spark: P, sf: str) -> D:
-    s = G.similarities(X.vectors(spark, sf)).withColumn("cosine", F.round("cosine", 9))
-    x = G.top_k(s, ["a"], "cosine", "b", 10).groupBy("a").agg(F.collect_list("b").alias("l"))
+    x = N.nearest(X.vectors(spark, sf), 10).groupBy("a").agg(F.collect_list("b").alias("l"))
     y = x.select(F.col("a").alias("b"), F.col("l").alias("m"))
     return x.withColumn("b", F.col("a") + 1).join(y, "b").select("a", "b", F.round(jaccard("l", "m"), 6).alias("overlap"))
 

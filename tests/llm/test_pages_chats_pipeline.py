@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import pytest
 from wicker.llm import chat, html_extract
 from wicker.llm import queries as llm_queries
 
@@ -178,6 +180,36 @@ def test_format_records_of_mixed_layouts(spark):
     assert fewer[1][0] == ("system", "be kind") and fewer[1][1] == ("unknown", rows[1][2])
 
 
+@pytest.mark.parametrize("millions", [25, 60])
+def test_very_long_turns(spark, millions):
+    """Texts beyond the longest string that JSON readers take by default, in both layouts that the query writes."""
+    n = millions * 10**6 // 9
+    rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string").withColumn("text", F.expr(f"repeat('a \"b\" c\\\\n', {n})"))
+    nested = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
+    for record in (F.to_json(F.struct("role", "text")), nested):
+        out = chat.format_records(rows.select("conv_id", "turn", record.alias("record"))).select(chat.parsed(F.col("formatted")).alias("turns"))
+        got = out.select(F.explode("turns").alias("t")).select("t.role", F.length("t.text").alias("n"), F.md5("t.text").alias("h")).collect()
+        want = rows.select("role", F.length("text").alias("n"), F.md5("text").alias("h")).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in want] and got[0].n == 9 * n
+
+
+def test_broken_and_escaped_records(spark):
+    records = {
+        '{"role":"user","text":"cut': "unknown",
+        '{"role":"user","text":}': "unknown",
+        '{"role":"user","text":"say \\"hi\\", {\\"role\\": [1]} \\\\"}': "user",
+        '{"role" : "user", "text" : ", a] b} \\u0041"}': "user",
+        '{"messages":[]}': "unknown",
+        '""': "unknown",
+        "": "unknown",
+    }
+    df = spark.createDataFrame([(i, 0, k) for i, k in enumerate(records)], "conv_id long, turn long, record string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.format_records(df).select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()}
+    for i, (record, role) in enumerate(records.items()):
+        text = record if role == "unknown" else json.loads(record)["text"]
+        assert got[i] == [(role, text)], record
+
+
 def test_pipeline(spark, tmp_path):
     source = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{source}/documents.parquet")

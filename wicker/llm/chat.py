@@ -18,43 +18,68 @@ ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\t"))
 #: Inside roles the sign that ends them too.
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 UNKNOWN = "unknown"
+#: Strings of any length are read; what is no JSON is told apart.
+_JSON = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_broken"}
 HEAD, HEAD_END, TAIL = "### ", ": ", " </turn>\n"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``paths``: the field paths that a record of this layout has. ``turns``: either a list path with its role and text fields, or (role, path) pairs."""
+    """``paths``: the field paths that a record of this layout has. ``turns``: either a list with its role and text fields, or (role, field) pairs; =name is the role in a field."""
 
     name: str
     paths: tuple[str, ...]
-    list_path: str = ""
+    list_name: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     names: tuple[tuple[str, str], ...] = ()  # usual names of this layout's roles
 
     def turns(self, record: Column) -> Column:
-        if self.list_path:
-            items = F.from_json(F.get_json_object(record, self.list_path), f"array<struct<`{self.role}`:string,`{self.text}`:string>>")
-            usual = lambda role: F.coalesce(F.create_map(*[F.lit(x) for pair in self.names for x in pair])[role], role) if self.names else role
-            return F.transform(items, lambda x: F.struct(usual(x[self.role]).alias("role"), x[self.text].alias("text")))
-        each = [F.struct((F.get_json_object(record, role[1:]) if role.startswith("=") else F.lit(role)).alias("role"), F.get_json_object(record, path).alias("text")) for role, path in self.fields]
-        return F.filter(F.array(*each), lambda x: x["text"].isNotNull()) if len(each) > 1 else F.array(*each)
+        """The turns of a record of this layout; null where it is no JSON after all."""
+        if self.list_name:
+            fields = [f"`{self.list_name}` array<struct<`{self.role}`:string,`{self.text}`:string>>"]
+        else:
+            fields = [f"`{name}` string" for name in sorted({*(f for _, f in self.fields), *(r[1:] for r, _ in self.fields if r.startswith("="))})]
+        read = F.from_json(record, ", ".join([*fields, "_broken string"]), _JSON)
+
+        def found(x: Column) -> Column:
+            if self.list_name:
+                usual = lambda role: F.coalesce(F.create_map(*[F.lit(n) for pair in self.names for n in pair])[role], role) if self.names else role
+                turns = F.transform(x[self.list_name], lambda t: F.struct(usual(t[self.role]).alias("role"), t[self.text].alias("text")))
+            else:
+                each = [F.struct((x[role[1:]] if role.startswith("=") else F.lit(role)).alias("role"), x[name].alias("text")) for role, name in self.fields]
+                turns = F.array(*each) if len(each) == 1 else F.filter(F.array(*each), lambda t: t["text"].isNotNull())
+            return F.when(x["_broken"].isNull(), turns)
+
+        return F.transform(F.array(read), found)[0]
 
 
 LAYOUTS = (
-    Layout("row", ("role", "text"), fields=(("=$.role", "$.text"),)),
-    Layout("messages", ("messages", "messages.content", "messages.role"), "$.messages", "role", "content"),
-    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "$.conversations", "from", "value", names=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
-    Layout("prompt", ("completion", "prompt"), fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("instruction", ("instruction", "output"), fields=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("instruction with input", ("input", "instruction", "output"), fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("system prompt", ("prompt", "response", "system"), fields=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
-    Layout("question", ("answer", "question"), fields=(("user", "$.question"), ("assistant", "$.answer"))),
+    Layout("row", ("role", "text"), fields=(("=role", "text"),)),
+    Layout("messages", ("messages", "messages.content", "messages.role"), "messages", "role", "content"),
+    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), "conversations", "from", "value", names=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
+    Layout("prompt", ("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
+    Layout("instruction with input", ("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("system prompt", ("prompt", "response", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("question", ("answer", "question"), fields=(("user", "question"), ("assistant", "answer"))),
 )
 
+
+def blanked(record: Column) -> Column:
+    """A JSON record with null for every string that is no name, so that what is left to parse doesn't grow with the texts.
+
+    Escaped quotes and escape signs go first (from names too, where they tell nothing apart), so that a string ends at the next quote.
+    """
+    bare = F.replace(F.replace(record, F.lit("\\\\")), F.lit('\\"'))
+    names_alone = F.regexp_replace(bare, r'("[^"]*+"\s*+:)|"[^"]*+"', "$1")
+    return F.regexp_replace(names_alone, r"(?<=[:\[,])\s*+(?=[,}\]]|$)", "null")
+
+
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON record (lists add no step), from its variant schema; values and types don't matter."""
+    """Sorted nested field paths of a JSON record (lists add no step), from the variant schema of its names; values and types don't matter."""
+    record = blanked(record)
     # OBJECT<a: BIGINT, b: ARRAY<OBJECT<c: STRING>>>: one token per name, opening or closing bracket
     schema = F.schema_of_variant(F.try_parse_json(record))
     tokens = F.regexp_extract_all(schema, F.lit(r"(`(?:[^`]|``)+`|[^\s<>,:`]+)(?=: )|<|>"), F.lit(0))

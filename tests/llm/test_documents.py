@@ -323,6 +323,37 @@ def test_bpe(docs, rows, encoding):
         assert r.offsets == np.cumsum([0, *map(len, pieces)])[:-1].tolist()
 
 
+def thue_morse():
+    """Two texts of one word each of 1,024 letters: a polynomial modulo 2**64 gives both one hash, whatever its base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark, encoding):
+    one, two = thue_morse()
+    rows = [(0, one), (1, two), (2, f"{one} {'x ' * 34}"), (3, f"{two} {'x ' * 34}"), (4, f"{one} {'x ' * 34}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert all(list(got[i].ids) == encoding.encode_ordinary(t) and bytes(got[i].decoded) == t.encode() for i, t in rows)
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert groups == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated(docs, digests=True).collect()}
+    assert removed == {0: 0, 1: 0, 2: 35, 3: 0, 4: 35}
+    known = {r.doc_id: r.n_known for r in lm_scoring.score(docs.where("doc_id < 2"), F.col("doc_id") == 1).collect()}
+    assert known == {0: 2, 1: 1}
+
+
+def test_equal_hashes_of_unequal_slices(encoding, monkeypatch):
+    """Slices that share a hash are told apart by their bytes."""
+    monkeypatch.setattr(bpe, "byte_hashes", lambda raw, starts, ends: ((ends - starts) % 2).astype(np.uint64))
+    merger = bpe.Merger(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("the cat and the dog", "one, two; three", "the cat"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert merger.encode(raw, np.array([0, len(raw)]))[0].tolist() == encoding.encode_ordinary(text)
+
+
 def test_bpe_on_odd_texts(encoding):
     merger = bpe.Merger(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(2)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .words import U, column_bytes, pieces, span_hashes
+from .words import byte_hashes, column_bytes, pieces
 
 # classes of code points
 LETTER, NUMBER, SPACE, WHITE, OTHER, QUOTE, S_, T_, R_, E_, V_, M_, L_, D_, BREAK = range(15)
@@ -165,7 +165,7 @@ class Merger:
         self.bytes = np.zeros((len(self.lengths), size), np.uint8)
         for token, rank in ranks.items():
             self.bytes[rank, : len(token)] = np.frombuffer(token, np.uint8)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[bytes, np.ndarray] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -224,16 +224,26 @@ class Merger:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
         ends = np.append(starts[1:], len(raw))
-        hashes = span_hashes(raw.astype(np.uint64) + U(0x1F123BB5), starts, ends) ^ (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        _, at, inverse = np.unique(byte_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        # a slice stands for all of its hash: their bytes are compared
+        like = at[inverse]
+        same = ends - starts == ends[like] - starts[like]
+        if same.all():
+            same = bool((raw == raw[np.repeat(starts[like] - starts, ends - starts) + np.arange(len(raw))]).all())
+        if not np.all(same):
+            names: dict[bytes, int] = {}
+            whole = raw.tobytes()
+            inverse = np.array([names.setdefault(whole[s:e], len(names)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+            at = np.unique(inverse, return_index=True)[1]
         if len(self.known) > CACHE_SLICES:
             self.known = {}
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
+        whole = raw.tobytes()
+        slices = [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        new = [i for i, s in enumerate(slices) if s not in self.known]
         if new:
             for i, ids in zip(new, self.merge(raw, starts[at[new]], ends[at[new]])):
-                self.known[keys[i]] = ids
-        each = [self.known[h] for h in keys]
+                self.known[slices[i]] = ids
+        each = [self.known[s] for s in slices]
         flat = np.concatenate(each)
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         of = np.concatenate(([0], np.cumsum(sizes)))

@@ -47,8 +47,22 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """Hash of the bytes raw[start:end] of each span, however long; spans ascend and don't overlap.
+
+    A mixed number for each byte and its place in the span is summed. A polynomial modulo 2**64 would not do: on long spans some unequal ones
+    collide whatever the base.
+    """
+    begin = np.zeros(len(raw), np.int64)
+    begin[starts[starts < len(raw)]] = starts[starts < len(raw)]
+    place = (np.arange(len(raw)) - np.maximum.accumulate(begin)).astype(np.uint64)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(mix(values[raw] + place * U(_BASES[0])), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * U(_BASES[2]))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each span, from one prefix sum."""
+    """Polynomial hash of values[start:end] for each span, from one prefix sum. For short spans (windows of words, grams) only."""
     up, down = powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -101,7 +115,7 @@ class Words:
         return np.diff(self.of)
 
     def hashes(self, lower: bool) -> np.ndarray:
-        return span_hashes((_LOWER if lower else _BYTES)[self.raw], self.starts, self.ends)
+        return byte_hashes(self.raw, self.starts, self.ends, _LOWER if lower else _BYTES)
 
     def windows(self, hashes: np.ndarray, k: int, base: int = _BASES[1]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every k consecutive words of one text, and per text the range of its windows."""

@@ -576,3 +576,11 @@ def test_winnowing_against_brute_force():
         grams = [int(fingerprints.span_hashes(points, np.array([i]), np.array([i + fingerprints.K]))[0] >> np.uint64(32)) for i in range(n)]
         want = {min(range(s, s + fingerprints.WINDOW), key=lambda i: (grams[i], -i)) for s in range(n - fingerprints.WINDOW + 1)}
         assert where.tolist() == sorted(want) and hashes.tolist() == [grams[i] for i in sorted(want)]
+
+
+@pytest.mark.parametrize("tasks", [1, 16, 17, 700])
+def test_arrays_are_added_in_rounds(spark, tasks):
+    """No group adds more than FAN_IN arrays, however many tasks there are."""
+    rows = [(i, np.array([i, 1.0]).tobytes()) for i in range(tasks) if i % 5]
+    sums = toxicity.added(spark.createDataFrame(rows, "slot long, sums binary"), tasks)
+    assert np.array_equal(sums + np.zeros(2), [sum(i for i, _ in rows), len(rows)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
 from collections import Counter
@@ -231,3 +232,16 @@ def test_every_query_has_a_name_of_its_operator():
     names = list(llm_queries.QUERIES)
     assert [n.split("_")[0] for n in names[:10]] == [f"op{i}" for i in range(1, 11)]
     assert "pipeline" in names
+
+
+def test_tables_of_others_outlive_a_pipeline(spark):
+    """A result that is not read yet survives the stages' tidying; the pipeline leaves no tables but its last."""
+    from wicker.llm import near_dedup, scratch
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lazy = near_dedup.near_duplicates(docs)
+    here = set(os.listdir(scratch.scratch_dir(spark)))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert lazy.count() == docs.count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(scratch.scratch_dir(spark))) - here}
+    assert "mixing" in left and not left & {"toxicity", "near_dedup", "substring_dedup"}

@@ -307,7 +307,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> D
     """One row of ``docs`` for each component, that of its smallest doc_id (null is the largest); all columns stay as they are.
 
     Rows are told apart by a key of their own, not by doc_id: different texts under one id or without an id
-    are different documents, and every row without shingles stays.
+    are different documents, and every row without shingles (null or empty texts) stays; of repeated rows one stays. An empty table
+    gives an empty table.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")

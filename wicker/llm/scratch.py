@@ -15,7 +15,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_tables: list[str] = []
+
+
+class Tables:
+    """The tables that operators write while it is open (``with tables: ...``). Their owner removes them, and no others, once what was made of them is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.remove(self)
+
+    def clear(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_open: list[Tables] = []
+#: Tables that nobody owns, by application; they go when it ends.
+_rest: dict[str, Tables] = {}
+
+
+def _ended(spark: SparkSession, app: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _rest.pop(app).clear(spark)
+
+
+def _owner(spark: SparkSession) -> Tables:
+    if _open:
+        return _open[-1]
+    app = spark.sparkContext.applicationId
+    if app not in _rest:
+        _rest[app] = Tables()
+        atexit.register(_ended, spark, app)
+    return _rest[app]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,18 +75,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Run ``df`` once, keep its rows as a table in the shared folder and return that table; ``clear`` removes it unless it is to ``keep``."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Run ``df`` once, keep its rows as a table in the shared folder and return that table. It goes with the ``Tables`` that are open, or else with the application."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if not keep:
-        _tables.append(path)
+    _owner(spark).paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove the tables written so far. For a caller who has written out the results of the operators that made them, as the pipeline has between stages."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -175,7 +175,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", k: int = 35, digests:
 
 
 def without_repeated(docs: DataFrame, k: int = 35) -> DataFrame:
-    """``docs`` with the repeated windows removed from ``text``; ``n_chars``, if there, is counted anew. Other columns stay."""
+    """``docs`` with the repeated windows removed from ``text``; ``n_chars``, if there, is counted anew. Other columns stay.
+
+    Null and empty texts become empty, kept words are joined by one space. Repeated rows repeat each other's windows, so their texts of k words or
+    more are emptied, all of them. An empty table gives an empty table.
+    """
     rest = [c for c in docs.columns if c != "text"]
     whole = remove_repeated(docs.select(F.struct(*rest).alias("rest"), "text"), key="rest", k=k).select("doc_id.*", "text")
     if "n_chars" in rest:

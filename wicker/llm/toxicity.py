@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
@@ -180,14 +181,26 @@ def _moments(model, m: int):
                 sums = np.concatenate([np.concatenate(([w.sum()], w @ ballots, ((ballots * w[:, None]).T @ ballots).ravel())) for w in (p, 1 - p)])
                 total = sums if total is None else total + sums
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([hash(total[0]) % 8]), pa.array([total.tobytes()])], ["slot", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], ["slot", "sums"])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py()) for x in table.column("sums").combine_chunks())
-    return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"slot": table.column("slot")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+#: Arrays of tasks that are added in one group.
+FAN_IN = 16
+
+
+def added(sums: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of arrays ``slot, sums`` that ``tasks`` tasks made, one each at most: in rounds, so that no group holds more than FAN_IN of them."""
+    while tasks > FAN_IN:
+        sums = sums.withColumn("slot", F.floor(F.col("slot") / FAN_IN)).groupBy("slot").applyInArrow(_add, "slot long, sums binary")
+        tasks = -(-tasks // FAN_IN)
+    return sum((np.frombuffer(r.sums) for r in sums.select("sums").collect()), np.float64(0))  # FAN_IN rows at most
 
 
 def _fit_labels(votes: DataFrame, m: int) -> LabelModel:
@@ -196,8 +209,8 @@ def _fit_labels(votes: DataFrame, m: int) -> LabelModel:
     model = None
     for _ in range(EM_SWEEPS):
         held = None if model is None else spark.sparkContext.broadcast(model)
-        sums = votes.mapInArrow(_moments(held, m), "slot long, sums binary").groupBy("slot").applyInArrow(_add, "sums binary").collect()  # 8 rows at most
-        total = sum((np.frombuffer(r.sums) for r in sums), np.zeros(2 * (1 + v + v * v)))
+        made = votes.mapInArrow(_moments(held, m), "slot long, sums binary")
+        total = np.zeros(2 * (1 + v + v * v)) + added(made, made.rdd.getNumPartitions())
         one, zero = np.split(total, 2)
         n1, n0 = one[0] + 1, zero[0] + 1
         on, off = (one[1 : v + 1] + 0.5) / n1, (zero[1 : v + 1] + 0.5) / n0
@@ -302,6 +315,10 @@ def _clean(lexicon: np.ndarray, strong: np.ndarray, weights: np.ndarray):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, mined: int = 4000, fitted: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` whose score is under 0.5; all columns stay as they are."""
+    """The rows of ``docs`` whose score is under 0.5; all columns stay as they are.
+
+    A null text scores as an empty one; rows with a null or repeated doc_id are scored by their own text; repeated rows all stay or all go. An empty table
+    gives an empty table, labels without rows leave all documents.
+    """
     lexicon, strong, weights, _ = _fit(_texts(docs), labels, None, mined, fitted)
     return docs.mapInArrow(_clean(lexicon, strong, weights), docs.schema)

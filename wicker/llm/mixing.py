@@ -70,8 +70,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 def _plan(docs: DataFrame, seed: int, *row: str) -> DataFrame:
     """The rows of ``mix`` and ``h``, in no order; ``row`` names a column that tells rows apart, which is kept and settles the last ties."""
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f" {seed}"))
-    if row:  # different texts without an id, or under one, are dealt apart
-        name = F.concat(name, F.lit(" "), F.coalesce(F.xxhash64("text").cast("string"), F.lit("")))
+    if row:  # different texts without an id are dealt apart
+        name = F.when(F.col("doc_id").isNull(), F.concat(F.lit(f" {seed} "), F.xxhash64("text").cast("string"))).otherwise(name)
     keyed = docs.select("doc_id", "source", "text", *row).withColumn("h", F.md5(name))
     ties = [F.xxhash64("text").alias("th"), *row] if row else []
     sizes = written(sized(keyed).select("doc_id", "source", "h", "size", *ties), "sizes")
@@ -104,7 +104,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: columns of ``docs``, a row for each copy taken, by training position.
 
     The copy at the end of a target keeps only its first taken words, joined by one space. Documents without words are left out.
-    Rows are told apart by a key of their own: repeated ids and null ids count and come out row by row; the order is that of hashes of id and text.
+    Rows are told apart by a key of their own: repeated ids and null ids count and come out row by row; the order is that of the ids' hashes, of the texts' where there is no id.
     A null or empty text has no words and is left out; an empty table gives an empty table. Extra columns stay as they are.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wicker.functions.arrays import array_sums
 from wicker.functions.ranges import places, sums_before
-from wicker.operators import evaluate as E, neighbours as N, search as S
+from wicker.operators import evaluate as E, neighbours as N, search as S, stats as T
 
 CATALOG = "basket_id long, items array<long>, lang string, total_minutes double, servings double, link_status string"
 QUERIES = "query_id long, available array<long>, must_use array<long>, exclude array<long>, budget double, max_missing int, min_servings double, language string, top_k int, require_link boolean"
@@ -164,3 +165,44 @@ def test_pruned_neighbours_of_few(spark):
     two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
     assert sorted((r.a, r.b) for r in N.nearest(two, 3).collect()) == [(1, 2), (2, 1)]
     assert [(r.a, r.b) for r in N.nearest(two, 3, two.where("item_id = 2")).collect()] == [(2, 1)]
+
+
+def test_drawn_baskets_follow_the_frequencies(spark):
+    """Pairs of items drawn without repeats against their exact chances, by a chi-square; sizes stay, a basket as large as its group takes all."""
+    frequency = {0: 40, 1: 20, 2: 10, 3: 6, 4: 4}
+    rows, at = [], 0
+    for item, n in frequency.items():
+        for _ in range(n):
+            rows.append((at, "g", [item]))
+            at += 1
+    pairs = [(1000 + i, "g", [0, 1]) for i in range(3000)]
+    # the pairs of the group add to its frequencies: 3,040 and 3,020 of all slots
+    f = {**frequency, 0: 3040, 1: 3020, 2: 910, 3: 606, 4: 404}
+    extra = [(10_000 + i, "g", [2]) for i in range(900)] + [(20_000 + i, "g", [3]) for i in range(600)] + [(30_000 + i, "g", [4]) for i in range(400)]
+    baskets = spark.createDataFrame(rows + pairs + extra + [(1, "h", [7, 8, 9])], "basket_id long, g string, items array<long>").where("not (basket_id = 1 and g = 'g')")
+    f[0] -= 1
+    got = T.null_baskets(baskets, "g").collect()
+    assert next(r["items"] for r in got if r.g == "h") == [7, 8, 9]
+    seen = Counter(tuple(r["items"]) for r in got if 1000 <= r.basket_id < 4000)
+    total = sum(f.values())
+    want = {(a, b): 3000 * (f[a] / total * f[b] / (total - f[a]) + f[b] / total * f[a] / (total - f[b])) for a in f for b in f if a < b}
+    assert set(seen) <= set(want) and sum(seen.values()) == 3000
+    assert sum((seen[p] - w) ** 2 / w for p, w in want.items()) < 27.9  # 9 degrees of freedom, one in a thousand
+
+
+def test_array_sums(spark):
+    rows = [(["a", "b", None][i % 3], i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(40)
+    of = lambda b: {k: np.array([sum(v for j, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if j == k), 1.0]) for k in set(b.column(0).to_pylist())}
+    got = {r.k: r.sums for r in array_sums(df, "k", of).collect()}
+    assert {k: x[0] for k, x in got.items()} == {k: sum(v for j, v in rows if j == k) for k in ("a", "b", None)}
+
+
+def test_bootstrap_intervals_have_the_right_width(spark):
+    rng = random.Random(6)
+    rows = [("m", i, float(rng.random() < 0.3)) for i in range(2000)]
+    got = E.bootstrap(spark.createDataFrame(rows, "model string, instance_id long, hit double"), replicates=400).first()
+    mean = sum(r[2] for r in rows) / len(rows)
+    half = 1.96 * math.sqrt(mean * (1 - mean) / len(rows))
+    assert got["mean"] == pytest.approx(mean, abs=1e-6) and got.low < mean < got.high
+    assert (got.high - got.low) / 2 == pytest.approx(half, rel=0.2)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import array_sums
 from ..functions.columns import cosine, draw, pairs_of
 from ..functions.ranges import places, sums_before
 from .baskets import frequencies, npmi_graph
@@ -215,22 +218,49 @@ def blend_sweep(rows: DataFrame, weights: Sequence[float]) -> DataFrame:
     return auc(grid.withColumn("score", F.round(F.col("weight") * F.col("p") + (1 - F.col("weight")) * F.col("q"), 9)), ["weight"])
 
 
-def poisson(u: Column) -> Column:
-    """A Poisson(1) count from a uniform number."""
-    out, mass, term = F.lit(0), 0.0, 1.0 / 2.718281828459045
+#: A prime below 2**31: what draws of replicates are counted by.
+PRIME = 2_147_483_647
+
+
+def _poisson_steps() -> np.ndarray:
+    """Where the distribution function of Poisson(1) passes from one count to the next."""
+    steps, mass, term = [], 0.0, 1.0 / 2.718281828459045
     for k in range(8):
         mass += term
-        out = F.when(u >= mass, k + 1).otherwise(out)
+        steps.append(mass)
         term /= k + 1
-    return out
+    return np.array(steps)
 
 
 def _resampled(hits: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Each model's mean in each replicate: ``model, rep, m``. An instance draws once a replicate, for all models together."""
-    per = hits.groupBy("instance_id").agg(F.collect_list(F.struct("model", "hit")).alias("of"))  # a row for each model
-    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", draw(F.concat_ws("-", "instance_id", "rep"), seed))
-    each = reps.withColumn("k", poisson(F.col("u"))).where("k > 0").select("rep", "k", F.explode("of").alias("x")).select("rep", "k", "x.*")
-    return each.groupBy("model", "rep").agg((F.sum(F.col("k") * F.col("hit")) / F.sum("k")).alias("m"))
+    """Each model's mean in each replicate: ``model, rep, m``. An instance draws once a replicate, for all models together.
+
+    Three numbers that a hash of the instance gives make a quadratic modulo a prime whose values at 1, 2, ... are the replicates' draws, so any three
+    replicates of an instance are independent. Rows make no rows: tasks sum arrays over replicates.
+    """
+    text = F.md5(F.concat(F.col("instance_id").cast("string"), F.lit(f":{seed}")))
+    parts = [(F.conv(F.substring(text, 1 + 8 * i, 8), 16, 10).cast("long") % PRIME).alias(c) for i, c in enumerate("abc")]
+    steps = _poisson_steps()
+
+    def of(batch: pa.RecordBatch) -> dict[object, np.ndarray]:
+        a, b, c = (batch.column(x).to_numpy(zero_copy_only=False)[:, None] for x in "abc")
+        hit = np.nan_to_num(batch.column("hit").to_numpy(zero_copy_only=False).astype(float))
+        models = batch.column("model").dictionary_encode()
+        which, rep = models.indices.to_numpy(zero_copy_only=False), np.arange(1, replicates + 1, dtype=np.int64)
+        sums = np.zeros((len(models.dictionary), 2, replicates))
+        for lo in range(0, len(hit), 4096):
+            part = slice(lo, lo + 4096)
+            u = ((a[part] * (rep * rep) % PRIME + b[part] * rep + c[part]) % PRIME) / PRIME
+            k = np.searchsorted(steps, u, side="right")
+            one = np.zeros((len(models.dictionary), len(k)))
+            one[which[part], np.arange(len(k))] = 1
+            sums[:, 0] += (one * hit[part]) @ k
+            sums[:, 1] += one @ k
+        return {m: x.ravel() for m, x in zip(models.dictionary.to_pylist(), sums)}
+
+    sums = array_sums(hits.select("model", *parts, F.col("hit").cast("double").alias("hit")), "model", of)
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("rep"), F.element_at("sums", r).alias("s"), F.element_at("sums", r + replicates).alias("k")))
+    return sums.select("model", F.inline(pairs)).where("k > 0").select("model", "rep", (F.col("s") / F.col("k")).alias("m"))
 
 
 def bootstrap(hits: DataFrame, replicates: int = 200, baseline: str | None = None, seed: int = 0) -> DataFrame:

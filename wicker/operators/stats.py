@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.columns import draw, numbered, pairs_of
+from ..functions.columns import draw, fine_draw, numbered, pairs_of
 from .evaluate import spearman
 
 
@@ -16,20 +16,32 @@ def sharing(baskets: DataFrame, shared: DataFrame, group: str) -> DataFrame:
 
 
 def null_baskets(baskets: DataFrame, group: str, replicate: int = 0) -> DataFrame:
-    """For every basket one of the same size from its group's items, drawn without replacement by frequency.
+    """For every basket one of the same size from its group's items, drawn without replacement by frequency (H24): ``basket_id, group, items``.
 
-    Keys ln p - ln(-ln u) of the group's items are ranked per basket (Gumbel top-k). Each basket meets its group's vocabulary,
-    a bounded list; the ranking is cut before the shuffle.
+    A basket draws points on the line of its group's slots, 2n + 8 for n items; the first n different items are kept. That repeats are drawn again makes it
+    the same as keys ln p - ln(-ln u) of the whole vocabulary ranked (Gumbel top-k), but rows go with the slots. The few baskets whose points
+    hold too few different items take the rest by such keys. A group with fewer items than a basket gives all it has.
     """
-    slot = baskets.select("basket_id", group, F.explode("items").alias("item_id"))
-    p = slot.groupBy(group, "item_id").agg(F.count("*").alias("f"))
-    live = p.groupBy(group).agg(F.collect_list(F.struct("item_id", "f")).alias("live"))
-    rows = baskets.select("basket_id", group, F.size("items").alias("n")).join(F.broadcast(live), group)  # one row for each group, a vocabulary each
-    u = draw(F.concat_ws("-", "basket_id", "x.item_id"), 100 + replicate)
-    keyed = rows.select("basket_id", group, "n", F.explode("live").alias("x")).withColumn("k", F.log("x.f") - F.log(-F.log(F.greatest(u, F.lit(1e-12)))))
-    order = W.partitionBy("basket_id").orderBy(F.desc("k"), "x.item_id")
-    picked = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n"))
-    return picked.groupBy("basket_id", group).agg(F.array_sort(F.collect_list("x.item_id")).alias("items"))
+    slot = baskets.select(group, F.explode("items").alias("item_id"))
+    weights = slot.groupBy(group, "item_id").agg(F.count("*").alias("f"))
+    line = W.partitionBy(group).orderBy("item_id")  # a row for each item of a group's vocabulary
+    line = weights.withColumn("hi", F.sum("f").over(line)).withColumn("lo", F.col("hi") - F.col("f"))
+    size = weights.groupBy(group).agg(F.sum("f").alias("total"), F.count("*").alias("m")).withColumn("width", F.greatest(F.lit(1), F.floor(F.col("total") / F.col("m"))))
+    # cells of the line, about as many as items, so that a point meets the one or two items of its cell
+    cells = line.join(size, group).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))))).select(group, "cell", "item_id", "lo", "hi")
+    wanted = baskets.select("basket_id", group, F.size("items").alias("n")).join(size, group).withColumn("n", F.least("n", F.col("m").cast("int")))
+    points = wanted.withColumn("j", F.explode(F.sequence(F.lit(1), 2 * F.col("n") + 8)))
+    at = F.floor(fine_draw(F.concat_ws("-", "basket_id", "j"), 100 + replicate) * F.col("total"))
+    points = points.withColumn("at", at).withColumn("cell", F.floor(F.col("at") / F.col("width")))
+    hit = points.join(cells, [group, "cell"]).where("at >= lo and at < hi")
+    per = hit.groupBy("basket_id", group, "n").agg(F.array_sort(F.collect_list(F.struct("j", "item_id"))).alias("x"))  # a basket's own points
+    drawn = per.select("basket_id", group, "n", F.slice(F.array_distinct(F.col("x.item_id")), F.lit(1), F.col("n")).alias("items"))
+    short = drawn.where(F.size("items") < F.col("n")).join(weights, group).where(~F.array_contains("items", F.col("item_id")))
+    u = draw(F.concat_ws("-", "basket_id", "item_id"), 100 + replicate)
+    order = W.partitionBy("basket_id").orderBy(F.desc(F.log("f") - F.log(-F.log(F.greatest(u, F.lit(1e-12))))), "item_id")
+    rest = short.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.size("items")).groupBy("basket_id").agg(F.collect_list("item_id").alias("rest"))
+    out = drawn.join(rest, "basket_id", "left")
+    return out.select("basket_id", group, F.array_sort(F.concat("items", F.coalesce("rest", F.array()))).alias("items"))
 
 
 def pairing_statistic(baskets: DataFrame, shared: DataFrame, group: str, replicate: int = 0) -> DataFrame:

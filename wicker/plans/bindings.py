@@ -85,3 +85,7 @@ SUBS = "sold as (select distinct l_partkey, l_suppkey, p_type, p_size from linei
 
 def draw_sql(key: str, seed: int = 0) -> str:
     return f"(('0x' || substr(md5(({key})::varchar || ':{seed}'), 1, 8))::bigint / 4294967296.0::double)"
+
+
+def fine_draw_sql(key: str, seed: str = "0") -> str:
+    return f"(('0x' || substr(md5(({key})::varchar || ':' || {seed}), 1, 13))::bigint / 4503599627370496.0::double)"

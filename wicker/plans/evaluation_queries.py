@@ -203,8 +203,8 @@ def _hits_sql() -> str:
         mass += term
         steps.append(f"(u >= {mass!r}::double)::int")
         term /= k + 1
-    u = X.draw_sql("id || chr(45) || rep", 0)
-    return f"h as ({part}), r as (select *, {u} u from h, (select unnest(generate_series(1, 50)) rep)), k as (select model, rep, hit, {' + '.join(steps)} k from r), m as (select model, rep, sum(k * hit) / sum(k) m from k where k > 0 group by 1, 2)"
+    parts = ", ".join(f"('0x' || substr(md5(id::varchar || ':0'), {1 + 8 * i}, 8))::bigint % {E.PRIME} {c}" for i, c in enumerate("abc"))
+    return f"h as ({part}), hs as (select *, {parts} from h), r as (select model, hit, rep, ((a * rep * rep % {E.PRIME} + b * rep + c) % {E.PRIME}) / {E.PRIME}::double u from hs, (select unnest(generate_series(1, 50)) rep)), k as (select model, rep, hit, {' + '.join(steps)} k from r), m as (select model, rep, sum(k * hit) / sum(k) m from k where k > 0 group by 1, 2)"
 
 
 @query(f"with {_hits_sql()}, pt as (select model, round(avg(hit), 6) mean from h group by 1), q as (select model, quantile_cont(m, [0.025, 0.975]) q from m group by 1), d as (select m.model, m.m - b.m d from m join m b on b.model = 'popularity' and b.rep = m.rep), dq as (select model, quantile_cont(d, [0.025, 0.975]) q, least(greatest(2 * least(avg((d <= 0)::int), avg((d >= 0)::int)), 2 / 50.0::double), 1) p from d group by 1) select model, mean, round(q.q[1], 6) low, round(q.q[2], 6) high, round(dq.q[1], 6) diff_low, round(dq.q[2], 6) diff_high, round(p, 6) p from pt join q using (model) join dq using (model)")
@@ -295,8 +295,20 @@ def best_threshold(spark: P, sf: str) -> D:
 
 # --- pairing statistics ---------------------------------------------------------------------------
 
-_NULL = f"""{X.BASKETS}, sl as (select b.basket_id, lang, item_id, len(items) n from baskets b join slots using (basket_id)), fq as (select lang, item_id, count(*) f from sl group by 1, 2),
-ky as (select b.basket_id, b.lang, len(items) n, item_id, ln(f) - ln(-ln(greatest({X.draw_sql('b.basket_id || chr(45) || item_id', 100)}, 1e-12))) k from baskets b join fq using (lang)), nb as (select basket_id, lang, item_id from (select *, row_number() over (partition by basket_id order by k desc, item_id) r from ky) where r <= n)"""
+def _drawn_sql(reps: str) -> str:
+    """Points on the line of a group's slots, first different items kept; what is lacking by the largest keys."""
+    return f"""sl as (select b.basket_id, lang, item_id, len(items) n from baskets b join slots using (basket_id)), fq as (select lang, item_id, count(*) f from sl group by 1, 2),
+ln0 as (select *, sum(f) over (partition by lang order by item_id) hi, sum(f) over (partition by lang) total, count(*) over (partition by lang) m from fq),
+pt as (select rep, basket_id, b.lang, least(len(items), m) n, unnest(range(1, 2 * least(len(items), m) + 9)) j, total from baskets b join (select distinct lang, total, m from ln0) g on g.lang = b.lang, (values {reps}) t(rep)),
+ht as (select rep, basket_id, pt.lang, n, item_id, min(j) j from (select *, floor({X.fine_draw_sql("basket_id || '-' || j", "(100 + rep)")} * total) as at_ from pt) pt join ln0 on ln0.lang = pt.lang and at_ >= hi - f and at_ < hi group by all),
+kp as (select rep, basket_id, lang, n, item_id from (select *, row_number() over (partition by rep, basket_id order by j) r from ht) where r <= n),
+sh as (select rep, basket_id, lang, n, count(*) got from kp group by all having count(*) < n),
+mo as (select rep, basket_id, lang, item_id, row_number() over (partition by rep, basket_id order by ln(f) - ln(-ln(greatest(('0x' || substr(md5(basket_id || '-' || item_id || ':' || (100 + rep)), 1, 8))::bigint / 4294967296.0::double, 1e-12))) desc, item_id) r, n - got lacks
+  from (select sh.*, item_id, f from sh join fq using (lang)) z where not exists (select 1 from kp where kp.rep = z.rep and kp.basket_id = z.basket_id and kp.item_id = z.item_id)),
+nb as (select rep, basket_id, lang, item_id from kp union all select rep, basket_id, lang, item_id from mo where r <= lacks)"""
+
+
+_NULL = f"{X.BASKETS}, {_drawn_sql('(0)')}"
 
 
 @query(f"with {_NULL} select basket_id, string_agg(item_id, ',' order by item_id) items from nb group by 1")
@@ -315,8 +327,7 @@ def pairing_statistic(spark: P, sf: str) -> D:
     return T.pairing_statistic(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.item_attr(spark, sf)), "lang")
 
 
-_MANY = """sl as (select b.basket_id, lang, item_id, len(items) n from baskets b join slots using (basket_id)), fq as (select lang, item_id, count(*) f from sl group by 1, 2), ky as (select rep, b.basket_id, b.lang, len(items) n, item_id, ln(f) - ln(-ln(greatest(('0x' || substr(md5(b.basket_id || '-' || item_id || ':' || (100 + rep)), 1, 8))::bigint / 4294967296.0::double, 1e-12))) k
-from baskets b join fq using (lang), (values (0), (1)) t(rep)), nb as (select rep, basket_id, lang, item_id from (select *, row_number() over (partition by rep, basket_id order by k desc, item_id) r from ky) where r <= n)"""
+_MANY = _drawn_sql("(0), (1)")
 
 
 @query(

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicker.functions.arrays import array_sums
+from wicker.functions.pairing import paired
 from wicker.functions.ranges import places, sums_before
-from wicker.operators import evaluate as E, neighbours as N, search as S, stats as T
+from wicker.operators import evaluate as E, graph as G, neighbours as N, represent as R, search as S, stats as T
 
 CATALOG = "basket_id long, items array<long>, lang string, total_minutes double, servings double, link_status string"
 QUERIES = "query_id long, available array<long>, must_use array<long>, exclude array<long>, budget double, max_missing int, min_servings double, language string, top_k int, require_link boolean"
@@ -206,3 +207,40 @@ def test_bootstrap_intervals_have_the_right_width(spark):
     half = 1.96 * math.sqrt(mean * (1 - mean) / len(rows))
     assert got["mean"] == pytest.approx(mean, abs=1e-6) and got.low < mean < got.high
     assert (got.high - got.low) / 2 == pytest.approx(half, rel=0.2)
+
+
+def test_heavy_keys_are_met_in_pieces(spark):
+    """Half of all rows share one key: every pair comes once, and no join key holds more than a few times the rows that one may."""
+    rows = [("hot", i, f"x{i}") for i in range(300)] + [(f"k{i % 40}", 1000 + i, "y") for i in range(300)] + [(None, 5, "z")]
+    df = spark.createDataFrame(rows, "k string, a int, t string")
+    got = paired(df, "k", ["a", "s"], ["b", "u"], most=30).collect()
+    assert Counter((r.k, r.a, r.s, r.b, r.u) for r in got) == Counter((k, a, s, b, u) for k, a, s in rows for j, b, u in rows if k is not None and j == k)
+    plan = paired(df, "k", ["a", "s"], ["b", "u"], most=30)
+    assert plan.columns == ["k", "a", "s", "b", "u"]
+    sizes = Counter()
+    for r in df.where("k = 'hot'").select(F.pmod(F.xxhash64("a", "t"), F.lit(10)).alias("own")).collect():
+        sizes[r.own] += 1
+    assert max(sizes.values()) < 3 * 30
+
+
+def test_shared_attributes_with_a_common_one(spark):
+    rows = [(i, 0) for i in range(0, 120, 2)] + [(i, 1 + i % 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "item_id long, attr_id long")
+    of = {}
+    for i, a in rows:
+        of.setdefault(i, set()).add(a)
+    want = {(i, j): len(of[i] & of[j]) for i in of for j in of if i != j and of[i] & of[j]}
+    assert {(r.i, r.j): r.shared for r in G.shared_attributes(df).collect()} == want
+
+
+def test_walks_follow_the_weights(spark):
+    """From an item of many edges, targets are reached in proportion to their weights; every step is an edge."""
+    edges = [(0, j, float(j)) for j in range(1, 31)] + [(j, 0, 1.0) for j in range(1, 31)]
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    walks = [r.walk for r in R.random_walks(df, per_item=1200, length=4).collect()]
+    assert len(walks) == 31 * 1200 and all(len(w) == 4 for w in walks)
+    steps = Counter((x, y) for w in walks for x, y in zip(w, w[1:]))
+    assert set(steps) <= {(a, b) for a, b, _ in edges}
+    seen = Counter({b: n for (a, b), n in steps.items() if a == 0})
+    total = sum(seen.values())
+    assert sum((seen[j] - total * j / 465) ** 2 / (total * j / 465) for j in range(1, 31)) < 58.3  # 29 degrees of freedom, one in a thousand

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import cosine, jaccard
+from ..functions.pairing import paired
 
 
 def both_ways(edges: DataFrame, shift: bool = False) -> DataFrame:
@@ -34,8 +35,8 @@ def head_by_frequency(items: DataFrame, k: int, keep_higher_id: bool = True) ->
 
 def shared_attributes(item_attr: DataFrame) -> DataFrame:
     """How many attributes two items share, both directions, no diagonal."""
-    a = item_attr.select(F.col("item_id").alias("i"), "attr_id").distinct()
-    return a.join(a.withColumnRenamed("i", "j"), "attr_id").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+    pairs = paired(item_attr.select("attr_id", "item_id").distinct(), "attr_id", ["i"], ["j"])
+    return pairs.where("i <> j").groupBy("i", "j").agg(F.count("*").alias("shared"))
 
 
 def attribute_similarity(item_attr: DataFrame) -> DataFrame:
@@ -75,8 +76,8 @@ def near_duplicate_names(items: DataFrame, form_words: Sequence[str], synonyms:
     named = items.select("item_id", canonical_name(F.col("name"), form_words, synonyms).alias("c"))
     named = named.withColumn("t", F.split("c", "_")).withColumn("head", F.element_at("t", -1))
     names = (known if known is not None else named.select(F.col("c").alias("name"))).distinct()
-    a, b = (named.select(*[F.col(x).alias(f"{p}_{x}") for x in ("item_id", "c", "t")], "head") for p in "ab")
-    pairs = a.join(b, "head").where("a_item_id < b_item_id")
+    columns = ("item_id", "c", "t")
+    pairs = paired(named.select("head", *columns), "head", [f"a_{x}" for x in columns], [f"b_{x}" for x in columns]).where("a_item_id < b_item_id")
     inside = (F.size(F.array_except("a_t", "b_t")) == 0) | (F.size(F.array_except("b_t", "a_t")) == 0)
     pairs = pairs.where((F.col("a_c") == F.col("b_c")) | inside)
     extra = F.array_union(F.array_except("a_t", "b_t"), F.array_except("b_t", "a_t"))
@@ -87,8 +88,7 @@ def near_duplicate_names(items: DataFrame, form_words: Sequence[str], synonyms:
 def trivial_pairs(items: DataFrame, item_attr: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs that say nothing (G5): one name's tokens contain the other's, or attribute Jaccard is high. ``a < b``."""
     tokens = items.select("item_id", F.split("name", r"[_\s\-]+").alias("t")).withColumn("w", F.explode("t"))
-    x, y = tokens.select(F.col("item_id").alias("a"), F.col("t").alias("s"), "w"), tokens.select(F.col("item_id").alias("b"), F.col("t").alias("u"), "w")
-    named = x.join(y, "w").where("a < b").where((F.size(F.array_except("s", "u")) == 0) | (F.size(F.array_except("u", "s")) == 0)).select("a", "b")
+    named = paired(tokens.select("w", "item_id", "t"), "w", ["a", "s"], ["b", "u"]).where("a < b").where((F.size(F.array_except("s", "u")) == 0) | (F.size(F.array_except("u", "s")) == 0)).select("a", "b")
     same = attribute_similarity(item_attr).where((F.col("jaccard") >= least) & (F.col("i") < F.col("j"))).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return named.union(same).distinct()
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import cosine, draw, norm, numbered, unit
+from ..functions.pairing import paired
+from ..functions.ranges import sums_before
 from .baskets import frequencies, pair_counts
 from .graph import both_ways, top_k
 
@@ -154,15 +156,22 @@ def propagate(edges: DataFrame, vectors: DataFrame, steps: int = 2, average: boo
 
 
 def random_walks(edges: DataFrame, per_item: int = 2, length: int = 8, seed: int = 0, start: str = "a") -> DataFrame:
-    """Walks over weighted edges ``a, b, weight`` (G21): ``walk_id, walk``. Each step looks a drawn number up in the item's cumulated weights."""
-    w = W.partitionBy("a").orderBy("b")
-    line = edges.withColumn("hi", F.sum("weight").over(w)).withColumn("total", F.sum("weight").over(W.partitionBy("a")))
-    line = line.select("a", "b", ((F.col("hi") - F.col("weight")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))
+    """Walks over weighted edges ``a, b, weight`` (G21): ``walk_id, walk``. Each step looks a drawn number up in the item's cumulated weights.
+
+    An item's line of weights is cut into as many cells as it has edges, so that a step meets the edges of one cell and an item of many edges is
+    many join keys.
+    """
+    size = edges.groupBy("a").agg(F.sum("weight").alias("total"), F.count("*").alias("m"))
+    line = sums_before(edges.select("a", "b", "weight"), "b", {"lo": "weight"}, ["a"]).join(size, "a")
+    line = line.select("a", "b", "m", (F.col("lo") / F.col("total")).alias("lo"), ((F.col("lo") + F.col("weight")) / F.col("total")).alias("hi"))
+    cell = lambda u: F.least(F.floor(u * F.col("m")), F.col("m") - 1)
+    line = line.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))).select(F.col("a").alias("at"), "b", "lo", "hi", "cell")
+    size = size.select(F.col("a").alias("at"), "m")
     items = edges.select(F.col(start).alias("at")).distinct()
     walks = items.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(per_item)))).select(F.concat_ws("-", "at", "n").alias("walk_id"), "at", F.array("at").alias("walk"))
     for step in range(1, length):
-        u = draw(F.col("walk_id"), 1000 * seed + step)
-        walks = walks.withColumn("u", u).join(line.withColumnRenamed("a", "at"), "at").where("u >= lo and u < hi").select("walk_id", F.col("b").alias("at"), F.concat("walk", F.array("b")).alias("walk"))
+        drawn = walks.withColumn("u", draw(F.col("walk_id"), 1000 * seed + step)).join(size, "at").withColumn("cell", cell(F.col("u")))
+        walks = drawn.join(line, ["at", "cell"]).where("u >= lo and u < hi").select("walk_id", F.col("b").alias("at"), F.concat("walk", F.array("b")).alias("walk"))
     return walks.select("walk_id", "walk")
 
 
@@ -170,8 +179,8 @@ def typed_edges(item_attr: DataFrame, attrs: DataFrame, cls: str | None = None)
     """Item to item over shared attributes of one class (G21): ``a, b, weight``, the weight spread over each attribute's items."""
     rows = item_attr.join(attrs, "attr_id") if cls is None else item_attr.join(attrs.where(F.col("class") == cls), "attr_id")
     size = rows.groupBy("attr_id").agg(F.count("*").alias("n"))
-    x = rows.select("attr_id", F.col("item_id").alias("a")).join(size, "attr_id")
-    return x.join(rows.select("attr_id", F.col("item_id").alias("b")), "attr_id").where("a <> b").groupBy("a", "b").agg(F.sum(1 / F.col("n")).alias("weight"))
+    pairs = paired(rows.select("attr_id", "item_id"), "attr_id", ["a"], ["b"]).where("a <> b")
+    return pairs.join(size, "attr_id").groupBy("a", "b").agg(F.sum(1 / F.col("n")).alias("weight"))
 
 
 def walk_vectors(walks: DataFrame, size: int = 16, window: int = 7, seed: int = 1) -> DataFrame:

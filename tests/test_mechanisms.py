@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -11,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicker.functions.arrays import array_sums
+from wicker.functions import patterns
 from wicker.functions.pairing import paired
 from wicker.functions.ranges import places, sums_before
-from wicker.operators import evaluate as E, graph as G, neighbours as N, represent as R, search as S, stats as T
+from wicker.operators import evaluate as E, graph as G, neighbours as N, normalise as C, represent as R, search as S, stats as T
+from wicker.sources.readers import Source, chat_items, item_column, listed, read_source
 
 CATALOG = "basket_id long, items array<long>, lang string, total_minutes double, servings double, link_status string"
 QUERIES = "query_id long, available array<long>, must_use array<long>, exclude array<long>, budget double, max_missing int, min_servings double, language string, top_k int, require_link boolean"
@@ -244,3 +247,66 @@ def test_walks_follow_the_weights(spark):
     seen = Counter({b: n for (a, b), n in steps.items() if a == 0})
     total = sum(seen.values())
     assert sum((seen[j] - total * j / 465) ** 2 / (total * j / 465) for j in range(1, 31)) < 58.3  # 29 degrees of freedom, one in a thousand
+
+
+def test_item_columns():
+    """Numbers, ids and quantities are never the items."""
+    assert item_column(["recipe_id", "ingredient_number", "ingredient_name"]) == "ingredient_name"
+    assert item_column(["Ingredient quantity", "ingredient_id", "Ingredients"]) == "Ingredients"
+    assert item_column(["id", "itemNumber", "itemName", "ingredient_note"]) == "itemName"
+    assert item_column(["ingredient_no", "qty"]) is None
+    assert item_column(["Name", "amount"]) == "Name"
+
+
+def test_long_files_with_numbers(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("recipe,ingredient_number,ingredient_name\n1,1,egg\n1,2,salt\n2,1,milk\n")
+    got = read_source(spark, Source("long", "en", "long", str(tmp_path / "long.csv"), "recipe")).collect()
+    assert sorted(r["items"] for r in got) == [["egg", "salt"], ["milk"]]
+
+
+@pytest.mark.parametrize("shard, block", [(100_000, 50_000), (3, 7)])
+def test_many_patterns(spark, monkeypatch, shard, block):
+    """Every place of every string, with overlaps; then aliases inside longer terms, and longest substrings from the left."""
+    monkeypatch.setattr(patterns, "STRINGS_A_SHARD", shard)
+    monkeypatch.setattr(patterns, "TEXTS_A_BLOCK", block)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab面团") for _ in range(n))
+    strings = sorted({word(rng.randint(1, 4)) for _ in range(25)})
+    texts = sorted({word(rng.randint(1, 12)) for _ in range(60)})
+    s = spark.createDataFrame([(x,) for x in [*strings, "", None, strings[0]]], "surface string")
+    t = spark.createDataFrame([(x,) for x in [*texts, None, "", texts[0]]], "text string")
+    want = {(x, y, i) for x in texts for y in strings for i in range(len(x)) if x.startswith(y, i)}
+    got = patterns.occurrences(t, s).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+    new = [(y, i) for i, y in enumerate(strings)]
+    frequent = [(x, 10 + i, i % 5 if i % 2 else None) for i, x in enumerate(texts)]
+    hazards = {}
+    for y, i in new:
+        held = [(d, x) for x, d, b in frequent if y in x and x != y and b != i]
+        if held:
+            hazards[y, i] = (max(held)[1], max(held)[0])
+    rows = C.alias_hazards(spark.createDataFrame(new, "surface string, item_id long"), spark.createDataFrame(frequent, "term string, df long, item_id long")).collect()
+    assert {(r.surface, r.item_id): (r.inside, r.df) for r in rows} == hazards
+
+    regex = re.compile("|".join(sorted(map(re.escape, strings), key=len, reverse=True)))
+    lines = [(i % 20, x) for i, x in enumerate(texts)]
+    found = Counter((i, j) for i, x in lines for j in {strings.index(m) for m in regex.findall(x)})
+    out = C.match_unspaced(spark.createDataFrame(lines, "line_id long, line string"), spark.createDataFrame(new, "surface string, item_id long")).collect()
+    assert Counter((r.line_id, r.item_id) for r in out) == found
+
+
+def test_lists_in_transcripts(spark):
+    texts = {
+        "Here it is.\nYou will need:\n- 2 eggs\n* salt\n3. milk \n\nThen cook.\n- not this": ["eggs", "salt", "milk"],
+        "INGREDIENTS: flour\n• water": ["flour", "water"],
+        "Ingredients\n\nnothing": [],
+        "no list at all": None,
+        "ingredients:\n" + "x" * 80 + "\n1. a\nok": ["ok"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    turns = df.select(F.monotonically_increasing_id().alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("t").alias("text"))
+    got = {tuple(r["items"]) for r in chat_items(turns).collect()}
+    assert got == {tuple(x) for x in texts.values() if x and len(x) > 1}
+    lines = {r.t: r.l for r in df.select("t", listed(F.col("t")).alias("l")).collect()}
+    assert all((lines[t] is None) == (x is None) for t, x in texts.items())

@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.patterns import occurrences
+
 # --- aliases -------------------------------------------------------------------------------------
 
 
@@ -102,19 +104,19 @@ def match_phrases(lines: DataFrame, alias: DataFrame, longest: int = 4) -> DataF
     return hits.mapInPandas(_left_to_right, f"line_id {kinds['line_id']}, item_id {kinds['i']}, pos int, n int")
 
 
-def match_unspaced(texts: DataFrame, alias: DataFrame, bound: int = 50_000) -> DataFrame:
-    """Longest-first substrings for scripts without spaces (C5): ``line_id, item_id``. ``alias`` has ``bound`` rows at most."""
-    rows = alias.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} surfaces; match them by n-gram joins")
-    known = {r.surface: r.item_id for r in rows}
-    pattern = re.compile("|".join(map(re.escape, sorted(known, key=lambda s: (-len(s), s)))) or r"(?!)")
-
-    @F.pandas_udf("array<bigint>")
-    def found(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [int(known[m]) for m in pattern.findall(t or "")])
+def match_unspaced(texts: DataFrame, alias: DataFrame) -> DataFrame:
+    """Longest-first substrings for scripts without spaces (C5): ``line_id, item_id``, each item once a line.
 
-    return texts.select("line_id", F.explode(F.array_distinct(found("line"))).alias("item_id"))
+    All places of all surfaces are found by automata over shards of the aliases; from the left the longest surface at each place is taken, then on behind
+    it. Of a surface given twice the smaller item counts.
+    """
+    items = alias.groupBy("surface").agg(F.min("item_id").alias("item_id"))
+    hits = occurrences(texts.select(F.col("line").alias("text")), items).join(items, "surface")
+    per = hits.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.length("surface")).alias("n"), F.col("item_id").cast("bigint").alias("item_id")))).alias("hits"))
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<bigint>").alias("items"))
+    behind = lambda s, h: F.struct((h["pos"] - h["n"]).alias("free"), F.array_append(s["items"], h["item_id"]).alias("items"))
+    taken = F.aggregate("hits", start, lambda s, h: F.when(h["pos"] >= s["free"], behind(s, h)).otherwise(s), lambda s: F.array_distinct(s["items"]))
+    return texts.select("line_id", F.col("line").alias("text")).join(per.select("text", taken.alias("items")), "text").select("line_id", F.explode("items").alias("item_id"))
 
 
 def normalise_baskets(raw: DataFrame, alias: DataFrame, unspaced: Sequence[str] = ("zh", "ja", "th"), longest: int = 4) -> DataFrame:
@@ -433,13 +435,12 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"(?U)\W+", " "))
 
 
-def alias_hazards(new: DataFrame, frequent: DataFrame, bound: int = 20_000) -> DataFrame:
+def alias_hazards(new: DataFrame, frequent: DataFrame) -> DataFrame:
     """New aliases inside a frequent unmapped term that isn't bound to the same item (C23). ``new``: surface, item_id; ``frequent``: term, df, item_id or null.
 
-    Substrings are joined by value: every substring of a (short) term meets the aliases, so no cross join is made.
+    Every term is held against every alias, by automata over shards of the aliases.
     """
-    t = frequent.orderBy(F.desc("df"), "term").limit(bound)
-    subs = t.select("term", "df", F.col("item_id").alias("bound_to"), F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i")).select("term", "df", "bound_to", "i", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("i") + 1)).alias("n"))
-    subs = subs.select("term", "df", "bound_to", F.substr("term", F.col("i"), F.col("n")).alias("surface")).distinct()
-    hit = subs.join(new, "surface").where((F.col("term") != F.col("surface")) & ~F.coalesce(F.col("bound_to") == F.col("item_id"), F.lit(False)))
+    inside = occurrences(frequent.select(F.col("term").alias("text")), new).select(F.col("text").alias("term"), "surface").where("term <> surface").distinct()
+    hit = inside.join(new, "surface").join(frequent.select("term", "df", F.col("item_id").alias("bound_to")), "term")
+    hit = hit.where(~F.coalesce(F.col("bound_to") == F.col("item_id"), F.lit(False)))
     return hit.groupBy("surface", "item_id").agg(F.max_by("term", F.struct("df", "term")).alias("inside"), F.max("df").alias("df"))

@@ -72,7 +72,7 @@ def dict_keys(spark: P, sf: str) -> D:
 
 @query("with s as (select distinct l_orderkey o, p_name from lineitem join part on l_partkey = p_partkey) select 'long' source, 'en' lang, string_agg(p_name, '|' order by p_name) items, count(*) n from s group by o")
 def read_long(spark: P, sf: str) -> D:
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_name").alias("Ingredient name"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("l_linenumber").alias("ingredient_number"), F.col("l_quantity").alias("Ingredient quantity"), F.col("p_name").alias("Ingredient name"))
     path = _written(rows, "csv", "long", header=True)
     return R.read_source(spark, R.Source("long", "en", "long", path, "l_orderkey")).select("source", "lang", F.array_join("items", "|").alias("items"), F.size("items").cast("long").alias("n"))
 
@@ -86,16 +86,17 @@ def read_linked_data(spark: P, sf: str) -> D:
 
 
 #: What follows a transcript's first line stands for its list of items.
-_BLOCK = r"(?s)^[^\n]*\n(.+?)(?:\n\s*\n|\z)"
 _CHAT = (
-    "with t as (select conv_id, string_agg(text, chr(10) order by turn) x from conversations where role = 'assistant' group by 1), s as (select conv_id, substr(x, 1, 60) b, list_filter(list_transform(regexp_split_to_array(regexp_extract(x, '(?s)^[^\\n]*\\n(.+?)(?:\\n\\s*\\n|\\z)', 1), '\\r?\\n'),"
-    " lambda v: trim(regexp_replace(v, '^[-*•\\d.\\s]+', ''), ' ')), lambda v: length(v) > 1 and length(v) < 80) items from t), k as (select * from s where len(items) >= 2), f as (select b, min(conv_id) conv_id from k group by 1)"
+    "with t as (select conv_id, string_agg(text, chr(10) order by turn) x from conversations where role = 'assistant' group by 1), l as (select conv_id, substr(x, 1, 60) b, string_split(x, chr(10))[2:] ls from t),"
+    " e as (select *, coalesce(list_position(list_transform(ls, lambda v: trim(v, ' ' || chr(9) || chr(13)) = ''), true), 0) blank from l),"
+    " s as (select conv_id, b, list_filter(list_transform(case when blank > 0 then ls[1:blank - 1] else ls end, lambda v: trim(ltrim(v, '-*•.0123456789 ' || chr(9) || chr(13)), ' ' || chr(9) || chr(13))), lambda v: length(v) between 2 and 79) items from e),"
+    " k as (select * from s where len(items) >= 2), f as (select b, min(conv_id) conv_id from k group by 1)"
 )
 
 
 @query(_CHAT + " select conv_id, array_to_string(items, '|') items from k semi join f using (b, conv_id)")
 def chat_items(spark: P, sf: str) -> D:
-    return R.chat_items(table(spark, sf, "conversations"), block=_BLOCK).select("conv_id", F.array_join("items", "|").alias("items"))
+    return R.chat_items(table(spark, sf, "conversations"), headings=None).select("conv_id", F.array_join("items", "|").alias("items"))
 
 
 @query(_CHAT + ", h as (select b, count(*) n from k group by 1) select array_to_string(items, '|') items from k semi join f using (b, conv_id) semi join (select b from h where n = 1) using (b)")
@@ -105,8 +106,8 @@ def read_chat(spark: P, sf: str) -> D:
     whole = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
     said = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: m["content"]), "\n")
     alone = whole.withColumn("begin", F.substring(said, 1, 60))
-    found = R.read_source(spark, R.Source("chat", "en", "chat", _written(alone.select("messages"), "json", "chat"), "messages", options={"block": _BLOCK}))
-    once = R.chat_items(table(spark, sf, "conversations"), prefix=1 << 30, block=_BLOCK).join(alone.select("conv_id", "begin"), "conv_id").groupBy("begin").agg(F.count("*").alias("n"), F.first("items").alias("items")).where("n = 1")
+    found = R.read_source(spark, R.Source("chat", "en", "chat", _written(alone.select("messages"), "json", "chat"), "messages", options={"headings": None}))
+    once = R.chat_items(table(spark, sf, "conversations"), prefix=1 << 30, headings=None).join(alone.select("conv_id", "begin"), "conv_id").groupBy("begin").agg(F.count("*").alias("n"), F.first("items").alias("items")).where("n = 1")
     return found.select(F.array_join("items", "|").alias("items")).join(once.select(F.array_join("items", "|").alias("items")).distinct(), "items", "left_semi")
 
 

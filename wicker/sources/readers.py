@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -115,13 +116,26 @@ def dict_keys(text: Column) -> Column:
     return F.transform(F.map_keys(F.from_json(_as_json(text), "map<string,string>")), lambda k: F.lower(F.trim(k)))
 
 
+#: Words in a column's name that say it numbers or measures items.
+NOT_ITEMS = {"id", "ids", "idx", "index", "no", "nr", "num", "number", "count", "qty", "quantity", "amount", "unit", "units"}
+
+
+def item_column(columns: Sequence[str], names: Sequence[str] = ("ingredient", "item", "name")) -> str | None:
+    """The column that holds items' names: one named for items that says ``name``, else one that isn't named for numbers, by the order of ``names``."""
+    words = {c: [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", c).lower()) if w] for c in columns}
+    named = [c for n in names for c in columns if n in c.lower()]
+    said = [c for c in named if "name" in words[c] and not NOT_ITEMS & {*words[c]}]
+    plain = [c for c in named if not NOT_ITEMS & {*words[c]}]
+    return next((c for n in names for c in said if n in c.lower()), next(iter(plain), None))
+
+
 def read_long(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
-    """A row for each item; the item column is the first of those that its names allow."""
+    """A row for each item; the item column is the one that ``item_column`` tells by its name, never one of numbers, ids or quantities."""
     df = spark.read.csv(s.path, header=True)
     names = s.options.get("item_columns", ("ingredient", "item", "name"))
-    column = next((c for n in names for c in df.columns if n in c.lower()), None)
+    column = item_column([c for c in df.columns if c != s.column], names)
     if column is None:
-        raise ValueError(f"{s.key}: no column named like {', '.join(names)}")
+        raise ValueError(f"{s.key}: no column of items named like {', '.join(names)}")
     grouped = df.where(F.trim(column) != "").groupBy(s.column).agg(F.array_sort(F.collect_set(F.trim(column))).alias("items"))
     return records(grouped, s, F.col("items"), rank)
 
@@ -134,18 +148,39 @@ def read_graph(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
     return records(text, s, F.get(found, F.lit(0))["recipeIngredient"], rank)
 
 
-ITEM_BLOCK = r"(?is)(?:ingredients|you will need)\s*:?\s*(.+?)(?:\n\s*\n|\z)"
+# Lengths of an item's line, and how much of a transcript's beginning tells it from others.
+ITEM_LENGTH = (2, 79)
+BEGINNING = 60
+#: What a line that heads a list of items says, and the characters that mark its lines.
+HEADINGS = ("ingredients", "you will need")
+MARKERS = "-*•.0123456789 \t\r"
+
+
+def listed(text: Column, headings: Sequence[str] | None = HEADINGS) -> Column:
+    """The lines of the first list in a text: what follows the heading, on its line or below, to the next blank line. Without ``headings`` the first line is one."""
+    lines = F.split(text, "\n")
+    if headings is None:
+        below, beside = F.slice(lines, F.lit(2), F.size(lines)), F.lit("")
+    else:
+        heads = lambda line: F.greatest(*[F.when(F.instr(F.lower(line), h) > 0, F.instr(F.lower(line), h) + len(h)).otherwise(0) for h in headings], F.lit(0))
+        ends = F.transform(lines, heads)
+        at = F.nullif(F.array_position(F.transform(ends, lambda e: e > 0), True), F.lit(0)).cast("int")
+        line, end = F.try_element_at(lines, at), F.try_element_at(ends, at)
+        below = F.slice(lines, at + 1, F.size(lines))
+        beside = F.ltrim(F.substr(line, end), F.lit(": \t"))
+    blank = F.array_position(F.transform(below, lambda x: F.trim(x, F.lit(" \t\r")) == ""), True)
+    upto = F.when(blank > 0, F.slice(below, F.lit(1), (blank - 1).cast("int"))).otherwise(below)
+    return F.concat(F.array(beside), upto)
 
 
-def chat_items(turns: DataFrame, prefix: int = 60, block: str = ITEM_BLOCK) -> DataFrame:
-    """Items of chat transcripts: assistants' turns joined, the item block cut out, a line an item, bullets and numbers off, 2 items at least.
+def chat_items(turns: DataFrame, prefix: int = BEGINNING, headings: Sequence[str] | None = HEADINGS) -> DataFrame:
+    """Items of chat transcripts: the list in the assistants' joined turns, a line an item without its marker, 2 items at least.
 
-    ``turns``: conv_id, turn, role, text -> ``conv_id, items``. ``block``: a pattern whose first group holds the items; a transcript without one is left
-    out. Of transcripts with equal beginnings the first stays.
+    ``turns``: conv_id, turn, role, text -> ``conv_id, items``. A transcript without a list is left out. Of transcripts with equal beginnings the first stays.
     """
     said = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    body = F.regexp_extract("text", block, 1)
-    items = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^[-*•\d.\s]+", ""))), lambda x: (F.length(x) > 1) & (F.length(x) < 80))
+    bare = F.transform(listed(F.col("text"), headings), lambda x: F.trim(F.ltrim(x, F.lit(MARKERS)), F.lit(" \t\r")))
+    items = F.filter(bare, lambda x: F.length(x).between(*ITEM_LENGTH))
     rows = said.select("conv_id", F.substring("text", 1, prefix).alias("begin"), items.alias("items")).where(F.size("items") >= 2)
     first = rows.groupBy("begin").agg(F.min("conv_id").alias("conv_id"))
     return rows.join(first, ["begin", "conv_id"], "left_semi").select("conv_id", "items")
@@ -154,7 +189,7 @@ def chat_items(turns: DataFrame, prefix: int = 60, block: str = ITEM_BLOCK) -> D
 def read_chat(spark: SparkSession, s: Source, rank: int = 0) -> DataFrame:
     """A JSON record a line with its turns under ``s.column`` (role, content)."""
     df = with_row_numbers(spark.read.json(s.path)).select(F.col("row_no").alias("conv_id"), F.posexplode(s.column).alias("turn", "m"))
-    found = chat_items(df.select("conv_id", "turn", "m.role", F.col("m.content").alias("text")), block=s.options.get("block", ITEM_BLOCK))
+    found = chat_items(df.select("conv_id", "turn", "m.role", F.col("m.content").alias("text")), headings=s.options.get("headings", HEADINGS))
     return found.select(F.lit(s.key).alias("source"), F.lit(rank).alias("source_rank"), F.col("conv_id").alias("row_no"), F.lit(s.lang).alias("lang"), "items")
 
 

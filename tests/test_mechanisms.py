@@ -15,7 +15,7 @@ from wicker.functions.arrays import array_sums
 from wicker.functions import patterns
 from wicker.functions.pairing import paired
 from wicker.functions.ranges import places, sums_before
-from wicker.operators import evaluate as E, graph as G, neighbours as N, normalise as C, represent as R, search as S, stats as T
+from wicker.operators import evaluate as E, graph as G, matrices as M, neighbours as N, normalise as C, represent as R, search as S, stats as T
 from wicker.sources.readers import Source, chat_items, item_column, listed, read_source
 
 CATALOG = "basket_id long, items array<long>, lang string, total_minutes double, servings double, link_status string"
@@ -310,3 +310,41 @@ def test_lists_in_transcripts(spark):
     assert got == {tuple(x) for x in texts.values() if x and len(x) > 1}
     lines = {r.t: r.l for r in df.select("t", listed(F.col("t")).alias("l")).collect()}
     assert all((lines[t] is None) == (x is None) for t, x in texts.items())
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_autoencoder_by_blocks(spark, block):
+    """Equal to NumPy over 64 items, whatever the blocks."""
+    rng = random.Random(8)
+    rows = [(i, sorted({int(64 * rng.random() ** 2) for _ in range(6)})) for i in range(600)] + [(999, [100 + x for x in range(0, 64, 9)])]
+    items = sorted({x for _, b in rows for x in b})
+    x = np.zeros((len(rows), len(items)))
+    for i, (_, b) in enumerate(rows):
+        x[i, [items.index(y) for y in b]] = 1
+    p = np.linalg.inv(x.T @ x + 10 * np.eye(len(items)))
+    want = p / -np.diag(p)
+    np.fill_diagonal(want, 0)
+    got = np.zeros_like(want)
+    for r in R.linear_autoencoder(spark.createDataFrame(rows, "basket_id long, items array<long>"), 10.0, block).collect():
+        got[items.index(r.a), items.index(r.b)] = r.weight
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_singular_values(spark):
+    """Within a millionth of NumPy's, vectors orthonormal, the matrix rebuilt from them; a matrix of rank 2; no cells."""
+    rng = np.random.default_rng(9)
+    full = (rng.normal(size=(90, 12)) * 3.0 ** -np.arange(12)) @ rng.normal(size=(12, 70))
+    full[np.abs(full) < 0.05] = 0
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "a long, b long, value double").repartition(20)
+    u, s = M.singular_vectors(cells(full), 6)
+    want = np.linalg.svd(full, compute_uv=False)
+    assert np.abs(s - want[:6]).max() < 1e-6 * want[0]
+    x = np.zeros((90, 6))
+    for r in u.collect():
+        x[r.a] = r.vec
+    assert np.abs(x.T @ x - np.eye(6)).max() < 1e-9
+    assert np.abs(np.linalg.norm(x.T @ full, axis=1) - s).max() < 1e-6 * s[0]
+    low = np.outer(np.arange(1, 9), np.ones(5)) + np.outer(np.ones(8), np.arange(5))
+    assert len(M.singular_vectors(cells(low), 4)[1]) == 2
+    assert np.abs(M.singular_vectors(cells(low), 4)[1] - np.linalg.svd(low, compute_uv=False)[:2]).max() < 1e-9
+    assert M.singular_vectors(spark.createDataFrame([], "a long, b long, value double"), 3)[1].size == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from wicker.streaming import jobs as J
@@ -44,13 +45,82 @@ def test_waterfall_and_sessions(spark, tmp_path):
 
 
 def test_counts_merge_once_per_batch(spark, tmp_path):
-    write = J.merge_counts(str(tmp_path / "counts"), ["item_id"], "n")
+    table = J.CountTable(spark, str(tmp_path / "counts"), ["item_id"], most_parts=3)
     batch = spark.createDataFrame([(1, 2), (1, 3), (2, 1)], "item_id long, n long")
-    write(batch, 0)
-    write(batch, 0)
-    write(batch, 1)
-    got = {r.item_id: r.n for r in J.merged_counts(spark.read.parquet(str(tmp_path / "counts")), ["item_id"], "n").collect()}
-    assert got == {1: 10, 2: 2}
+    table.write(batch, 0)
+    table.write(batch, 0)
+    table.write(batch, 1)
+    assert {r.item_id: r.n for r in table.read().collect()} == {1: 10, 2: 2}
+
+
+def test_counts_are_compacted(spark, tmp_path):
+    """Twenty batches, some of them twice and late: each counts once, parts stay few, a half-written base is passed over."""
+    table = J.CountTable(spark, str(tmp_path / "counts"), ["src", "dst"], "count", most_parts=4)
+    batch = spark.createDataFrame([(1, 2, 1), (1, 3, 2)], "src long, dst long, count long")
+    for epoch in range(20):
+        table.write(batch, epoch)
+        if epoch % 3 == 2:
+            J.CountTable(spark, str(tmp_path / "counts"), ["src", "dst"], "count", most_parts=4).write(batch, epoch - 1)
+        assert len(table._whole("part")) <= 8 and len(table._whole("base")) <= 2
+    (tmp_path / "counts" / "base" / "99").mkdir()
+    assert {(r.src, r.dst): r["count"] for r in table.read().collect()} == {(1, 2): 20, (1, 3): 40}
+
+
+def test_a_restarted_stream_counts_once(spark, tmp_path):
+    """A stream that stops and goes on from its checkpoint, over the batch path, pairs counted by table."""
+    files, state = tmp_path / "in", str(tmp_path / "state")
+    table = J.CountTable(spark, str(tmp_path / "pairs"), ["src", "dst"], "count", most_parts=2)
+
+    def count(batch, epoch):
+        table.write(J.incremental_pairs(batch), epoch)
+
+    total = {}
+    for n, items in enumerate(([3, 1, 2], [1, 2], [2, 1, 1], [5])):
+        spark.createDataFrame([(items,)], "items array<long>").coalesce(1).write.mode("append").parquet(str(files))
+        source = spark.readStream.schema("items array<long>").parquet(str(files))
+        q = source.writeStream.foreachBatch(count).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+        total[n] = {(r.src, r.dst): r["count"] for r in table.read().collect()}
+    assert total == {0: {(1, 2): 1, (1, 3): 1, (2, 3): 1}, 1: {(1, 2): 2, (1, 3): 1, (2, 3): 1}, 2: {(1, 2): 3, (1, 3): 1, (2, 3): 1}, 3: {(1, 2): 3, (1, 3): 1, (2, 3): 1}}
+
+
+def test_first_wins_by_source(spark, tmp_path):
+    """The copy of the best source passes, once, though it came second; after the time it is remembered an equal set passes again."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    shape = "ts timestamp, source_rank long, items array<string>"
+    batches = [
+        [("2024-01-01 00:00:00", 2, ["a", "b"]), ("2024-01-01 00:00:10", 3, ["c"])],
+        [("2024-01-01 00:01:00", 1, ["b", "a"])],
+        [("2024-01-01 01:00:00", 9, ["x"])],
+        [("2024-01-01 01:00:01", 0, ["a", "b"])],
+        [("2024-01-01 03:00:00", 9, ["y"])],
+        [("2024-01-01 03:00:10", 5, ["a", "b"])],
+        [("2024-01-01 05:00:00", 9, ["z"])],
+        [("2024-01-01 05:00:01", 9, ["z"])],
+    ]
+    try:
+        for i, rows in enumerate(batches):
+            df = spark.createDataFrame(rows, shape.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+            best = J.first_wins_by_source(source, "ts", "0 seconds", hold=600, keep=3600)
+            best.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        got = sorted((str(r.ts), r.source_rank, sorted(r["items"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert [x for x in got if x[2] == ["a", "b"]] == [("2024-01-01 00:01:00", 1, ["a", "b"]), ("2024-01-01 03:00:10", 5, ["a", "b"])]
+        assert [x[1] for x in got if x[2] == ["c"]] == [3]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_aliases_given_twice_and_many(spark, tmp_path, monkeypatch):
+    alias = spark.createDataFrame([("salt", 1), ("salt", 7), ("egg", 2), ("egg", 2), (None, 3)], "surface string, item_id long")
+    got = drained(J.normalised(stream(spark, tmp_path, "n2", ROWS), alias).select("ts", "items"), "normalised2", "append")
+    assert sorted(r["items"] for r in got) == [[], [], [1, 2, 7], [1, 2, 7]]
+    slots = drained(J.normalised_slots(stream(spark, tmp_path, "n3", ROWS), alias).select("source", "item_id"), "slots", "append")
+    assert sorted((r.source, r.item_id) for r in slots) == [(s, i) for s in "ab" for i in (1, 2, 7)]
+    monkeypatch.setattr(J, "MOST_SURFACES", 1)
+    with pytest.raises(ValueError, match="normalised_slots"):
+        J.normalised(stream(spark, tmp_path, "n4", ROWS), alias)
 
 
 def test_scores_against_a_static_graph(spark, tmp_path):

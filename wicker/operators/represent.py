@@ -13,38 +13,22 @@ from ..functions.pairing import paired
 from ..functions.ranges import sums_before
 from .baskets import frequencies, pair_counts
 from .graph import both_ways, top_k
+from .matrices import BLOCK, autoencoder_cells, blocked, inverse, singular_vectors
 
 #: The largest vocabulary for which a dense item-by-item matrix is solved on the driver (200 MB of doubles).
 DENSE_ITEMS = 5_000
 
 
-def _dense(pairs: DataFrame, diagonal: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Item ids and the symmetric matrix of pair values with its diagonal."""
-    d = diagonal.orderBy("item_id").limit(DENSE_ITEMS + 1).toPandas()
-    if len(d) > DENSE_ITEMS:
-        raise ValueError(f"more than {DENSE_ITEMS} items: raise the support threshold or use als_vectors")
-    ids = d.item_id.to_numpy()
-    p = pairs.toPandas()  # at most DENSE_ITEMS squared
-    m = np.diag(d.iloc[:, 1].to_numpy(float))
-    a, b = np.searchsorted(ids, p.src), np.searchsorted(ids, p.dst)
-    m[a, b] = m[b, a] = p.iloc[:, 2].to_numpy(float)
-    return ids, m
-
-
-def linear_autoencoder(baskets: DataFrame, ridge: float = 300.0) -> DataFrame:
+def linear_autoencoder(baskets: DataFrame, ridge: float = 300.0, block: int = BLOCK) -> DataFrame:
     """Item-to-item weights of the closed-form linear autoencoder (G13): ``a, b, weight``, zero diagonal.
 
-    The Gram matrix is summed by Spark (E1, E2); a vocabulary-sized inverse is taken on the driver.
+    The Gram matrix is summed by Spark (E1, E2), cut into blocks and inverted block by block; no item-by-item matrix is on one machine.
     """
-    counts = pair_counts(baskets)
-    ids, gram = _dense(counts, frequencies(baskets))
-    inverse = np.linalg.inv(gram + ridge * np.eye(len(ids)))
-    weights = inverse / -np.diag(inverse)
-    np.fill_diagonal(weights, 0)
-    a, b = np.nonzero(weights)
-    import pandas as pd
-
-    return baskets.sparkSession.createDataFrame(pd.DataFrame({"a": ids[a], "b": ids[b], "weight": weights[a, b]}))
+    df = frequencies(baskets)
+    pairs = pair_counts(baskets).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("count").alias("value"))
+    gram = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "value")).unionByName(df.select(F.col("item_id").alias("a"), F.col("item_id").alias("b"), F.col("df").alias("value")))
+    blocks, index, side = blocked(gram, df, ridge, block)
+    return autoencoder_cells(inverse(blocks, side), index, block)
 
 
 def autoencoder_scores(instances: DataFrame, weights: DataFrame) -> DataFrame:
@@ -112,18 +96,10 @@ def ppmi(counts: DataFrame, shift: float = 0.0, smooth: float = 1.0) -> DataFram
 
 
 def svd_vectors(cells: DataFrame, d: int) -> DataFrame:
-    """U sqrt(s) of a sparse matrix given as ``a, b, value`` (G18); fewer than d columns give fewer dimensions."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, IndexedRow, MatrixEntry  # noqa: F401
-
-    spark = cells.sparkSession
-    ids = [c.select(n).distinct().orderBy(n).withColumn("i", F.row_number().over(W.orderBy(n)) - 1) for c, n in ((cells, "a"), (cells, "b"))]
-    placed = cells.join(ids[0], "a").withColumnRenamed("i", "row").join(ids[1], "b").withColumnRenamed("i", "col")
-    n_cols = ids[1].count()
-    entries = placed.select("row", "col", "value").rdd.map(lambda r: MatrixEntry(r.row, r.col, float(r.value)))
-    svd = CoordinateMatrix(entries).toIndexedRowMatrix().computeSVD(min(d, n_cols), computeU=True)
-    s = svd.s.toArray()
-    rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * np.sqrt(s)]))
-    return spark.createDataFrame(rows, "row long, vec array<double>").join(ids[0].withColumnRenamed("i", "row"), "row").select(F.col("a").alias("item_id"), "vec")
+    """U sqrt(s) of a sparse matrix given as ``a, b, value`` (G18); fewer than d columns, or a lower rank, give fewer dimensions."""
+    left, s = singular_vectors(cells, d)
+    root = F.array(*[F.lit(float(x)) for x in np.sqrt(s)])
+    return left.select(F.col("a").alias("item_id"), F.zip_with("vec", root, lambda x, y: x * y).alias("vec"))
 
 
 def truncated(vectors: DataFrame, ranks: Sequence[int]) -> DataFrame:

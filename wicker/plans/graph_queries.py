@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import jaccard
 from ..operators import baskets as B, graph as G, neighbours as N, represent as R
+from ..operators.matrices import singular_vectors
 from ..session import table
 from . import bindings as X
 from .registering import collector
@@ -209,6 +210,18 @@ def linear_autoencoder(spark: P, sf: str) -> D:
     return R.linear_autoencoder(baskets_of(spark, sf)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+@query(f"with {X.SLOTS} select distinct item_id a, 0.0::double residual from slots")
+def autoencoder_residual(spark: P, sf: str) -> D:
+    """What the weights must satisfy: each column of the Gram matrix is the weights' sum of the others, off the diagonal. The largest difference of each row."""
+    b = baskets_of(spark, sf)
+    w = R.linear_autoencoder(b).select(F.col("a").alias("c"), "b", "weight")
+    pairs, df = B.pair_counts(b).select(F.col("src").alias("a"), F.col("dst").alias("c"), F.col("count").alias("value")), B.frequencies(b)
+    gram = pairs.unionByName(pairs.select(F.col("c").alias("a"), F.col("a").alias("c"), "value")).unionByName(df.select(F.col("item_id").alias("a"), F.col("item_id").alias("c"), (F.col("df") + 300).alias("value")))
+    sums = gram.join(w, "c").groupBy("a", "b").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
+    rows = sums.join(gram.select("a", F.col("c").alias("b"), "value"), ["a", "b"], "full").where("a <> b")
+    return rows.groupBy("a").agg(F.round(F.max(F.abs(F.coalesce("value", F.lit(0)) - F.coalesce("x", F.lit(0.0)))), 4).alias("residual"))
+
+
 @query()
 def autoencoder_vectors(spark: P, sf: str) -> D:
     return _norms(R.symmetric_vectors(R.linear_autoencoder(baskets_of(spark, sf)), 8)[0])
@@ -229,11 +242,34 @@ def keep_probability(spark: P, sf: str) -> D:
     return R.keep_probability(B.frequencies(baskets_of(spark, sf))).withColumn("keep", F.round("keep", 6))
 
 
-@query(f"with {X.SLOTS}, {X.PAIRS}, s as (select src a, dst b, cnt from pairs union all select dst, src, cnt from pairs), ra as (select a, sum(cnt)::double na from s group by 1), cb as (select b, pow(sum(cnt), 0.75) nb from s group by 1), t as (select sum(cnt)::double n from s), z as (select sum(nb) z from cb), x as (select s.a, s.b, ln((cnt / n) / ((na / n) * (nb / z))) v from s join ra using (a) join cb using (b), t, z) select a, b, round(v, 6) as value from x where v > 0")
+_PPMI = (
+    f"with {X.SLOTS}, {X.PAIRS}, s as (select src a, dst b, cnt from pairs union all select dst, src, cnt from pairs), ra as (select a, sum(cnt)::double na from s group by 1), cb as (select b, pow(sum(cnt), 0.75) nb from s group by 1), t as (select sum(cnt)::double n from s), z as (select sum(nb) z from cb), x as (select s.a, s.b, ln((cnt / n) / ((na / n) * (nb / z))) v from s join ra using (a) join cb using (b), t, z)"
+)
+
+
+@query(_PPMI + " select a, b, round(v, 6) as value from x where v > 0")
 def ppmi(spark: P, sf: str) -> D:
     return R.ppmi(B.pair_counts(baskets_of(spark, sf)), smooth=0.75).withColumn("value", F.round("value", 6))
 
 
+@query(_PPMI + ", y as (select a, sqrt(sum(v * v)) n, count(*) over () r from x where v > 0 group by a) select a, round(n, 5) norm from y")
+def svd_rows(spark: P, sf: str) -> D:
+    """With all singular vectors, a row of U s is as long as the row of the matrix."""
+    cells = R.ppmi(B.pair_counts(baskets_of(spark, sf)), smooth=0.75)
+    left, s = singular_vectors(cells, 80)
+    scaled = F.zip_with("vec", F.array(*[F.lit(float(x)) for x in s]), lambda u, v: u * v)
+    return left.select("a", F.round(norm(scaled), 5).alias("norm"))
+
+
+@query(_PPMI + ", e as (select sum(v * v) e from x where v > 0) select round(e, 4) energy from e")
+def svd_energy(spark: P, sf: str) -> D:
+    """The squares of all singular values are those of the cells."""
+    cells = R.ppmi(B.pair_counts(baskets_of(spark, sf)), smooth=0.75)
+    left, s = singular_vectors(cells, 80)
+    lengths = left.agg(*[F.sum(F.col("vec")[i] * F.col("vec")[i]).alias(f"u{i}") for i in range(len(s))])  # ones
+    return lengths.select(F.round(sum((F.col(f"u{i}") * float(x * x) for i, x in enumerate(s)), F.lit(0.0)), 4).alias("energy"))
+
+
 @query()
 def svd_vectors(spark: P, sf: str) -> D:
     return _norms(R.svd_vectors(R.ppmi(B.pair_counts(baskets_of(spark, sf))), 8))

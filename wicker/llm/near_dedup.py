@@ -206,17 +206,20 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
     known = _components(links)
     for depth in range(DEEPEST):
-        state = written(_mixed(nodes, known, last=depth == DEEPEST - 1), "state")
+        state = written(_mixed(_labelled(nodes, known), last=depth == DEEPEST - 1), "state")
         if state.isEmpty():
             break
         links = written(_with_centers(state, full, percent), "links")
+        open_ = state.where("not final").select("node", "key", "n_shingles", "label")
         if not links.isEmpty():
-            known = _relabelled(known, _components(links))
-        open_ = state.where("not final").select("node", "key", "n_shingles")
+            merged = _components(links)
+            known = _relabelled(known, merged)
+            # the labels that were merged are few: rows get their new ones by label
+            open_ = open_.join(merged.select(F.col("key").alias("label"), F.col("root").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
         if open_.isEmpty():
             break
         # what contraction has made small stays a node, the others branch
-        open_ = written(_mixed(open_, known, last=False), "open")
+        open_ = written(_mixed(open_, last=False), "open")
         again = open_.where("final").select("node", "key", "n_shingles")
         nodes = again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key")))
     return known
@@ -240,9 +243,13 @@ def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_likely("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
-def _mixed(nodes: DataFrame, known: DataFrame, last: bool) -> DataFrame:
-    """Sets of nodes that hold several labels, with their labels; ``others``: how many lie outside the commonest; ``final``: whether those can be compared with all."""
-    rows = nodes.join(known, "key", "left").select("node", "key", "n_shingles", F.coalesce("root", "key").alias("label"))
+def _labelled(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Sets of nodes with their labels, once for the sums and the rows that ``_mixed`` takes."""
+    return written(nodes.join(known, "key", "left").select("node", "key", "n_shingles", F.coalesce("root", "key").alias("label")), "labelled")
+
+
+def _mixed(rows: DataFrame, last: bool) -> DataFrame:
+    """Sets of nodes that hold several labels: ``others``: how many lie outside the commonest; ``final``: whether those can be compared with all."""
     # sums for each label first, so that a hot node is one row for each of its labels
     per = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("n"))
     stats = per.groupBy("node").agg(F.sum("c").alias("size"), F.sum("n").alias("n"), F.max(F.struct("c", "label")).alias("m"))

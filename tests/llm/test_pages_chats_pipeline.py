@@ -245,3 +245,64 @@ def test_tables_of_others_outlive_a_pipeline(spark):
     assert lazy.count() == docs.count()
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(scratch.scratch_dir(spark))) - here}
     assert "mixing" in left and not left & {"toxicity", "near_dedup", "substring_dedup"}
+
+
+def extracted(spark, bodies, host="names.example"):
+    rows = [(i, f"http://{host}/{i}", html) for i, html in enumerate(bodies)]
+    return [r.text for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<body class="no-sidebar"><article>', "</article></body>"),
+        ('<body><article class="post comments-open">', "</article></body>"),
+        ('<body><div class="overflow-hidden"><article>', "</article></div></body>"),
+        ('<body><div id="header-and-content"><article>', "</article></div></body>"),
+        ('<body><form id="aspnetForm"><div><article>', "</article></div></form></body>"),
+        ('<body><article data-x="a hidden gem">', "</article></body>"),
+    ],
+)
+def test_names_round_the_text(spark, before, after):
+    """Words in names of what is round the text, and in other attributes' values, lose nothing; a menu goes for its words alone."""
+    pages = [f'<html>{before}<h1>Title {i}</h1><p>Body {i} of it</p>{after}</html>' for i in range(6)]
+    assert extracted(spark, pages) == [f"Title {i} Body {i} of it" for i in range(6)]
+    menus = [x.replace("<h1>", '<div class="menu">Menu of it</div><div class="site-footer">Foot {0}</div><p hidden>no {0}</p><h1>') for x in pages]
+    assert extracted(spark, menus) == [f"Title {i} Body {i} of it" for i in range(6)]
+
+
+def test_constant_siblings_are_template(spark):
+    """A constant last paragraph goes, whatever the number of paragraphs before it; the story's stay."""
+    pages = [f"<html><body><div>{''.join(f'<p>Body {i} part {j}</p>' for j in range(1 + i % 4))}<p>Share this page</p></div></body></html>" for i in range(8)]
+    assert extracted(spark, pages) == [" ".join(f"Body {i} part {j}" for j in range(1 + i % 4)) for i in range(8)]
+    longer = [f"<html><body>{''.join(f'<p>Body {i} part {j}</p>' for j in range(40 + i))}<p>Share this page</p></body></html>" for i in range(5)]
+    assert extracted(spark, longer) == [" ".join(f"Body {i} part {j}" for j in range(40 + i)) for i in range(5)]
+
+
+def test_extraction_against_brute_force(spark):
+    """Random pages of one layout with slots left out: a slot is content if its text varies over the pages that have it."""
+    rng = random.Random(3)
+    pages, texts = [], []
+    for i in range(12):
+        html, parts = "", []
+        for slot in "abcdef":
+            if rng.random() < 0.8:
+                n = rng.randint(1, 3)
+                for j in range(n):
+                    text = {"b": "Constant b", "e": f"Ends {i}" if j == 0 else "Constant e"}.get(slot, f"Slot {slot} {i} {j}")
+                    html += f"<div class='{slot}'><span>{text}</span></div>"
+                    parts.append((slot, 1 if j == 0 else 9 if j == n - 1 else j + 1, text))
+        pages.append(f"<html><body>{html}</body></html>")
+        texts.append(parts)
+    seen = {}
+    for parts in texts:
+        for slot, place, text in parts:
+            seen.setdefault((slot, place), []).append(text)
+    fixed = {k for k, v in seen.items() if len(v) >= 3 and max(Counter(v).values()) >= 0.8 * len(v)}
+    assert fixed and extracted(spark, pages, "brute.example") == [" ".join(t for s, p, t in parts if (s, p) not in fixed) for parts in texts]
+
+
+def test_very_long_pages(spark):
+    """A page of five million characters, whole."""
+    pages = [f"<html><body><article><p>{'word%d ' % i * 800_000}</p><p>end {i}</p></article></body></html>" for i in range(3)]
+    assert extracted(spark, pages) == [" ".join([f"word{i}"] * 800_000) + f" end {i}" for i in range(3)]

@@ -1,15 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-A page's DOM is summed up as a guide tree: one node for all elements with one path of tags and classes.
-Pages of a host are aligned with the host's most common tree by simple tree matching. A node whose text hardly changes over the
+A page's DOM is summed up as a guide tree: a node for each path of tags and classes, and of siblings alike, outside articles, one for each of the first few, one for
+the last and one for those between. Pages of a host are aligned with the host's most common tree by simple tree matching. A node whose text hardly changes over the
 host's pages is template; the others are slots, and all of them hold content. Adverts and readers' comments vary as content does:
-nodes that are menus, notices, adverts and the like by their element or class are never content. Only on a host with too few pages to tell
+nodes that are menus, notices, adverts and the like by their element or by a name of their own are never content. Only on a host with too few pages to tell
 slots from template do a page's articles, or else main elements, stand for the slots.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -27,7 +28,7 @@ LEAST_PAGES, SAME_SHARE = 3, 0.8
 BROADCAST_ROWS = 5000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math select object canvas audio video".split())
@@ -38,29 +39,76 @@ _NOT_MAIN_WORDS = frozenset(
     " consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay comment comments disqus discussion reply replies respond related recommended share sharing social"
     " breadcrumb breadcrumbs pagination pager widget toolbar skip hidden complementary contentinfo search disclaimer paywall tags meta legal".split()
 )
+#: Elements whose names tell nothing of what is in them, and words that say a name is of something else.
+_WHOLE = frozenset("# html body article main".split())
+_OTHERWISE = frozenset("no not without has with and by open overflow content article body post story text".split())
+_COMMENTS = frozenset("comment comments disqus discussion reply replies respond".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Siblings alike that are nodes of their own, from the first; the last is one too. What sets a node's place apart in its signature.
+FIRST, _PLACE = 8, "\x1f"
+
+
+def _tag(signature: str) -> str:
+    return signature.partition(_PLACE)[0].partition(".")[0]
+
+
+@lru_cache(100_000)
+def _says(name: str) -> frozenset[str]:
+    """The words by which a class, id or role says that its element is boilerplate: the whole name, or its first or last word where no other says otherwise."""
+    if name.lower() in _NOT_MAIN_WORDS:
+        return frozenset([name.lower()])
+    words = [w.lower() for w in _WORD.findall(name)]
+    return frozenset() if _OTHERWISE & {*words} else frozenset({*words[:1], *words[-1:]} & _NOT_MAIN_WORDS)
+
+
+def _own_words(signature: str) -> frozenset[str]:
+    tag, _, names = signature.partition(_PLACE)[0].partition(".")
+    return frozenset() if tag in _WHOLE else frozenset().union(*(_says(n) for n in names.split()))
 
 
 def _boilerplate(signature: str) -> bool:
-    tag, _, names = signature.partition(".")
-    return tag in _NOT_MAIN or any(w.lower() in _NOT_MAIN_WORDS for w in _WORD.findall(names))
+    return _tag(signature) in _NOT_MAIN or bool(_own_words(signature))
 
 
 @lru_cache(100_000)
 def _signature(tag: str, attributes: str) -> str:
     names = []
-    for m in _NAMED.finditer(attributes):
-        kind, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind in ("class", "id", "role"):
             names.append(re.sub(r"\d+", "", value))
-        elif not kind or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             names.append("hidden")
-    return f"{tag}.{' '.join(names)}".replace("\n", " ").replace("\t", " ") if names else tag
+    names = " ".join(" ".join(names).split())
+    return f"{tag}.{names}" if names else tag
+
+
+def _guide(parents: list[int], signatures: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """Elements (parents first) to a guide tree: signature and parent of each node, and the node of each element.
+
+    Inside an article siblings alike share a node: they are paragraphs of one text, and a sentence that many articles have is still theirs.
+    """
+    alike = Counter(zip(parents, signatures))
+    seen: Counter = Counter()
+    ids: dict[tuple[int, str], int] = {}
+    names, above, node, article = ["#"], [-1], [0], [False]
+    for key in zip(parents[1:], signatures[1:]):
+        article.append(article[key[0]] or _tag(signatures[key[0]]) == "article")
+        seen[key] += 1
+        i, n = seen[key], alike[key]
+        place = "" if i == 1 or article[-1] else "last" if i == n else str(i) if i <= FIRST else "more"
+        at = (node[key[0]], f"{key[1]}{_PLACE}{place}" if place else key[1])
+        if at not in ids:
+            ids[at] = len(names)
+            names.append(at[1])
+            above.append(at[0])
+        node.append(ids[at])
+    return names, above, node
 
 
 def page_blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
     """Guide tree (signature and parent of each node) and the text blocks, each with its node, in page order."""
-    signatures, parents, ids = ["#"], [-1], {}
+    signatures, parents = ["#"], [-1]  # of elements
     stack: list[tuple[str, int]] = [("#", 0)]
     blocks: list[tuple[int, str]] = []
     text: list[str] = []
@@ -112,15 +160,12 @@ def page_blocks(html: str) -> tuple[list[str], list[int], list[tuple[int, str]]]
             stack.pop()
         while stack[-1][0] in _CLOSES.get(tag, ()):
             stack.pop()
-        key = (stack[-1][1], _signature(tag, m[3]) if m[3] else tag)
-        node = ids.get(key)
-        if node is None:
-            node = ids[key] = len(signatures)
-            signatures.append(key[1])
-            parents.append(key[0])
-        stack.append((tag, node))
+        parents.append(stack[-1][1])
+        stack.append((tag, len(signatures)))
+        signatures.append(_signature(tag, m[3]) if m[3] else tag)
     flush()
-    return signatures, parents, blocks
+    names, above, node = _guide(parents, signatures)
+    return names, above, [(node[i], block) for i, block in blocks]
 
 
 def _host(url: str | None) -> str:
@@ -234,16 +279,23 @@ def keep_nodes(tree: str, nodes: list[int], template: set[int], voted: bool) ->
     """
     signatures, _, parents = _tree(tree)
     n = len(signatures)
+    tags = [_tag(s) for s in signatures]
+    below, holds = [1] * n, [tags[i] in ("article", "main") for i in range(n)]
+    for i in range(n - 1, 0, -1):  # parents come before children
+        below[parents[i]] += below[i]
+        holds[parents[i]] = holds[parents[i]] or holds[i]
     out = [False] * n
-    for i in range(n):  # parents come before children
-        out[i] = _boilerplate(signatures[i]) or parents[i] >= 0 and out[parents[i]]
+    for i in range(n):
+        says = _boilerplate(signatures[i])
+        if says and 2 * below[i] > n and (tags[i] == "form" or tags[i] not in _NOT_MAIN and holds[i] and not _COMMENTS & _own_words(signatures[i])):
+            says = False  # it is round the page
+        out[i] = says or parents[i] >= 0 and out[parents[i]]
     free = [not x for x in out]
     if voted:
         return [free[i] and nodes[i] not in template for i in range(n)]
-    tags = [s.partition(".")[0] for s in signatures]
     roots = [0]
     for wanted in ("article", "main"):
-        found = [i for i in range(n) if free[i] and (tags[i] == wanted or wanted == "main" and re.search(r"\.(.* )?main( |$)", signatures[i]))]
+        found = [i for i in range(n) if free[i] and (tags[i] == wanted or wanted == "main" and re.search(r"\.(.* )?main( |$)", signatures[i].partition(_PLACE)[0]))]
         if found:
             roots = found
             break

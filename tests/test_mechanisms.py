@@ -348,3 +348,24 @@ def test_singular_values(spark):
     assert len(M.singular_vectors(cells(low), 4)[1]) == 2
     assert np.abs(M.singular_vectors(cells(low), 4)[1] - np.linalg.svd(low, compute_uv=False)[:2]).max() < 1e-9
     assert M.singular_vectors(spark.createDataFrame([], "a long, b long, value double"), 3)[1].size == 0
+
+
+def test_evaluation_queries_exclude_and_add(spark, catalog):
+    """None of the added or forbidden items is the basket's; the forbidden one is not in the pantry; some queries have additions."""
+    c = spark.createDataFrame(catalog, CATALOG)
+    got = S.evaluation_queries(c).collect()
+    assert got
+    for r in got:
+        kept = set(r.available) & set(r["items"])
+        assert len(r["items"]) - len(kept) == r.max_missing and len(set(r.available) - kept) <= 2
+        assert set(r.must_use) <= kept and len(r.exclude) == 1 and not set(r.exclude) & (set(r["items"]) | set(r.available))
+    assert {len(set(r.available) - set(r["items"])) for r in got} == {0, 1, 2}
+
+
+def test_cards_warn(spark):
+    rows = spark.createDataFrame([(1, 10, 1, 0.5, [1, 2], [1], None, 2.0), (2, 11, 1, 0.4, [1], [1], 5.0, None)], "query_id long, basket_id long, rank int, score double, items array<long>, pantry array<long>, total_minutes double, servings double")
+    texts = spark.createDataFrame([(10, "t", "count_mismatch"), (11, "u", None)], "basket_id long, title string, quantity_status string")
+    queries = spark.createDataFrame([(1, [9]), (2, None)], "query_id long, exclude array<long>")
+    scanned = spark.createDataFrame([(1, False), (2, True), (2, True)], "query_id long, truncated boolean")
+    got = {r.query_id: r.warnings for r in S.result_cards(rows, texts, queries, scanned).collect()}
+    assert got == {1: ["time unknown", "items missing", "exclusions are not allergen-safe", "quantities: count_mismatch"], 2: ["servings unknown", "search was truncated"]}

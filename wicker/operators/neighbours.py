@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.columns import cosine, unit
 from ..session import saved
-from .graph import top_k
+from .graph import basket_scores, top_k
+from .represent import vector_sums
 
 #: Vectors of one cell that are compared at a time; larger cells are several blocks.
 BLOCK = 4096
@@ -135,3 +137,25 @@ def pivot_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = Non
 def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """The k nearest neighbours of each query, itself excluded (F5): ``a, b, cosine, rank``."""
     return pivot_neighbours(vectors, k, queries)[0]
+
+
+def mean_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The mean direction of each query's items: ``query_id, items, v``; queries without a known vector have none."""
+    known = vectors.select(F.col("item_id").alias("a"), unit("vec").alias("vec"))
+    rows = queries.select("query_id", F.explode("items").alias("a")).join(known, "a")
+    return vector_sums(rows, ["query_id"]).join(queries.select("query_id", "items"), "query_id").select("query_id", "items", F.col("vec").alias("v"))
+
+
+def hybrid_scores(queries: DataFrame, edges: DataFrame, vectors: DataFrame, beta: float = 0.5, least: float = -0.15, staples: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+    """Candidates for each basket by the sum of their edges to it and ``beta`` times the cosine with its mean direction (G11): ``query_id, item_id, score``.
+
+    A stated query set meets every vector, dealt over blocks. Items of the basket and ``staples`` (item_id) are no candidates; an item without edges counts 0 for
+    them, one without a vector 0 for the cosine.
+    """
+    means = mean_vectors(queries, vectors).withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
+    dealt = vectors.select("item_id", "vec", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block"))
+    near = means.join(dealt, "block").where(~F.array_contains("items", F.col("item_id"))).select("query_id", "item_id", cosine("v", "vec").alias("cosine"))
+    both = basket_scores(queries, edges, least).select("query_id", "item_id", F.col("score").alias("graph")).join(near, ["query_id", "item_id"], "full")
+    if staples is not None:
+        both = both.join(staples.select("item_id"), "item_id", "left_anti")
+    return both.select("query_id", "item_id", F.round(F.coalesce("graph", F.lit(0.0)) + beta * F.coalesce("cosine", F.lit(0.0)), 6).alias("score"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import cosine, draw, norm, numbered, unit
+from ..functions.columns import cosine, dot, draw, norm, numbered, unit
 from ..functions.pairing import paired
 from ..functions.ranges import sums_before
 from .baskets import frequencies, pair_counts
@@ -362,6 +362,20 @@ def popularity_alignment(vectors: DataFrame, df: DataFrame, k: int = 3) -> DataF
     return scored.agg(*parts)
 
 
+def popularity_overlap(vectors: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:
+    """How many of the ``k`` items with the highest mean cosine are among the ``k`` most frequent (H13): ``common, jaccard``; ties by id.
+
+    The mean cosine of an item with all is its product with the mean direction, so no pair is made.
+    """
+    units = vectors.select("item_id", unit("vec").alias("vec"))
+    n = units.agg(F.count("*").alias("n"))
+    centre = vector_sums(units.withColumn("all", F.lit(1)), ["all"]).crossJoin(n).select(F.transform("vec", lambda x: x / F.col("n")).alias("centre"))
+    scored = units.crossJoin(F.broadcast(centre)).select("item_id", F.round(dot("vec", "centre"), 9).alias("score"))  # one row
+    first = lambda t, c: t.orderBy(F.desc(c), "item_id").limit(k).select("item_id")  # noqa: E731  a top k
+    both = first(scored, "score").join(first(df, "df"), "item_id").agg(F.count("*").alias("common"))
+    return both.select("common", F.round(F.col("common") / (2 * k - F.col("common")), 6).alias("jaccard"))
+
+
 def noise_vectors(vectors: DataFrame, seed: int = 0, rank_one: bool = False) -> DataFrame:
     """Random vectors in place of the given ones (H14): Gaussian, or all on one line."""
     key = lambda i: F.concat_ws("-", "item_id", i)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import draw
+from ..functions.ranges import places
+from ..session import saved
 from .baskets import frequencies
 from .graph import top_k
 
@@ -174,7 +176,7 @@ def scan_plan(queries: DataFrame, catalog: DataFrame, blocks: DataFrame, want: i
     lengths = lengths.withColumn("seed", F.coalesce(F.sum("surely").over(down), F.lit(0)) < want)
     seeds = lengths.where("seed").select("query_id", "length", "gain", F.explode("entries").alias("e")).select("query_id", "length", "gain", "e.idf", "e.item_id")
     read = seeds.join(blocks.select("item_id", "length", "baskets"), ["item_id", "length"]).select("query_id", "gain", "idf", F.explode("baskets").alias("basket_id"))
-    scored = read.groupBy("query_id", "basket_id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), 6).alias("score"))
+    scored = saved(read.groupBy("query_id", "basket_id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), 6).alias("score")), "seeds")
     floor = top_k(scored, ["query_id"], "score", "basket_id", want).where(F.col("rank") == want).select("query_id", F.col("score").alias("floor"))
     lengths = lengths.join(floor, "query_id", "left")
     # entries ascend by IDF: those whose running sum stays under the floor do not get there, all together
@@ -191,7 +193,7 @@ def bm25(queries: DataFrame, catalog: DataFrame, scan_limit: int = 50_000, keep:
     of the budgets ended the search. ``feasible`` is the same search without budgets. Blocks of postings that can't hold one of the best are not read (``scan_plan``);
     ``blocks`` are the catalogue's ``posting_blocks`` where they are kept as a table.
     """
-    blocks = posting_blocks(catalog) if blocks is None else blocks
+    blocks = saved(posting_blocks(catalog), "blocks") if blocks is None else blocks
     plan, seeds = scan_plan(queries, catalog, blocks, scan_limit + 1)
     more = plan.where("role = 'essential'").select("query_id", "length", "item_id").join(blocks.select("item_id", "length", "baskets"), ["item_id", "length"])
     more = more.select("query_id", F.explode("baskets").alias("basket_id")).distinct()
@@ -305,19 +307,36 @@ def ranked(queries: DataFrame, catalog: DataFrame, model=None, shortlist: int =
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
 
 
-def result_cards(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """What a result shows (I9): matched, missing and unused items and warnings; texts are joined for the results alone. ``texts``: basket_id, title."""
-    warnings = F.array_compact(
-        F.array(
-            F.when(F.col("total_minutes").isNull(), "time unknown"),
-            F.when(F.col("servings").isNull(), "servings unknown"),
-            F.when(F.size(F.array_except("items", "pantry")) > 0, "items missing"),
-        )
-    )
-    cards = results.select(
-        "query_id", "basket_id", "rank", "score", F.array_sort(F.array_intersect("items", "pantry")).alias("matched"), F.array_sort(F.array_except("items", "pantry")).alias("missing_items"), F.array_sort(F.array_except("pantry", "items")).alias("unused"), warnings.alias("warnings")
+#: States of quantities that a card warns of.
+ODD_QUANTITIES = ("values_without_units", "count_mismatch")
+
+
+def result_cards(results: DataFrame, texts: DataFrame, queries: DataFrame | None = None, scanned: DataFrame | None = None) -> DataFrame:
+    """What a result shows (I9): matched, missing and unused items and warnings; texts are joined for the results alone.
+
+    ``texts``: basket_id, title, and quantity_status where it is known. With ``queries`` (exclude) a card of a query that excludes items warns that this is not
+    safe for allergies, with ``scanned`` (query_id, truncated) one of a search whose budget ended it that there may be better ones.
+    """
+    rows = results
+    more = []
+    if queries is not None:
+        rows = rows.join(queries.select("query_id", (F.size(F.coalesce("exclude", F.array().cast("array<bigint>"))) > 0).alias("excludes")), "query_id", "left")
+        more.append(F.when(F.col("excludes"), "exclusions are not allergen-safe"))
+    if scanned is not None:
+        rows = rows.join(scanned.groupBy("query_id").agg(F.max("truncated").alias("truncated")), "query_id", "left")
+        more.append(F.when(F.col("truncated"), "search was truncated"))
+    own = [
+        F.when(F.col("total_minutes").isNull(), "time unknown"),
+        F.when(F.col("servings").isNull(), "servings unknown"),
+        F.when(F.size(F.array_except("items", "pantry")) > 0, "items missing"),
+    ]
+    cards = rows.select(
+        "query_id", "basket_id", "rank", "score", F.array_sort(F.array_intersect("items", "pantry")).alias("matched"), F.array_sort(F.array_except("items", "pantry")).alias("missing_items"), F.array_sort(F.array_except("pantry", "items")).alias("unused"), F.array_compact(F.array(*own, *more)).alias("warnings")
     )
-    return cards.join(texts.select("basket_id", "title"), "basket_id", "left")
+    if "quantity_status" not in texts.columns:
+        return cards.join(texts.select("basket_id", "title"), "basket_id", "left")
+    odd = F.when(F.col("quantity_status").isin(*ODD_QUANTITIES), F.array(F.concat(F.lit("quantities: "), F.col("quantity_status")))).otherwise(F.array())
+    return cards.join(texts.select("basket_id", "title", "quantity_status"), "basket_id", "left").withColumn("warnings", F.concat("warnings", odd)).drop("quantity_status")
 
 
 def content_split(items: Column | str, parts: int = 10) -> Column:
@@ -439,15 +458,26 @@ def search_report(results: DataFrame, expected: DataFrame, shortlist: DataFrame
 
 
 def evaluation_queries(catalog: DataFrame, least: int = 4) -> DataFrame:
-    """Queries from the test partition (I14): one or two items hidden, one must-use, one excluded, half with a time bound; equal pantries once."""
+    """Queries from the test partition (I14): one or two items hidden, up to two others added, one must-use, one forbidden, half with a time bound; equal pantries once.
+
+    Added and forbidden items are drawn by rank from the vocabulary and are none of the basket's, the forbidden one none of the added. ``items`` are the basket's.
+    """
     rows = catalog.where((split_name("items") == "test") & (F.size("items") >= least))
     rows = rows.withColumn("hide", (1 + F.floor(draw("basket_id", 31) * 2)).cast("int"))
     slot = rows.select("basket_id", "total_minutes", "hide", "items", F.explode("items").alias("item_id"))
     order = W.partitionBy("basket_id").orderBy(draw(F.concat_ws("-", "basket_id", "item_id"), 32), "item_id")
     slot = slot.withColumn("n", F.row_number().over(order))
     per = slot.groupBy("basket_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n") > F.col("hide"), F.col("item_id")))).alias("available"), F.max(F.when(F.col("n") == F.col("hide") + 1, F.col("item_id"))).alias("must"), F.first("total_minutes").alias("total_minutes"), F.first("hide").alias("hide"), F.first("items").alias("items")
+        F.array_sort(F.collect_list(F.when(F.col("n") > F.col("hide"), F.col("item_id")))).alias("kept"), F.max(F.when(F.col("n") == F.col("hide") + 1, F.col("item_id"))).alias("must"), F.first("total_minutes").alias("total_minutes"), F.first("hide").alias("hide"), F.first("items").alias("items")
     )
+    vocabulary = places(frequencies(catalog).select("item_id"), ["item_id"])
+    size = vocabulary.agg(F.max("r").alias("n_items"))
+    tries = rows.select("basket_id", "items", F.explode(F.sequence(F.lit(1), F.size("items") + 8)).alias("j")).crossJoin(F.broadcast(size))  # one row
+    tries = tries.withColumn("r", 1 + F.floor(draw(F.concat_ws("-", "basket_id", "j"), 34) * F.col("n_items"))).join(vocabulary, "r").where(~F.array_contains("items", F.col("item_id")))
+    others = tries.groupBy("basket_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("j", "item_id")))["item_id"]).alias("others"))
+    per = per.join(others, "basket_id", "left").withColumn("others", F.coalesce("others", F.array().cast("array<bigint>")))
+    added = F.floor(draw("basket_id", 35) * 3).cast("int")
+    per = per.withColumn("available", F.array_sort(F.concat("kept", F.slice("others", F.lit(1), added)))).withColumn("exclude", F.slice("others", added + 1, F.lit(1)))
     timed = (draw("basket_id", 33) < 0.5) & F.col("total_minutes").isNotNull()
     once = F.row_number().over(W.partitionBy("available").orderBy("basket_id")) == 1
-    return per.withColumn("once", once).where("once").select(F.col("basket_id").alias("query_id"), "available", F.array("must").alias("must_use"), F.when(timed, F.col("total_minutes")).alias("budget"), F.col("hide").alias("max_missing"), "items")
+    return per.withColumn("once", once).where("once").select(F.col("basket_id").alias("query_id"), "available", F.array("must").alias("must_use"), "exclude", F.when(timed, F.col("total_minutes")).alias("budget"), F.col("hide").alias("max_missing"), "items")

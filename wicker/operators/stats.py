@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import draw, fine_draw, numbered, pairs_of
 from .evaluate import spearman
@@ -103,3 +105,27 @@ def pair_score_audit(scores: DataFrame) -> DataFrame:
     per = scores.groupBy("a", "b").agg((F.max("score") - F.min("score")).alias("drift"), F.countDistinct("label").alias("labels"))
     drift = per.agg(F.round(F.max("drift"), 9).alias("largest_drift"), F.round(F.avg((F.col("labels") > 1).cast("double")), 6).alias("label_churn"))
     return skew.crossJoin(F.broadcast(drift))  # one row each
+
+
+def monotonicity(rows: DataFrame, parts: list[str], combine: Callable[[list[Column]], Column], key: str, most: float = 100.0) -> DataFrame:
+    """How often a combined score falls when one of its parts is raised (H28): ``tried, violations``; there should be none.
+
+    Each row raises each part once, by a drawn step of up to a fifth of ``most`` (not beyond ``most``).
+    """
+    score = lambda values: combine(values)
+    now = [F.col(c).cast("double") for c in parts]
+    falls = []
+    for i in range(len(parts)):
+        raised = F.least(F.lit(most), now[i] + most * (0.001 + 0.199 * draw(key, 70 + i)))
+        falls.append((score([raised if j == i else x for j, x in enumerate(now)]) < score(now) - 1e-9).cast("int"))
+    return rows.agg((F.count("*") * len(parts)).alias("tried"), F.coalesce(F.sum(sum(falls, F.lit(0))), F.lit(0)).alias("violations"))
+
+
+def ordered_blend(weights: Sequence[float]) -> Callable[[list[Column]], Column]:
+    """A score that weighs the largest part first, then the next."""
+
+    def combine(values: list[Column]) -> Column:
+        ordered = F.sort_array(F.array(*values), asc=False)
+        return sum((F.lit(float(w)) * ordered[i] for i, w in enumerate(weights)), F.lit(0.0))
+
+    return combine

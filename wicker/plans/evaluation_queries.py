@@ -376,6 +376,16 @@ def pair_score_audit(spark: P, sf: str) -> D:
     return T.pair_score_audit(s.withColumn("label", F.col("score") > 200000))
 
 
+@query(
+    "with r as (select l_orderkey || '-' || l_linenumber k, l_quantity * 2 a, l_discount * 1000 b, l_tax * 1000 c from lineitem),"
+    f" u as (select *, {', '.join('least(100.0, ' + c + ' + 100.0 * (0.001 + 0.199 * ' + X.draw_sql('k', 70 + i) + ')) ' + c + '2' for i, c in enumerate('abc'))} from r), s as (select unnest([list_reverse_sort([a, b, c]), list_reverse_sort([a, b, c]), list_reverse_sort([a, b, c])]) p, unnest([list_reverse_sort([a2, b, c]), list_reverse_sort([a, b2, c]), list_reverse_sort([a, b, c2])]) q from u)"
+    " select count(*) tried, coalesce(sum((0.5 * q[1] + 0.3 * q[2] + 0.2 * q[3] < 0.5 * p[1] + 0.3 * p[2] + 0.2 * p[3] - 1e-9)::int), 0)::bigint violations from s"
+)
+def monotonicity(spark: P, sf: str) -> D:
+    rows = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), (F.col("l_quantity") * 2).alias("a"), (F.col("l_discount") * 1000).alias("b"), (F.col("l_tax") * 1000).alias("c"))
+    return T.monotonicity(rows, ["a", "b", "c"], T.ordered_blend([0.5, 0.3, 0.2]), "k")
+
+
 @query("with a as (select o_orderkey instance_id, rank() over (partition by o_custkey order by o_totalprice desc) r from orders), b as (select o_orderkey instance_id, rank() over (partition by o_custkey order by o_orderdate) r from orders) select instance_id, a.r rank_a, b.r rank_b, case when a.r < b.r then 'a' when b.r < a.r then 'b' else 'tie' end better from a join b using (instance_id)")
 def rank_join(spark: P, sf: str) -> D:
     from pyspark.sql import Window as W

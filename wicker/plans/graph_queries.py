@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.columns import jaccard
+from ..functions.columns import jaccard, norm
 from ..operators import baskets as B, graph as G, neighbours as N, represent as R
 from ..operators.matrices import singular_vectors
 from ..session import table
@@ -126,6 +126,19 @@ def basket_scores(spark: P, sf: str) -> D:
     return G.basket_scores(q, edges_of(spark, sf))
 
 
+@query(
+    f"with {X.EDGES}, {_QUERIES}, v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id), u as (select item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) un from v),"
+    " x as (select query_id, items, unnest(items) a from q), g as (select query_id, b item_id, sum(round(weight, 9)::decimal(18, 9))::double score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2),"
+    " c as (select query_id, i, sum(un[i]) c from x join u on u.item_id = a, (select unnest(range(1, 65)) i) group by 1, 2), m as (select query_id, list(c order by i) v from c group by 1),"
+    " nv as (select m.query_id, v.item_id, list_cosine_similarity(m.v, vec) cosine from m join q using (query_id), v where not list_contains(items, v.item_id)), st as (select item_id from slots group by 1 order by count(*) desc, item_id desc limit 5)"
+    " select query_id, item_id, round(coalesce(score, 0) + 0.5 * coalesce(cosine, 0), 6) score from g full join nv using (query_id, item_id) where item_id not in (select item_id from st)"
+)
+def hybrid_scores(spark: P, sf: str) -> D:
+    b = baskets_of(spark, sf)
+    q = b.where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
+    return N.hybrid_scores(q, edges_of(spark, sf), _vocab_vectors(spark, sf), staples=G.head_by_frequency(B.frequencies(b), 5))
+
+
 @query(f"with {X.EDGES}, {_QUERIES}, x as (select query_id, items, unnest(items) a from q), s as (select query_id, b item_id, round(avg(weight), 6) score from x join both_ways using (a) where not list_contains(items, b) group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) select query_id, item_id, score from r where rank = 1")
 def best_addition(spark: P, sf: str) -> D:
     q = baskets_of(spark, sf).where("basket_id % 20 = 0").withColumnRenamed("basket_id", "query_id")
@@ -390,6 +403,15 @@ def participation_ratio(spark: P, sf: str) -> D:
     return R.participation_ratio(X.vectors(spark, sf))
 
 
+@query(
+    f"with {X.SLOTS}, {X.DF}, v as (select vec_id item_id, embedding::double[] vec from embeddings semi join items on item_id = vec_id), u as (select item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) un from v),"
+    " c as (select list(s order by i) centre from (select i, avg(un[i]) s from u, (select unnest(range(1, 65)) i) group by 1)), a as (select item_id from u, c order by round(list_dot_product(un, centre), 9) desc, item_id limit 20), b as (select item_id from df order by df desc, item_id limit 20)"
+    " select count(*) common, round(count(*) / (40 - count(*))::double, 6) jaccard from a semi join b using (item_id)"
+)
+def popularity_overlap(spark: P, sf: str) -> D:
+    return R.popularity_overlap(_vocab_vectors(spark, sf), B.frequencies(baskets_of(spark, sf)))
+
+
 @query()
 def popularity_alignment(spark: P, sf: str) -> D:
     return R.popularity_alignment(_vocab_vectors(spark, sf), B.frequencies(baskets_of(spark, sf)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import baskets as B, search as S
-from ..session import table
+from ..session import saved, table
 from . import bindings as X
 from .registering import collector
 
@@ -131,10 +131,11 @@ def ranked_learned(spark: P, sf: str) -> D:
     return S.ranked(search_queries(spark, sf), c, model).select("query_id", "basket_id", "rank", F.round("score", 4).alias("score"))
 
 
-@query(f"with {X.BASKETS}, {_SCORED} select query_id, basket_id, rank, len(list_filter(items, lambda x: list_contains(pantry, x))) n_matched, len(items) - overlap n_missing, len(pantry) - overlap n_unused, case when total_minutes is null then 1 else 0 end + case when servings is null then 1 else 0 end + case when len(items) > overlap then 1 else 0 end n_warnings from (select *, row_number() over (partition by query_id order by score desc, basket_id) rank2 from rk) where rank <= 10")
+@query(f"with {X.BASKETS}, {_SCORED} select query_id, basket_id, rank, len(list_filter(items, lambda x: list_contains(pantry, x))) n_matched, len(items) - overlap n_missing, len(pantry) - overlap n_unused, case when total_minutes is null then 1 else 0 end + case when servings is null then 1 else 0 end + case when len(items) > overlap then 1 else 0 end + 1 + case when basket_id % 7 < 2 then 1 else 0 end n_warnings from (select *, row_number() over (partition by query_id order by score desc, basket_id) rank2 from rk) where rank <= 10")
 def result_cards(spark: P, sf: str) -> D:
-    titles = table(spark, sf, "orders").select(F.col("o_orderkey").alias("basket_id"), F.col("o_orderpriority").alias("title"))
-    cards = S.result_cards(S.ranked(search_queries(spark, sf), linked_baskets(spark, sf)), titles)
+    titles = table(spark, sf, "orders").select(F.col("o_orderkey").alias("basket_id"), F.col("o_orderpriority").alias("title"), F.get(F.array(F.lit("count_mismatch"), F.lit("values_without_units")), (F.col("o_orderkey") % 7).cast("int")).alias("quantity_status"))
+    q = search_queries(spark, sf)
+    cards = S.result_cards(S.ranked(q, linked_baskets(spark, sf)), titles, q)
     return cards.select("query_id", "basket_id", "rank", F.size("matched").alias("n_matched"), F.size("missing_items").alias("n_missing"), F.size("unused").alias("n_unused"), F.size("warnings").alias("n_warnings"))
 
 
@@ -164,15 +165,16 @@ def ledger(spark: P, sf: str) -> D:
 
 @query()
 def search_report(spark: P, sf: str) -> D:
-    c = X.baskets(spark, sf)
-    e = S.evaluation_queries(c).withColumn("top_k", F.lit(10)).withColumn("exclude", F.lit(None).cast("array<bigint>")).withColumn("min_servings", F.lit(None).cast("double")).withColumn("language", F.lit(None).cast("string")).where("query_id % 20 = 0")
+    c = saved(X.baskets(spark, sf), "baskets")
+    e = S.evaluation_queries(c).withColumn("top_k", F.lit(10)).withColumn("min_servings", F.lit(None).cast("double")).withColumn("language", F.lit(None).cast("string")).where("query_id % 20 = 0")
+    e = saved(e, "queries")
     same = c.select("basket_id", "items").join(e.select("query_id", "items"), "items").select("query_id", "basket_id")
     q = e.drop("items")
-    found = S.ranked(q, c)
+    found = saved(S.ranked(q, c).select("query_id", "basket_id", "rank"), "found")
     return S.search_report(found, same, S.bm25(q, c), S.violations(found, q, c))
 
 
 @query()
 def evaluation_queries(spark: P, sf: str) -> D:
     e = S.evaluation_queries(X.baskets(spark, sf))
-    return e.select("query_id", F.size("available").alias("n"), "max_missing", F.col("must_use")[0].alias("must"), "budget")
+    return e.select("query_id", F.size("available").alias("n"), "max_missing", F.col("must_use")[0].alias("must"), F.get("exclude", F.lit(0)).alias("forbidden"), "budget")

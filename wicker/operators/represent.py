@@ -41,6 +41,9 @@ def symmetric_vectors(weights: DataFrame, d: int) -> tuple[DataFrame, float]:
     """Vectors from the top positive eigenpairs of the symmetrised weights, and the share of the positive spectrum they keep."""
     import pandas as pd
 
+    n = weights.select("a").distinct().count()
+    if n > DENSE_ITEMS:
+        raise ValueError(f"{n} items: more than {DENSE_ITEMS} are not solved on the driver; use svd_vectors")
     w = weights.toPandas()  # DENSE_ITEMS squared at most
     ids = np.unique(np.concatenate([w.a, w.b]))
     m = np.zeros((len(ids), len(ids)))

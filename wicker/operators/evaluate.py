@@ -193,13 +193,13 @@ def degree_matched(edges: DataFrame, degrees: DataFrame, band: float = 0.1, seed
 
 
 def auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Probability that a positive scores above a negative, ties half (H19, H12). ``rows``: label 0/1, score.
+    """Probability that a positive scores above a negative, ties half (H19, H12). ``rows``: label 0/1, score; without rows of both labels it is null.
 
     Distinct scores are summed first and their running sums taken by ranges of the score, so continuous scores are no single task.
     """
     per = rows.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     per = sums_before(per, "score", {"below": "neg"}, by)
-    out = per.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    out = per.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"))
     return out.withColumn("auc", F.round(F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))), 6)).drop("wins")
 
 

@@ -38,6 +38,8 @@ CENTERS = 256
 #: A node is dealt over blocks of about so many sets and bytes of sets.
 BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
 DEEPEST = 8
+#: A node's sets are gathered in chunks of so many, were all sets in it.
+CHUNK_SETS = 4096
 #: The keys of up to so many texts (24 bytes each) are broadcast to pick them; those of more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * U(2) + U(1)
@@ -195,9 +197,8 @@ def _children(members: DataFrame) -> DataFrame:
 
 def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Components ``(key, root)`` of the keys of ``sets`` that are linked with another."""
-    paths = sets.select(F.explode("nodes").alias("node"), "key", "n_shingles")
-    sizes = paths.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = written(paths.join(sizes, "node"), "nodes")
+    chunks = max(1, -(-sets.count() // CHUNK_SETS))
+    nodes = written(_first_nodes(sets, chunks), "nodes")
     pairs = written(_exhaustive(nodes.where(F.col("size") <= LEAF).join(sets.select("key", *_SKETCH), "key"), percent), "pairs")
     nodes = nodes.where(F.col("size") > LEAF).select("node", "key", "n_shingles")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(nodes.select("key")).distinct()
@@ -206,7 +207,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
     known = _components(links)
     for depth in range(DEEPEST):
-        state = written(_mixed(_labelled(nodes, known), last=depth == DEEPEST - 1), "state")
+        state = written(_mixed(_labelled(nodes, known), chunks, last=depth == DEEPEST - 1), "state")
         if state.isEmpty():
             break
         links = written(_with_centers(state, full, percent), "links")
@@ -219,12 +220,25 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         if open_.isEmpty():
             break
         # what contraction has made small stays a node, the others branch
-        open_ = written(_mixed(open_, last=False), "open")
+        open_ = written(_mixed(open_, chunks, last=False), "open")
         again = open_.where("final").select("node", "key", "n_shingles")
         nodes = again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key")))
     return known
 
 
+def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """The rows of each node gathered in chunks, so that a hot node meets what is known of it as a row for each chunk: ``node, chunk, s``."""
+    rest = [c for c in rows.columns if c != "node"]
+    return rows.groupBy("node", F.pmod("key", F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(*rest)).alias("s"))  # about CHUNK_SETS rows at most
+
+
+def _first_nodes(sets: DataFrame, chunks: int) -> DataFrame:
+    """The sets of every first node that holds more than one: ``node, key, n_shingles, size``."""
+    parts = written(_chunked(sets.select(F.explode("nodes").alias("node"), "key", "n_shingles"), chunks), "chunks")
+    sizes = parts.groupBy("node").agg(F.sum(F.size("s")).alias("size")).where("size > 1")
+    return parts.join(sizes, "node").select("node", F.explode("s").alias("s"), "size").select("node", "s.*", "size")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return written(connected_components(links).withColumnRenamed("id", "key"), "known")
 
@@ -248,14 +262,15 @@ def _labelled(nodes: DataFrame, known: DataFrame) -> DataFrame:
     return written(nodes.join(known, "key", "left").select("node", "key", "n_shingles", F.coalesce("root", "key").alias("label")), "labelled")
 
 
-def _mixed(rows: DataFrame, last: bool) -> DataFrame:
+def _mixed(rows: DataFrame, chunks: int, last: bool) -> DataFrame:
     """Sets of nodes that hold several labels: ``others``: how many lie outside the commonest; ``final``: whether those can be compared with all."""
     # sums for each label first, so that a hot node is one row for each of its labels
     per = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("n"))
     stats = per.groupBy("node").agg(F.sum("c").alias("size"), F.sum("n").alias("n"), F.max(F.struct("c", "label")).alias("m"))
     stats = stats.where("size > m.c").select("node", "size", "n", F.col("m.label").alias("common"), (F.col("size") - F.col("m.c")).alias("others"))
     final = F.lit(True) if last else F.col("others") <= CENTERS
-    return rows.join(stats.withColumn("final", final), "node")
+    parts = _chunked(rows, chunks).join(stats.withColumn("final", final), "node")
+    return parts.withColumn("s", F.explode("s")).select("s.*", *[c for c in parts.columns if c not in ("chunk", "s")])
 
 
 def _with_centers(state: DataFrame, full: DataFrame, percent: int) -> DataFrame:

@@ -222,7 +222,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         # what contraction has made small stays a node, the others branch
         open_ = written(_mixed(open_, chunks, last=False), "open")
         again = open_.where("final").select("node", "key", "n_shingles")
-        nodes = again.unionByName(_children(open_.where("not final").join(full.select("key", *_SKETCH), "key")))
+        nodes = again.unionByName(_children(_met_once(open_.where("not final").select("node", "key", "n_shingles"), full.select("key", *_SKETCH))))
     return known
 
 
@@ -232,6 +232,13 @@ def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
     return rows.groupBy("node", F.pmod("key", F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(*rest)).alias("s"))  # about CHUNK_SETS rows at most
 
 
+def _met_once(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """``rows`` with what ``full`` has of their keys: a set is in many nodes, so its rows are gathered before it is met, and it is met once."""
+    at = F.struct(*[c for c in rows.columns if c != "key"])
+    met = rows.groupBy("key").agg(F.collect_list(at).alias("at")).join(full, "key")  # a set's own nodes and chunks
+    return met.select("key", *[c for c in full.columns if c != "key"], F.explode("at").alias("at")).select("*", "at.*").drop("at")
+
+
 def _first_nodes(sets: DataFrame, chunks: int) -> DataFrame:
     """The sets of every first node that holds more than one: ``node, key, n_shingles, size``."""
     parts = written(_chunked(sets.select(F.explode("nodes").alias("node"), "key", "n_shingles"), chunks), "chunks")
@@ -284,7 +291,7 @@ def _with_centers(state: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     members = rows.select("node", "key", "label", F.lit(False).alias("center"), hashed(F.col("chunks")).alias("chunk"), F.explode(spread(F.col("groups"))).alias("group"))
     centers = rows.where("is_center").select("node", "key", "label", F.lit(True).alias("center"), F.explode(spread(F.col("chunks"))).alias("chunk"), hashed(F.col("groups")).alias("group"))
     blocks = members.unionByName(centers).select(F.xxhash64("node", "chunk", "group").alias("block"), "key", "label", "center")
-    return blocks.join(full, "key").groupBy("block").applyInArrow(_compare(percent), "a long, b long")
+    return _met_once(blocks, full).groupBy("block").applyInArrow(_compare(percent), "a long, b long")
 
 
 def _picked(wanted: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:

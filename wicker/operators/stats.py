@@ -7,13 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import draw, fine_draw, numbered, pairs_of
+from ..functions.joins import joined
+from ..session import saved
 from .evaluate import spearman
 
 
 def sharing(baskets: DataFrame, shared: DataFrame, group: str) -> DataFrame:
-    """Mean number of shared attributes over each basket's pairs. ``shared``: i, j, shared (both directions)."""
-    rows = baskets.select("basket_id", group, F.size("items").alias("n"), F.explode(pairs_of("items")).alias("p"))
-    rows = rows.select("basket_id", group, "n", F.col("p.src").alias("i"), F.col("p.dst").alias("j")).join(shared, ["i", "j"], "left")
+    """Mean number of shared attributes over each basket's pairs. ``shared``: i, j, shared (both directions).
+
+    Baskets are shuffled whole before their pairs are made, so that pairs are summed where they are made as long as ``shared`` can be broadcast.
+    """
+    rows = baskets.select("basket_id", group, "items").repartition("basket_id").select("basket_id", group, F.size("items").alias("n"), F.explode(pairs_of("items")).alias("p"))
+    rows = joined(rows.select("basket_id", group, "n", F.col("p.src").alias("i"), F.col("p.dst").alias("j")), shared.select("i", "j", "shared"), ["i", "j"], "left")
     return rows.groupBy("basket_id", group).agg(F.avg(F.coalesce("shared", F.lit(0))).alias("s"), F.first("n").alias("n"))
 
 
@@ -25,31 +30,38 @@ def null_baskets(baskets: DataFrame, group: str, replicate: int = 0) -> DataFram
     hold too few different items take the rest by such keys. A group with fewer items than a basket gives all it has.
     """
     slot = baskets.select(group, F.explode("items").alias("item_id"))
-    weights = slot.groupBy(group, "item_id").agg(F.count("*").alias("f"))
+    weights = saved(slot.groupBy(group, "item_id").agg(F.count("*").alias("f")), "weights")
     line = W.partitionBy(group).orderBy("item_id")  # a row for each item of a group's vocabulary
     line = weights.withColumn("hi", F.sum("f").over(line)).withColumn("lo", F.col("hi") - F.col("f"))
     size = weights.groupBy(group).agg(F.sum("f").alias("total"), F.count("*").alias("m")).withColumn("width", F.greatest(F.lit(1), F.floor(F.col("total") / F.col("m"))))
     # cells of the line, about as many as items, so that a point meets the one or two items of its cell
     cells = line.join(size, group).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))))).select(group, "cell", "item_id", "lo", "hi")
-    wanted = baskets.select("basket_id", group, F.size("items").alias("n")).join(size, group).withColumn("n", F.least("n", F.col("m").cast("int")))
+    # baskets are shuffled by id before their points are made: these stay where they are as long as the cells can be broadcast
+    wanted = joined(baskets.select("basket_id", group, F.size("items").alias("n")).repartition("basket_id"), size, group).withColumn("n", F.least("n", F.col("m").cast("int")))
     points = wanted.withColumn("j", F.explode(F.sequence(F.lit(1), 2 * F.col("n") + 8)))
     at = F.floor(fine_draw(F.concat_ws("-", "basket_id", "j"), 100 + replicate) * F.col("total"))
     points = points.withColumn("at", at).withColumn("cell", F.floor(F.col("at") / F.col("width")))
-    hit = points.join(cells, [group, "cell"]).where("at >= lo and at < hi")
+    hit = joined(points.select("basket_id", group, "n", "j", "at", "cell"), cells, [group, "cell"]).where("at >= lo and at < hi")
     per = hit.groupBy("basket_id", group, "n").agg(F.array_sort(F.collect_list(F.struct("j", "item_id"))).alias("x"))  # a basket's own points
-    drawn = per.select("basket_id", group, "n", F.slice(F.array_distinct(F.col("x.item_id")), F.lit(1), F.col("n")).alias("items"))
-    short = drawn.where(F.size("items") < F.col("n")).join(weights, group).where(~F.array_contains("items", F.col("item_id")))
+    drawn = saved(per.select("basket_id", group, "n", F.slice(F.array_distinct(F.col("x.item_id")), F.lit(1), F.col("n")).alias("items")), "drawn")
+    short = joined(drawn.where(F.size("items") < F.col("n")), weights, group).where(~F.array_contains("items", F.col("item_id")))
     u = draw(F.concat_ws("-", "basket_id", "item_id"), 100 + replicate)
     order = W.partitionBy("basket_id").orderBy(F.desc(F.log("f") - F.log(-F.log(F.greatest(u, F.lit(1e-12))))), "item_id")
     rest = short.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.size("items")).groupBy("basket_id").agg(F.collect_list("item_id").alias("rest"))
-    out = drawn.join(rest, "basket_id", "left")
+    out = joined(drawn, rest, "basket_id", "left")
     return out.select("basket_id", group, F.array_sort(F.concat("items", F.coalesce("rest", F.array()))).alias("items"))
 
 
 def pairing_statistic(baskets: DataFrame, shared: DataFrame, group: str, replicate: int = 0) -> DataFrame:
     """Sharing of real baskets less that of drawn ones by group, with its standard error and 95 % interval."""
+    baskets = saved(baskets.select("basket_id", group, "items"), "baskets")
+    return _against(baskets, null_baskets(baskets, group, replicate), shared, group)
+
+
+def _against(baskets: DataFrame, nulls: DataFrame, shared: DataFrame, group: str) -> DataFrame:
+    """``pairing_statistic`` of baskets and of those drawn for them."""
     real = sharing(baskets, shared, group).select("basket_id", group, F.col("s").alias("real"))
-    null = sharing(null_baskets(baskets, group, replicate), shared, group).select("basket_id", F.col("s").alias("null"))
+    null = sharing(nulls, shared, group).select("basket_id", F.col("s").alias("null"))
     d = real.join(null, "basket_id")
     out = d.groupBy(group).agg(F.count("*").alias("n"), F.avg("real").alias("real"), F.avg("null").alias("null"), F.avg(F.col("real") - F.col("null")).alias("delta"), F.sqrt(F.var_samp(F.col("real") - F.col("null")) / F.count("*")).alias("se"))
     return out.select(group, "n", *[F.round(c, 6).alias(c) for c in ("real", "null", "delta", "se")], F.round(F.col("delta") - 1.96 * F.col("se"), 6).alias("low"), F.round(F.col("delta") + 1.96 * F.col("se"), 6).alias("high"), F.round(F.col("delta") / F.col("null"), 6).alias("relative"))
@@ -57,6 +69,7 @@ def pairing_statistic(baskets: DataFrame, shared: DataFrame, group: str, replica
 
 def pairing_z(baskets: DataFrame, shared: DataFrame, group: str, replicates: int = 4) -> DataFrame:
     """The older form: real mean against the scatter of null replicates."""
+    baskets, shared = saved(baskets.select("basket_id", group, "items"), "baskets"), saved(shared, "shared")
     real = sharing(baskets, shared, group).groupBy(group).agg(F.avg("s").alias("real"))
     nulls = None
     for r in range(replicates):
@@ -78,10 +91,12 @@ def masked_arms(baskets: DataFrame, shared: DataFrame, masked: DataFrame, group:
     """The statistic with and without masked pairs on identical draws (H26). ``masked``: a < b."""
     m = masked.select(F.col("a").alias("i"), F.col("b").alias("j"))
     m = m.unionByName(m.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    baskets, shared = saved(baskets.select("basket_id", group, "items"), "baskets"), saved(shared, "shared")
+    nulls = null_baskets(baskets, group)
     arms = [("all", shared), ("masked", shared.join(m, ["i", "j"], "left_anti"))]
     out = None
     for name, s in arms:
-        one = pairing_statistic(baskets, s, group).select(F.lit(name).alias("arm"), group, "n", "delta", "se")
+        one = _against(baskets, nulls, s, group).select(F.lit(name).alias("arm"), group, "n", "delta", "se")
         out = one if out is None else out.unionAll(one)
     return out
 

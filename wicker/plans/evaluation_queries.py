@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import cosine, draw
 from ..operators import baskets as B, evaluate as E, graph as G, neighbours as N, represent as R, stats as T
-from ..session import table
+from ..session import saved, table
 from . import bindings as X
 from .graph_queries import _CANON, FORMS, baskets_of, edges_of
 from .registering import collector
@@ -313,7 +313,7 @@ _NULL = f"{X.BASKETS}, {_drawn_sql('(0)')}"
 
 @query(f"with {_NULL} select basket_id, string_agg(item_id, ',' order by item_id) items from nb group by 1")
 def null_baskets(spark: P, sf: str) -> D:
-    return T.null_baskets(X.baskets(spark, sf).select("basket_id", "lang", "items"), "lang").select("basket_id", F.array_join("items", ",").alias("items"))
+    return T.null_baskets(saved(X.baskets(spark, sf).select("basket_id", "lang", "items"), "baskets"), "lang").select("basket_id", F.array_join("items", ",").alias("items"))
 
 
 _DELTA = _NULL + f""", {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED},

@@ -12,12 +12,22 @@ from ..session import saved
 from .evaluate import spearman
 
 
+#: Whole baskets that a task draws for or pairs at most.
+BASKETS_A_TASK = 50_000
+
+
+def _dealt(baskets: DataFrame) -> DataFrame:
+    """Whole baskets dealt over tasks by id, in a stated number: points and pairs are many times their bytes, by which Spark would put baskets together."""
+    tasks = max(baskets.sparkSession.sparkContext.defaultParallelism, -(-baskets.count() // BASKETS_A_TASK))
+    return baskets.repartition(tasks, "basket_id")
+
+
 def sharing(baskets: DataFrame, shared: DataFrame, group: str) -> DataFrame:
     """Mean number of shared attributes over each basket's pairs. ``shared``: i, j, shared (both directions).
 
     Baskets are shuffled whole before their pairs are made, so that pairs are summed where they are made as long as ``shared`` can be broadcast.
     """
-    rows = baskets.select("basket_id", group, "items").repartition("basket_id").select("basket_id", group, F.size("items").alias("n"), F.explode(pairs_of("items")).alias("p"))
+    rows = _dealt(baskets.select("basket_id", group, "items")).select("basket_id", group, F.size("items").alias("n"), F.explode(pairs_of("items")).alias("p"))
     rows = joined(rows.select("basket_id", group, "n", F.col("p.src").alias("i"), F.col("p.dst").alias("j")), shared.select("i", "j", "shared"), ["i", "j"], "left")
     return rows.groupBy("basket_id", group).agg(F.avg(F.coalesce("shared", F.lit(0))).alias("s"), F.first("n").alias("n"))
 
@@ -37,7 +47,7 @@ def null_baskets(baskets: DataFrame, group: str, replicate: int = 0) -> DataFram
     # cells of the line, about as many as items, so that a point meets the one or two items of its cell
     cells = line.join(size, group).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))))).select(group, "cell", "item_id", "lo", "hi")
     # baskets are shuffled by id before their points are made: these stay where they are as long as the cells can be broadcast
-    wanted = joined(baskets.select("basket_id", group, F.size("items").alias("n")).repartition("basket_id"), size, group).withColumn("n", F.least("n", F.col("m").cast("int")))
+    wanted = joined(_dealt(baskets.select("basket_id", group, F.size("items").alias("n"))), size, group).withColumn("n", F.least("n", F.col("m").cast("int")))
     points = wanted.withColumn("j", F.explode(F.sequence(F.lit(1), 2 * F.col("n") + 8)))
     at = F.floor(fine_draw(F.concat_ws("-", "basket_id", "j"), 100 + replicate) * F.col("total"))
     points = points.withColumn("at", at).withColumn("cell", F.floor(F.col("at") / F.col("width")))

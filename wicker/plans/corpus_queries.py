@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import item_set
 from ..operators import baskets as B, graph as G, quality as Q
-from ..session import table
+from ..session import saved, table
 from ..sources import readers as R, sinks as S
 from . import bindings as X
 from .registering import collector
@@ -182,7 +182,7 @@ def recurring(spark: P, sf: str) -> D:
     " r as (select *, row_number() over (partition by src, dst order by n desc, third) as rank from t) select r.src, r.dst, cnt pair_count, third, rank, round_even(1000.0 * n / cnt, 0)::bigint permille from r join edges using (src, dst) where rank <= 10"
 )
 def pair_portrait(spark: P, sf: str) -> D:
-    b = X.baskets(spark, sf).select("basket_id", "items")
+    b = saved(B.baskets_from_rows(X.slots_by_name(spark, sf), "basket_id", "item_id"), "baskets")
     return B.pair_portrait(b, B.npmi_graph(b, threshold=0.02))
 
 

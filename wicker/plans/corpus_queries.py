@@ -153,7 +153,8 @@ def line_coverage(spark: P, sf: str) -> D:
 )
 def alias_gain(spark: P, sf: str) -> D:
     t = _terms(spark, sf)
-    alias = lambda n: t.where(F.length("term") <= n).select("lang", F.col("term").alias("surface"), F.col("term").alias("item_id")).distinct()
+    short = saved(t.where(F.length("term") <= 5).select("lang", "term").distinct(), "terms")
+    alias = lambda n: short.where(F.length("term") <= n).select("lang", F.col("term").alias("surface"), F.col("term").alias("item_id"))
     return B.alias_gain(t.withColumnRenamed("term", "line"), [("short", alias(3)), ("longer", alias(5))])
 
 

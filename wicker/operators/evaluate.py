@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.arrays import array_sums
 from ..functions.columns import cosine, draw, pairs_of
 from ..functions.ranges import places, sums_before
+from ..session import saved
 from .baskets import frequencies, npmi_graph
 from .graph import both_ways, similarities, top_k
 
@@ -401,6 +402,7 @@ def graph_agreement(edges: DataFrame, vectors: DataFrame, least: int = 5, k: int
     """
     u, v = (vectors.select(F.col("item_id").alias(c), F.col("vec").alias(f"v_{c}")) for c in ("src", "dst"))
     rows = edges.join(u, "src").join(v, "dst").select("src", "dst", "count", F.round("npmi", 9).alias("npmi"), F.round(cosine("v_src", "v_dst"), 9).alias("cosine"), F.round(F.log("count"), 9).alias("log_count"))
+    rows = saved(rows, "agreement")  # six readers, and behind them a graph
     some = rows.where(F.col("count") >= least)
     out = None
     for name, part, x in (("npmi", rows, "npmi"), ("npmi, counted", some, "npmi"), ("log count, counted", some, "log_count")):

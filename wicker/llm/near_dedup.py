@@ -5,8 +5,10 @@ own minwise tokens: a tree's first nodes are named by two of them, so that sets
 s share one with probability s^2; every node below offers three branches of two tokens each, chosen
 by the node. Small first nodes are compared exhaustively. In a large node all sets are compared with
 some centres, and what is found connected is contracted: if at most ``CENTERS`` sets then lie outside
-the node's largest component, those are compared with all its sets, which is exhaustive as far as
-components go and linear in the node; else the node branches. At the deepest level all is compared.
+the node's largest component, or so few that their blocks have fewer rows than branches would, those are
+compared with all its sets, which is exhaustive as far as components go; else the node branches. At the
+deepest level all is compared. A hot group is in nodes of every tree, under one commonest label: they
+are compared as one node where that makes fewer rows than each for itself.
 A pair of similarity 0.75 is missed by all sixteen trees with probability 2e-6 where its nodes are
 small at once or by contraction (nearly all are), with 3e-5 where it must go ever deeper.
 
@@ -33,9 +35,9 @@ COORDINATES = 128
 AGREE = 73
 #: A first node of so many sets is compared exhaustively.
 LEAF = 32
-#: A node with so many sets outside its largest component is compared exhaustively; a larger one first with half as many centres.
+#: A node with so many sets outside its largest component is always compared exhaustively; one with more may first meet half as many centres.
 CENTERS = 256
-#: A node is dealt over blocks of about so many sets and bytes of sets.
+#: A node is dealt over blocks of about so many members, as many centres, and bytes of each.
 BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
 DEEPEST = 8
 #: A node's sets are gathered in chunks of so many, were all sets in it.
@@ -140,7 +142,7 @@ def _compare(percent: int):
         raw, offs = column_bytes(table.column("set"))
         flat, of = raw.view(np.uint64), offs // 8
         center = table.column("center").to_numpy()
-        members = np.flatnonzero(~center)
+        members = np.flatnonzero(table.column("member").to_numpy())
         _, root = np.unique(label, return_inverse=True)
         a, b = [], []
         for i in np.flatnonzero(center):
@@ -207,10 +209,10 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
     known = _components(links)
     for depth in range(DEEPEST):
-        state = written(_mixed(_labelled(nodes, known), chunks, last=depth == DEEPEST - 1), "state")
+        state = _planned(_labelled(nodes, known), chunks, last=depth == DEEPEST - 1)
         if state.isEmpty():
             break
-        links = written(_with_centers(state, full, percent), "links")
+        links = written(_with_centers(state, full, percent, chunks), "links")
         open_ = state.where("not final").select("node", "key", "n_shingles", "label")
         if not links.isEmpty():
             merged = _components(links)
@@ -220,7 +222,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         if open_.isEmpty():
             break
         # what contraction has made small stays a node, the others branch
-        open_ = written(_mixed(open_, chunks, last=False), "open")
+        open_ = _planned(open_, chunks, last=False)
         again = open_.where("final").select("node", "key", "n_shingles")
         nodes = again.unionByName(_children(_met_once(open_.where("not final").select("node", "key", "n_shingles"), full.select("key", *_SKETCH))))
     return known
@@ -272,26 +274,70 @@ def _labelled(nodes: DataFrame, known: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, chunks: int, last: bool) -> DataFrame:
     """Sets of nodes that hold several labels: ``others``: how many lie outside the commonest; ``final``: whether those can be compared with all."""
     # sums for each label first, so that a hot node is one row for each of its labels
-    per = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("n"))
-    stats = per.groupBy("node").agg(F.sum("c").alias("size"), F.sum("n").alias("n"), F.max(F.struct("c", "label")).alias("m"))
-    stats = stats.where("size > m.c").select("node", "size", "n", F.col("m.label").alias("common"), (F.col("size") - F.col("m.c")).alias("others"))
-    final = F.lit(True) if last else F.col("others") <= CENTERS
+    per = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
+    stats = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("m"))
+    stats = stats.where("size > m.c").select("node", "size", F.col("m.label").alias("common"), (F.col("size") - F.col("m.c")).alias("others"))
+    final = F.lit(True) if last else (F.col("others") <= CENTERS) | (_block_rows("size", "others") <= BRANCHES * F.col("size"))
     parts = _chunked(rows, chunks).join(stats.withColumn("final", final), "node")
     return parts.withColumn("s", F.explode("s")).select("s.*", *[c for c in parts.columns if c not in ("chunk", "s")])
 
 
-def _with_centers(state: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between the labels of each node's sets and of its centres: the sets outside the commonest label where they are few, else some drawn by hash."""
-    chunks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int")
-    groups = F.when(F.col("final"), F.ceil(F.col("others") / CENTERS)).otherwise(1).cast("int")
+def _block_rows(members: str, centers: str) -> Column:
+    """How many rows the blocks have in which so many members meet so many centres."""
+    m, c = F.col(members), F.col(centers)
+    return m * F.ceil(c / BLOCK_SETS) + c * F.ceil(m / BLOCK_SETS)
+
+
+def _together(state: DataFrame) -> DataFrame:
+    """The commonest labels whose nodes make fewer rows compared as one than each for itself, be it by blocks or by branches: ``common, together``."""
+    own = F.when(F.col("final"), _block_rows("size", "others")).otherwise(BRANCHES * F.col("size"))
+    per = state.groupBy("common", "key").agg(F.max(F.col("label") != F.col("common")).alias("other"), F.sum(own / F.col("size")).alias("apart"))
+    sums = per.groupBy("common").agg(F.count("*").alias("sets"), F.count_if("other").alias("outside"), F.sum("apart").alias("apart"))
+    return sums.where(_block_rows("sets", "outside") + 0.5 < F.col("apart")).select("common", F.lit(True).alias("together"))
+
+
+def _planned(rows: DataFrame, chunks: int, last: bool) -> DataFrame:
+    """``_mixed`` with ``together``: whether a node is compared as one with those of its commonest label, which is final."""
+    state = written(_mixed(rows, chunks, last), "state")
+    labels = written(_together(state), "together")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_KEYS else labels
+    state = state.join(labels, "common", "left").withColumn("together", F.col("together").isNotNull())
+    return state.withColumn("final", F.col("final") | F.col("together"))
+
+
+def _alike(state: DataFrame) -> DataFrame:
+    """The nodes of a hot group hold much the same sets under the same commonest label; they are one here: ``node, key, n_shingles, label, is_center``, once for each set.
+
+    A set that is a centre of one of them meets the sets of all, so that nothing is compared less.
+    """
     drawn = F.pmod(F.xxhash64("key", "node"), F.col("size")) * 2 < CENTERS
-    rows = state.withColumns({"chunks": chunks, "groups": groups, "is_center": F.when(F.col("final"), F.col("label") != F.col("common")).otherwise(drawn)})
-    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    center = F.when(F.col("final"), F.col("label") != F.col("common")).otherwise(drawn)
+    one = F.when(F.col("together"), F.xxhash64("common")).otherwise(F.col("node")).alias("node")
+    return state.groupBy(one, "key").agg(F.first("n_shingles").alias("n_shingles"), F.first("label").alias("label"), F.max(center).alias("is_center"))
+
+
+def _blocks(state: DataFrame, chunks: int) -> DataFrame:
+    """Sets by blocks of a chunk of members and a group of centres: the sets outside the commonest label where they are few, else some drawn by hash."""
+    rows = written(_alike(state), "alike")
+    center_n = F.when(F.col("is_center"), F.col("n_shingles"))
+    stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("n"), F.count(center_n).alias("centers"), F.sum(center_n).alias("center_n"))
+    dealt = lambda size, n: F.greatest(F.lit(1), F.ceil(F.col(size) / BLOCK_SETS), F.ceil(F.coalesce(n, F.lit(0)) * 8 / BLOCK_BYTES)).cast("int")
+    stats = stats.where("centers > 0").select("node", dealt("size", F.col("n")).alias("chunks"), dealt("centers", F.col("center_n")).alias("groups"))
+    parts = _chunked(rows, chunks).join(stats, "node").withColumn("s", F.explode("s")).select("node", "s.*", "chunks", "groups")
     hashed = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    members = rows.select("node", "key", "label", F.lit(False).alias("center"), hashed(F.col("chunks")).alias("chunk"), F.explode(spread(F.col("groups"))).alias("group"))
-    centers = rows.where("is_center").select("node", "key", "label", F.lit(True).alias("center"), F.explode(spread(F.col("chunks"))).alias("chunk"), hashed(F.col("groups")).alias("group"))
-    blocks = members.unionByName(centers).select(F.xxhash64("node", "chunk", "group").alias("block"), "key", "label", "center")
-    return _met_once(blocks, full).groupBy("block").applyInArrow(_compare(percent), "a long, b long")
+    parts = parts.withColumns({"its_chunk": hashed(F.col("chunks")), "its_group": hashed(F.col("groups"))})
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    # a centre is one row in the block in which it is a member too
+    members = parts.withColumn("group", F.explode(spread(F.col("groups")))).withColumn("chunk", F.col("its_chunk"))
+    members = members.withColumns({"member": F.lit(True), "center": F.col("is_center") & (F.col("group") == F.col("its_group"))})
+    centers = parts.where("is_center").withColumn("chunk", F.explode(spread(F.col("chunks")))).where("chunk <> its_chunk").withColumn("group", F.col("its_group"))
+    both = members.unionByName(centers.withColumns({"member": F.lit(False), "center": F.lit(True)}))
+    return both.select(F.xxhash64("node", "chunk", "group").alias("block"), "key", "label", "member", "center")
+
+
+def _with_centers(state: DataFrame, full: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Links between the labels of each node's sets and of its centres."""
+    return _met_once(_blocks(state, chunks), full).groupBy("block").applyInArrow(_compare(percent), "a long, b long")
 
 
 def _picked(wanted: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -351,10 +351,10 @@ def _arm_sql(name: str, shared: str) -> str:
     return f"select '{name}' arm, rp.lang, count(*) n, round(avg(rp.s - np.s), 6) delta, round(sqrt(var_samp(rp.s - np.s) / count(*)), 6) se from ({mean('sl')}) rp join ({mean('nb')}) np using (basket_id) group by rp.lang"
 
 
-@query(f"with {_NULL}, {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, {_CANON[len(X.ITEMS) + 2:]}, nd as (select a.item_id i, b.item_id j from c a join c b on a.canon = b.canon and a.item_id <> b.item_id), shared_m as (select * from shared anti join nd using (i, j)) {_arm_sql('all', 'shared')} union all {_arm_sql('masked', 'shared_m')}")
+@query(f"with {_NULL}, {X.EVERY_ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, {_CANON[len(X.ITEMS) + 2:]}, nd as (select a.item_id i, b.item_id j from c a join c b on a.canon = b.canon and a.item_id <> b.item_id), shared_m as (select * from shared anti join nd using (i, j)) {_arm_sql('all', 'shared')} union all {_arm_sql('masked', 'shared_m')}")
 def masked_arms(spark: P, sf: str) -> D:
     b = X.baskets(spark, sf).select("basket_id", "lang", "items")
-    return T.masked_arms(b, G.shared_attributes(X.item_attr(spark, sf)), G.near_duplicate_names(X.items(spark, sf), FORMS), "lang")
+    return T.masked_arms(b, G.shared_attributes(X.every_attr(spark, sf)), G.near_duplicate_names(X.items(spark, sf), FORMS), "lang")
 
 
 _MID = lambda c, by: f"rank() over ({by} order by {c}) + (count(*) over (partition by {'rep, ' if by else ''}{c}) - 1) / 2.0"

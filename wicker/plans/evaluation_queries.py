@@ -316,7 +316,7 @@ def null_baskets(spark: P, sf: str) -> D:
     return T.null_baskets(saved(X.baskets(spark, sf).select("basket_id", "lang", "items"), "baskets"), "lang").select("basket_id", F.array_join("items", ",").alias("items"))
 
 
-_DELTA = _NULL + f""", {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED},
+_DELTA = _NULL + f""", {X.EVERY_ATTR[len(X.ITEMS) + 2:]}, {X.SHARED},
 rp as (select a.basket_id, a.lang, avg(coalesce(shared, 0)) s from sl a join sl b on a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2),
 np as (select a.basket_id, avg(coalesce(shared, 0)) s from nb a join nb b on a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1),
 dl as (select lang, count(*) n, avg(rp.s) r0, avg(np.s) n0, avg(rp.s - np.s) d0, sqrt(var_samp(rp.s - np.s) / count(*)) se0 from rp join np using (basket_id) group by 1)"""
@@ -324,7 +324,7 @@ dl as (select lang, count(*) n, avg(rp.s) r0, avg(np.s) n0, avg(rp.s - np.s) d0,
 
 @query(f"with {_DELTA} select lang, n, round(r0, 6) real, round(n0, 6) \"null\", round(d0, 6) delta, round(se0, 6) se, round(d0 - 1.96 * se0, 6) low, round(d0 + 1.96 * se0, 6) high, round(d0 / n0, 6) relative from dl")
 def pairing_statistic(spark: P, sf: str) -> D:
-    return T.pairing_statistic(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.item_attr(spark, sf)), "lang")
+    return T.pairing_statistic(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.every_attr(spark, sf)), "lang")
 
 
 _MANY = _drawn_sql("(0), (1)")

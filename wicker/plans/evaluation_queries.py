@@ -331,12 +331,12 @@ _MANY = _drawn_sql("(0), (1)")
 
 
 @query(
-    f"with {X.BASKETS}, {_MANY}, {X.ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, rp as (select a.basket_id, a.lang, avg(coalesce(shared, 0)) s from sl a join sl b on a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2),"
+    f"with {X.BASKETS}, {_MANY}, {X.EVERY_ATTR[len(X.ITEMS) + 2:]}, {X.SHARED}, rp as (select a.basket_id, a.lang, avg(coalesce(shared, 0)) s from sl a join sl b on a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2),"
     " np as (select a.rep, a.basket_id, a.lang, avg(coalesce(shared, 0)) s from nb a join nb b on a.rep = b.rep and a.basket_id = b.basket_id and a.item_id < b.item_id left join shared on i = a.item_id and j = b.item_id group by 1, 2, 3),"
     " rm as (select lang, avg(s) r from rp group by 1), nm as (select rep, lang, avg(s) m from np group by 1, 2), sc as (select lang, avg(m) nl, stddev_samp(m) sd from nm group by 1) select lang, round(r, 6) real, round(nl, 6) \"null\", round((r - nl) / case when sd > 0 then sd end, 4) z from rm join sc using (lang)"
 )
 def pairing_z(spark: P, sf: str) -> D:
-    return T.pairing_z(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.item_attr(spark, sf)), "lang", replicates=2)
+    return T.pairing_z(X.baskets(spark, sf).select("basket_id", "lang", "items"), G.shared_attributes(X.every_attr(spark, sf)), "lang", replicates=2)
 
 
 @query(f"with {_DELTA}, p(lang, sign) as (values ('BUILDING', 1), ('MACHINERY', -1), ('HOUSEHOLD', 1)) select count(*) n, count(*) filter (sign(d0) = p.sign) \"right\", count(*) filter (round(d0 - 1.96 * se0, 6) > 0 or round(d0 + 1.96 * se0, 6) < 0) clear, count(*) filter ((round(d0 - 1.96 * se0, 6) > 0 or round(d0 + 1.96 * se0, 6) < 0) and sign(d0) = p.sign) clear_and_right from dl join p using (lang)")
